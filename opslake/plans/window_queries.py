@@ -259,7 +259,7 @@ def incident_hysteresis(spark, d):
     return Q.incident_transitions(B.busy(spark, d), ["service"], "window", "until", "warning")
 
 
-_EPISODES = f"{_TRANSITIONS}, episodes AS (SELECT service, "at" AS opened_at, closed_at FROM (SELECT *, lead("at") OVER (PARTITION BY service ORDER BY "at") AS closed_at FROM transitions) WHERE kind = 'open')"
+_EPISODES = f'''{_TRANSITIONS}, episodes AS (SELECT service, "at" AS opened_at, closed_at FROM (SELECT *, lead("at") OVER (PARTITION BY service ORDER BY "at") AS closed_at FROM transitions) WHERE kind = 'open')'''
 
 
 @query("w08_episodes", f"WITH {_EPISODES} SELECT * FROM episodes")
