@@ -31,7 +31,7 @@ def average_precision(df: DataFrame, score: str, truth: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Area under the curve by ranks, ties counted half."""
-    return thresholds(df, score, truth).agg(F.sum((F.col("p") - F.col("tp") + F.col("pos") / 2) * F.col("neg") / (F.col("p") * F.col("n"))).alias("roc_auc"))
+    return thresholds(df, score, truth).agg(F.sum((F.col("tp") - F.col("pos") / 2) * F.col("neg") / (F.col("p") * F.col("n"))).alias("roc_auc"))
 
 
 def curves(df: DataFrame, score: str, truth: str) -> DataFrame:

@@ -412,7 +412,7 @@ def average_precision(spark, d):
     return E.average_precision(B.lab(spark, d), "score", "truth")
 
 
-@query("a21_roc_auc", f"WITH {_STEPS} SELECT {R('sum((p - tp + pos / 2) * neg / (p * n))')} AS roc_auc FROM t")
+@query("a21_roc_auc", f"WITH {_STEPS} SELECT {R('sum((tp - pos / 2) * neg / (p * n))')} AS roc_auc FROM t")
 def roc_auc(spark, d):
     return E.roc_auc(B.lab(spark, d), "score", "truth")
 
