@@ -19,6 +19,10 @@ empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -31,7 +35,7 @@ from .common import join_runs, pieces, ranked, written
 CAPACITY = 4096
 END_ID = 1
 RATIO = 0.97
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -41,26 +45,77 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class WordTable:
+    """The ids of words, as bytes, in a table of bounded size that only new words are encoded for.
+
+    The tokenizer splits letters from marks, so a word of plain letters and marks after them is its letters' ids and its
+    marks' ids. New letters are encoded together in one text, cut after the ids that end a word."""
+
+    PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([^\w\s']*)")
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
+
+    @classmethod
+    def of_worker(cls, path: str) -> "WordTable":
+        """The table of this Python worker, which Spark uses again for later tasks."""
+        store = vars(sys.modules.setdefault("_opslake_worker", types.ModuleType("_opslake_worker")))
+        if path not in store:
+            store[path] = cls(path)
+        return store[path]
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        if len(self.letters) > KNOWN_WORDS:
+            self.letters = {"": b""}
+        parts, odd, fullmatch, letters = [], [], self.PLAIN.fullmatch, self.letters
+        for w in words.difference(self.known):
+            if m := fullmatch(w.lower()):
+                parts.append((w, *m.groups()))
+            else:
+                odd.append(w)
+        self._encode_each(odd, self.known)
+        self._encode_each([*{marks for _, _, marks in parts}.difference(letters)], letters)
+        new = [*{x for _, x, _ in parts}.difference(letters)]
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                self._encode_each(some, letters)
+                continue
+            raw = ids.tobytes()
+            letters.update({w: raw[a:b] for w, a, b in zip(some, [0, *cuts], cuts)})
+        self.known.update({w: letters[word] + letters[marks] for w, word, marks in parts})
+        return self.known
+
+    def _encode_each(self, words: list[str], into: dict[str, bytes]) -> None:
+        for i in range(0, len(words), 1000):
+            for w, e in zip(words[i : i + 1000], self.tokenizer.encode_batch(words[i : i + 1000], add_special_tokens=False)):
+                into[w] = np.array(e.ids, "<u4").tobytes()
+
+
 def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every text's ids and end mark, cut only where longer than capacity.
 
-    The tokenizer never joins characters across a blank, so ids of blank-separated words are looked up in a bounded
-    table and only new words are encoded."""
+    The tokenizer never joins characters across a blank, so the ids of blank-separated words come from a table."""
     path = path or tokenizer_path()
 
     def encoded(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        table = WordTable.of_worker(path)
         mark = np.array([END_ID], "<u4").tobytes()
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=1 << 19):
             split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch.column("text").to_pylist()]
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            new = [w for w in set().union(*split) if w not in known] if split else []
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            known = table.learn(set().union(*split))
             rows = [[], [], [], [], []]
             for doc_id, words in zip(batch.column("doc_id").to_pylist(), split):
                 ids = b"".join(map(known.__getitem__, words)) + mark
@@ -150,9 +205,10 @@ def match_runs(length: np.ndarray, n: np.ndarray, capacity: int = CAPACITY, rati
             real = (count > 0) & (gap > 0)
             by = np.lexsort((first[real], gap[real]))
             gap, first, count = gap[real][by], first[real][by], count[real][by]
-            joins = np.append(False, (gap[1:] == gap[:-1]) & (first[1:] == first[:-1] + count[:-1]))
-            count = np.add.reduceat(count, np.flatnonzero(~joins)) if len(gap) else count
-            gap, first = gap[~joins], first[~joins]
+            if len(gap):
+                joins = np.append(False, (gap[1:] == gap[:-1]) & (first[1:] == first[:-1] + count[:-1]))
+                count = np.add.reduceat(count, np.flatnonzero(~joins))
+                gap, first = gap[~joins], first[~joins]
         high = low
     return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
