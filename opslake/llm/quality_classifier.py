@@ -47,19 +47,31 @@ def pa_hash(x: int) -> int:
     return (x * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & ((1 << 64) - 1)
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
-    """Newton steps for a logistic curve; the last weight is the intercept."""
-    z = np.column_stack([x, np.ones(len(x))])
+def logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 2.0) -> np.ndarray:
+    """Damped Newton steps for a logistic curve on standardised inputs; weights are for x as given, the last is the
+    intercept. ridge pulls the weights, not the intercept, to zero."""
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    scale[scale <= 1e-9] = 1.0
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    pull = np.append(np.full(x.shape[1], ridge), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).sum() + (pull * w**2).sum() / 2)
+
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + ridge * w
-        hess = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
+        rate, now = 1.0, loss(w)
+        while rate > 1e-6 and loss(w - rate * step) > now:
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-8:
             break
-    return w
+    out = w.copy()
+    out[:-1] = w[:-1] / scale
+    out[-1] = w[-1] - (out[:-1] * mean).sum()
+    return out
 
 
 def _features(text: str, good, bad) -> tuple[float, ...]:
@@ -96,7 +108,7 @@ class CompressionModel:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_per_class: int = MAX_PER_CLASS, dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
     """Half of each class's sample goes to its dictionary, whole texts until it is full; the
-    other half calibrates a curve over the difference by text size and by compressed size, the compressibility and the length. Calibration weighs the classes as they are in the labels."""
+    other half calibrates a curve over the difference by text size, by compressed size, the compressibility and the length. Calibration weighs the classes as they are in the labels."""
     sample = labelled_sample(docs, labels, target, max_per_class)
     if not sample:
         return CompressionModel(b"", b"", None, 0.5)

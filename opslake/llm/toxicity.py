@@ -1,7 +1,7 @@
 """Toxicity by a misspelling-tolerant lexicon and the context of each hit.
 
-Terms are learned: words whose labelled texts are nearly all marked (counted over every labelled text outside the
-held-out fold). The terms form a trie; Levenshtein automata of the terms (one edit, two for terms of eight letters
+Terms are learned: words whose labelled mentions are nearly all in marked texts (over a bounded sample of labelled
+rows outside the held-out fold). The terms form a trie; Levenshtein automata of the terms (one edit, two for terms of eight letters
 and more, a swap of neighbours counts as one) are intersected with it and determinised into one transition table.
 All words of a piece of text run through that table together, one letter per step, so a word that can be no
 misspelling dies after a few steps. A hit gets a score from its context window: hits inside quotation marks and hits
@@ -27,21 +27,24 @@ from .quality_classifier import labelled_sample, logistic_fit
 
 MAX_PER_CLASS = 4000
 MAX_TERMS = 2000
+MAX_TERM_ROWS = 10_000
 WINDOW = 4
 CONTEXT_SLOTS = 1 << 12
 QUOTES = '"\'«»„“”‘’`'
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least: float = 0.5, max_terms: int = MAX_TERMS) -> list[str]:
+def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least: float = 0.5, max_terms: int = MAX_TERMS, max_rows: int = MAX_TERM_ROWS) -> list[str]:
     """Words of four to 40 letters whose labelled mentions are toxic ones: over the distinct words that stand before a
     mention (so that copies of one passage count once), the share from marked texts has a lower confidence bound of
-    ``least`` or more. A stem (written ``abc*``) with four or more forms is judged by the mentions of all its forms. Most
+    ``least`` or more. Terms are learned from at most max_rows labelled rows, those with the smallest id hash, which bounds
+    what is joined and counted. A stem (written ``abc*``) with four or more forms is judged by the mentions of all its forms. Most
     mentions first, at most max_terms (a bound on the compiled table)."""
     fold = labels.where(F.col("toxic").isNotNull() & (crc_of_id(F.col("doc_id")) % 5 != 0)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
-    words = F.split(F.lower(F.regexp_replace("_text", r"[^\p{L}\s]+", " ")), r"\s+")
+    fold = fold.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    words = F.split(F.lower(F.regexp_replace("_text", r"[^\p{L}\p{N}\s]+", " ")), r"\s+")
     contexts = (
         docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-        .join(fold, "_id")
+        .join(F.broadcast(fold), "_id")
         .select("_y", words.alias("w"))
         .select("_y", F.explode(F.array_distinct(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("p")))).alias("x"))
         .select("_y", F.col("x")["w"].alias("w"), F.col("x")["p"].alias("p"))
@@ -56,8 +59,9 @@ def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least
     if not total["n"] or not total["k"]:
         return []
     base = total["k"] / total["n"]
-    n, rate, z2 = F.col("n"), F.col("k") / F.col("n"), 2.0**2
-    low = (rate + z2 / (2 * n) - 2.0 * F.sqrt(rate * (1 - rate) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    n, rate, z = F.col("n"), F.col("k") / F.col("n"), 3.0
+    z2 = z * z
+    low = (rate + z2 / (2 * n) - z * F.sqrt(rate * (1 - rate) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     found = seen.unionByName(stems).withColumn("low", low).where((n >= min_contexts) & (low > F.when(F.col("w").endswith("*"), 0.65).otherwise(max(least, base))))
     ranked = [r["w"] for r in found.orderBy(F.col("low").desc(), F.length("w").desc(), "w").limit(max_terms).collect()]
     # of a word and its stems that mean the same mentions, the surest stays
@@ -234,8 +238,9 @@ class ToxicityModel:
         count = lambda mask: np.bincount(doc[mask], minlength=n)[:n]
         best = np.full(n, -6.0)
         np.maximum.at(best, doc, np.clip(around - 3.0 * quoted, -6, 6))
-        exact, fuzzy = (edits == 0) & ~quoted, (edits > 0) & ~quoted
-        return np.column_stack([np.minimum(count(exact), 3), np.minimum(count(fuzzy), 3), np.minimum(count(quoted), 3), best, count(exact) > 0, count(fuzzy) > 0])
+        plain, fuzzy = count(~quoted), count((edits > 0) & ~quoted)
+        # a misspelt hit counts like an exact one as far as labels do not tell otherwise (third and fourth)
+        return np.column_stack([np.minimum(plain, 3), plain > 0, np.minimum(fuzzy, 3), (fuzzy > 0) & (fuzzy == plain), np.minimum(count(quoted), 3), best])
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
@@ -261,6 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
         part = pa.array(texts[i : i + 500], pa.string())
         words, index, _, _, slots = model.hits(part)
         label = y[i + words.doc[index]].astype(int)
+        # half of the texts teach the contexts, the other half the curve: else contexts known by heart would count too much
+        label[(i + words.doc[index]) % 2 == 1] = -1
         for side in (0, 1):
             around = slots[label == side]
             slot_counts[side] += np.bincount(around[around >= 0], minlength=CONTEXT_SLOTS)
@@ -271,9 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     seen = slot_counts.sum(axis=0) - 1
     if (slot_counts.sum(axis=1) > 100 + CONTEXT_SLOTS / 2).all():
         model.context = np.log(rates[1] / rates[0]) * seen / (seen + 10)
-    x = np.concatenate([model.features(p) for p in parts])
-    weights = logistic_fit(x, y, ridge=1.0)
-    drawn = y.mean()
+    x = np.concatenate([model.features(p) for p in parts])[1::2]
+    y = y[1::2]
+    weights = logistic_fit(x, y)
+    drawn = min(max(y.mean(), 1e-6), 1 - 1e-6)
     weights[-1] += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))
     model.weights = weights
     return model
