@@ -5,10 +5,10 @@ places are removed. The cover is a set of residues modulo a period such that for
 the period makes both cover positions. So two equal windows hold an equal anchor (window - period + 1 words) that
 starts at a cover position in both. Step 1 hashes anchors at cover positions only (5 in 21) and keeps those that occur
 twice. Step 2 extends: only window starts that lie within a period before a repeated anchor are hashed as whole
-windows (101 bits), and windows that occur twice are confirmed. Step 3 removes the covered words.
+windows (80 bits), and windows that occur twice are confirmed. Step 3 removes the covered words.
 
 Hashes are dealt over partitions and compared there with sorted arrays, so a passage in a third of the texts costs
-memory for its partition's rows only (24 bytes each).
+memory for its partition's rows only (24 bytes a hash).
 
 Cases: null text has no words; texts shorter than a window keep all words; repeated rows are places of their own, so
 both are removed whole; an empty table gives an empty result; of the input only ``doc_id`` and ``text`` are read.
@@ -20,33 +20,96 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, mix, pieces, range_hashes, shuffle_partitions, word_hashes, written
+from .common import Words, mix, pieces, range_hashes, shuffle_partitions, word_hashes
 
 WINDOW = 35
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)  # differences of these give every residue modulo 21
 BASES = (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5)
-START_BITS = 27  # a window's packed second key: 37 bits of a second hash over 27 bits of its start
 
 
 def cover_of(window: int) -> tuple[int, tuple[int, ...]]:
     """Period and residues whose anchors fit into the window; a window under 35 words takes a smaller perfect cover."""
     for period, residues in ((PERIOD, COVER), (13, (0, 1, 3, 9)), (7, (1, 2, 4)), (3, (0, 1))):
-        if window - period + 1 >= min(8, window - 2):
+        if window - period + 1 >= max(1, min(8, window - 2)):
             return period, residues
     return 1, (0,)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """One row per text with k, a key of the row's content: equal rows share their verdict."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    """Adds _k, a key of the row's content: equal rows share their verdict."""
+    return docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
 
 
-def anchors(rows: DataFrame, window: int) -> DataFrame:
-    """h, k, pos of every anchor at a cover position."""
+def _joined(docs: DataFrame, per_key: DataFrame, how: str) -> DataFrame:
+    """docs joined with a table on _k. Texts travel compressed (column _z)."""
+
+    def packed(batches):
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=9)
+        for batch in pieces(batches):
+            z = [None if t is None else compressor.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            yield pa.RecordBatch.from_pydict(columns | {"_z": pa.array(z, pa.binary())})
+
+    keyed = _keyed(docs)
+    schema = T.StructType([f for f in keyed.schema if f.name != "text"] + [T.StructField("_z", T.BinaryType())])
+    return keyed.mapInArrow(packed, schema).join(per_key, "_k", how)
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    import zstandard
+
+    decompressor = zstandard.ZstdDecompressor()
+    return [b"" if z is None else decompressor.decompress(z) for z in batch.column("_z").to_pylist()]
+
+
+DEALT = "part int, h array<long>, doc array<short>, a array<int>, b array<short>, keys array<long>"
+
+
+def _dealt(parts: int, deal: np.ndarray, h: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """A row for each partition with what a piece of texts has for it, as arrays: four times smaller than a row for each
+    hash. doc counts the texts of the row, whose keys come along. Texts must be in order."""
+    part = (deal % np.uint64(parts)).astype(np.int32)
+    by = np.argsort(part, kind="stable")
+    part, h, doc, a, b = part[by], h[by], doc[by], a[by], b[by]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    new = np.append(True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])) if len(part) else np.zeros(0, bool)
+    local = np.cumsum(new) - 1
+    offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+    key_first = local[first] if len(part) else np.zeros(0, np.int64)
+    local = local - np.repeat(key_first, np.diff(np.append(first, len(part))))
+    a = a.astype(np.int32)
+    a[1:] -= np.where(new[1:], 0, a[:-1])  # steps within a text pack better than places
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (h.view(np.int64), local.astype(np.int16), a, b.astype(np.int16))]
+    keyed = pa.ListArray.from_arrays(pa.array(np.append(key_first, new.sum()).astype(np.int32)), pa.array(keys[doc[new]]))
+    return pa.record_batch([pa.array(part[first]), *lists, keyed], ["part", "h", "doc", "a", "b", "keys"])
+
+
+def _gathered(batches) -> tuple[np.ndarray, ...] | None:
+    """h, a, b and the key of each hash that was dealt to a partition."""
+    out = []
+    for batch in batches:
+        flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h", "doc", "a", "b", "keys")]
+        sizes = np.diff(batch.column("h").offsets.to_numpy(zero_copy_only=False))
+        offsets = batch.column("keys").offsets.to_numpy(zero_copy_only=False)
+        h, doc, a, b, keys = flat
+        text = doc.astype(np.int64) + np.repeat(offsets[:-1] - offsets[0], sizes)
+        new = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
+        total = np.cumsum(a, dtype=np.int64)
+        a = total - np.repeat(total[new] - a[new], np.diff(np.append(new, len(a))))
+        out.append((h, a.astype(np.int32), b, keys[text]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else None
+
+
+def anchors(docs: DataFrame, window: int) -> DataFrame:
+    """Every anchor at a cover position, dealt by its hash. a: its place in the text; b: what its piece knows of it."""
     period, residues = cover_of(window)
     length = window - period + 1
+    parts = shuffle_partitions(docs.sparkSession)
 
     def found(batches):
         for batch in pieces(batches):
@@ -55,12 +118,12 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
             place = np.arange(len(words.start)) - words.first[words.doc]
             at = np.flatnonzero(np.isin(place % period, residues) & (place + length <= n[words.doc]) & (n[words.doc] >= window))
             h = range_hashes(word_hashes(words), at, at + length, BASES[0])
-            k = batch.column("k").to_numpy(zero_copy_only=False)[words.doc[at]]
             known = _known([h])
-            deal = np.where(known == 2, mix(k.view(np.uint64) ^ place[at].astype(np.uint64)), h)
-            yield pa.record_batch([pa.array(deal.view(np.int64)), pa.array(k), pa.array(place[at].astype(np.int32)), pa.array(known)], ["h", "k", "pos", "known"])
+            keys = batch.column("_k").to_numpy(zero_copy_only=False)
+            deal = np.where(known == 2, mix(keys[words.doc[at]].view(np.uint64) ^ place[at].astype(np.uint64)), h)
+            yield _dealt(parts, deal, h, words.doc[at], place[at], known, keys)
 
-    return rows.select("k", "text").mapInArrow(found, "h long, k long, pos int, known byte")
+    return _keyed(docs).select("_k", "text").mapInArrow(found, DEALT).repartitionById(parts, F.col("part"))
 
 
 def _known(keys: list[np.ndarray]) -> np.ndarray:
@@ -91,27 +154,27 @@ def _repeated(keys: list[np.ndarray], known: np.ndarray) -> np.ndarray:
     return twin
 
 
-def repeated_anchors(found: DataFrame) -> DataFrame:
-    """k, pos of anchors that occur twice or more."""
+def repeated_anchors(dealt: DataFrame) -> DataFrame:
+    """_k, pos of anchors that occur twice or more."""
 
     def kept(batches):
-        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "k", "pos", "known")] for b in batches]
-        if parts:
-            h, k, pos, known = (np.concatenate(c) for c in zip(*parts))
-            del parts
+        if table := _gathered(batches):
+            h, place, known, k = table
             r = _repeated([h], known)
-            yield pa.record_batch([pa.array(k[r]), pa.array(pos[r])], ["k", "pos"])
+            yield pa.record_batch([pa.array(k[r]), pa.array(place[r])], ["_k", "pos"])
 
-    return found.repartition(shuffle_partitions(found.sparkSession), "h").mapInArrow(kept, "k long, pos int")
+    return dealt.mapInArrow(kept, "_k long, pos int")
 
 
 def windows(candidates: DataFrame, window: int) -> DataFrame:
-    """h, g, k: per candidate start its window's hash and, packed, more bits of hash and the start."""
+    """The window at each candidate start, dealt by its hash. a: its start and what its piece knows of it; b: 16 more
+    bits of hash."""
     period = cover_of(window)[0]
+    parts = shuffle_partitions(candidates.sparkSession)
 
     def hashed(batches):
-        for batch in pieces(batches, limit=1 << 20):
-            words = Words(batch.column("text"))
+        for batch in pieces(batches, "_z", limit=1 << 19):
+            words = Words(pa.array([t.decode("utf-8", "surrogatepass") for t in _unpacked(batch)], pa.string()))
             near = batch.column("places")
             flat = near.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(near.offsets.to_numpy(zero_copy_only=False)))
@@ -124,61 +187,53 @@ def windows(candidates: DataFrame, window: int) -> DataFrame:
             at = at[at + window <= words.first[words.doc[at] + 1]]
             w = word_hashes(words)
             h = range_hashes(w, at, at + window, BASES[1])
-            g = range_hashes(mix(w), at, at + window, BASES[2])
-            start = (at - words.first[words.doc[at]]).astype(np.uint64)
-            packed = (g >> np.uint64(START_BITS) << np.uint64(START_BITS)) | start
-            k = batch.column("k").to_numpy(zero_copy_only=False)[words.doc[at]]
-            known = _known([h, g >> np.uint64(START_BITS)])
-            deal = np.where(known == 2, mix(k.view(np.uint64) ^ start), h)
-            yield pa.record_batch([pa.array(deal.view(np.int64)), pa.array(packed.view(np.int64)), pa.array(k), pa.array(known)], ["h", "g", "k", "known"])
+            g = (range_hashes(mix(w), at, at + window, BASES[2]) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+            start = at - words.first[words.doc[at]]
+            known = _known([h, g])
+            keys = batch.column("_k").to_numpy(zero_copy_only=False)
+            deal = np.where(known == 2, mix(keys[words.doc[at]].view(np.uint64) ^ start.astype(np.uint64)), h)
+            yield _dealt(parts, deal, h, words.doc[at], start * 4 + known, g, keys)
 
-    return candidates.select("k", "text", "places").mapInArrow(hashed, "h long, g long, k long, known byte")
+    return candidates.select("_k", "_z", "places").mapInArrow(hashed, DEALT).repartitionById(parts, F.col("part"))
 
 
-def repeated_starts(hashed: DataFrame) -> DataFrame:
-    """k, start of windows that occur twice or more."""
+def repeated_starts(dealt: DataFrame) -> DataFrame:
+    """_k, start of windows that occur twice or more."""
 
     def kept(batches):
-        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "k", "known")] for b in batches]
-        if parts:
-            h, g, k, known = (np.concatenate(c) for c in zip(*parts))
-            del parts
-            g = g.view(np.uint64)
-            r = _repeated([h, g >> np.uint64(START_BITS)], known)
-            yield pa.record_batch([pa.array(k[r]), pa.array((g[r] & np.uint64((1 << START_BITS) - 1)).astype(np.int32))], ["k", "start"])
+        if table := _gathered(batches):
+            h, a, g, k = table
+            r = _repeated([h, g], a & 3)
+            yield pa.record_batch([pa.array(k[r]), pa.array(a[r] >> 2)], ["_k", "start"])
 
-    return hashed.repartition(shuffle_partitions(hashed.sparkSession), "h").mapInArrow(kept, "k long, start int")
+    return dealt.mapInArrow(kept, "_k long, start int")
 
 
 def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k, starts: the starts of repeated windows per distinct row (k as in :func:`_keyed`)."""
-    rows = _keyed(docs)
-    places = repeated_anchors(anchors(rows, window)).groupBy("k").agg(F.collect_set("pos").alias("places"))
-    candidates = rows.join(places, "k")
-    return repeated_starts(windows(candidates, window)).groupBy("k").agg(F.collect_set("start").alias("starts"))
+    """_k, starts: the starts of repeated windows per distinct row (_k as in :func:`_keyed`)."""
+    places = repeated_anchors(anchors(docs, window)).groupBy("_k").agg(F.collect_set("pos").alias("places"))
+    candidates = _joined(docs.select("doc_id", "text"), places, "inner")
+    return repeated_starts(windows(candidates, window)).groupBy("_k").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) per row of docs."""
-    starts = written(covered_words(docs, window))
-    rows = _keyed(docs).join(starts, "k", "left").select("doc_id", "text", "starts")
+    rows = _joined(docs.select("doc_id", "text"), covered_words(docs, window), "left")
 
     def cut(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, "_z", limit=1 << 19):
             total, removed, kept = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts")):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                gone = 0
+            for text, starts in zip(_unpacked(batch), batch.column("starts")):
+                words = text.split()
+                total.append(len(words))
                 if starts.is_valid:
                     stays = uncovered(len(words), starts.values.to_numpy(zero_copy_only=False), window)
-                    gone = len(words) - int(stays.sum())
-                    words = [w for w, s in zip(words, stays) if s] if gone < len(words) else []
-                total.append(len(words) + gone)
-                removed.append(gone)
+                    words = [w for w, s in zip(words, stays) if s]
+                removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -190,26 +245,25 @@ def digest(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFr
 def strip_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, with the repeated words taken out of ``text``: texts without any stay as they are,
     others become the words left, joined by one space; rows of which nothing is left go. ``n_chars`` follows."""
-    starts = written(covered_words(docs, window).withColumnRenamed("k", "_key").withColumnRenamed("starts", "_starts"))
-    rows = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(starts, F.col("_k") == F.col("_key"), "left").drop("_k", "_key")
+    starts = covered_words(docs, window).withColumnRenamed("starts", "_starts")
     names = docs.columns
 
     def cut(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, "_z", limit=1 << 19):
             texts, stay = [], []
-            for text, found in zip(batch.column("text"), batch.column("_starts")):
-                if not found.is_valid:
-                    texts.append(text.as_py())
+            for raw, null, found in zip(_unpacked(batch), batch.column("_z").is_null().to_pylist(), batch.column("_starts")):
+                if found.is_valid:
+                    words = raw.split()
+                    kept = [w for w, s in zip(words, uncovered(len(words), found.values.to_numpy(zero_copy_only=False), window)) if s]
+                    raw = b" ".join(kept)
+                    stay.append(bool(kept))
+                else:
                     stay.append(True)
-                    continue
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                kept = [w for w, s in zip(words, uncovered(len(words), found.values.to_numpy(zero_copy_only=False), window)) if s]
-                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
-                stay.append(bool(kept))
-            columns = [pa.array(texts, batch.column("text").type) if n == "text" else batch.column(n) for n in names]
+                texts.append(None if null else raw.decode("utf-8", "surrogatepass"))
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.record_batch(columns, names).filter(pa.array(stay, pa.bool_()))
 
-    out = rows.mapInArrow(cut, docs.schema)
+    out = _joined(docs, starts, "left").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
