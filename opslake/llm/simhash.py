@@ -125,7 +125,7 @@ def plan_partitions(nodes: DataFrame, distance: int) -> list[tuple[list[int], in
     both = {r["k"]: r["n"] for r in rows}
     n = both.get(-1, 0)
     if n < 2:
-        return [(list(range(64)), distance)]
+        return [(list(range(64)), 0)]  # nothing to link: one probe will do
     joint = np.array([both[k] for k in range(4096)], float).reshape(64, 64) / n
     p = np.diag(joint)
     agree = np.abs(joint - np.outer(p, p)) / np.sqrt(np.outer(p * (1 - p), p * (1 - p)) + 1e-9)
