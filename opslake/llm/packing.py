@@ -20,13 +20,14 @@ empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .common import join_runs, pieces, ranked, written
 CAPACITY = 4096
 END_ID = 1
 RATIO = 0.97
-KNOWN_WORDS = 500_000
+KNOWN_PARTS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -46,23 +47,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTable:
-    """The ids of words, as bytes, in a table of bounded size that only new words are encoded for.
+    """The ids of word parts in one flat array of bounded size, into which only new parts are encoded.
 
-    The tokenizer splits letters from marks, so a word of plain letters and marks after them is its letters' ids and its
-    marks' ids. New letters are encoded together in one text, cut after the ids that end a word."""
+    The tokenizer splits letters from marks, so a word of plain letters and ASCII marks after them has two parts;
+    every other word is one part and is encoded whole, as it stands."""
 
-    PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([^\w\s']*)")
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+    LETTERS = "".join(c for c in map(chr, [*range(97, 123), *range(ord("ß"), ord("ÿ"))]) if c.isalpha())
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {"": b""}
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {ord(c): spell(c)[0][0] for c in self.LETTERS}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.ends = np.zeros(KNOWN_PARTS + 1, np.int64)  # where each part's ids end; they begin where the part before ends
 
     @classmethod
     def of_worker(cls, path: str) -> "WordTable":
@@ -72,58 +78,90 @@ class WordTable:
             store[path] = cls(path)
         return store[path]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        if len(self.letters) > KNOWN_WORDS:
-            self.letters = {"": b""}
-        parts, odd, fullmatch, letters = [], [], self.PLAIN.fullmatch, self.letters
-        for w in words.difference(self.known):
-            if m := fullmatch(w.lower()):
-                parts.append((w, *m.groups()))
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word's two parts begin, how many they are (both [words, 2]), and the array they are in.
+        Words differ from each other."""
+        stem = pc.utf8_rtrim(words, self.MARKS)
+        plain = pc.match_substring_regex(stem, f"^[{self.LETTERS}{self.LETTERS.upper().replace('SS', '')}]+$")
+        marks = pc.utf8_ltrim(pc.utf8_lower(words), self.LETTERS)
+        first, second = pc.if_else(plain, pc.utf8_lower(stem), words), pc.if_else(plain, marks, "")
+        parts = pa.concat_arrays([first, second]).dictionary_encode()
+        distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) + len(distinct) > KNOWN_PARTS:
+            self._clear()
+        if len(distinct) > KNOWN_PARTS:  # one very long text: a table of its own
+            self.ends = np.zeros(len(distinct) + 1, np.int64)
+        known = self.known
+        if new := [w for w in distinct if w not in known]:
+            self._learn(new)
+        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        start = np.where(at > 0, self.ends[at - 1], 0)
+        n = self.ends[at] - start
+        which = parts.indices.to_numpy().reshape(2, -1).T
+        return start[which], n[which], self.ids
+
+    def _learn(self, parts: list[str]) -> None:
+        """Plain letters are merged as they are, spelt in the tokenizer's letters for bytes; others take the whole tokenizer."""
+        merge, spelling, letters = self.tokenizer.model.tokenize, self.spelling, set(self.LETTERS)
+        found: list[list[int]] = [[]] * len(parts)
+        other = []
+        for i, w in enumerate(parts):
+            if w.isascii() and w.isalpha() and w.islower():
+                found[i] = [t.id for t in merge(w)]
+            elif letters.issuperset(w) and w:
+                found[i] = [t.id for t in merge(w.translate(spelling))]
             else:
-                odd.append(w)
-        self._encode_each(odd, self.known)
-        self._encode_each([*{marks for _, _, marks in parts}.difference(letters)], letters)
-        new = [*{x for _, x, _ in parts}.difference(letters)]
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) != len(some):
-                self._encode_each(some, letters)
-                continue
-            raw = ids.tobytes()
-            letters.update({w: raw[a:b] for w, a, b in zip(some, [0, *cuts], cuts)})
-        self.known.update({w: letters[word] + letters[marks] for w, word, marks in parts})
-        return self.known
-
-    def _encode_each(self, words: list[str], into: dict[str, bytes]) -> None:
-        for i in range(0, len(words), 1000):
-            for w, e in zip(words[i : i + 1000], self.tokenizer.encode_batch(words[i : i + 1000], add_special_tokens=False)):
-                into[w] = np.array(e.ids, "<u4").tobytes()
+                other.append(i)
+        for k in range(0, len(other), 1000):
+            some = other[k : k + 1000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)):
+                found[i] = e.ids
+        first = len(self.known)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        begin = int(self.ends[first - 1]) if first else 0
+        end = begin + int(n.sum())
+        if end > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(end, np.uint32))
+        self.ids[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - begin)
+        self.ends[first : first + len(parts)] = begin + np.cumsum(n)
+        self.known.update(zip(parts, range(first, first + len(parts))))
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges flat[start : start + n], one after the other."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every text's ids and end mark, cut only where longer than capacity.
 
-    The tokenizer never joins characters across a blank, so the ids of blank-separated words come from a table."""
+    The tokenizer never joins characters across a blank, so the ids of blank-separated words come from a table. Arrow
+    splits the texts and numbers their distinct words; Python sees each distinct word of a batch once."""
     path = path or tokenizer_path()
 
     def encoded(batches):
         table = WordTable.of_worker(path)
-        mark = np.array([END_ID], "<u4").tobytes()
-        for batch in pieces(batches, limit=1 << 19):
-            split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch.column("text").to_pylist()]
-            known = table.learn(set().union(*split))
-            rows = [[], [], [], [], []]
-            for doc_id, words in zip(batch.column("doc_id").to_pylist(), split):
-                ids = b"".join(map(known.__getitem__, words)) + mark
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in pieces(batches, limit=1 << 20):
+            split = pc.ascii_split_whitespace(pc.fill_null(batch.column("text").cast(pa.string()), ""))
+            words = split.flatten().dictionary_encode()
+            which = words.indices.to_numpy()
+            begin, n, flat = table.encode(words.dictionary)
+            begin, n = begin[which].ravel(), n[which].ravel()
+            ids = _gather(flat, begin, n)
+            words_before = split.offsets.to_numpy().astype(np.int64)
+            ends = np.append(0, np.cumsum(n))[2 * (words_before[1:] - words_before[0])]
+            ids = np.insert(ids, ends, END_ID).astype("<u4")
+            ends = ends + np.arange(1, len(ends) + 1)
+            total = np.diff(ends, prepend=0)
+            cuts = -(-total // capacity)
+            row = np.repeat(np.arange(len(total)), cuts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start = piece * capacity
+            length = np.minimum(total[row] - start, capacity)
+            begin = (ends - total)[row] + start
+            view = memoryview(ids).cast("B")
+            crc = [zlib.crc32(view[a:b]) for a, b in zip((4 * begin).tolist(), (4 * (begin + length)).tolist())]
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(encoded, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

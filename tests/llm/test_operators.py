@@ -85,6 +85,19 @@ def test_packing_is_whole_gapless_and_true_to_the_tokenizer(spark, docs, corpus)
     assert len(bins) <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_ids_are_the_tokenizers_on_any_text(spark):
+    """Random texts with accents (composed and not), ligatures, scripts, symbols, contractions, odd blanks and marks."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    alphabet = list("abcdeABDéèüßöñÿŸªºµ×÷Þþ   \n\t'.,!?-_#@0189²½") + ["\u0301", "\u0308", "\u0327", "ﬁ", "İ", "ſ", "\u212a", "中", "ا", "\u200d", "😀", "\xa0", "\x0b", "<|endoftext|>", "'s", "'re", "É", "\u2028", "\x85", "Σ", "ǅ"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["cafe\u0301 café", "e\u0301,", "I\u0307\u0327"]
+    got = packing.encode_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    true = {i: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in got} == true
+
+
 @pytest.mark.parametrize("lengths", [[7] * 5000, [1], [4096] * 3, [2049] * 10, list(range(1, 400)) * 3, [4000, 97, 96, 95] * 50])
 def test_sweeps_place_every_document_once(lengths):
     u, n = np.unique(lengths, return_counts=True)
