@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
+from .ranking import running_sums, value_buckets
 
 
 def binary_metrics(df: DataFrame, truth: Column, alert: Column, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -17,11 +18,10 @@ def binary_metrics(df: DataFrame, truth: Column, alert: Column, keys: list[str]
 
 
 def thresholds(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """score, tp, fp at or above each distinct score, p and n in all. The ordered window runs over distinct scores."""
+    """score, tp, fp at or above each distinct score, p and n in all. Distinct scores are summed in ranges of scores."""
     distinct = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = distinct.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return distinct.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(total))
+    sums = running_sums(distinct, [], value_buckets(distinct, "score"), [F.col("score").desc()], {"tp": "pos", "fp": "neg"}, descending=True)
+    return sums.withColumnsRenamed({"tp_all": "p", "fp_all": "n"})
 
 
 def average_precision(df: DataFrame, score: str, truth: str) -> DataFrame:

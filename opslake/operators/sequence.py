@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import hash_places, running_sums, value_buckets
+
 ALL_BEFORE = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -29,10 +31,10 @@ def longest_gap(df: DataFrame, keys: list[str], order: str, present: str) -> Dat
 def coverage_guard(df: DataFrame, expected: DataFrame, time: str = "window", required: float = 0.8) -> DataFrame:
     """df: one row per expected service and window with ``seen``. A window with less than ``required`` of the services is
     insufficient and resets every gap; else a service's gap counts its absent windows; at its threshold an issue opens."""
-    whole = Window.partitionBy(time)
-    with_cover = df.withColumn("coverage", F.avg(F.col("seen").cast("double")).over(whole)).withColumn("insufficient", F.col("coverage") < required)
+    cover = df.groupBy(time).agg(F.avg(F.col("seen").cast("double")).alias("coverage"))
+    with_cover = df.join(cover, time).withColumn("insufficient", F.col("coverage") < required)
     gaps = streaks(with_cover.withColumn("_gap", ~F.col("seen") & ~F.col("insufficient")), ["service"], time, "_gap").drop("_gap")
-    return gaps.join(F.broadcast(expected), "service").withColumnRenamed("streak", "gap").withColumn("issue", (F.col("gap") >= F.col("threshold")) & (F.col("gap") > 0))
+    return gaps.join(expected, "service").withColumnRenamed("streak", "gap").withColumn("issue", (F.col("gap") >= F.col("threshold")) & (F.col("gap") > 0))
 
 
 def incident_transitions(df: DataFrame, keys: list[str], start: str, end: str, warning: str) -> DataFrame:
@@ -87,7 +89,7 @@ def transition_score(tokens: DataFrame, model: DataFrame, session: str, order: l
     pairs = tokens.select(session, F.coalesce(F.lag(token).over(by), F.lit("-1")).alias("left"), F.col(token).alias("right"), F.lead(token).over(by).alias("_next"))
     both = pairs.select(session, "left", "right").unionByName(pairs.where("_next IS NULL").select(session, F.col("right").alias("left"), F.lit("-2").alias("right")))
     totals = model.groupBy("left").agg(F.sum("n").alias("total"))
-    scored = both.join(F.broadcast(model), ["left", "right"], "left").join(F.broadcast(totals), "left", "left")
+    scored = both.join(model, ["left", "right"], "left").join(totals, "left", "left")
     p = (F.coalesce("n", F.lit(0)) + smoothing) / (F.coalesce("total", F.lit(0)) + smoothing * vocabulary)
     return scored.groupBy(session).agg(F.avg(-F.log(p)).alias("score"), F.count(F.lit(1)).alias("transitions"))
 
@@ -105,19 +107,17 @@ def tail_ranks(reference: DataFrame, query: DataFrame, operation: str, value: st
     value first, so the ordered window sees each value once and not each row."""
     counts = reference.groupBy(operation, value).agg(F.count(F.lit(1)).alias("_r")).unionByName(query.select(operation, value).distinct().withColumn("_r", F.lit(0).cast("long")))
     distinct = counts.groupBy(operation, value).agg(F.sum("_r").alias("_r"))
-    above = Window.partitionBy(operation).orderBy(F.col(value).desc()).rowsBetween(*ALL_BEFORE)
-    whole = Window.partitionBy(operation)
-    table = distinct.withColumn("p", (1 + F.sum("_r").over(above)) / (1 + F.sum("_r").over(whole))).drop("_r")
+    sums = running_sums(distinct, [operation], value_buckets(distinct, value), [F.col(value).desc()], {"above": "_r"}, descending=True)
+    table = sums.select(operation, value, ((1 + F.col("above")) / (1 + F.col("above_all"))).alias("p"))
     return query.join(table, [operation, value], "left")
 
 
 def hash_split(df: DataFrame, group: str, key: Column, cuts: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
     """train, validation or test by the order of sha256(key) within the group."""
-    ranked = df.withColumn("_h", F.sha2(key, 256))
-    i = F.row_number().over(Window.partitionBy(group).orderBy("_h")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    at = lambda c: F.floor(n * F.lit(c))
-    return ranked.withColumn("split", F.when(i < at(cuts[0]), "train").when(i < at(cuts[1]), "validation").otherwise("test")).drop("_h")
+    ranked = hash_places(df.withColumn("_h", F.sha2(key, 256)), [group], "_h")
+    at = lambda c: F.floor(F.col("rows") * F.lit(c))
+    i = F.col("place")
+    return ranked.withColumn("split", F.when(i < at(cuts[0]), "train").when(i < at(cuts[1]), "validation").otherwise("test")).drop("_h", "place", "rows")
 
 
 def parity_split(df: DataFrame, key: Column) -> DataFrame:

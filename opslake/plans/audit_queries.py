@@ -73,53 +73,6 @@ def grid_integrity(spark, d):
     return B.win(spark, d).withColumn("step", step).groupBy("service").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("step") != 1).alias("broken"), (F.count(F.lit(1)) == 30).alias("complete"))
 
 
-def _violations(name: str, source: str, rules: dict[str, str]) -> str:
-    tests = ", ".join(f"CASE WHEN NOT coalesce({sql}, false) THEN '{rule}' END" for rule, sql in rules.items())
-    return f"WITH {source}, v AS (SELECT unnest(list_filter([{tests}], lambda x: x IS NOT NULL)) AS rule FROM {name}) SELECT rule, count(*) AS n FROM v GROUP BY rule"
-
-
-def _broken(df):
-    return df.select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-
-P01 = {"status": "status BETWEEN 100 AND 503", "duration": "duration BETWEEN 0 AND 300", "active": "active BETWEEN 1 AND 15", "service": "regexp_matches(service, '^[a-r]')", "span": "span >= 5"}
-
-
-@query("p01_request_contract", _violations("req", B.REQ, P01))
-def request_contract(spark, d):
-    c = F.col
-    rules = [("status", c("status").between(100, 503)), ("duration", c("duration").between(0, 300)), ("active", c("active").between(1, 15)), ("service", c("service").rlike("^[a-r]")), ("span", c("span") >= 5)]
-    return _broken(C.contract(B.req(spark, d), rules))
-
-
-@query(
-    "p02_log_window_contract",
-    f"""WITH {B.REQ}, g AS (SELECT stream, "window", count(*) AS n, max(end_s) - min(end_s) AS span FROM req GROUP BY ALL)
-SELECT count(*) AS windows, count(*) FILTER (n > 20) AS too_many, count(*) FILTER (span > 60000) AS too_long, count(*) FILTER (n <= 20 AND span <= 60000) AS valid FROM g""",
-)
-def log_window_contract(spark, d):
-    g = B.req(spark, d).groupBy("stream", "window").agg(F.count(F.lit(1)).alias("n"), (F.max("end_s") - F.min("end_s")).alias("span"))
-    return g.agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("n") > 20).alias("too_many"), F.count_if(F.col("span") > 60000).alias("too_long"), F.count_if((F.col("n") <= 20) & (F.col("span") <= 60000)).alias("valid"))
-
-
-@query(
-    "p03_feature_window_contract",
-    f"""WITH {B.WIN}, x AS (SELECT *, count(*) OVER (PARTITION BY service, "window") AS copies FROM win)
-SELECT service, count(*) AS windows, count(*) FILTER (p95 BETWEEN 0 AND 1e12 AND error_fraction BETWEEN 0 AND 0.1 AND copies = 1 AND max_active BETWEEN 0 AND 16) AS valid FROM x GROUP BY service""",
-)
-def feature_window_contract(spark, d):
-    w = B.win(spark, d).withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("service", "window")))
-    c = F.col
-    checked = C.contract(w, [("p95", c("p95").between(0, 1e12)), ("error", c("error_fraction").between(0, 0.1)), ("unique", c("copies") == 1), ("active", c("max_active").between(0, 16))])
-    return checked.groupBy("service").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.size("violations") == 0).alias("valid"))
-
-
-@query("p04_parameter_contract", _violations("sess", B.SESS, {"operation": "operation <> '5-LOW'", "value": "value BETWEEN 0 AND 400000", "line": "line >= 1"}))
-def parameter_contract(spark, d):
-    c = F.col
-    return _broken(C.contract(B.sess(spark, d), [("operation", c("operation") != "5-LOW"), ("value", c("value").between(0, 400000)), ("line", c("line") >= 1)]))
-
-
 @query("p05_metric_whitelist", f"WITH {B.REQ} SELECT count(*) AS rows, count(*) FILTER (service IN ('click', 'view', 'purchase')) AS kept, count(*) FILTER (service NOT IN ('click', 'view', 'purchase')) AS excluded FROM req")
 def metric_whitelist(spark, d):
     kept = F.col("service").isin("click", "view", "purchase")

@@ -111,9 +111,9 @@ def operating_envelopes(spark, d):
     return limits(spark, d)
 
 
-@query("a12_window_score", f"WITH {B.WIN} SELECT \"window\", {R('max(p95)')} AS score, arg_max(service, p95) AS service FROM win GROUP BY \"window\"")
+@query("a12_window_score", f"WITH {B.WIN} SELECT \"window\", {R('max(p95)')} AS score, arg_max(service, {{'p': p95, 's': service}}) AS service FROM win GROUP BY \"window\"")
 def window_score(spark, d):
-    return B.win(spark, d).groupBy("window").agg(F.max("p95").alias("score"), F.max_by("service", "p95").alias("service"))
+    return B.win(spark, d).groupBy("window").agg(F.max("p95").alias("score"), F.max_by("service", F.struct("p95", "service")).alias("service"))
 
 
 @query("a13_service_prior", "SELECT o_orderpriority AS system, o_orderstatus AS service, count(*) AS n, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_orderstatus) AS INT) AS rank FROM orders GROUP BY 1, 2")
@@ -366,7 +366,7 @@ SELECT doc_id, CASE WHEN i < floor(n * 0.6::DOUBLE) THEN 'train' WHEN i < floor(
 def group_disjoint_split(spark, d):
     docs = B.table(spark, d, "documents").select("doc_id", "source")
     groups = Q.hash_split(docs.select("source").distinct().withColumn("_all", F.lit(1)), "_all", F.col("source")).drop("_all")
-    return docs.join(F.broadcast(groups), "source").select("doc_id", "split")
+    return docs.join(groups, "source").select("doc_id", "split")
 
 
 @query(

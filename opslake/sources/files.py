@@ -57,7 +57,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     counts = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("file", "_block", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_order"))
-    return rows.withColumn("_place", place).join(F.broadcast(before), ["file", "_block"]).select("file", (F.col("_before") + F.col("_place")).alias("line"), "value")
+    return rows.withColumn("_place", place).join(before, ["file", "_block"]).select("file", (F.col("_before") + F.col("_place")).alias("line"), "value")
 
 
 def stamped_json(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
@@ -76,8 +76,10 @@ def write_typed(df: DataFrame, path: str, schema: T.StructType) -> None:
 
 
 def write_ordered_json(df: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """One folder a key with its rows in order."""
-    df.repartition(key).sortWithinPartitions(key, *order).write.partitionBy(key).mode("overwrite").json(path)
+    """One folder a key with its rows in order: within each file, and from file to file by name. Ranges of rows are dealt to
+    tasks, so a large key is several files."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).write.partitionBy(key).mode("overwrite").json(path)
 
 
 def content_hash(columns: list[str]) -> Column:

@@ -8,35 +8,53 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where it is not named (tests), one is made."""
+    """The folder that driver and executors share. A local session makes one where it is not named; a cluster must name it,
+    as executors would each write to a folder of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and spark.sparkContext.master.startswith("local"):
         folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def roll(df: DataFrame, folder: str) -> None:
+    """One step of a producer that rolls files: df as one more file. Its rows are few where a producer's files are."""
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def watch(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
+    """The folder's files as a stream that takes one file a trigger."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def land(df: DataFrame, parts: list[Column]) -> DataFrame:
-    """Lands a table as files, one step of the stream after the other, and opens it as a stream that takes one file folder's
-    files a trigger. Stands for producers that roll files."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    """Lands a table as files, one step of the stream after the other, and opens it as a stream."""
+    folder = new_folder(df.sparkSession, "landed")
     for part in parts:
-        df.where(part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        roll(df.where(part), folder)
+    return watch(df.sparkSession, df.schema, folder)
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs a stream to its end and returns its output. Each batch is written under its number, so a batch that is replayed
-    after a failure replaces what it had written: state and output agree."""
+    after a failure replaces what it had written: state and output agree. With the folder of an earlier run it goes on from
+    that run's checkpoint, and returns the output of both."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark, "stream")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
@@ -46,6 +64,77 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
+def run_until_refused(stream: DataFrame, message: str, folder: str | None = None) -> tuple[DataFrame, bool]:
+    """Output of a stream up to the batch that fails with the message, and whether one did. Any other failure is raised."""
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, "stream")
+    refused = False
+    try:
+        run(stream, folder=folder)
+    except StreamingQueryException as e:
+        if message not in str(e):
+            raise
+        refused = True
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*").select(*stream.columns), refused
+
+
+def ledger(stream: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], schema: str, folder: str, after_write: Callable[[int], None] | None = None) -> DataFrame:
+    """Runs a stream whose state and predictions are one table: ``step(batch, state, number)`` makes rows of the schema, of
+    which those with ``part = 'state'`` are the state for the next batch and the others the output.
+
+    Both are written by one job into the batch's folder, so they are there together or not at all. A batch that fails
+    after the write and is replayed starts from the batch before it and replaces what it wrote. State is a distributed
+    table, of any size. ``after_write`` is called before a batch is committed. Returns the output of all batches with
+    their number."""
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], schema)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{folder}/ledger/batch={number - 1}").where("part = 'state'") if number else empty
+        step(batch, before, number).select(*empty.columns).write.mode("overwrite").parquet(f"{folder}/ledger/batch={number}")
+        if after_write:
+            after_write(number)
+
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(schema + ", batch int").parquet(f"{folder}/ledger").where("part <> 'state'")
+
+
+def windowed_ingest(width: int, keys: list[str], at: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """A step of :func:`ledger` that closes one window a batch, [number * width, (number + 1) * width): rows before it are
+    ``late``, rows in it ``current``, and rows after it wait as state. No row is lost without a count."""
+
+    def step(batch: DataFrame, state: DataFrame, number: int) -> DataFrame:
+        rows = batch.select(*keys, at).unionByName(state.select(*keys, at))
+        part = F.when(F.col(at) < number * width, "late").when(F.col(at) < (number + 1) * width, "current").otherwise("state")
+        return rows.withColumn("part", part)
+
+    return step
+
+
+def grace_ingest(width: float, grace: float, keys: list[str], at: str, captured: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """A step of :func:`ledger` that decides a window when the clock (the latest capture so far) is ``grace`` past its end, by
+    the rows that were captured until then; rows captured later are ``late``."""
+
+    def step(batch: DataFrame, state: DataFrame, number: int) -> DataFrame:
+        columns = [*keys, at, captured, "clock"]
+        rows = batch.withColumn("clock", F.lit(None).cast("double")).select(*columns).unionByName(state.select(*columns))
+        clock = rows.agg(F.greatest(F.max(captured), F.max("clock")).alias("_now"))  # one row
+        decision = (F.floor(F.col(at) / width) + 1) * width + grace
+        part = F.when(F.col(captured) > decision, "late").when(decision <= F.col("_now"), "current").otherwise("state")
+        return rows.join(F.broadcast(clock)).withColumn("part", part).withColumn("clock", F.col("_now")).drop("_now")
+
+    return step
+
+
+def resume(stored: DataFrame, source: DataFrame, source_key: str, ids: list[str], at: str, overlap: float) -> DataFrame:
+    """Rows of a source to ingest after a stop: those at or after the source's latest stored time less the overlap (all of a
+    source that nothing is stored of), without those stored, each id once."""
+    latest = stored.groupBy(F.col(source_key).alias("_k")).agg(F.max(at).alias("_latest"))
+    again = source.join(latest, F.col(source_key) == F.col("_k"), "left").where(F.col("_latest").isNull() | (F.col(at) >= F.col("_latest") - overlap)).drop("_k", "_latest")
+    return again.dropDuplicates(ids).join(stored.select(*ids), ids, "left_anti")
+
+
 def tumbling(stream: DataFrame, time: str, width: str, delay: str, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """Windows by completion time, decided once the watermark has passed them; later rows are dropped."""
     timed = stream.withWatermark(time, delay)
