@@ -5,10 +5,12 @@ byte 2-grams and 3-grams. Weights per language and a learned transition matrix g
 forward-backward, so that code-switched texts are labelled word by word; a text's language is the one with the
 largest mean posterior, which is also its score.
 
-Fitting takes a bounded sample of labelled rows (``max_per_lang`` texts per language with the smallest hash of their
-id; ids whose crc32 mod 4 is 2 are held out). Training sequences of 64 words join spans of two texts, so that
-transitions between languages occur. Every text is predicted whole: a piece of texts is cut into blocks of 32 words,
-whose transition products are combined before the exact forward and backward passes inside all blocks at once.
+Fitting takes a bounded sample of labelled rows (parameters): ``max_per_lang`` texts of each language with the smallest
+hash of their row and ``max_bytes`` of text, which are whole texts of any length; ids whose crc32 mod 4 is 2 are held
+out. At most ``max_langs`` languages, those with most rows, have a place in the model, whose size grows with them.
+Training sequences of 64 words join spans of two texts, so that transitions between languages occur. Every text is
+predicted whole: a piece of texts is cut into blocks of 32 words, whose transition products are combined before the
+exact forward and backward passes inside all blocks at once.
 
 Cases: a null text or one without letters is ``und`` with score 0.0; with one known language every other text gets it;
 without any labelled row every text is ``und``; repeated rows are predicted alike; of the input only ``doc_id``,
@@ -17,18 +19,17 @@ without any labelled row every text is ``und``; repeated rows are predicted alik
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, crc_of_id, pieces, range_hashes
+from .common import Words, crc_of_id, pieces, range_hashes, sample_texts, thinned
 
 MAX_PER_LANG = 250
-MAX_LANGS = 64
+MAX_LANGS = 200
+MAX_BYTES = 4 << 20
 SLOT_BITS = 17
 SLOTS = 1 << SLOT_BITS
 SPAN = 64
@@ -135,7 +136,7 @@ class CrfModel:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         n, k = len(texts), len(self.labels)
-        letters = np.array([bool(t) and re.search(r"[^\W\d_]", t) is not None for t in texts.to_pylist()], bool)
+        letters = pc.match_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), r"\p{L}").to_numpy(zero_copy_only=False)
         if not k or not n:
             return ["und"] * n, np.zeros(n)
         words = Words(folded(texts))
@@ -151,24 +152,23 @@ class CrfModel:
         return [(words.raw[s:e].decode(), self.labels[g.argmax()], float(g.max())) for s, e, g in zip(words.start, words.end, gamma)]
 
 
-def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, epochs: int = 4, seed: int = 7) -> CrfModel:
+def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, max_langs: int = MAX_LANGS, max_bytes: int = MAX_BYTES, epochs: int = 4, seed: int = 7) -> CrfModel:
     """Stochastic gradient steps (per-weight step sizes) on the conditional log-likelihood of 64-word sequences."""
-    known = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (crc_of_id(F.col("_id")) % 4 != 2))
-    labels = [r["_lang"] for r in known.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(MAX_LANGS).collect()]
+    known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.col("lang").cast("string").alias("_group")).where(F.col("_group").isNotNull() & F.col("_text").isNotNull() & (crc_of_id(F.col("_id")) % 4 != 2))
+    labels = sorted(r["_group"] for r in known.groupBy("_group").count().orderBy(F.col("count").desc(), "_group").limit(max_langs).collect())
     if not labels:
         return CrfModel([], np.zeros((SLOTS, 0)), np.zeros((0, 0)))
-    texts, y = [], []
-    for i, lang in enumerate(sorted(labels)):
-        rows = known.where(F.col("_lang") == lang).where(F.length("_text") < 20_000).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(max_per_lang).select("_text").collect()
-        texts += [r["_text"] for r in rows]
-        y += [i] * len(rows)
-    labels = sorted(labels)
+    sample = sample_texts(thinned(known, F.xxhash64("_id", "_text"), max_per_lang, labels), max_per_lang, max_bytes)
+    sample = sorted(sample, key=lambda r: r[2])  # one language after the other; the hash order stays within
+    texts, y = [t for _, t, _ in sample], [labels.index(lang) for *_, lang in sample]
     k = len(labels)
     words = Words(folded(pa.array(texts, pa.string())))
     n = len(words.start)
     weights, move = np.zeros((SLOTS, k)), np.zeros((k, k))
-    if n < 2 * SPAN or k == 1:
+    half = min(SPAN // 2, n // 2)
+    if not half or k == 1:
         return CrfModel(labels, weights, move)
+    span = 2 * half
     pairs = word_features(words)
     owner = np.concatenate([o for o, _ in pairs])
     slots = np.concatenate([s for _, s in pairs])
@@ -178,26 +178,25 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, epochs: int = 4, seed
     truth = np.array(y)[words.doc]
     rng = np.random.default_rng(seed)
     g_w, g_m = np.full((SLOTS, k), 1e-2), np.full((k, k), 1e-2)
-    half = SPAN // 2
     for _ in range(epochs):
-        starts = rng.permutation(np.arange(0, n - half, half))
+        starts = rng.permutation(np.arange(0, n - half + 1, half))
         starts = starts[: len(starts) // 2 * 2].reshape(-1, 2)
         for i in range(0, len(starts), 64):
-            seq = (starts[i : i + 64, :, None] + np.arange(half)).reshape(-1, SPAN)
+            seq = (starts[i : i + 64, :, None] + np.arange(half)).reshape(-1, span)
             flat = seq.ravel()
             sizes = from_word[flat + 1] - from_word[flat]
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             feature = np.arange(offsets[-1]) - np.repeat(offsets[:-1], sizes) + np.repeat(from_word[flat], sizes)
             row, slot = np.repeat(np.arange(len(flat)), sizes), slots[feature]
-            emit = np.stack([np.bincount(row, weights[slot, j], minlength=len(flat)) for j in range(k)], axis=1).reshape(-1, SPAN, k)
+            emit = np.stack([np.bincount(row, weights[slot, j], minlength=len(flat)) for j in range(k)], axis=1).reshape(-1, span, k)
             label = truth[seq]
             e, a = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(move - move.max())
             f, b = np.zeros_like(e), np.ones_like(e)
             f[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-            for t in range(1, SPAN):
+            for t in range(1, span):
                 f[:, t] = (f[:, t - 1] @ a) * e[:, t]
                 f[:, t] /= f[:, t].sum(axis=1, keepdims=True)
-            for t in range(SPAN - 2, -1, -1):
+            for t in range(span - 2, -1, -1):
                 b[:, t] = (b[:, t + 1] * e[:, t + 1]) @ a.T
                 b[:, t] /= b[:, t].sum(axis=1, keepdims=True)
             gamma = f * b
