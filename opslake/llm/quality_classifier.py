@@ -1,11 +1,14 @@
 """Quality classifier by compression.
 
-Zstandard dictionaries are built from good and from bad labelled texts. A text is compressed whole with either;
-the difference of the two compressed sizes over the text's size says which class it resembles, and a logistic
-curve fitted on labelled texts that are in neither dictionary turns it into a score.
-
-Only a bounded sample of labelled rows is used for fitting: at most ``max_per_class`` texts of each label, those
-with the smallest hash of their id, and of these at most ``dictionary_bytes`` bytes as dictionary. Every text of
+Zstandard dictionaries are built from good and from bad labelled texts. A text is compressed whole with either; the
+difference of the two compressed sizes, over the text's size and over the smaller compressed size, says which class it
+resembles. A logistic curve fitted on labelled texts that are in neither dictionary turns it into a score; the curve
+also takes how far the text compresses and the logarithm of its size, by which the difference is calibrated for short
+and for repetitive texts.
+
+Only a bounded sample of labelled rows is used for fitting (parameters): at most ``max_per_class`` texts of each label,
+those with the smallest hash of their id, and ``max_bytes`` of text; of these at most ``dictionary_bytes`` bytes are a
+class's dictionary, which takes texts over a sixteenth of that last, so that no single text fills it. Every text of
 the table is scored whole.
 
 Cases: a null or empty text has difference 0 and gets the score of an empty text; without labels of both classes
@@ -22,29 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pieces
+from .common import crc_of_id, pieces, sample_texts, thinned
 
 MAX_PER_CLASS = 1500
+MAX_BYTES = 64 << 20
 DICTIONARY_BYTES = 256 << 10
 LEVEL = 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_per_class: int) -> list:
-    """At most max_per_class (text, label) rows of each label, smallest id hash first. Rows whose crc32(doc_id) mod 5
-    is 0 are held out. The narrow label table is bounded first, so only the sample's texts are moved."""
-    chosen = []
-    ids = labels.select(F.col("doc_id").alias("_id"), F.col(target).alias("_label")).where(F.col("_label").isNotNull() & (crc_of_id(F.col("_id")) % 5 != 0)).distinct()
-    for label in (0, 1):
-        few = ids.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class)
-        chosen.append(few)
-    few = chosen[0].unionByName(chosen[1])
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(few), "_id").select("_id", "_text", "_label").collect()
-    return sorted(((r["_id"], r["_text"] or "", int(r["_label"])) for r in rows), key=lambda r: (pa_hash(r[0]), r[0], r[1]))
-
-
-def pa_hash(x: int) -> int:
-    """An order of ids that has nothing to do with their size."""
-    return (x * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & ((1 << 64) - 1)
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_per_class: int, max_bytes: int = MAX_BYTES) -> list[tuple[int, str, int]]:
+    """(id, text, label) of at most max_per_class rows of each label, those with the smallest hash of their id, and of
+    these at most max_bytes of text. Rows whose crc32(doc_id) mod 5 is 0 are held out. The narrow label table is thinned
+    first, so of the texts only the sample's leave their place."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(target).cast("long").alias("_group")).where(F.col("_group").isin(0, 1) & (crc_of_id(F.col("_id")) % 5 != 0)).distinct()
+    few = thinned(ids, F.xxhash64("_id"), max_per_class).collect()
+    if not few:
+        return []
+    few = ids.sparkSession.createDataFrame(few, "_id long, _group long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    return sample_texts(texts.join(F.broadcast(few), "_id"), max_per_class, max_bytes)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 2.0) -> np.ndarray:
@@ -107,8 +106,8 @@ class CompressionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_per_class: int = MAX_PER_CLASS, dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
-    """Half of each class's sample goes to its dictionary, whole texts until it is full; the
-    other half calibrates a curve over the difference by text size, by compressed size, the compressibility and the length. Calibration weighs the classes as they are in the labels."""
+    """Half of each class's sample goes to its dictionary, whole texts until it is full; the other half calibrates the
+    curve. Calibration weighs the classes as they are in the labels."""
     sample = labelled_sample(docs, labels, target, max_per_class)
     if not sample:
         return CompressionModel(b"", b"", None, 0.5)
@@ -120,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_per_cla
     dictionaries = []
     for label in (1, 0):
         raw = b""
-        for text in sorted(texts[label][::2], key=lambda t: len(t) > dictionary_bytes // 16):  # whole texts; the very long come last
+        for text in sorted(texts[label][::2], key=lambda t: len(t) > dictionary_bytes // 16):
             raw += text.encode("utf-8", "surrogatepass") + b"\n"
             if len(raw) >= dictionary_bytes:
                 break
