@@ -43,6 +43,20 @@ def normal_duration_us(duration: Column, unit: Column) -> Column:
     return F.when(unit == "ms", duration * 1000.0).otherwise(duration)
 
 
+def normal_status(text: Column, failed: Column) -> tuple[Column, Column]:
+    """Status code and where it comes from: the code that the text names, else 500 or 0 for a flag that says whether the
+    call failed, else unknown. An empty text names none."""
+    code = F.nullif(F.trim(text), F.lit("")).try_cast("int")
+    from_flag = F.when(failed, 500).when(~failed, 0)
+    source = F.when(code.isNotNull(), "status code").when(failed.isNotNull(), "error flag").otherwise("unavailable")
+    return F.coalesce(code, from_flag), source
+
+
+def missing_share(values: list[Column]) -> Column:
+    """The share of the values that are null."""
+    return sum((v.isNull().cast("int") for v in values), F.lit(0)) / F.lit(len(values))
+
+
 def observable(flags: list[tuple[Column, list[int]]]) -> Column:
     """Indices of the dimensions whose source flag holds."""
     return F.array_sort(F.flatten(F.array(*[F.when(f, F.array(*[F.lit(i) for i in dims])).otherwise(F.array().cast("array<int>")) for f, dims in flags])))

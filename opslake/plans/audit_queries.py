@@ -30,15 +30,6 @@ def suite_totals(spark, d):
     return B.msg(spark, d).groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).cast("long").alias("chars"), F.count_if(F.col("message").isNull()).alias("missing"))
 
 
-@query(
-    "s13_cross_split_duplicates",
-    """WITH h AS (SELECT doc_id % 3 AS split, sha256(text) AS h FROM documents) SELECT h, count(*) AS n, count(DISTINCT split) AS splits FROM h GROUP BY h HAVING count(DISTINCT split) > 1""",
-)
-def cross_split_duplicates(spark, d):
-    h = B.table(spark, d, "documents").select((F.col("doc_id") % 3).alias("split"), F.sha2("text", 256).alias("h"))
-    return h.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits")).where("splits > 1")
-
-
 @query(
     "s15_metric_audit",
     f"WITH {B.REQ} SELECT service, count(*) AS n, count(DISTINCT stream) AS names, count(*) FILTER (isnan(duration) OR isinf(duration)) AS nonfinite, {R('min(end_s)')} AS first, {R('max(end_s)')} AS last, count(DISTINCT end_s) AS times FROM req GROUP BY service",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
@@ -71,8 +72,8 @@ def incident_stream(spark, d):
 
 @query("t08_contiguous_messages")
 def contiguous_messages(spark, d):
-    r = B.req(spark, d).select("service", (F.col("window") * 60).alias("end"), F.col("span").alias("arrival")).where("arrival % 40 = 0")
-    stream = jobs.land(r, [F.col("arrival") % 3 == i for i in range(3)])
+    r = B.req(spark, d).select("service", (F.col("window") * 60).alias("end"), F.col("span").alias("arrival"))
+    stream = jobs.land(r, [F.pmod(F.col("arrival"), F.lit(3)) == i for i in range(3)])
     return jobs.run(jobs.stateful(stream, ["service"], ["arrival"], "service string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
 
 
@@ -98,31 +99,122 @@ def coverage_stream(spark, d):
     return jobs.run(jobs.stateful(stream, ["service"], ["window"], "service long, window int, gap int, issue boolean", "gap int", jobs.coverage_step(2)))
 
 
-@query("t11_replay_equality", f"WITH {WQ._TRANSITIONS} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS DOUBLE) AS max_difference FROM transitions")
+@query("t11_replay_equality", f"WITH {WQ._TRANSITIONS} SELECT count(*) AS compared, CAST(sum(\"at\") AS BIGINT) AS total, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS DOUBLE) AS max_difference FROM transitions")
 def stream_replay_equality(spark, d):
     batch = Q.incident_transitions(_flags(spark, d), ["service"], "window", "until", "warning")
-    return E.replay_equality(batch, incident_stream(spark, d), ["service", "start", "kind"], "at")
+    stream = incident_stream(spark, d)
+    return E.replay_equality(batch, stream, ["service", "start", "kind"], "at").join(stream.agg(F.sum("at").alias("total")))
 
 
-@query("t12_identity_guard", f"WITH {B.REQ} SELECT service, count(*) AS n FROM req GROUP BY service")
+@query("t12_identity_guard", f"WITH {B.REQ} SELECT service, count(*) AS n, true AS refused FROM req WHERE \"window\" < 20 GROUP BY service")
 def identity_guard(spark, d):
-    marked = B.req(spark, d).select("service", "window").withColumn("model", F.lit("m1"))
-    return jobs.run(jobs.guarded(jobs.land(marked, _thirds()), "model", "m1")).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+    """The last third comes from another model: the stream stops before it and keeps what it had."""
+    marked = B.req(spark, d).select("service", "window").withColumn("model", F.when(F.col("window") < 20, "m1").otherwise("m2"))
+    kept, refused = jobs.run_until_refused(jobs.guarded(jobs.land(marked, _thirds()), "model", "m1"), "model has changed")
+    return kept.groupBy("service").agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
+
+
+# Arrival day: the day of the event, or six days earlier or later. Batches arrive by thirds and each closes one third.
+_ARRIVALS = """a AS (SELECT service, span, "window", least(2, "window" // 10) AS w, greatest(0, least(2, floor(("window" + [0, 6, -6][k % 3 + 1]) / 10))) AS b FROM req)"""
+
+
+@query(
+    "t01_incremental_ingest",
+    f"""WITH {B.REQ}, {_ARRIVALS}, p AS (SELECT service, greatest(w, b) AS batch, CASE WHEN w < b THEN 'late' ELSE 'current' END AS part FROM a)
+SELECT CAST(batch AS INT) AS batch, service, part, count(*) AS n, CAST(3 AS BIGINT) AS torn FROM p GROUP BY ALL""",
+)
+def incremental_ingest(spark, d):
+    """Files of JSON lines, each with a torn last line, that bring events early and late; a stop and a restart between."""
+    r = B.req(spark, d)
+    arrival = F.col("window") + F.element_at(F.array(F.lit(0), F.lit(6), F.lit(-6)), F.pmod("k", F.lit(3)).cast("int") + 1)
+    third = F.least(F.lit(2), F.greatest(F.lit(0), F.floor(arrival / 10).cast("int")))
+    lines = r.select(third.alias("third"), F.to_json(F.struct("service", F.least(F.lit(29), F.col("window")).alias("day"), F.col("span").alias("id"))).alias("value"))
+    folder, run = jobs.new_folder(spark, "lines"), jobs.new_folder(spark, "stream")
+    torn = spark.range(1).select(F.lit('{"service": "cli').alias("value"))
+    out = None
+    for i in range(3):  # each round starts the query anew from its checkpoint
+        lines.where(F.col("third") == i).select("value").unionByName(torn).coalesce(1).write.mode("append").text(folder)
+        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(folder)
+        events = stream.select(F.from_json("value", "service string, day int, id long, bad string", {"columnNameOfCorruptRecord": "bad"}).alias("e")).select("e.*").where("bad IS NULL")
+        out = jobs.ledger(events, jobs.windowed_ingest(10, ["service", "id"], "day"), "service string, id long, day int, part string", run)
+    read = spark.read.text(folder)
+    bad = read.where(F.from_json("value", "service string, bad string", {"columnNameOfCorruptRecord": "bad"})["bad"].isNotNull()).agg(F.count(F.lit(1)).alias("torn"))
+    return out.groupBy("batch", "service", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bad))
+
+
+_CAPTURED = "c AS (SELECT service, span, end_s, end_s + 600 * (k % 10) AS captured FROM req)"
+
+
+@query(
+    "t04_arrival_grace",
+    f"""WITH {B.REQ}, {_CAPTURED}, w AS (SELECT *, (floor(end_s / 86400) + 1) * 86400 + 1800 AS decision, max(captured) OVER () AS now FROM c)
+SELECT service, CAST(floor(end_s / 86400) AS BIGINT) AS day, count(*) FILTER (captured <= decision) AS counted, count(*) FILTER (captured > decision) AS late FROM w WHERE decision <= now GROUP BY ALL""",
+)
+def arrival_grace(spark, d):
+    """Days are decided half an hour after they end, by what was captured until then."""
+    c = B.req(spark, d).select("service", "span", "end_s", (F.col("end_s") + 600 * (F.col("k") % 10)).alias("captured"))
+    bounds = c.agg(F.min("captured").alias("a"), F.max("captured").alias("b")).first()
+    a, b = bounds["a"] or 0.0, bounds["b"] or 0.0
+    cuts = [a + (b - a) * i / 3 for i in (1, 2)]
+    x = F.col("captured")
+    stream = jobs.land(c, [x <= cuts[0], (x > cuts[0]) & (x <= cuts[1]), x > cuts[1]])
+    schema = "service string, span long, end_s double, captured double, clock double, part string"
+    out = jobs.ledger(stream, jobs.grace_ingest(86400, 1800, ["service", "span"], "end_s", "captured"), schema, jobs.new_folder(spark, "stream"))
+    day = F.floor(F.col("end_s") / 86400).alias("day")
+    counted = out.groupBy("service", day).agg(F.count_if(F.col("part") == "current").alias("counted"), F.count_if(F.col("part") == "late").alias("late"))
+    return counted.where(((F.col("day") + 1) * 86400 + 1800) <= b)
+
+
+@query(
+    "t06_resume_overlap",
+    f"""WITH {B.REQ}, s AS (SELECT * FROM req WHERE "window" < 20 AND k >= 10), m AS (SELECT service, max(end_s) AS latest FROM s GROUP BY service)
+SELECT service, count(*) AS inserted, count(*) FILTER (end_s < latest) AS recovered FROM req JOIN m USING (service) WHERE end_s >= latest - 86400 AND span NOT IN (SELECT span FROM s) GROUP BY service""",
+)
+def resume_overlap(spark, d):
+    """A stop after day 20 that lost a tenth of the rows; the source is read again from a day before the latest row."""
+    r = B.req(spark, d).select("service", "span", "end_s", "window", "k")
+    stored = jobs.run(jobs.land(r.where("window < 20 AND k >= 10"), [F.col("window") < 10, F.col("window") >= 10]))
+    again = jobs.resume(stored, r.unionByName(r.where("k % 4 = 0")), "service", ["span"], "end_s", 86400.0)
+    latest = stored.groupBy("service").agg(F.max("end_s").alias("latest"))
+    return again.join(latest, "service").groupBy("service").agg(F.count(F.lit(1)).alias("inserted"), F.count_if(F.col("end_s") < F.col("latest")).alias("recovered"))
+
+
+def longest_so_far(batch, state, number):
+    """State: the longest duration and the rows of each service so far; output: the same as the prediction of the batch."""
+    rows = batch.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("longest")).unionByName(state.select("service", "n", "longest"))
+    now = rows.groupBy("service").agg(F.sum("n").alias("n"), F.max("longest").alias("longest"))
+    return now.withColumn("part", F.explode(F.array(F.lit("state"), F.lit("prediction"))))
+
+
+@query(
+    "s14_state_sink",
+    f"""WITH {B.REQ}, t AS (SELECT least(2, "window" // 10) AS third, * FROM req), b AS (SELECT unnest([0, 1, 2]) AS batch)
+SELECT CAST(batch AS INT) AS batch, service, CAST(count(*) AS BIGINT) AS n, {R('max(duration)')} AS longest FROM t JOIN b ON third <= batch GROUP BY ALL""",
+)
+def state_sink(spark, d):
+    """State and predictions of a batch in one write; the query is stopped and started again after each third."""
+    r = B.req(spark, d).select("service", "window", "duration")
+    landed, run = jobs.new_folder(spark, "landed"), jobs.new_folder(spark, "stream")
+    for third in _thirds():
+        jobs.roll(r.where(third), landed)
+        out = jobs.ledger(jobs.watch(spark, r.schema, landed), longest_so_far, "service string, n long, longest double, part string", run)
+    return out.drop("part")
 
 
 @query("s05_jsonl_scan", f"WITH {B.REQ} SELECT service, count(*) AS n, CAST(sum(status) AS BIGINT) AS statuses FROM req GROUP BY service")
 def jsonl_scan(spark, d):
-    folder = f"{jobs.shared_folder(spark)}/json-{jobs.uuid.uuid4().hex}"
+    folder = jobs.new_folder(spark, "json")
     good = B.req(spark, d).select(F.to_json(F.struct("service", "status")).alias("value"))
     good.unionByName(spark.range(1).select(F.lit('{"service": "cli').alias("value"))).write.text(folder)
     return files.read_jsonl(spark, folder, files.REQUEST).groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.sum("status").alias("statuses"))
 
 
-@query("s06_numbered_lines", "SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS last, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+@query("s06_numbered_lines", "SELECT event_type AS file, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line, CAST(event_id AS VARCHAR) AS value FROM events")
 def numbered_lines(spark, d):
-    folder = f"{jobs.shared_folder(spark)}/lines-{jobs.uuid.uuid4().hex}"
-    B.table(spark, d, "events").select(F.col("event_id").cast("string").alias("value")).coalesce(1).write.text(folder)
-    return files.numbered_lines(spark, folder).agg(F.count(F.lit(1)).alias("lines"), F.max("line").alias("last"), F.sum(F.col("value").cast("long")).alias("total"))
+    folder = jobs.new_folder(spark, "lines")
+    events = B.table(spark, d, "events").select("event_type", "event_id")
+    events.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", F.col("event_id").cast("string").alias("value")).write.partitionBy("event_type").text(folder)
+    return files.numbered_lines(spark, folder).select(F.regexp_extract("file", "event_type=([^/]+)", 1).alias("file"), "line", "value")
 
 
 @query("s07_stamped_lines", f"WITH {B.REQ} SELECT service, count(*) AS n, CAST(sum(status) AS BIGINT) AS statuses FROM req GROUP BY service")
@@ -134,21 +226,25 @@ def stamped_lines(spark, d):
 
 @query("s08_case_sink", "SELECT o_orderpriority AS \"case\", count(*) AS n FROM orders GROUP BY 1")
 def case_sink(spark, d):
-    folder = f"{jobs.shared_folder(spark)}/cases-{jobs.uuid.uuid4().hex}"
+    folder = jobs.new_folder(spark, "cases")
     files.write_cases(B.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("case")), folder)
     return spark.read.parquet(folder).groupBy("case").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s10_ordered_export", f"WITH {B.REQ} SELECT service, count(*) AS n FROM req GROUP BY service")
+@query("s10_ordered_export", f"WITH {B.REQ} SELECT service, row_number() OVER (PARTITION BY service ORDER BY end_s, span) AS line, span FROM req")
 def ordered_export(spark, d):
-    folder = f"{jobs.shared_folder(spark)}/export-{jobs.uuid.uuid4().hex}"
+    """The exported files, read in the order of their names, hold each service's rows in order."""
+    folder = jobs.new_folder(spark, "export")
     files.write_ordered_json(B.req(spark, d).select("service", "end_s", "span"), folder, "service", ["end_s", "span"])
-    return spark.read.json(folder).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
+    lines = files.numbered_lines(spark, folder).select(F.regexp_extract("file", "service=([^/]+)", 1).alias("service"), "file", "line", F.get_json_object("value", "$.span").cast("long").alias("span"))
+    before = lines.groupBy("service", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("service", "file", F.coalesce(F.sum("n").over(Window.partitionBy("service").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return lines.join(before, ["service", "file"]).select("service", (F.col("before") + F.col("line")).alias("line"), "span")
 
 
 @query("s04_nested_traces", "SELECT o_orderkey AS trace, count(*) AS spans, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def nested_traces(spark, d):
-    folder = f"{jobs.shared_folder(spark)}/traces-{jobs.uuid.uuid4().hex}"
+    folder = jobs.new_folder(spark, "traces")
     traces = B.table(spark, d, "lineitem").join(B.table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     traces.groupBy(F.col("l_orderkey").alias("traceID")).agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("spans")).select(F.array(F.struct("traceID", "spans")).alias("data")).write.json(folder)
     spans = files.flatten_traces(spark.read.json(folder))

@@ -429,15 +429,14 @@ def with_priority(spark, d):
     return C.priorities(scored.join(evidence, ["service", "window"], "left"))
 
 
-@query(
-    "m17_priority_ranking",
-    f"""WITH {_REASONS}, {_EVIDENCE}, a AS (SELECT "window", list(service) FILTER (slow OR failing) AS alerting FROM scored GROUP BY ALL),
+_RANKED = f"""{_REASONS}, {_EVIDENCE}, a AS (SELECT "window", list(service) FILTER (slow OR failing) AS alerting FROM scored GROUP BY ALL),
 e AS (SELECT service, "window", bool_or(coalesce(status >= 400, false) AND dependency IS NULL) AS own, list(dependency) FILTER (dependency IS NOT NULL) AS deps FROM ev GROUP BY ALL),
 b AS (SELECT s.service, s."window", p95, slow OR failing AS alert, CASE WHEN own THEN 3 WHEN slow OR failing THEN 1 ELSE 0 END AS base, slow OR failing AND NOT coalesce(list_has_any(deps, alerting), false) AS r0,
   (slow OR failing) AND NOT coalesce(list_has_any(deps, alerting), false) AS root FROM scored s JOIN a USING ("window") LEFT JOIN e ON e.service = s.service AND e."window" = s."window"),
-p AS (SELECT service, "window", p95, CASE WHEN root THEN greatest(base, 3) ELSE base END AS priority FROM b)
-SELECT service, "window", priority, CAST(row_number() OVER (PARTITION BY "window" ORDER BY priority DESC, p95 DESC, service) AS INT) AS rank FROM p""",
-)
+prioritised AS (SELECT service, "window", p95, CASE WHEN root THEN greatest(base, 3) ELSE base END AS priority FROM b)"""
+
+
+@query("m17_priority_ranking", f"WITH {_RANKED} SELECT service, \"window\", priority, CAST(row_number() OVER (PARTITION BY \"window\" ORDER BY priority DESC, p95 DESC, service) AS INT) AS rank FROM prioritised")
 def priority_ranking(spark, d):
     return C.ranked_candidates(with_priority(spark, d)).select("service", "window", "priority", "rank")
 

@@ -71,8 +71,8 @@ def write_cases(df: DataFrame, path: str) -> None:
 
 
 def write_typed(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Writes exactly the schema's columns in its types."""
-    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(path)
+    """Writes exactly the schema's columns in its types; a column that df lacks is null."""
+    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(path)
 
 
 def write_ordered_json(df: DataFrame, path: str, key: str, order: list[str]) -> None:
