@@ -1,16 +1,23 @@
 """Toxicity by a misspelling-tolerant lexicon and the context of each hit.
 
-Terms are learned: words whose labelled mentions are nearly all in marked texts (over a bounded sample of labelled
-rows outside the held-out fold). The terms form a trie; Levenshtein automata of the terms (one edit, two for terms of eight letters
-and more, a swap of neighbours counts as one) are intersected with it and determinised into one transition table.
-All words of a piece of text run through that table together, one letter per step, so a word that can be no
+Terms are learned from every labelled row outside the held-out fold: words whose labelled mentions are nearly all in
+marked texts. The terms form a trie; Levenshtein automata of the terms (none below four letters, one edit from four,
+two from eight; a swap of neighbours counts as one) are intersected with it and determinised into one transition
+table. All words of a piece of text run through that table together, one letter per step, so a word that can be no
 misspelling dies after a few steps. A hit gets a score from its context window: hits inside quotation marks and hits
 next to words that the labelled texts show around harmless mentions count for less. A logistic curve over the hit
 counts and window scores, fitted on a bounded sample of labelled rows, gives the score.
 
+A hit is quoted if within the context window the nearest quotation mark before it opens and the nearest one of the same
+kind after it closes. A mark opens where no letter or digit is before it and closes where none is after it, so an
+apostrophe inside a word is no mark.
+
+Bounds (parameters): the lexicon holds at most ``max_terms`` terms, of 2 to 64 characters, the surest first; the curve
+and the contexts are fitted on at most ``max_per_class`` texts of each label and ``max_bytes`` of text.
+
 Cases: a null or empty text has no hits and gets the score of such texts; without labelled rows every score is 0.0,
 with one class only it is that class's share; repeated rows are scored alike; columns other than ``doc_id`` and
-``text`` are not read.
+``text`` (of labels ``doc_id`` and ``toxic``) are not read.
 """
 
 from __future__ import annotations
@@ -22,40 +29,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, crc_of_id, pieces, word_hashes
+from .common import Words, crc_of_id, pieces, remove_tables, word_hashes, written
 from .quality_classifier import labelled_sample, logistic_fit
 
 MAX_PER_CLASS = 4000
+MAX_BYTES = 16 << 20
 MAX_TERMS = 2000
-MAX_TERM_ROWS = 10_000
 WINDOW = 4
 CONTEXT_SLOTS = 1 << 12
-QUOTES = '"\'«»„“”‘’`'
+#: Kinds of quotation marks, each read as its plain form.
+DOUBLE, SINGLE = "«»„“”‟＂", "‘’‚‛‹›`´"
+OTHER_MARKS = "…–—‐‑‒•·¡¿"
+
 
+def mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """w, n, k: how many different contexts (the word before) each word of the labelled rows has, and how many of these in
+    marked texts, so that copies of one passage count once. Every labelled row outside the held-out fold is counted.
 
-def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least: float = 0.5, max_terms: int = MAX_TERMS, max_rows: int = MAX_TERM_ROWS) -> list[str]:
-    """Words of four to 40 letters whose labelled mentions are toxic ones: over the distinct words that stand before a
-    mention (so that copies of one passage count once), the share from marked texts has a lower confidence bound of
-    ``least`` or more. Terms are learned from at most max_rows labelled rows, those with the smallest id hash, which bounds
-    what is joined and counted. A stem (written ``abc*``) with four or more forms is judged by the mentions of all its forms. Most
-    mentions first, at most max_terms (a bound on the compiled table)."""
+    Contexts are counted by 64 hash slots a class, as the bits of two longs: each word is one row of fixed size that
+    adds up before the shuffle. More than some 260 contexts of a class count as that many. The labels grow with the
+    documents, so they are never broadcast: texts and labels meet by shuffling both."""
     fold = labels.where(F.col("toxic").isNotNull() & (crc_of_id(F.col("doc_id")) % 5 != 0)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
-    fold = fold.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     words = F.split(F.lower(F.regexp_replace("_text", r"[^\p{L}\p{N}\s]+", " ")), r"\s+")
-    contexts = (
-        docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-        .join(F.broadcast(fold), "_id")
-        .select("_y", words.alias("w"))
-        .select("_y", F.explode(F.array_distinct(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("p")))).alias("x"))
-        .select("_y", F.col("x")["w"].alias("w"), F.col("x")["p"].alias("p"))
-        .where((F.length("w") >= 4) & (F.length("w") <= 40))
-        .groupBy("w", "p")
-        .agg(F.avg("_y").alias("y"))
-    )
-    seen = contexts.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
-    stems = seen.select("n", "k", F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(8), F.length("w"))), lambda m: F.concat(F.substr("w", F.lit(1), m), F.lit("*")))).alias("w"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(fold.hint("shuffle_hash"), "_id").select("_y", words.alias("w"))
+    slots = F.transform("w", lambda x, i: F.pmod(F.xxhash64(F.coalesce(F.get("w", i - 1), F.lit(""))), F.lit(64)).cast("int"))
+    each = rows.select("_y", F.explode(F.arrays_zip(F.col("w"), slots.alias("s"))).alias("x")).select("_y", F.col("x")["w"].alias("w"), F.expr("shiftleft(1L, x.s)").alias("s"))
+    each = each.where((F.length("w") >= 2) & (F.length("w") <= 64))
+    bits = each.groupBy("w").agg(*[F.coalesce(F.bit_or(F.when(F.col("_y") == y, F.col("s"))), F.lit(0).cast("long")).alias(f"s{y}") for y in (0, 1)])
+    free = lambda c: F.greatest(F.lit(64) - F.bit_count(c), F.lit(1))
+    n0, n1 = (F.round(64 * F.log(F.lit(64.0) / free(F.col(c)))) for c in ("s0", "s1"))
+    return bits.select("w", (n0 + n1).alias("n"), n1.alias("k"))
+
+
+def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least: float = 0.5, max_terms: int = MAX_TERMS) -> list[str]:
+    """Words whose share of contexts in marked texts has a lower confidence bound of ``least`` or more. A stem (written
+    ``abc*``) of three to eight letters with four or more forms is judged by the mentions of all its forms. The surest
+    come first, at most max_terms (a bound on the compiled table)."""
+    seen = written(mentions(docs, labels))
+    stems = seen.select("n", "k", F.explode(F.transform(F.sequence(F.lit(3), F.least(F.lit(8), F.greatest(F.lit(3), F.length("w")))), lambda m: F.concat(F.substr("w", F.lit(1), m), F.lit("*")))).alias("w"))
     stems = stems.groupBy("w").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("forms")).where("forms >= 4").drop("forms")
-    total = fold.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k")).first()
+    total = seen.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     if not total["n"] or not total["k"]:
         return []
     base = total["k"] / total["n"]
@@ -64,6 +77,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least
     low = (rate + z2 / (2 * n) - z * F.sqrt(rate * (1 - rate) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     found = seen.unionByName(stems).withColumn("low", low).where((n >= min_contexts) & (low > F.when(F.col("w").endswith("*"), 0.65).otherwise(max(least, base))))
     ranked = [r["w"] for r in found.orderBy(F.col("low").desc(), F.length("w").desc(), "w").limit(max_terms).collect()]
+    remove_tables(seen)
     # of a word and its stems that mean the same mentions, the surest stays
     kept: list[str] = []
     for w in ranked:
@@ -145,6 +159,28 @@ def compile_automaton(terms: list[str]) -> tuple[dict[str, int], np.ndarray, np.
     return letters, np.array(rows, np.int32), accepts
 
 
+def plain_marks(text: str) -> str:
+    """Typographic quotation marks and dashes as plain ones, so that they belong to no word."""
+    if not text.isascii():
+        for kind, plain in ((DOUBLE, '"'), (SINGLE, "'"), (OTHER_MARKS, "-")):
+            for mark in kind:
+                text = text.replace(mark, plain)
+    return text
+
+
+def is_quoted(before: str, after: str) -> bool:
+    """Whether a quotation opens in ``before``, is still open at its end, and closes in ``after``."""
+    for mark in "\"'":
+        here = before + "x" + after  # x stands for the hit
+        opens = [i for i, c in enumerate(here) if c == mark and not here[i - 1 : i].isalnum() and not here[i + 1 : i + 2].isspace()]
+        closes = [i for i, c in enumerate(here) if c == mark and not here[i + 1 : i + 2].isalnum() and i and not here[i - 1].isspace()]
+        at = len(before)
+        last = max((i for i in opens if i < at), default=-1)
+        if last >= 0 and not any(last < i < at for i in closes) and (end := min((i for i in closes if i > at), default=-1)) > 0 and not any(at < i < end for i in opens):
+            return True
+    return False
+
+
 def _edits(term: str) -> int:
     """Edits that a misspelling of the term may have. Stems meet many words, so short ones allow none."""
     if term.endswith("*"):
@@ -164,7 +200,7 @@ class ToxicityModel:
 
     def hits(self, texts: pa.Array):
         """Per hit: its text, edits, whether it is quoted, and the slots of the words around it (-1: none)."""
-        folded = pa.array([(t or "").lower() for t in texts.to_pylist()], pa.string())
+        folded = pa.array([plain_marks((t or "").lower()) for t in texts.to_pylist()], pa.string())
         words = Words(folded)
         n = len(words.start)
         if not n or not self.terms:
@@ -198,7 +234,8 @@ class ToxicityModel:
         w = np.flatnonzero(has)
         first = inner[steps[words.start[w]]]
         last = inner[steps[words.end[w]] - 1] + 1
-        ok = (last - first <= 2 * self.longest + 8) | self.stems
+        characters = np.concatenate([[0], np.cumsum(~tail[words.data])])
+        ok = (characters[last] - characters[first] <= self.longest) | self.stems
         w, first, last = w[ok], first[ok], last[ok]
         state = np.ones(len(w), np.int32)
         at = first.copy()
@@ -227,7 +264,7 @@ class ToxicityModel:
             a, z = words.start[max(words.first[words.doc[k]], k - WINDOW)], words.end[min(words.first[words.doc[k] + 1] - 1, k + WINDOW)]
             before = words.raw[a : first[i]].decode("utf-8", "ignore")
             after = words.raw[last[i] : z].decode("utf-8", "ignore")
-            quoted[i] = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+            quoted[i] = is_quoted(before, after)
         return words, index, found[hit], quoted, slots
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -249,14 +286,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
     model = ToxicityModel(learn_terms(docs, labels))
     counts = {r["toxic"]: r["n"] for r in labels.where(crc_of_id(F.col("doc_id")) % 5 != 0).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r["toxic"] is not None}
     if not counts:
         return model
     share = counts.get(1, 0) / sum(counts.values())
     model.constant = share
-    sample = labelled_sample(docs, labels, "toxic", max_per_class)
+    sample = labelled_sample(docs, labels, "toxic", max_per_class, max_bytes)
     if not model.terms or not 0 < share < 1 or len({y for *_, y in sample}) < 2:
         return model
     y = np.array([label for *_, label in sample], float)
@@ -276,8 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
     # windows of harmless mentions against windows of abuse; rare words are shrunk to no weight
     rates = slot_counts / slot_counts.sum(axis=1, keepdims=True)
     seen = slot_counts.sum(axis=0) - 1
-    if (slot_counts.sum(axis=1) > 100 + CONTEXT_SLOTS / 2).all():
-        model.context = np.log(rates[1] / rates[0]) * seen / (seen + 10)
+    model.context = np.log(rates[1] / rates[0]) * seen / (seen + 10)
     x = np.concatenate([model.features(p) for p in parts])[1::2]
     y = y[1::2]
     weights = logistic_fit(x, y)
@@ -288,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS)
 
 
 def detect(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_hits, the number of lexicon hits, for every row of docs."""
+    """doc_id, held_out, score and predicted (1 if score >= threshold) for every row of docs."""
     shared = spark.sparkContext.broadcast(fit(docs, labels))
 
     def scored(batches):
@@ -300,4 +336,3 @@ def detect(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), F.col("text").alias("text"))
     out = rows.mapInArrow(scored, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
