@@ -34,7 +34,7 @@ REQUEST_PREFIX = r"^\[req-[^\]]+\]\s*"
 
 def log_template(message: Column, limit: int = TEMPLATE_LIMIT) -> Column:
     """The message without its leading bracket, ids and numbers masked, blanks folded, lower case, at most limit characters."""
-    out = F.regexp_replace(F.trim(message), LEADING_BRACKET, "")
+    out = F.regexp_replace(F.regexp_replace(message, r"^\s+|\s+$", ""), LEADING_BRACKET, "")
     out = F.regexp_replace(out, HEX_RUN, "<id>")
     out = F.regexp_replace(out, SIGNED_NUMBER, "<num>")
     return F.substring(F.lower(F.regexp_replace(out, r"\s+", " ")), 1, limit)

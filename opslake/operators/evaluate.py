@@ -103,3 +103,48 @@ def higher_quantile(values: Column, q: float) -> Column:
     """The quantile of an array that is the next value at or above the exact place."""
     ordered = F.array_sort(values)
     return F.element_at(ordered, F.ceil(F.lit(q) * (F.size(values) - 1)).cast("int") + 1)
+
+
+def diagnosis_quality(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rates of diagnoses per key, from rows with start, end, onset, recovery (null without a fault), target, valid, accepted,
+    verdict, suspect, latency_ms, input_tokens and output_tokens. Windows that overlap the fault's begin or end count
+    neither as healthy nor as faulty; a rate over no window is null."""
+    c = F.col
+    healthy = c("onset").isNull() | (c("end") <= c("onset")) | (c("start") >= c("recovery"))
+    faulty = F.coalesce((c("start") >= c("onset")) & (c("end") <= c("recovery")), F.lit(False))
+    share = lambda what, of=F.lit(True): F.avg(F.when(of, F.coalesce(what, F.lit(False)).cast("double")))
+    review = c("verdict") == "review"
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("windows"),
+        share(c("valid")).alias("valid"),
+        share(c("accepted")).alias("accepted"),
+        share(c("verdict") == "abstain").alias("abstained"),
+        share(review, healthy).alias("healthy_review"),
+        share(review, faulty).alias("fault_review"),
+        share(review & (c("suspect") == c("target")), faulty).alias("right_suspect"),
+        F.percentile("latency_ms", F.lit(0.95)).alias("latency_p95"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+    )
+
+
+def snapshot_summary(snapshots: DataFrame, services: list[str]) -> DataFrame:
+    """service, instances, missing, restarts per expected service, from snapshots (one row each with ``pods``, an array of
+    service, uid, restarts): different instances seen, snapshots without one, and most restarts of one."""
+    total = snapshots.agg(F.count(F.lit(1)).alias("_all"))
+    listed = snapshots.select(F.array_distinct(F.transform("pods", lambda p: p["service"])).alias("_there"), "pods")
+    there = listed.select(F.explode("_there").alias("service")).groupBy("service").agg(F.count(F.lit(1)).alias("_present"))
+    pods = listed.select(F.explode("pods").alias("p")).groupBy(F.col("p.service").alias("service")).agg(F.count_distinct("p.uid").alias("instances"), F.max("p.restarts").alias("restarts"))
+    expected = snapshots.sparkSession.createDataFrame([(s,) for s in services], "service string")
+    joined = expected.join(there, "service", "left").join(pods, "service", "left").join(F.broadcast(total))
+    return joined.select("service", F.coalesce("instances", F.lit(0)).cast("long").alias("instances"), (F.col("_all") - F.coalesce("_present", F.lit(0))).alias("missing"), F.coalesce("restarts", F.lit(0)).alias("restarts"))
+
+
+def coverage_summary(guard: DataFrame, run: str, window: str = "window") -> DataFrame:
+    """Per run, and over all with a null run: windows with a coverage issue, services that had one, insufficient windows. guard
+    has one row a run, window and service with insufficient and issue."""
+    windows = guard.groupBy(run, window).agg(F.bool_or("issue").alias("_w"), F.bool_or("insufficient").alias("_i"))
+    counts = windows.rollup(run).agg(F.count_if("_w").alias("warning_windows"), F.count_if("_i").alias("insufficient_windows"))
+    services = guard.where("issue").rollup(run).agg(F.count_distinct("service").alias("warned_services"))
+    joined = counts.join(services.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run")), "left")
+    return joined.select(run, "warning_windows", "insufficient_windows", F.coalesce("warned_services", F.lit(0)).cast("long").alias("warned_services"))

@@ -1,4 +1,8 @@
-"""Isolation forests as table jobs: a node table is grown in Spark and scores rows by vectorised descent."""
+"""Isolation forests as table jobs: a node table is grown in Spark and scores rows by vectorised descent.
+
+Features are a list of numeric columns, or one array column (``array<double>``, or with ``size`` dimensions a sparse
+``array<struct<i, v>>``).
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODES = "group string, tree int, node int, feature int, split double, left int, right int, size int"
+TREES_A_TASK = 25
+ROWS_A_TASK = 200_000
+PATHS_AT_ONCE = 1 << 20
 
 
 def average_depth(n: np.ndarray | float) -> np.ndarray:
@@ -19,83 +28,144 @@ def average_depth(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(safe - 1) + 0.5772156649015329) - 2 * (safe - 1) / safe, np.where(n == 2, 1.0, 0.0))
 
 
-def sample_rows(df: DataFrame, key: Column, group: Column, features: list[str], trees: int, psi: int) -> DataFrame:
+def vector(features: list[str] | Column) -> Column:
+    if isinstance(features, Column):
+        return features
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+
+
+def matrix(values, size: int | None) -> np.ndarray:
+    """Rows of dense or, with a size, sparse vectors as one dense matrix."""
+    if size is None:
+        return np.array([list(v) for v in values], float).reshape(len(values), -1)
+    out = np.zeros((len(values), size))
+    for row, v in zip(out, values):
+        for e in v:
+            row[e["i"]] = e["v"]
+    return out
+
+
+def sample_rows(df: DataFrame, key: Column, group: Column, features: list[str] | Column, trees: int, psi: int) -> DataFrame:
     """group, tree, x: psi rows for each tree without replacement, those with the smallest hash of (row, tree). A row is
     only repeated for the trees in whose reach its hash is, so the work is trees * psi and not trees * rows."""
-    rows = df.select(group.cast("string").alias("group"), key.alias("_key"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(group.cast("string").alias("group"), key.alias("_key"), vector(features).alias("x"))
+    sizes = rows.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     reach = F.least(F.lit(1.0), (F.lit(1.3 * psi) + 40) / F.col("_n")) * 1_000_000
     place = lambda t: F.pmod(F.xxhash64("_key", t), F.lit(1_000_000))
-    drawn = rows.join(F.broadcast(sizes), "group").withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < reach)))
+    drawn = rows.join(sizes, F.col("group").eqNullSafe(F.col("_g"))).withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < reach)))
     return drawn.select("group", "tree", "x", F.xxhash64("_key", "tree").alias("_h"))
 
 
-def grow(df: DataFrame, key: Column, features: list[str], group: Column | None = None, trees: int = 200, psi: int = 256) -> DataFrame:
-    """The node table of a forest per group. Leaves have feature -1; node 0 is the root."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_h").head(psi)
-        x = np.array(pdf["x"].tolist(), float)
-        tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng(tree)
-        limit = max(1, math.ceil(math.log2(max(2, len(x)))))
-        nodes: list[list] = []
-        todo = [(np.arange(len(x)), 0, -1, False)]
-        while todo:
-            rows, depth, parent, is_right = todo.pop()
-            number = len(nodes)
-            if parent >= 0:
-                nodes[parent][4 if is_right else 3] = number
-            low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-            open_ = np.flatnonzero(high > low)
-            if depth >= limit or len(rows) < 2 or not len(open_):
-                nodes.append([number, -1, 0.0, -1, -1, len(rows)])
-                continue
-            f = int(rng.choice(open_))
-            at = float(rng.uniform(low[f], high[f]))
-            nodes.append([number, f, at, -1, -1, len(rows)])
-            goes = x[rows, f] < at
-            todo += [(rows[~goes], depth + 1, number, True), (rows[goes], depth + 1, number, False)]
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size"])
-        return out.assign(group=pdf["group"].iloc[0], tree=tree)[["group", "tree", "node", "feature", "split", "left", "right", "size"]]
+def grow_tree(x: np.ndarray, tree: int) -> list[list]:
+    """Nodes of one tree, each after its parent: random splits of the features that vary, down to the usual depth."""
+    rng = np.random.default_rng(tree)
+    limit = max(1, math.ceil(math.log2(max(2, len(x)))))
+    nodes: list[list] = []
+    todo = [(np.arange(len(x)), 0, -1, False)]
+    while todo:
+        rows, depth, parent, is_right = todo.pop()
+        number = len(nodes)
+        if parent >= 0:
+            nodes[parent][4 if is_right else 3] = number
+        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        open_ = np.flatnonzero(high > low)
+        if depth >= limit or len(rows) < 2 or not len(open_):
+            nodes.append([number, -1, 0.0, -1, -1, len(rows)])
+            continue
+        f = int(rng.choice(open_))
+        at = float(rng.uniform(low[f], high[f]))
+        nodes.append([number, f, at, -1, -1, len(rows)])
+        goes = x[rows, f] < at
+        todo += [(rows[~goes], depth + 1, number, True), (rows[goes], depth + 1, number, False)]
+    return nodes
+
+
+def grow(df: DataFrame, key: Column, features: list[str] | Column, group: Column | None = None, trees: int = 200, psi: int = 256, size: int | None = None) -> DataFrame:
+    """The node table of a forest per group. Leaves have feature -1; node 0 is the root. A task grows some trees of a group
+    from their psi rows each."""
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for tree, rows in pdf.sort_values(["tree", "_h"]).groupby("tree"):
+            nodes = grow_tree(matrix(rows["x"].head(psi).tolist(), size), int(tree))
+            out.append(pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size"]).assign(group=pdf["group"].iloc[0], tree=int(tree)))
+        return pd.concat(out)[["group", "tree", "node", "feature", "split", "left", "right", "size"]]
 
     sampled = sample_rows(df, key, group if group is not None else F.lit("all"), features, trees, psi)
-    return sampled.groupBy("group", "tree").applyInPandas(one, NODES)
-
-
-def score(df: DataFrame, nodes: DataFrame, features: list[str], group: Column | None = None, name: str = "score") -> DataFrame:
-    """df with 2^(-mean path / expected path): near 1 is anomalous. The node table is bounded by groups * trees * 2 psi
-    rows; it is what goes to the tasks."""
-    forest = nodes.toPandas()
-    models: dict[str, list] = {}
-    for (g, _), t in forest.groupby(["group", "tree"]):
-        t = t.sort_values("node")
-        models.setdefault(g, []).append(tuple(t[c].to_numpy() for c in ("feature", "split", "left", "right", "size")))
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    return sampled.groupBy("group", F.floor(F.col("tree") / TREES_A_TASK)).applyInPandas(some, NODES)
+
+
+class Forest:
+    """A group's trees as flat arrays. Leaves point at themselves, so all paths take equally many steps."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        nodes = nodes.sort_values(["tree", "node"])
+        first = nodes.groupby("tree")["node"].transform("size").to_numpy()
+        tree = nodes["tree"].to_numpy()
+        self.roots = np.flatnonzero(np.append(True, tree[1:] != tree[:-1]))
+        base = np.repeat(self.roots, first[self.roots])
+        leaf = nodes["feature"].to_numpy() < 0
+        here = np.arange(len(nodes))
+        self.feature = np.where(leaf, 0, nodes["feature"].to_numpy())
+        self.split = nodes["split"].to_numpy()
+        self.left = np.where(leaf, here, base + nodes["left"].to_numpy())
+        self.right = np.where(leaf, here, base + nodes["right"].to_numpy())
+        size = nodes["size"].to_numpy()
+        depth, level, self.steps = np.zeros(len(nodes)), self.roots, 0
+        while len(level := level[~leaf[level]]):
+            self.steps += 1
+            level = np.concatenate([self.left[level], self.right[level]])
+            depth[level] = self.steps
+        self.path = depth + average_depth(size)
+        self.expected = max(float(average_depth(size[self.roots].max())), 1e-9)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """2^(-mean path / expected path) per row: near 1 is anomalous."""
+        out = np.empty(len(x))
+        at_once = max(1, PATHS_AT_ONCE // len(self.roots))
+        for i in range(0, len(x), at_once):
+            part = x[i : i + at_once]
+            node = np.broadcast_to(self.roots, (len(part), len(self.roots)))
+            row = np.arange(len(part))[:, None]
+            for _ in range(self.steps):
+                node = np.where(part[row, self.feature[node]] < self.split[node], self.left[node], self.right[node])
+            out[i : i + at_once] = 2.0 ** (-self.path[node].mean(axis=1) / self.expected)
+        return out
+
+
+def score(df: DataFrame, nodes: DataFrame, features: list[str] | Column, group: Column | None = None, name: str = "score", size: int | None = None) -> DataFrame:
+    """df with the forest's score of each row; rows of a group without a forest get none.
+
+    One forest, whose nodes are bounded by trees * 2 psi, is broadcast. Forests by group stay tables: a group's rows meet
+    its nodes in tasks of at most about ``ROWS_A_TASK`` rows, so neither the number of groups nor a large group matters."""
+    if group is None:
+        return _score_by_one(df, nodes, vector(features), name, size)
+    rows = df.withColumn("_group", F.coalesce(group.cast("string"), F.lit(""))).withColumn("_x", vector(features))
+    tasks = rows.groupBy("_group").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_TASK).cast("int").alias("_tasks"))
+    dealt = rows.join(tasks, "_group").withColumn("_task", F.pmod(F.monotonically_increasing_id(), F.col("_tasks")).cast("int")).drop("_tasks")
+    copies = nodes.withColumnRenamed("group", "_group").join(tasks, "_group").withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))).drop("_tasks")
+    columns = df.columns
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = np.zeros(left.num_rows) if not right.num_rows else Forest(right.to_pandas()).score(matrix(left["_x"].to_pylist(), size))
+        none = np.full(left.num_rows, not right.num_rows)
+        return left.select(columns).append_column(name, pa.array(values, pa.float64(), mask=none))
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    return dealt.groupBy("_group", "_task").cogroup(copies.groupBy("_group", "_task")).applyInArrow(scored, schema)
+
+
+def _score_by_one(df: DataFrame, nodes: DataFrame, x: Column, name: str, size: int | None) -> DataFrame:
+    table = nodes.toPandas()
+    shared = df.sparkSession.sparkContext.broadcast(Forest(table) if len(table) else None)
 
     @F.pandas_udf("double")
-    def depth_score(groups: pd.Series, x: pd.Series) -> pd.Series:
-        values = np.array(x.tolist(), float).reshape(len(x), -1)
-        out = np.full(len(x), np.nan)
-        for g in groups.unique():
-            mine = np.flatnonzero((groups == g).to_numpy())
-            trees = shared.value.get(g, [])
-            if not trees:
-                continue
-            rows, total = values[mine], np.zeros(len(mine))
-            for feature, split, left, right, size in trees:
-                node, depth = np.zeros(len(rows), int), np.zeros(len(rows))
-                while (inner := feature[node] >= 0).any():
-                    at = node[inner]
-                    node[inner] = np.where(rows[inner, feature[at]] < split[at], left[at], right[at])
-                    depth[inner] += 1
-                total += depth + average_depth(size[node])
-            psi = max(int(t[4][0]) for t in trees)
-            out[mine] = 2.0 ** (-total / len(trees) / max(float(average_depth(psi)), 1e-9))
-        return pd.Series(out)
-
-    g = (group if group is not None else F.lit("all")).cast("string")
-    return df.withColumn(name, depth_score(g, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])))
+    def depth_score(values: pd.Series) -> pd.Series:
+        if shared.value is None:
+            return pd.Series([None] * len(values), dtype=float)
+        return pd.Series(shared.value.score(matrix(values.tolist(), size)))
+
+    return df.withColumn(name, depth_score(x))
 
 
 def introspect(nodes: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sequence import streaks
 
@@ -32,6 +34,13 @@ def tfidf_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).select(key, "term", "w")
 
 
+def sparse_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """key, x: each text's weights as a sparse vector (array of i, v) over the terms of idf in their order."""
+    numbered = idf.withColumn("_i", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))  # as many rows as idf has terms
+    weights = tfidf_weights(counts, idf, key).join(F.broadcast(numbered.select("term", "_i")), "term")
+    return weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("w").alias("v")))).alias("x"))
+
+
 def nearest(queries: DataFrame, prototypes: DataFrame, query_key: str, prototype_key: str) -> DataFrame:
     """query_key, novelty: 1 - the largest cosine with a prototype, over the texts that share a term with one."""
     pairs = queries.join(prototypes.withColumnRenamed("w", "_w"), "term").groupBy(query_key, prototype_key).agg(F.sum(F.col("w") * F.col("_w")).alias("cosine"))
@@ -46,34 +55,36 @@ def lexical_novelty(texts: DataFrame, key: str, text: str, prototypes: DataFrame
     return texts.select(key).join(scored, key, "left").select(key, F.coalesce("novelty", F.lit(1.0)).alias("novelty"))
 
 
-def vector_novelty(df: DataFrame, vector: str, is_reference: Column, block: int = 4096) -> DataFrame:
-    """Rows that are no reference with 1 - the largest cosine to a reference vector. References go to the tasks in blocks of
-    at most ``block`` vectors; the largest over the blocks is kept, so their number is not bounded by memory."""
-    spark = df.sparkSession
-    references = df.where(is_reference).select(F.col(vector).alias("v"))
-    queries = df.where(~is_reference)
-    blocks = max(1, -(-references.count() // block))
-    best = F.lit(-1.0)
-    for b in range(blocks):
-        part = references.where(F.pmod(F.xxhash64("v"), F.lit(blocks)) == b).collect()
-        matrix = np.array([r["v"] for r in part], np.float64).reshape(len(part), -1)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        best = F.greatest(best, _closest(spark.sparkContext.broadcast(matrix))(F.col(vector)))
-    return queries.withColumn("novelty", 1 - best)
-
-
-def _closest(shared):
-    """A function of vectors: the largest cosine to a broadcast matrix of unit rows."""
-
-    @F.pandas_udf("double")
-    def closest(v: pd.Series) -> pd.Series:
-        x = np.array(v.tolist(), np.float64).reshape(len(v), -1)
-        if not len(shared.value) or not len(x):
-            return pd.Series(np.full(len(x), -1.0))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return pd.Series((x @ shared.value.T).max(axis=1))
-
-    return closest
+def vector_novelty(df: DataFrame, key: str, vector: str, is_reference: Column, block: int = 4096) -> DataFrame:
+    """key, novelty of the rows that are no reference: 1 - the largest cosine to a reference vector, 2 without any.
+
+    Both sides are packed into blocks of about ``block`` vectors, each block of one side meets each of the other in a task
+    as one matrix product, and the largest cosines are taken over the blocks. Nothing passes through the driver. Equal
+    reference vectors count once."""
+    references = df.where(is_reference).select(F.col(vector).alias("v")).distinct()
+    queries = df.where(~is_reference).select(F.col(key).alias("_key"), F.col(vector).alias("v"))
+    blocks = lambda rows: max(1, -(-rows.count() // block))
+    n_references, n_queries = blocks(references), blocks(queries)
+    packed = references.groupBy(F.pmod(F.xxhash64("v"), F.lit(n_references)).cast("int").alias("_b")).agg(F.collect_list("v").alias("_r"))
+    asked = queries.withColumn("_q", F.pmod(F.monotonically_increasing_id(), F.lit(n_queries))).groupBy("_q").agg(F.collect_list(F.struct("_key", "v")).alias("_rows"))
+    pairs = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_references - 1)))).join(packed, "_b").select("_rows", "_r")
+    kind = queries.schema["_key"].dataType
+
+    def closest(batches):
+        for batch in batches:
+            for rows, against in zip(batch.column("_rows"), batch.column("_r")):
+                x, r = _unit([e["v"] for e in rows.as_py()]), _unit(against.as_py())
+                yield pa.record_batch([rows.values.field("_key"), pa.array((x @ r.T).max(axis=1))], ["_key", "_c"])
+
+    found = pairs.mapInArrow(closest, T.StructType([T.StructField("_key", kind), T.StructField("_c", T.DoubleType())]))
+    best = found.groupBy("_key").agg(F.max("_c").alias("_c"))
+    joined = queries.select("_key").join(best, "_key", "left")
+    return joined.select(F.col("_key").alias(key), (1 - F.coalesce("_c", F.lit(-1.0))).alias("novelty"))
+
+
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64).reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def drift_findings(events: DataFrame, threshold: float, least_events: int = 20, least_share: float = 0.1, windows: tuple[int, int] | None = None) -> DataFrame:

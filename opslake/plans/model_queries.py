@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import forest, novelty
+from ..operators import forest, novelty, selection
 from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..operators import windows as W
@@ -65,6 +65,21 @@ def session_forest(spark, d):
     return forest.score(x, forest.grow(x, F.col("instance"), features, trees=200, psi=256), features).select("instance", "score")
 
 
+TEXT_TERMS = 1500
+
+
+@query("m05_text_forest")
+def text_forest(spark, d):
+    """A forest over the weights of the 1,500 most frequent one- and two-word terms, grown on even conversations."""
+    t = turns(spark, d)
+    counts = novelty.terms(t, ["q"], "text")
+    healthy = F.floor(F.col("q") / 1000) % 2 == 0
+    idf = novelty.tfidf_fit(counts.where(healthy), "q", TEXT_TERMS)
+    x = t.select("q").join(novelty.sparse_vectors(counts, idf, "q"), "q", "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<i:int,v:double>>")))
+    nodes = forest.grow(x.where(healthy), F.col("q"), F.col("x"), trees=120, psi=256, size=TEXT_TERMS)
+    return forest.score(x, nodes, F.col("x"), size=TEXT_TERMS).select("q", "score")
+
+
 @query("m29_forest_introspection")
 def forest_introspection(spark, d):
     return forest.introspect(isolation_forest_fit(spark, d))
@@ -145,7 +160,7 @@ def drift_findings(spark, d):
 SELECT vec_id, {R('1 - max(list_cosine_similarity(e.v, r.v))')} AS novelty FROM e, r WHERE label > 4 GROUP BY vec_id""",
 )
 def vector_novelty(spark, d):
-    return novelty.vector_novelty(B.table(spark, d, "embeddings"), "embedding", F.col("label") <= 4).select("vec_id", "novelty")
+    return novelty.vector_novelty(B.table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label") <= 4)
 
 
 @query("m10_template_mining")
@@ -226,6 +241,26 @@ def temporal_detector(spark, d):
     return scored.select("service", "window", F.when(F.col("requests") > 0, F.col("score")).alias("score"))
 
 
+SELECTION_FEATURES = [f"{c}_{k}" for c in ("p95", "error_fraction") for k in ("log", "mean", "max")]
+
+
+def candidates(train, rows, columns):
+    """Scored rows of logistic regressions from strong to weak penalty, each fitted when it is asked for."""
+    for penalty in (10.0, 1.0, 0.1, 0.01, 0.001, 0.0):
+        pack = VectorAssembler(inputCols=columns, outputCol="x")
+        fit = LogisticRegression(featuresCol="x", labelCol="truth", weightCol="weight", regParam=penalty, maxIter=30)
+        model = fit.fit(pack.transform(train))
+        yield f"penalty {penalty:g}", model.transform(pack.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+
+
+@query("m16_model_selection")
+def model_selection(spark, d):
+    """Fitted on even days, chosen by average precision and first rank on the odd ones."""
+    rows = training(spark, d).cache()
+    validation = rows.where("window % 2 = 1")
+    return selection.select_model(candidates(rows.where("window % 2 = 0"), validation, SELECTION_FEATURES), "window", "service")
+
+
 @query("m30_modality_dropout", f"WITH {B.WIN} SELECT service, \"window\", CAST(CAST('0x' || substr(sha256(service || ':' || \"window\"), 1, 4) AS BIGINT) % 100 < 15 AS INT) AS hide_errors FROM win")
 def modality_dropout(spark, d):
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", "service", F.col("window").cast("string")), 256), 1, 4), 16, 10).cast("long")

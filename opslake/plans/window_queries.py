@@ -548,3 +548,66 @@ def rule_status(spark, d):
 @query("f15_unusual_status", f"WITH {B.REQ} SELECT span, coalesce(status <> 0 AND (status < 200 OR status >= 400), false) AS unusual FROM req")
 def unusual(spark, d):
     return B.req(spark, d).select("span", unusual_status(F.col("status")).alias("unusual"))
+
+
+_DIAGNOSES = f"""{B.REQ}, {B.SCHED}, dx AS (SELECT service, CASE WHEN k % 2 = 0 THEN 'logs' ELSE 'hybrid' END AS mode, "window" AS "start", "window" + 1 AS "end", onset, recovery, k % 10 <> 1 AS valid, k % 7 <> 2 AS accepted,
+  CASE WHEN k % 5 = 0 THEN 'abstain' WHEN k % 3 = 0 THEN 'review' ELSE 'clear' END AS verdict, CASE WHEN k % 4 = 0 THEN 'view' ELSE service END AS suspect, duration AS latency_ms, 100 + k AS input_tokens, k AS output_tokens
+  FROM req LEFT JOIN sched USING (service))"""
+_HEALTHY, _FAULTY = '(onset IS NULL OR "end" <= onset OR "start" >= recovery)', '("start" >= onset AND "end" <= recovery)'
+
+
+@query(
+    "a27_diagnosis_quality",
+    f"""WITH {_DIAGNOSES} SELECT service, mode, count(*) AS windows, {R("avg(CAST(valid AS INT))")} AS valid, {R("avg(CAST(accepted AS INT))")} AS accepted, {R("avg(CAST(verdict = 'abstain' AS INT))")} AS abstained,
+  {R(f"avg(CAST(verdict = 'review' AS INT)) FILTER ({_HEALTHY})")} AS healthy_review, {R(f"avg(CAST(verdict = 'review' AS INT)) FILTER ({_FAULTY})")} AS fault_review,
+  {R(f"avg(CAST(verdict = 'review' AND suspect = service AS INT)) FILTER ({_FAULTY})")} AS right_suspect, {R("quantile_cont(latency_ms, 0.95)")} AS latency_p95,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM dx GROUP BY service, mode""",
+)
+def diagnosis_quality(spark, d):
+    k = F.col("k")
+    r = B.req(spark, d).join(F.broadcast(B.schedule(spark)), "service", "left")
+    dx = r.select(
+        "service",
+        F.when(k % 2 == 0, "logs").otherwise("hybrid").alias("mode"),
+        F.col("window").alias("start"),
+        (F.col("window") + 1).alias("end"),
+        "onset",
+        "recovery",
+        F.col("service").alias("target"),
+        (k % 10 != 1).alias("valid"),
+        (k % 7 != 2).alias("accepted"),
+        F.when(k % 5 == 0, "abstain").when(k % 3 == 0, "review").otherwise("clear").alias("verdict"),
+        F.when(k % 4 == 0, "view").otherwise(F.col("service")).alias("suspect"),
+        F.col("duration").alias("latency_ms"),
+        (100 + k).alias("input_tokens"),
+        k.alias("output_tokens"),
+    )
+    return E.diagnosis_quality(dx, ["service", "mode"])
+
+
+@query(
+    "a28_snapshot_summary",
+    f"""WITH {B.REQ}, pods AS (SELECT CAST(floor(end_s / 3600) AS BIGINT) AS snapshot, service, stream AS uid, k % 6 AS restarts FROM req), t AS (SELECT count(DISTINCT snapshot) AS n FROM pods),
+e AS (SELECT unnest(['click', 'error', 'view', 'cart']) AS service)
+SELECT service, count(DISTINCT uid) AS instances, any_value(n) - count(DISTINCT snapshot) AS missing, coalesce(max(restarts), 0) AS restarts FROM e LEFT JOIN pods USING (service), t GROUP BY service""",
+)
+def snapshot_summary(spark, d):
+    """Hours as snapshots of the streams that were active; one expected service never is."""
+    pod = F.struct("service", F.col("stream").alias("uid"), (F.col("k") % 6).alias("restarts"))
+    snapshots = B.req(spark, d).groupBy(F.floor(F.col("end_s") / 3600).alias("snapshot")).agg(F.collect_list(pod).alias("pods"))
+    return E.snapshot_summary(snapshots, ["click", "error", "view", "cart"])
+
+
+@query(
+    "a32_coverage_summary",
+    f"""WITH {_SEEN}, c AS (SELECT *, avg(CAST(seen AS INT)) OVER (PARTITION BY "window") AS coverage FROM seen),
+f AS (SELECT *, coverage < 0.87 AS insufficient FROM c), g AS (SELECT *, sum(CAST(seen OR insufficient AS INT)) OVER (PARTITION BY service ORDER BY "window") AS j FROM f),
+h AS (SELECT service, "window", insufficient, sum(CAST(NOT seen AND NOT insufficient AS INT)) OVER (PARTITION BY service, j ORDER BY "window") >= 2 AS issue, "window" // 10 AS run FROM g),
+w AS (SELECT run, "window", bool_or(issue) AS w, bool_or(insufficient) AS i FROM h GROUP BY ALL),
+a AS (SELECT run, count(*) FILTER (w) AS warning_windows, count(*) FILTER (i) AS insufficient_windows FROM w GROUP BY ROLLUP (run)), s AS (SELECT run, count(DISTINCT service) AS warned_services FROM h WHERE issue GROUP BY ROLLUP (run))
+SELECT a.run, warning_windows, insufficient_windows, coalesce(warned_services, 0) AS warned_services FROM a LEFT JOIN s ON a.run IS NOT DISTINCT FROM s.run""",
+)
+def coverage_summary(spark, d):
+    s = seen(spark, d)
+    guard = Q.coverage_guard(s, s.select("service").distinct().withColumn("threshold", F.lit(2)), required=0.87)
+    return E.coverage_summary(guard.withColumn("run", F.floor(F.col("window") / 10)), "run")

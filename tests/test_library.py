@@ -24,6 +24,10 @@ def one(spark, column, **values):
         ("[10:00] Took 12.5 s for a12 1-2", "took <num> s for a1<num> <num><num>"),
         ("  id 0123456789abcdef0 failed  ", "id <id> failed"),
         ("A\n\tB -3", "a b <num>"),
+        ("\t [x] y\n", "y"),
+        ("[a][b] c", "[b] c"),
+        ("v2 +5.25e3 x-7 8-9", "v2 <num>e3 x-<num> <num><num>"),
+        ("deadbeef0123 DEADBEEF01234567 beef", "<id> <id> beef"),
     ],
 )
 def test_log_template(spark, message, template):
@@ -206,7 +210,7 @@ def test_vector_novelty_in_blocks(spark):
     frame = spark.createDataFrame(rows, "i int, v array<double>, q int")
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
     for block in (4096, 7):
-        for r in novelty.vector_novelty(frame, "v", F.col("q") == 0, block).collect():
+        for r in novelty.vector_novelty(frame, "i", "v", F.col("q") == 0, block).collect():
             assert r.novelty == pytest.approx(1 - max(unit[r.i] @ unit[j] for j in range(30)))
 
 
