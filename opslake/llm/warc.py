@@ -1,7 +1,8 @@
 """Dictionary-compressed WARC archives.
 
 Pages are written as WARC/1.1 records, each compressed by itself with a Zstandard dictionary that was built from a
-bounded sample of the archived records. The dictionary is the content of a skippable frame (magic 0x184D2A5D) at the
+bounded sample of the archived records (at most ``rows`` whole pages and ``sample_bytes`` of html; under 20 records there
+is none). The dictionary is the content of a skippable frame (magic 0x184D2A5D) at the
 start of every archive, so an archive can be read without anything else and any record can be read by its offset.
 Equal payloads of ``least_bytes`` or more are stored once: the page with the largest id is the response, the others
 are revisit records that refer to it.
@@ -9,7 +10,7 @@ are revisit records that refer to it.
 Each task writes archives of about ``archive_bytes`` of payload into a folder that all machines share. Names hold a
 random part and a table lists the archives of tasks that succeeded, so files of lost tasks are never read.
 
-Cases: a null html or url is empty; pages with a null id are written without an id and, as an id is needed to refer
+Cases: a null html or url is empty, blanks and letters outside ASCII in a url are percent-encoded; pages with a null id are written without an id and, as an id is needed to refer
 to, are always responses; pages that repeat an id and payload share a verdict; an empty table gives no archive and an
 empty result. Only ``page_id``, ``url`` and ``html`` are read.
 """
@@ -19,39 +20,50 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_folder, written
+from .common import join_keyed, pieces, sample_texts, shared_folder, thinned, written
 
 MAGIC = 0x184D2A5D
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20
 SAMPLE_ROWS = 300
-SAMPLE_BYTES = 16 << 10
+SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+URL_SIGNS = "%:/?#[]@!$&'()*+,;=~"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """A response or, where refers_to is set, a revisit record, whose block is empty."""
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    lines += [f"WARC-Target-URI: {''.join((url or '').split())}", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A response record, whose block is an HTTP head and the payload, or, where refers_to is set, a revisit record, whose
+    block is the head alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
+    lines += [f"WARC-Target-URI: {quote(url or '', safe=URL_SIGNS)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
         payload = b""
-    lines.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    lines.append(f"Content-Length: {len(http) + len(payload)}")
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
+    """The record's fields, the payload's size by its HTTP head, and the payload (empty for a revisit)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in line)
-    return fields, rest[: int(fields["Content-Length"])]
+    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    return fields, int(http.rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0]), payload
 
 
 def leading_frame(dictionary: bytes) -> bytes:
@@ -79,12 +91,13 @@ def frames(raw: bytes):
         yield b"".join(out)
 
 
-def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
+def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary, or none where there are too few records to train on."""
     import zstandard
 
-    sample = pages.where(F.length("html") > 0).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(rows).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()
-    records = [record(r["page_id"], r["url"], p := r["html"].encode("utf-8", "surrogatepass"), len(p), hashlib.sha1(p).hexdigest(), None) for r in sample]
+    known = pages.select(F.col("page_id").cast("long").alias("_id"), F.col("url").cast("string").alias("_url"), F.col("html").alias("_text"), F.lit(0).alias("_group")).where(F.length("html") > 0)
+    sample = sample_texts(thinned(known.drop("_url"), F.xxhash64("_id", "_text"), rows), rows, sample_bytes)
+    records = [record(page_id, None, p := html.encode("utf-8", "surrogatepass"), len(p), hashlib.sha1(p).hexdigest(), None) for page_id, html, _ in sample]
     try:
         return zstandard.train_dictionary(size, records, level=LEVEL).as_bytes() if len(records) >= 20 else b""
     except zstandard.ZstdError:
@@ -92,19 +105,21 @@ def build_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICT
 
 
 def decide(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """The pages with refers_to: the largest page id of an equal payload, null for responses. Only digests are grouped;
-    a payload that a third of the pages share is one row of the small side of the join."""
+    """The pages with refers_to: the largest page id of an equal payload, null for responses. Payloads of many pages are
+    joined by broadcast, so no task gets all pages of one payload."""
     raw = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.octet_length(raw).alias("size"), F.sha1(raw).alias("digest"))
-    held = rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("same")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "keeper")
-    joined = rows.join(held, (F.col("digest") == F.col("same")) & F.col("page_id").isNotNull(), "left")
+    rows = rows.withColumn("same", F.when((F.col("size") >= least_bytes) & F.col("page_id").isNotNull(), F.col("digest")))
+    held = rows.where("same IS NOT NULL").groupBy("same").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    joined = join_keyed(rows, written(held.where("n > 1")), "same", "n")
     return joined.withColumn("refers_to", F.when(F.col("keeper") != F.col("page_id"), F.col("keeper"))).drop("same", "keeper")
 
 
-def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the archives; a table of (path, records, payload_bytes) of those that count."""
+def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
+    """Writes the archives, their records dated ``date`` (now); a table of (path, records, payload_bytes) of those that count."""
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     dictionary = spark.sparkContext.broadcast(build_dictionary(pages))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def archived(batches):
         import zstandard
@@ -123,7 +138,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
                     out = store.open_output_stream(path, compression=None)
                     out.write(leading_frame(raw))
                 payload = html.encode("utf-8", "surrogatepass")
-                out.write(compressor.compress(record(page_id, url, payload, len(payload), digest, refers_to)))
+                out.write(compressor.compress(record(page_id, url, payload, len(payload), digest, refers_to, date)))
                 records, size = records + 1, size + len(payload)
                 if size >= archive_bytes:
                     out.close()
@@ -152,11 +167,11 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
             for content in batch.column("content"):
                 rows: list[list] = [[], [], [], [], [], [], []]
                 for raw in frames(content.as_py()):
-                    fields, payload = parse(raw)
+                    fields, size, payload = parse(raw)
                     response = fields["WARC-Type"] == "response"
                     page, to = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
                     digest = hashlib.sha1(payload).hexdigest() if response else fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    values = (page and int(page), fields["WARC-Target-URI"], len(payload) if response else int(fields["X-Payload-Length"]), digest, fields["WARC-Type"], to and int(to), payload.decode("utf-8", "surrogatepass") if response else None)
+                    values = (page and int(page), fields["WARC-Target-URI"], len(payload) if response else size, digest, fields["WARC-Type"], to and int(to), payload.decode("utf-8", "surrogatepass") if response else None)
                     for column, value in zip(rows, values):
                         column.append(value)
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], [c.split()[0] for c in schema.split(", ")])
