@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from .ranking import running_sums, value_buckets
+from .ranking import quantiles, running_sums, value_buckets
 
 
 def binary_metrics(df: DataFrame, truth: Column, alert: Column, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -89,7 +89,11 @@ def duplicates(df: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
 
 def shift_bounds(df: DataFrame, values: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """One row with the bounds of each value over healthy rows."""
-    return df.agg(*[F.percentile(v, F.lit(q)).alias(f"{v}_{n}") for v in values for n, q in (("low", low), ("high", high))])
+    out = None
+    for v in values:
+        bounds = quantiles(df, v, [low, high]).toDF(f"{v}_low", f"{v}_high")
+        out = bounds if out is None else out.join(F.broadcast(bounds))
+    return out
 
 
 def shift_score(df: DataFrame, bounds: DataFrame, values: list[str]) -> DataFrame:

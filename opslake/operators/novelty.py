@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranking import salted_join
 from .sequence import streaks
 
+ROUTE_LINES = 20_000
+
 
 def terms(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """ids, term, tf: one- and two-word terms of lower-case words of two or more letters or digits."""
@@ -42,8 +45,10 @@ def sparse_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 
 def nearest(queries: DataFrame, prototypes: DataFrame, query_key: str, prototype_key: str) -> DataFrame:
-    """query_key, novelty: 1 - the largest cosine with a prototype, over the texts that share a term with one."""
-    pairs = queries.join(prototypes.withColumnRenamed("w", "_w"), "term").groupBy(query_key, prototype_key).agg(F.sum(F.col("w") * F.col("_w")).alias("cosine"))
+    """query_key, novelty: 1 - the largest cosine with a prototype, over the texts that share a term with one. A term that
+    many queries have is spread over all tasks."""
+    met = salted_join(queries, prototypes.withColumnRenamed("w", "_w"), "term", F.col(query_key))
+    pairs = met.groupBy(query_key, prototype_key).agg(F.sum(F.col("w") * F.col("_w")).alias("cosine"))
     return pairs.groupBy(query_key).agg((1 - F.max("cosine")).alias("novelty"))
 
 
@@ -101,7 +106,8 @@ def drift_findings(events: DataFrame, threshold: float, least_events: int = 20,
 def mine_templates(df: DataFrame, text: str, leading: int = 2, similarity: float = 0.6) -> DataFrame:
     """route, template, n: texts of one route (number of words and leading words without digits) are clustered in the order
     of the text; a text joins the most similar template and masks where they differ, or begins a new one. Only distinct
-    texts are clustered, so repeated lines cost one row."""
+    texts are clustered, so repeated lines cost one row. A route with over ``ROUTE_LINES`` distinct texts is clustered in
+    parts of about that many, and then the parts' templates are."""
     words = F.split(F.trim(F.col(text)), r"\s+")
     first = F.transform(F.slice(words, 1, leading), lambda w: F.when(w.rlike(r"\d"), "<*>").otherwise(w))
     routed = df.select(F.concat_ws(" ", F.size(words).cast("string"), F.concat_ws(" ", first)).alias("route"), F.col(text).alias("text")).groupBy("route", "text").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +125,12 @@ def mine_templates(df: DataFrame, text: str, leading: int = 2, similarity: float
                 found.append([parts, n])
         return pd.DataFrame({"route": pdf["route"].iloc[0], "template": [" ".join(t) for t, _ in found], "n": [int(n) for _, n in found]})
 
-    return routed.groupBy("route").applyInPandas(cluster, "route string, template string, n long")
+    schema = "route string, template string, n long"
+    sizes = routed.groupBy("route").agg(F.ceil(F.count(F.lit(1)) / ROUTE_LINES).cast("int").alias("_parts"))
+    dealt = routed.join(sizes, "route").withColumn("_part", F.pmod(F.xxhash64("text"), F.col("_parts")).cast("int"))
+    found = dealt.groupBy("route", "_part", "_parts").applyInPandas(lambda pdf: cluster(pdf).assign(parts=pdf["_parts"].iloc[0]), schema + ", parts int")
+    merged = found.where("parts > 1").groupBy("route", F.col("template").alias("text")).agg(F.sum("n").alias("n")).groupBy("route").applyInPandas(cluster, schema)
+    return found.where("parts = 1").drop("parts").unionByName(merged)
 
 
 def match_templates(df: DataFrame, text: str, templates: DataFrame, leading: int = 2, similarity: float = 0.6) -> DataFrame:

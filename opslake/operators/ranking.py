@@ -42,3 +42,32 @@ def hash_places(df: DataFrame, keys: list[str], digest: str) -> DataFrame:
     bucket = F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
     out = running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, bucket, [F.col(digest)], {"_at": "_one"})
     return out.withColumn("place", F.col("_at") - 1).withColumnRenamed("_at_all", "rows").drop("_at", "_one")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with the exact quantiles q0, q1, ... of a column over the whole table, interpolated between neighbours; nulls
+    are left out. Equal values are counted first and summed in ranges, so no task holds the column."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = running_sums(counts, [], value_buckets(counts, "_v"), [F.col("_v")], {"_upto": "_n"})
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    out = []
+    for i, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("_upto_all") - 1)
+        out += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}"), F.max(place - F.floor(place)).alias(f"_part{i}")]
+    row = sums.agg(*out)
+    return row.select(*[(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(f"q{i}") for i in range(len(shares))])
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Inner join on a key that may be hot on the left. Keys with over a quarter of a partition's share of the left rows (at
+    most four a shuffle partition) are cut into as many parts as there are partitions, by a hash of ``spread``, and the
+    right side's rows of these keys are repeated for each part."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg((F.sum("_n") / (4 * parts)).alias("_limit"))
+    hot = counts.join(F.broadcast(total)).where("_n > _limit").select(F.col(key).alias("_hot"))
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    a = marked.withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    b = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    return a.join(b, [key, "_part"]).drop("_part")

@@ -128,6 +128,32 @@ def test_hash_split_takes_whole_shares(spark):
         assert [got[i] for i in order] == ["train"] * 60 + ["validation"] * 20 + ["test"] * 20
 
 
+@pytest.mark.parametrize("values", [[1.0], [3.0, 1.0], [random.Random(9).gauss(0, 1) for _ in range(333)] + [None] * 5, [2.0] * 50])
+def test_quantiles_are_exact(spark, values):
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ranking.quantiles(frame, "v", [0.0, 0.001, 0.5, 0.999, 1.0]).first()
+    assert list(got) == pytest.approx(np.quantile([v for v in values if v is not None], [0.0, 0.001, 0.5, 0.999, 1.0]).tolist())
+
+
+def test_quantiles_of_nothing_are_null(spark):
+    assert list(ranking.quantiles(spark.createDataFrame([(None,)], "v double"), "v", [0.5]).first()) == [None]
+
+
+def test_hot_terms_join_like_others(spark):
+    rng = random.Random(7)
+    left = [(i, "hot" if i % 2 else rng.choice("abcdefgh")) for i in range(400)]
+    right = [(j, t) for j, t in enumerate(["hot", "hot", "a", "b", "zz"])]
+    got = ranking.salted_join(spark.createDataFrame(left, "i int, term string"), spark.createDataFrame(right, "j int, term string"), "term", F.col("i"))
+    assert sorted(map(tuple, got.select("i", "j", "term").collect())) == sorted((i, j, t) for i, t in left for j, u in right if t == u)
+
+
+def test_large_routes_are_mined_in_parts(spark, monkeypatch):
+    lines = spark.createDataFrame([(f"open file f{i} now",) for i in range(60)] + [("close it",)] * 3, "l string")
+    whole = {tuple(r) for r in novelty.mine_templates(lines, "l").collect()}
+    monkeypatch.setattr(novelty, "ROUTE_LINES", 10)
+    assert {tuple(r) for r in novelty.mine_templates(lines, "l").collect()} == whole == {("4 open file", "open file <*> now", 60), ("2 close it", "close it", 3)}
+
+
 # selection and summaries -------------------------------------------------------------------------------------------
 
 
