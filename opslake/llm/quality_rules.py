@@ -4,9 +4,10 @@ Rules are judged per document; failures are summed by host (``source``), each ho
 prior fitted to all hosts by moments, and the verdict on the host goes back to its documents: on a host whose shrunk
 rate is over ``bad_rate`` the strict rules hold too (symbols, repeated lines), elsewhere only the base rules do. So a
 clean document of a bad host stays, and a host with few documents is judged mostly by the prior. DataFrame functions
-only, and no document is moved: everything per document is computed from its own text in the scan.
+only, and no document is moved: everything per document is computed from its own text in the scan. Verdicts on hosts
+with many documents are broadcast, the others joined by shuffling the narrow measures.
 
-Cases: a null text has no words and fails; null hosts are one host; without spread between hosts the prior is as
+Cases: a null text has no words and fails; null and empty hosts are one host; without spread between hosts the prior is as
 strong as ``prior_limit`` documents; repeated rows each count; an empty table gives an empty result; of the input only
 ``doc_id``, ``text`` and ``source`` are read.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_keyed, written
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def host_verdicts(judged: DataFrame, bad_rate: float, prior_limit: float) -> DataFrame:
-    """host, host_rate (shrunk failure rate), host_bad."""
+    """host, n (its documents), host_rate (shrunk failure rate), host_bad."""
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("k"))
     rate = F.col("k") / F.col("n")
     moments = hosts.agg((F.sum("k") / F.sum("n")).alias("mean"), F.avg(rate * rate).alias("square"), F.avg(rate).alias("plain"), F.avg(1 / F.col("n")).alias("inverse"))
@@ -82,7 +83,7 @@ def host_verdicts(judged: DataFrame, bad_rate: float, prior_limit: float) -> Dat
     strength = F.when((spread > 0) & (noise > 0), F.least(F.lit(prior_limit), F.greatest(F.lit(1.0), noise / spread - 1))).otherwise(F.lit(prior_limit))
     prior = moments.select("mean", strength.alias("strength"))
     shrunk = (F.col("k") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", shrunk.alias("host_rate"), (shrunk > bad_rate).alias("host_bad"))
+    return hosts.join(F.broadcast(prior)).select("host", "n", shrunk.alias("host_rate"), (shrunk > bad_rate).alias("host_bad"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, bad_rate: float = 0.3, symbol_share: float = 0.1, line_share: float = 0.3, prior_limit: float = 1000.0) -> DataFrame:
@@ -93,6 +94,5 @@ def judge(spark: SparkSession, docs: DataFrame, bad_rate: float = 0.3, symbol_sh
     rules = rules.withColumn("base_failed", base).withColumn("failed", strict)
     # the measures are narrow; both the hosts and the documents read them from one table
     rules = written(rules)
-    verdicts = host_verdicts(rules, bad_rate, prior_limit)
-    out = rules.join(verdicts, "host")
+    out = join_keyed(rules, written(host_verdicts(rules, bad_rate, prior_limit)), "host", "n")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~(F.col("host_bad") & F.col("failed"))).alias("kept"), F.round("host_rate", 9).alias("host_rate"), "host_bad")
