@@ -5,12 +5,13 @@ point clockwise. A shard's load is bounded by its share of all rows, so a full s
 the next point whose shard has room, and so on. With the shares of :func:`capacities` every shard is filled exactly,
 so counts differ by one row at most, and only overflow leaves its ring place.
 
-The ring works on counts: rows are ranked within their arc, the overflow rounds move runs of ranks (at most one round
-a shard), and a last join gives each row its shard and slot. DataFrame functions only.
+The ring works on counts: rows are ranked within their arc by a hash of their content, the overflow rounds move runs
+of ranks (at most one round a shard), and a last join gives each row its shard and slot. So the result follows from
+the rows alone, however the table is dealt over partitions. DataFrame functions only.
 
 Cases: null text has 0 bytes; null ids and ids that many rows share hash to one place whose overflow moves on, and
-salts keep such rows apart in the shuffle; equal rows are interchangeable; an empty table gives an empty result. Only
-``doc_id`` and ``text`` are read.
+salts keep such rows apart in the shuffle; rows equal in id, size and text checksum are counted before the shuffle and
+dealt out in blocks after it; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_runs, ranked, written
+from .common import expanded, join_runs, ranked_kinds, remove_tables, written
 
 SHARDS = 40
 VNODES = 64
@@ -51,12 +52,12 @@ def capacities(shards: int, n: int) -> str:
 
 
 def place_arcs(counts: DataFrame, points: DataFrame, shards: int, n: int) -> DataFrame:
-    """arc, rank0, rank1, shard, slot0: which shard takes which ranks of each arc. counts: arc, n."""
+    """arc, first, last, shard, slot0: which shard takes which ranks of each arc. counts: arc, n. A written table."""
     points = written(points.coalesce(1))
     bound = points.select("shard").distinct().selectExpr("shard", f"{capacities(shards, n)} AS bound")
     moving = counts.select("arc", F.col("arc").alias("point"), F.lit(0).cast("long").alias("rank0"), F.col("n").cast("long").alias("n"))
     state = written(moving.join(points.drop("place"), "point").select(F.lit(False).alias("placed"), "arc", "point", "rank0", "n", "shard", F.lit(0).cast("long").alias("slot0")).coalesce(1))
-    done = []
+    made, done = [state], []
     twice = points.select("point", "shard", "point").toDF("point", "shard", "turn").unionByName(points.select((F.col("point")).alias("point"), "shard", (F.col("point") + shards * points_per(points, shards)).alias("turn")))
     used = points.select("shard").distinct().select("shard", F.lit(0).cast("long").alias("used"))
     while True:
@@ -74,13 +75,16 @@ def place_arcs(counts: DataFrame, points: DataFrame, shards: int, n: int) -> Dat
         took = arrivals.where("taken > 0").select(F.lit(True).alias("placed"), "arc", "point", "rank0", F.col("taken").alias("n"), "shard", F.col("at").alias("slot0"))
         state = written(over.unionByName(took).coalesce(1))
         used = written(full.select("shard", "used").coalesce(1))
+        made += [state, used]
         done.append(state.where("placed"))
         if state.where("not placed").isEmpty():
             break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("arc", "rank0", (F.col("rank0") + F.col("n") - 1).alias("rank1"), "shard", "slot0")
+    runs = written(out.select("arc", F.col("rank0").alias("first"), (F.col("rank0") + F.col("n") - 1).alias("last"), "shard", "slot0").coalesce(1))
+    remove_tables(points, *made)
+    return runs
 
 
 def points_per(points: DataFrame, shards: int) -> int:
@@ -93,11 +97,13 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, vnodes: in
     points = ring(spark, shards, vnodes)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.withColumn("place", F.pmod(F.xxhash64(F.lit("row"), "doc_id"), F.lit(PLACES)).cast("int"))
-    rows = rows.join(F.broadcast(arcs(points)), "place").withColumn("uid", F.monotonically_increasing_id())
-    rows = written(rows.drop("place"))
-    n = rows.count()
-    counts = rows.groupBy("arc").agg(F.count(F.lit(1)).alias("n"))
-    runs = written(place_arcs(counts, points, shards, n).coalesce(1))
-    placed = join_runs(ranked(rows, "arc", ["uid"]), "arc", runs, "rank0", "rank1")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("slot0") + F.col("rank") - F.col("rank0")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # rows that are equal in all three are one kind with its number, so that ranks follow from the rows alone
+    kinds = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.withColumn("place", F.pmod(F.xxhash64(F.lit("row"), "doc_id"), F.lit(PLACES)).cast("int")).withColumn("mixed", F.xxhash64("doc_id", "size", "text_crc32"))
+    kinds = written(kinds.join(F.broadcast(arcs(points)), "place").drop("place"))
+    n = kinds.agg(F.sum("n")).first()[0] or 0
+    counts = kinds.groupBy("arc").agg(F.sum("n").alias("n"))
+    runs = place_arcs(counts, points, shards, n)
+    ordered = ranked_kinds(kinds, "arc", ["mixed", "doc_id", "size", "text_crc32"], "n", max(8, min(1 << 14, n >> 20)))
+    placed = join_runs(expanded(ordered, "n", ["mixed"]).drop("rank0"), "arc", runs, "first", "last")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
