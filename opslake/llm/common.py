@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task holds in numpy arrays at once (a longer single text is a piece of its own).
 PIECE_BYTES = 2 << 20
 MASK64 = (1 << 64) - 1
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: the lineage ends here and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,11 +42,24 @@ def written(df: DataFrame) -> DataFrame:
 def remove_tables(*tables: DataFrame) -> None:
     """Deletes tables of :func:`written` that nothing will read again."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        conf = table.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        _delete(table.sparkSession, {f.rsplit("/", 1)[0] for f in table.inputFiles()})
+
+
+def tables_made() -> int:
+    """How many tables :func:`written` has made in this process: a mark for :func:`release`."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables made since a mark, but for those of keep. For when all that reads them has been written."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for table in keep for f in table.inputFiles()}
+    _delete(spark, {p for p in _tables[since:] if p.rsplit("/", 1)[1] not in kept})
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
