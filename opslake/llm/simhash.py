@@ -9,7 +9,9 @@ fingerprints agree up to t_i bits in some partition (t_i = -1: the partition is
 the t_i by the candidate pairs that each would make, estimated from exact counts over all fingerprints, and the
 cheapest number of partitions is taken. Each fingerprint is probed under its partition's value with every choice of
 t_i bits masked; groups under one key are verified by exact bit counts. A group keeps a spanning forest of its links,
-never all pairs; a group over ``group_limit`` rows is cut into chunks whose pairs are verified in separate tasks.
+never all pairs; a group over ``group_limit`` rows is split by further bits (rows that may link agree in one of
+``distance`` + 1 sets of bits), and only where that leaves over ``group_limit`` rows are chunks of it compared pairwise in
+separate tasks.
 
 Cases: null texts count as empty; texts without words have fingerprint zero and link like any other; repeated rows
 and ids are fine (the smallest non-null id names a component); an empty table gives an empty result. Only ``doc_id``
@@ -26,18 +28,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, shuffle_partitions, written
+from .common import Words, pieces, remove_tables, shuffle_partitions, written
 
 SHINGLE = 3
 SEED = 42
 GROUP_LIMIT = 8192
+# The multipliers of XXH64.
+PRIMES = tuple(map(np.uint64, (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)))
 ROW_COST = 40  # shuffling one probe costs as much as verifying so many pairs
 
 
-def _fingerprints(words: Words, shingle: int) -> np.ndarray:
-    """uint64 per text; sums of hash bits are taken over all texts of the piece at once."""
+def hash_ranges(raw: bytes, start: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of raw[start:end] for each range. Ranges under 32 bytes, nearly all shingles, are hashed together, those of
+    equally many eight-byte lanes at a time; longer ones by the library."""
     import xxhash
 
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    size = end - start
+    out = np.empty(len(start), np.uint64)
+    padded = raw + bytes(8)
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    four = np.ndarray(len(raw) + 1, "<u4", padded, strides=(1,))
+    one = np.frombuffer(padded, np.uint8)
+    p1, p2, p3, p4, p5 = PRIMES
+    for lanes in range(4):
+        which = np.flatnonzero(size >> 3 == lanes)
+        n, at = size[which], start[which]
+        h = n.astype(np.uint64) + np.uint64((seed + int(p5)) & (1 << 64) - 1)
+        for k in range(lanes):
+            h = turned(h ^ turned(eight[at + 8 * k] * p2, 31) * p1, 27) * p1 + p4
+        at = at + 8 * lanes
+        some = np.flatnonzero(n & 4)
+        h[some] = turned(h[some] ^ four[at[some]].astype(np.uint64) * p1, 23) * p2 + p3
+        at[some] += 4
+        for k in range(3):
+            some = np.flatnonzero((n & 3) > k)
+            h[some] = turned(h[some] ^ one[at[some] + k].astype(np.uint64) * p5, 11) * p1
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        out[which] = h ^ (h >> np.uint64(32))
+    long = np.flatnonzero(size >= 32)
+    out[long] = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return out
+
+
+def bit_sums(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each bit, [texts, 64]; counts (none is 0) are the texts' numbers of hashes. A sum
+    of up to 255 hashes fits into the eight bytes of a word that each hold one bit of every byte."""
+    chunks = -(-counts // 255)
+    first = np.cumsum(chunks) - chunks
+    inside = np.arange(chunks.sum()) - np.repeat(first, chunks)
+    at = np.repeat(np.cumsum(counts) - counts, chunks) + 255 * inside
+    sums = np.empty((len(at), 8, 8), np.uint8)
+    for bit in range(8):
+        sums[:, :, bit] = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), at).view(np.uint8).reshape(-1, 8)
+    return np.add.reduceat(sums.reshape(-1, 64), first, axis=0, dtype=np.int64)
+
+
+def _fingerprints(words: Words, shingle: int) -> np.ndarray:
+    """uint64 per text; sums of hash bits are taken over all texts of the piece at once."""
     n = len(words.first) - 1
     out = np.zeros(n, np.uint64)
     sizes = np.diff(words.first)
@@ -48,12 +99,10 @@ def _fingerprints(words: Words, shingle: int) -> np.ndarray:
     counts = np.where(sizes > 0, np.maximum(sizes - shingle + 1, 1), 0)
     begin = np.repeat(words.first[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     last = np.minimum(begin + shingle, np.repeat(words.first[1:], counts)) - 1
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(raw[a:b], SEED) for a, b in zip(start[begin].tolist(), end[last].tolist())], np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.int32)
+        h = hash_ranges(raw, start[begin], end[last])
+        sums = bit_sums(h, counts[full])
         ones = (2 * sums > counts[full][:, None]).astype(np.uint8)
         out[full] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
@@ -179,18 +228,25 @@ def links(nodes: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT) -
         for j, masked in enumerate(combinations(bits, t)):
             keys.append(F.struct(F.lit(number * 100_000 + j).alias("part"), extract(F.col("fp"), [b for b in bits if b not in masked]).alias("value")))
     probes = nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.part", "key.value")
-    # groups over the limit: each row goes to the pairs of chunks that its chunk is part of
-    large = probes.groupBy("part", "value").count().where(F.col("count") > group_limit).withColumn("chunks", F.ceil(F.col("count") / group_limit).cast("int")).drop("count")
-    probes = probes.join(large, ["part", "value"], "left")
+    # groups over the limit: rows that differ in at most `distance` bits agree in one of distance + 1 sets of bits, so such
+    # a group is split by each set; what is then still over the limit is compared chunk with chunk
+    count = lambda rows: rows.groupBy("part", "value", "sub", "rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit)
+    probes = probes.withColumn("sub", F.lit(-1)).withColumn("rest", F.lit(0).cast("long"))
+    large = count(probes).select("part", "value", F.lit(True).alias("large"))
+    parts = [F.struct(F.lit(j).alias("sub"), extract(F.col("fp"), list(range(j, 64, distance + 1))).alias("rest")) for j in range(distance + 1)]
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest")))
+    probes = probes.drop("sub", "rest").join(large, ["part", "value"], "left").select("fp", "part", "value", F.explode(F.when(F.col("large"), F.array(*parts)).otherwise(whole)).alias("s")).select("fp", "part", "value", "s.sub", "s.rest")
+    still = count(probes.where("sub >= 0")).withColumn("chunks", F.ceil(F.col("n") / group_limit).cast("int")).drop("n")
+    probes = probes.join(still, ["part", "value", "sub", "rest"], "left")
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     cells = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, chunk) * F.col("chunks") + F.greatest(c, chunk)))
-    probes = probes.select("fp", "part", "value", F.explode(cells).alias("cell"))
-    dealt = probes.repartition(shuffle_partitions(spark), "part", "value", "cell").sortWithinPartitions("part", "value", "cell")
+    probes = probes.select("fp", "part", "value", F.explode(cells).alias("cell"), (F.col("sub") + 1).alias("sub"), "rest")
+    dealt = probes.repartition(shuffle_partitions(spark), "part", "value", "sub", "rest", "cell").sortWithinPartitions("part", "value", "sub", "rest", "cell")
 
     def verified(batches):
-        tail = [np.zeros(0, np.int64)] * 4
+        tail = [np.zeros(0, np.int64)] * 6
         for batch in _with_end(batches):
-            columns = tail if batch is None else [np.concatenate([t, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for t, c in zip(tail, ("fp", "part", "value", "cell"))]
+            columns = tail if batch is None else [np.concatenate([t, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for t, c in zip(tail, ("fp", "part", "value", "sub", "rest", "cell"))]
             n = len(columns[0])
             if not n:
                 continue
@@ -237,7 +293,8 @@ def components(edges: DataFrame) -> DataFrame:
         star = star.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u > v").distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        old, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
+        remove_tables(old)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
