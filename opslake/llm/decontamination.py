@@ -9,13 +9,18 @@ true edit distance. Nothing within the edit budget is missed.
 The benchmark is taken in blocks of at most ``block_chars`` characters, each broadcast by itself; every text is
 searched whole against every block.
 
-Cases: null texts and items are empty; items shorter than q characters match nothing; for patterns too short for the
-full budget it is lowered until the bound is 1; repeated rows are reported each; ``doc_id``, ``text`` and ``item_id``,
+Items shorter than q characters have no q-gram and no room for an edit: they are found exactly, as whole words.
+:func:`clean` does not drop a text for them, as a few letters are no passage.
+
+Cases: null texts and items are empty, and an empty item matches nothing; for patterns too short for the full budget it
+is lowered until the bound is 1; repeated rows are reported each; ``doc_id``, ``text`` and ``item_id``,
 ``text`` are all that is read.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +34,7 @@ ERROR = 0.08
 BAND = 32
 BLOCK_CHARS = 1 << 20
 FILTER_BITS = 22
+BANDS_AT_ONCE = 4096
 
 
 def fold(text: str | None) -> str:
@@ -61,9 +67,12 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, str]], pattern: int = PATTERN, error: float = ERROR):
         self.item, self.offset, self.text = [], [], []
+        self.short: dict[str, list[int]] = {}
         for item, raw in items:
             text = fold(raw)
             if len(text) < Q:
+                if text:
+                    self.short.setdefault(text, []).append(item)
                 continue
             starts = [0] if len(text) <= pattern * 3 // 2 else [*range(0, len(text) - pattern, pattern // 2), len(text) - pattern]
             for s in starts:
@@ -71,6 +80,9 @@ class Patterns:
                 self.item.append(item)
                 self.offset.append(s)
                 self.text.append(codes(part))
+        # a look-ahead, so that items that overlap in a text are all found
+        longest_first = sorted(self.short, key=lambda t: (-len(t), t))
+        self.short_words = [re.compile(r"(?<!\w)(?=(" + "|".join(re.escape(t) for t in longest_first if len(t) == n) + r")(?!\w))") for n in sorted({len(t) for t in self.short})]
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.budget = np.minimum((error * self.size).astype(np.int64), np.maximum((self.size - Q) // Q, 0))
         self.bound = self.size - Q + 1 - self.budget * Q
@@ -127,6 +139,9 @@ class Patterns:
         """Least edits of the whole pattern against each band, and the position where such an alignment ends. Characters
         outside [low, high), the text that the region belongs to, match nothing."""
         word, k = self.text[pattern], int(self.budget[pattern])
+        if len(bands) > BANDS_AT_ONCE:  # a long repetitive text: bounded memory
+            parts = [self.align(c, low, high, pattern, bands[i : i + BANDS_AT_ONCE]) for i in range(0, len(bands), BANDS_AT_ONCE)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
         start = bands * BAND - k
         width = BAND + 3 * k + 1
         column = np.arange(width)
@@ -182,6 +197,12 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, pattern:
                     row[1] = min(row[1], e)
                     row[2] = min(row[2], stop - len(table.text[q]))
                     row[3] = max(row[3], stop)
+                for words in table.short_words:
+                    for d, t in enumerate(texts):
+                        for m in words.finditer(t):
+                            for item in table.short[m[1]]:
+                                row = best.setdefault((d, item), [0, 0, m.start(), m.end(1)])
+                                row[0], row[3] = 1, max(row[3], m.end(1))
                 for (d, item), row in best.items():
                     for column, value in zip(found, [ids[d], item, row[0], row[1], max(0, row[2]), row[3]]):
                         column.append(value)
@@ -193,6 +214,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, pattern:
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark passage (a row without an id goes if any such row holds one)."""
-    hit = matches(spark, docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    """The rows of docs that hold no benchmark passage of Q or more characters (a row without an id goes if any such row
+    holds one)."""
+    folded = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    hit = matches(spark, docs, benchmark.where(F.length(folded) >= Q)).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")

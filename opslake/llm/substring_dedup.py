@@ -1,14 +1,15 @@
-"""Exact substring dedup by difference-cover anchors.
+"""Substring dedup by difference-cover anchors.
 
 A window is ``window`` consecutive words of one text; words of windows whose word sequence starts in two or more
 places are removed. The cover is a set of residues modulo a period such that for any two positions some shift below
 the period makes both cover positions. So two equal windows hold an equal anchor (window - period + 1 words) that
 starts at a cover position in both. Step 1 hashes anchors at cover positions only (5 in 21) and keeps those that occur
 twice. Step 2 extends: only window starts that lie within a period before a repeated anchor are hashed as whole
-windows (80 bits), and windows that occur twice are confirmed. Step 3 removes the covered words.
+windows (80 bits), and windows that occur twice are confirmed. Step 3 removes the covered words. Windows count as equal
+if their 80-bit hashes are: among n windows next to repeated anchors a false match has a chance of about n * n / 2^81.
 
 Hashes are dealt over partitions and compared there with sorted arrays, so a passage in a third of the texts costs
-memory for its partition's rows only (24 bytes a hash).
+memory for its partition's rows only (24 bytes a hash), and partitions are as many as the text needs.
 
 Cases: null text has no words; texts shorter than a window keep all words; repeated rows are places of their own, so
 both are removed whole; an empty table gives an empty result; of the input only ``doc_id`` and ``text`` are read.
@@ -26,6 +27,7 @@ from .common import Words, mix, pieces, range_hashes, shuffle_partitions, word_h
 
 WINDOW = 35
 PERIOD = 21
+PART_BYTES = 64 << 20
 COVER = (3, 6, 7, 12, 14)  # differences of these give every residue modulo 21
 BASES = (0x8CB92BA72F3D8DD7, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5)
 
@@ -105,11 +107,17 @@ def _gathered(batches) -> tuple[np.ndarray, ...] | None:
     return tuple(np.concatenate(c) for c in zip(*out)) if out else None
 
 
-def anchors(docs: DataFrame, window: int) -> DataFrame:
+def partitions_for(docs: DataFrame) -> int:
+    """Partitions that hashes are dealt over: so many that each has the hashes of ``PART_BYTES`` of text, as a task sorts its
+    partition in memory."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
+
+
+def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
     """Every anchor at a cover position, dealt by its hash. a: its place in the text; b: what its piece knows of it."""
     period, residues = cover_of(window)
     length = window - period + 1
-    parts = shuffle_partitions(docs.sparkSession)
 
     def found(batches):
         for batch in pieces(batches):
@@ -166,11 +174,10 @@ def repeated_anchors(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(kept, "_k long, pos int")
 
 
-def windows(candidates: DataFrame, window: int) -> DataFrame:
+def windows(candidates: DataFrame, window: int, parts: int) -> DataFrame:
     """The window at each candidate start, dealt by its hash. a: its start and what its piece knows of it; b: 16 more
     bits of hash."""
     period = cover_of(window)[0]
-    parts = shuffle_partitions(candidates.sparkSession)
 
     def hashed(batches):
         for batch in pieces(batches, "_z", limit=1 << 19):
@@ -211,9 +218,10 @@ def repeated_starts(dealt: DataFrame) -> DataFrame:
 
 def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """_k, starts: the starts of repeated windows per distinct row (_k as in :func:`_keyed`)."""
-    places = repeated_anchors(anchors(docs, window)).groupBy("_k").agg(F.collect_set("pos").alias("places"))
+    parts = partitions_for(docs)
+    places = repeated_anchors(anchors(docs, window, parts)).groupBy("_k").agg(F.collect_set("pos").alias("places"))
     candidates = _joined(docs.select("doc_id", "text"), places, "inner")
-    return repeated_starts(windows(candidates, window)).groupBy("_k").agg(F.collect_set("start").alias("starts"))
+    return repeated_starts(windows(candidates, window, parts)).groupBy("_k").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
