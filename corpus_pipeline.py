@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opslake.llm import decontamination, packing, quality_classifier, simhash, substring_dedup
-from opslake.llm.common import written
+from opslake.llm.common import release, remove_tables, tables_made, written
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. Tables that a stage made on its way, and the documents before it, are deleted once its output is
+    written; those of the last stage stay, as its result is read lazily."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        mark = tables_made()
+        after = written(stage(spark, docs, sf_dir))
+        release(spark, mark, after)
+        if docs is not before:
+            remove_tables(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
