@@ -23,8 +23,11 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def removed(text: Column, letters: str) -> Column:
-    return F.translate(text, letters, "")
+def replaced(text: Column, letters: str, by: str) -> Column:
+    """text with each of the letters replaced: searches for one letter at a time are several times faster than translate."""
+    for letter in letters:
+        text = F.replace(text, F.lit(letter), F.lit(by))
+    return text
 
 
 def repeated_window_words(words: Column, width: int = 3) -> Column:
@@ -58,15 +61,14 @@ def bound(value: Column, body) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, host and the rule inputs of every document."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    spaced = text.withColumn("spaced", F.translate("text", BLANKS, " " * len(BLANKS)))
-    split = spaced.withColumn("words", F.filter(F.split("spaced", " "), lambda w: w != ""))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(removed(x, BLANKS)) > 0)
+    split = text.withColumn("words", F.filter(F.split(replaced(F.col("text"), BLANKS[1:], " "), " "), lambda w: w != ""))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.octet_length(F.btrim(x, F.lit(BLANKS))) > 0)
     return split.select(
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
-        F.length(removed(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(removed(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(replaced(F.col("text"), SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("words")).alias("n_repeat_words"),
     )
