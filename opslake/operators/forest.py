@@ -73,7 +73,7 @@ def grow_tree(x: np.ndarray, tree: int) -> list[list]:
             nodes.append([number, -1, 0.0, -1, -1, len(rows)])
             continue
         f = int(rng.choice(open_))
-        at = float(rng.uniform(low[f], high[f]))
+        at = max(float(rng.uniform(low[f], high[f])), float(np.nextafter(low[f], high[f])))  # neither side is empty
         nodes.append([number, f, at, -1, -1, len(rows)])
         goes = x[rows, f] < at
         todo += [(rows[~goes], depth + 1, number, True), (rows[goes], depth + 1, number, False)]

@@ -45,6 +45,13 @@ def test_forest_scores_equal_a_walk_through_its_nodes(spark, points):
     assert got == pytest.approx(true)
 
 
+def test_values_that_barely_differ_still_split():
+    x = np.array([[1.0], [np.nextafter(1.0, 2)], [1.0]])
+    for tree in range(30):
+        nodes = forest.grow_tree(x, tree)
+        assert sum(n[5] for n in nodes if n[1] < 0) == 3 and all(n[5] for n in nodes)
+
+
 def test_forests_by_group_stay_tables_and_share_large_groups(spark, points, monkeypatch):
     monkeypatch.setattr(forest, "ROWS_A_TASK", 7)
     rows, frame = points
