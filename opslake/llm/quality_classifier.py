@@ -2,8 +2,8 @@
 
 Zstandard dictionaries are built from good and from bad labelled texts. A text is compressed whole with either; the
 difference of the two compressed sizes, over the text's size and over the smaller compressed size, says which class it
-resembles. A logistic curve fitted on labelled texts that are in neither dictionary turns it into a score; the curve
-also takes how far the text compresses and the logarithm of its size, by which the difference is calibrated for short
+resembles. A logistic curve turns it into a score; it is fitted on the labelled texts in ``FOLDS`` parts, each compressed
+with dictionaries of the other parts, so that no text is measured by a dictionary that holds it. The curve also takes how far the text compresses and the logarithm of its size, by which the difference is calibrated for short
 and for repetitive texts.
 
 Only a bounded sample of labelled rows is used for fitting (parameters): at most ``max_per_class`` texts of each label,
@@ -29,8 +29,9 @@ from .common import crc_of_id, pieces, sample_texts, thinned
 
 MAX_PER_CLASS = 1500
 MAX_BYTES = 64 << 20
-DICTIONARY_BYTES = 256 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 1 << 20
+FOLDS = 4
+LEVEL = 6
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_per_class: int, max_bytes: int = MAX_BYTES) -> list[tuple[int, str, int]]:
@@ -105,9 +106,19 @@ class CompressionModel:
         return list(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def dictionary(texts: list[str], size: int) -> bytes:
+    """Whole texts until the dictionary is full; those over a sixteenth of it last, so that no single one fills it."""
+    raw = bytearray()
+    for text in sorted(texts, key=lambda t: len(t) > size // 16):
+        raw += text.encode("utf-8", "surrogatepass") + b"\n"
+        if len(raw) >= size:
+            break
+    return bytes(raw[:size])
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_per_class: int = MAX_PER_CLASS, dictionary_bytes: int = DICTIONARY_BYTES) -> CompressionModel:
-    """Half of each class's sample goes to its dictionary, whole texts until it is full; the other half calibrates the
-    curve. Calibration weighs the classes as they are in the labels."""
+    """The curve is calibrated on the sample in parts, each compressed with dictionaries of the other parts; the model's own
+    dictionaries are built from all of it. Calibration weighs the classes as they are in the labels."""
     sample = labelled_sample(docs, labels, target, max_per_class)
     if not sample:
         return CompressionModel(b"", b"", None, 0.5)
@@ -116,20 +127,17 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_per_cla
     texts = {label: [t for _, t, y in sample if y == label and t] for label in (0, 1)}
     if min(map(len, texts.values())) < 2:
         return CompressionModel(b"", b"", None, share)
-    dictionaries = []
-    for label in (1, 0):
-        raw = b""
-        for text in sorted(texts[label][::2], key=lambda t: len(t) > dictionary_bytes // 16):
-            raw += text.encode("utf-8", "surrogatepass") + b"\n"
-            if len(raw) >= dictionary_bytes:
-                break
-        dictionaries.append(raw[:dictionary_bytes])
-    model = CompressionModel(*dictionaries, None, share)
-    compressors = model.compressors()
-    rest = [(t, y) for y in (0, 1) for t in texts[y][1::2]]
-    x = np.array([_features(t, *compressors) for t, _ in rest])
-    y = np.array([label for _, label in rest], float)
+    folds = min(FOLDS, *map(len, texts.values()))
+    x, y = [], []
+    for fold in range(folds):
+        compressors = CompressionModel(*(dictionary([t for i, t in enumerate(texts[label]) if i % folds != fold], dictionary_bytes) for label in (1, 0)), None, share).compressors()
+        for label in (0, 1):
+            for text in texts[label][fold::folds]:
+                x.append(_features(text, *compressors))
+                y.append(float(label))
+    x, y = np.array(x), np.array(y)
     weights = logistic_fit(x, y)
+    model = CompressionModel(*(dictionary(texts[label], dictionary_bytes) for label in (1, 0)), None, share)
     drawn = min(max(y.mean(), 1e-6), 1 - 1e-6)
     if 0 < share < 1:  # the sample takes both classes alike; the curve is moved to the classes' true shares
         weights[-1] += math.log(share / (1 - share)) - math.log(drawn / (1 - drawn))
