@@ -186,11 +186,15 @@ def window_vector(spark, d):
     return B.req(spark, d).groupBy("window", "service").agg(F.count(F.lit(1)).alias("n"), share(s == 503).alias("error_fraction"), share(s == 404).alias("warn_fraction"), F.percentile("duration", F.lit(0.95)).alias("p95"), share(s.isNull()).alias("unknown_fraction"))
 
 
-@query("o07_distinct_map_back", "SELECT conv_id, turn, length(lower(text)) AS size FROM conversations")
+@query(
+    "o07_distinct_map_back",
+    "WITH t AS (SELECT conv_id, turn, regexp_replace(lower(text), '[0-9]+', '<num>', 'g') AS template FROM conversations) SELECT conv_id, turn, count(*) OVER (PARTITION BY template) AS copies, length(template) AS size FROM t",
+)
 def distinct_map_back(spark, d):
-    rows = B.table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("template"))
-    scored = rows.select("template").distinct().withColumn("size", F.length("template").cast("long"))
-    return rows.join(scored, "template").select("conv_id", "turn", "size")
+    """Each distinct template is measured once, and what was found goes back to every row that has it."""
+    rows = B.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower("text"), "[0-9]+", "<num>").alias("template"))
+    scored = rows.groupBy("template").agg(F.count(F.lit(1)).alias("copies")).withColumn("size", F.length("template").cast("long"))
+    return rows.join(scored, "template").select("conv_id", "turn", "copies", "size")
 
 
 @query("f01_log_template")

@@ -111,6 +111,15 @@ def operating_envelopes(spark, d):
     return limits(spark, d)
 
 
+@query(
+    "a11_default_envelopes",
+    f"""WITH {B.WIN} SELECT service, {R('greatest(quantile_cont(p95, 0.99) * 2, 50)')} AS latency_limit, {R('greatest(quantile_cont(error_fraction, 0.99) + 0.05, 0.05)')} AS error_limit FROM win WHERE "window" < 15 GROUP BY service""",
+)
+def default_envelopes(spark, d):
+    """Factor, floor and margin as they are set for users."""
+    return W.envelopes(B.win(spark, d).where("window < 15"))
+
+
 @query("a12_window_score", f"WITH {B.WIN} SELECT \"window\", {R('max(p95)')} AS score, arg_max(service, {{'p': p95, 's': service}}) AS service FROM win GROUP BY \"window\"")
 def window_score(spark, d):
     return B.win(spark, d).groupBy("window").agg(F.max("p95").alias("score"), F.max_by("service", F.struct("p95", "service")).alias("service"))

@@ -186,6 +186,12 @@ def test_contract_counts_unknown_as_broken(spark):
     assert [r.violations for r in got] == [[], ["small"], ["small"]]
 
 
+def test_envelopes_have_a_factor_a_floor_and_a_margin(spark):
+    frame = spark.createDataFrame([("slow", 100.0, 0.5), ("quick", 3.0, 0.0)], "service string, p95 double, error_fraction double")
+    got = {r.service: (r.latency_limit, r.error_limit) for r in windows.envelopes(frame).collect()}
+    assert got == {"slow": (200.0, 0.55), "quick": (50.0, 0.05)}
+
+
 def test_forest_finds_the_outlier_and_repeats(spark):
     rng = np.random.default_rng(0)
     rows = [(i, *map(float, rng.normal(0, 1, 3))) for i in range(400)] + [(999, 9.0, 9.0, 9.0)]
