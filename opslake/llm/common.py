@@ -87,9 +87,10 @@ def sample_texts(rows: DataFrame, max_rows: int, max_bytes: int) -> list[tuple]:
     max_bytes of text in all. Only ids, hashes and sizes are collected before the choice; equal rows count once."""
     spark = rows.sparkSession
     keyed = rows.withColumn("_content", F.xxhash64("_id", "_text"))
-    sizes = keyed.groupBy("_id", "_group", "_content").agg(F.max(F.octet_length("_text")).cast("long").alias("_size"))
+    sizes = written(keyed.groupBy("_id", "_group", "_content").agg(F.max(F.octet_length("_text")).cast("long").alias("_size")))  # one pass over the texts
     groups = [r["_group"] for r in sizes.select("_group").distinct().collect()]
     found = thinned(sizes, F.col("_content"), max_rows, groups).collect()  # bounded also where one id has many texts
+    remove_tables(sizes)
     kept, taken, size = [], {}, 0
     for r in sorted(found, key=lambda r: (r["_content"], str(r["_group"]))):
         if taken.get(r["_group"], 0) < max_rows and size + r["_size"] <= max_bytes:
