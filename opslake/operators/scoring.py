@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def operational_reasons(df: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds ``reasons`` (no requests, latency, errors over the service's limits) and ``alert``. limits is one row a service."""
-    joined = df.join(F.broadcast(limits), "service")
+    joined = df.join(limits, "service")
     reasons = F.array_compact(
         F.array(
             F.when(F.col("requests") == 0, F.lit("no requests")),

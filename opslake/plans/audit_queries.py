@@ -154,7 +154,7 @@ def threshold_fallback(spark, d):
     w = B.win(spark, d)
     t = w.where("window < 15 AND service < 's'").groupBy("service").agg(F.percentile("p95", F.lit(0.995)).alias("t"))
     most = t.agg(F.max("t").alias("most"))
-    return w.select("service").distinct().join(F.broadcast(t), "service", "left").join(F.broadcast(most)).select("service", F.coalesce("t", "most").alias("threshold"))
+    return w.select("service").distinct().join(t, "service", "left").join(F.broadcast(most)).select("service", F.coalesce("t", "most").alias("threshold"))
 
 
 @query("j01_labels_join", f"WITH {B.LAB} SELECT doc_id, truth, score, system FROM lab")
@@ -225,7 +225,7 @@ SELECT service, "window", {R('CASE WHEN center IS NULL THEN 0 ELSE p95 - center
 def reference_lookup(spark, d):
     w = B.win(spark, d)
     r = w.where("window < 15 AND service <> 'view'").groupBy("service").agg(F.percentile("p95", F.lit(0.5)).alias("center"))
-    j = w.where("window >= 15").join(F.broadcast(r), "service", "left")
+    j = w.where("window >= 15").join(r, "service", "left")
     return j.select("service", "window", F.coalesce(F.col("p95") - F.col("center"), F.lit(0.0)).alias("excess"), F.col("center").isNotNull().alias("available"))
 
 

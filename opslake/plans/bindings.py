@@ -55,7 +55,7 @@ def busy(spark: SparkSession, d: str) -> DataFrame:
     """win with a dense warning flag: p95 over the median of the first five days."""
     w = win(spark, d)
     base = w.where("window < 5").groupBy("service").agg(F.percentile("p95", F.lit(0.5)).alias("base"))
-    return w.join(F.broadcast(base), "service").withColumn("warning", F.col("p95") > F.col("base")).withColumn("until", F.col("window") + 1)
+    return w.join(base, "service").withColumn("warning", F.col("p95") > F.col("base")).withColumn("until", F.col("window") + 1)
 
 
 BUSY = (

@@ -49,7 +49,7 @@ def isolation_forest_score(spark, d):
 def service_forests(spark, d):
     w = B.win(spark, d)
     healthy = w.where("window < 15")
-    scaled = w.join(F.broadcast(W.mad_reference(healthy, ["service"], FEATURES, [1.0, 0.01, 1.0, 1.0])), "service")
+    scaled = w.join(W.mad_reference(healthy, ["service"], FEATURES, [1.0, 0.01, 1.0, 1.0]), "service")
     scaled = scaled.select("service", "window", *[((F.col(c) - F.col(f"{c}_center")) / F.col(f"{c}_scale")).alias(c) for c in FEATURES])
     nodes = forest.grow(scaled.where("window < 15"), key(), FEATURES, F.col("service"), trees=150, psi=64)
     return forest.score(scaled.where("window >= 15"), nodes, FEATURES, F.col("service")).select("service", "window", "score")
@@ -318,5 +318,5 @@ def reference_features(spark, d):
 
     w = B.win(spark, d)
     r = W.healthy_reference(w.where("window < 15 AND service <> 'view'"), ["service"], ["p95"])
-    j = w.join(F.broadcast(r), "service", "left")
+    j = w.join(r, "service", "left")
     return j.select("service", "window", clipped_change(F.col("p95"), F.col("p95_center"), F.col("p95_scale")).alias("p95_change"), F.col("p95_center").isNull().cast("int").alias("missing"))
