@@ -226,8 +226,10 @@ class ToxicityModel:
             for j in range(1, len(raw)):
                 at = at[words.data[at + j] == raw[j]]
             code[at] = k
-        # strip marks around each word: first and last byte that is part of a word
-        part = (cls >= 0)[words.data]
+        # strip marks around each word: first and last byte that is a letter or digit; a stand-in counts only between such
+        core = cls >= 0
+        core[[*b"@$"]] = False
+        part = core[words.data]
         steps = np.concatenate([[0], np.cumsum(part)])
         inner = np.flatnonzero(part)
         has = steps[words.end] > steps[words.start]

@@ -219,11 +219,11 @@ def test_quotation_needs_a_pair(before, after, quoted):
 def test_terms_of_any_script_match_themselves_and_marks_are_no_letters():
     terms = ["नालायकगधेड़ाबेवकूफ", "дурак", "bad", "idiot"]
     model = toxicity.ToxicityModel(terms)
-    texts = ["x नालायकगधेड़ाबेवकूफ y", "ДУРАК!", "bad", "bed", "“idiot”", "«idot»", "idi0t", "a" * 100 + "idiot", None, "", "idioto idiot", "—idiot—"]
+    texts = ["x नालायकगधेड़ाबेवकूफ y", "ДУРАК!", "bad", "bed", "“idiot”", "«idot»", "idi0t", "a" * 100 + "idiot", None, "", "idioto idiot", "—idiot—", "idiot$$$ @@idiot", "id$ot"]
     _, index, edits, quoted, _ = model.hits(pa.array(texts))
     words = toxicity.Words(pa.array([toxicity.plain_marks((t or "").lower()) for t in texts]))
     got = Counter(words.doc[index].tolist())
-    assert got == {0: 1, 1: 1, 2: 1, 4: 1, 5: 1, 6: 1, 10: 2, 11: 1}
+    assert got == {0: 1, 1: 1, 2: 1, 4: 1, 5: 1, 6: 1, 10: 2, 11: 1, 12: 2, 13: 1}
     assert dict(zip(words.doc[index].tolist(), quoted.tolist()))[4] and edits.max() == 1
 
 
