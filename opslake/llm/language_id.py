@@ -210,9 +210,10 @@ def fit(docs: DataFrame, max_per_lang: int = MAX_PER_LANG, max_langs: int = MAX_
             gm = (observed - expected) / len(seq) - 1e-3 * move
             g_m += gm * gm
             move += 0.2 * gm / np.sqrt(g_m)
-            gw = np.stack([np.bincount(slot, error[row, j], minlength=SLOTS) for j in range(k)], axis=1) / len(seq)
-            g_w += gw * gw
-            weights += 0.1 * gw / np.sqrt(g_w)
+            used, at = np.unique(slot, return_inverse=True)  # no other weight changes
+            gw = np.stack([np.bincount(at, error[row, j], minlength=len(used)) for j in range(k)], axis=1) / len(seq)
+            g_w[used] += gw * gw
+            weights[used] += 0.1 * gw / np.sqrt(g_w[used])
     return CrfModel(labels, weights, move)
 
 

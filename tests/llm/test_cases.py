@@ -142,7 +142,7 @@ def test_more_languages_than_any_list_and_long_training_texts(spark):
     rows = []
     for k in range(70):
         own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
-        rows += [(k * 10 + j, " ".join(rng.choice(own) for _ in range(40 if j else 3000)), f"l{k}", None, 1) for j in range(6)]
+        rows += [(k * 10 + j, " ".join(rng.choice(own) for _ in range(40 if j else 700)), f"l{k}", None, 1) for j in range(6)]
     frame = spark.createDataFrame(rows, DOC)
     got = {r.doc_id: r.lang_pred for r in language_id.identify(spark, frame).collect()}
     assert sum(got[i] == lang for i, _, lang, *_ in rows) >= 0.97 * len(rows)
