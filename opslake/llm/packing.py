@@ -62,6 +62,7 @@ class WordTable:
 
         self.tokenizer = Tokenizer.from_file(path)
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = set(self.LETTERS)
         self.spelling = {ord(c): spell(c)[0][0] for c in self.LETTERS}
         self._clear()
 
@@ -73,19 +74,15 @@ class WordTable:
     @classmethod
     def of_worker(cls, path: str) -> "WordTable":
         """The table of this Python worker, which Spark uses again for later tasks."""
-        store = vars(sys.modules.setdefault("_opslake_worker", types.ModuleType("_opslake_worker")))
-        if path not in store:
-            store[path] = cls(path)
-        return store[path]
+        store = vars(sys.modules.setdefault("_opslake_worker", types.ModuleType("_opslake_worker"))).setdefault("tables", {})
+        if (cls.__name__, path) not in store:
+            store[cls.__name__, path] = cls(path)
+        return store[cls.__name__, path]
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the ids of each word's two parts begin, how many they are (both [words, 2]), and the array they are in.
         Words differ from each other."""
-        stem = pc.utf8_rtrim(words, self.MARKS)
-        plain = pc.match_substring_regex(stem, f"^[{self.LETTERS}{self.LETTERS.upper().replace('SS', '')}]+$")
-        marks = pc.utf8_ltrim(pc.utf8_lower(words), self.LETTERS)
-        first, second = pc.if_else(plain, pc.utf8_lower(stem), words), pc.if_else(plain, marks, "")
-        parts = pa.concat_arrays([first, second]).dictionary_encode()
+        parts = pa.concat_arrays(self._parts(words)).dictionary_encode()
         distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > KNOWN_PARTS:
             self._clear()
@@ -100,16 +97,26 @@ class WordTable:
         which = parts.indices.to_numpy().reshape(2, -1).T
         return start[which], n[which], self.ids
 
+    def _parts(self, words: pa.Array) -> list[pa.Array]:
+        stem = pc.utf8_rtrim(words, self.MARKS)
+        plain = pc.match_substring_regex(stem, f"^[{self.LETTERS}{self.LETTERS.upper().replace('SS', '')}]+$")
+        marks = pc.utf8_ltrim(pc.utf8_lower(words), self.LETTERS)
+        return [pc.if_else(plain, pc.utf8_lower(stem), words), pc.if_else(plain, marks, "")]
+
+    def _spelt(self, part: str) -> str | None:
+        """A part of plain letters in the tokenizer's letters for bytes, ready to be merged; None for any other."""
+        if part.isascii() and part.isalpha() and part.islower():
+            return part
+        return part.translate(self.spelling) if part and self.letters.issuperset(part) else None
+
     def _learn(self, parts: list[str]) -> None:
-        """Plain letters are merged as they are, spelt in the tokenizer's letters for bytes; others take the whole tokenizer."""
-        merge, spelling, letters = self.tokenizer.model.tokenize, self.spelling, set(self.LETTERS)
+        """Plain letters are merged as they are; others take the whole tokenizer."""
+        merge, spelt = self.tokenizer.model.tokenize, self._spelt
         found: list[list[int]] = [[]] * len(parts)
         other = []
         for i, w in enumerate(parts):
-            if w.isascii() and w.isalpha() and w.islower():
-                found[i] = [t.id for t in merge(w)]
-            elif letters.issuperset(w) and w:
-                found[i] = [t.id for t in merge(w.translate(spelling))]
+            if (s := spelt(w)) is not None:
+                found[i] = [t.id for t in merge(s)]
             else:
                 other.append(i)
         for k in range(0, len(other), 1000):

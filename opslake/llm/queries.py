@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with their production parameters, over whole tables."""
+"""The registered queries of the operators, with their production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity, warc
+from . import centroids, decontamination, language_id, packing, quality_classifier, quality_rules, ranked_search, sharding, simhash, substring_dedup, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dictionary_warc": _warc,
     "op9_levenshtein_toxicity": _documents(toxicity.detect, "labels"),
     "op10_compression_quality": _documents(quality_classifier.classify, "labels"),
+    "op11_best_position_search": _documents(ranked_search.search, "benchmark"),
+    "op12_token_list_parquet": _documents(token_files.encoded_documents),
+    "op13_heap_bound_clustering": lambda spark, sf_dir: centroids.clustered(spark, _table(spark, sf_dir, "embeddings")),
 }
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +97,24 @@ WITH sized AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM same""",
+    "op11_best_position_search": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), items AS (
+  SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark
+), asked AS (
+  SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM items) GROUP BY q, item_id, t
+), size AS (
+  SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0
+), held AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY r, t
+), terms AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, size GROUP BY t, n
+), scored AS (
+  SELECT q, item_id, doc_id, r, CAST(sum(times * terms.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.w) * n) // l)))) AS BIGINT) AS score
+  FROM asked JOIN terms USING (t) JOIN held USING (t) JOIN d USING (r), size GROUP BY q, item_id, doc_id, r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
+    "op13_heap_bound_clustering": centroids.oracle_sql(),
 }
