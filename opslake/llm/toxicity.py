@@ -35,6 +35,8 @@ from .quality_classifier import labelled_sample, logistic_fit
 MAX_PER_CLASS = 4000
 MAX_BYTES = 16 << 20
 MAX_TERMS = 2000
+#: Labels that are broadcast at most (16 bytes each).
+BROADCAST_LABELS = 1 << 21
 WINDOW = 4
 CONTEXT_SLOTS = 1 << 12
 #: Kinds of quotation marks, each read as its plain form.
@@ -42,23 +44,22 @@ DOUBLE, SINGLE = "«»„“”‟＂", "‘’‚‛‹›`´"
 OTHER_MARKS = "…–—‐‑‒•·¡¿"
 
 
-def mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def mentions(docs: DataFrame, labels: DataFrame, broadcast_labels: int = BROADCAST_LABELS) -> DataFrame:
     """w, n, k: how many different contexts (the word before) each word of the labelled rows has, and how many of these in
-    marked texts, so that copies of one passage count once. Every labelled row outside the held-out fold is counted.
+    marked texts, so that copies of one passage count once; a context that occurs under both labels counts under both.
+    Every labelled row outside the held-out fold is counted, and contexts are told apart by 63 bits of hash, so that counts
+    are right at any size. A word's contexts are dealt over all partitions before they are added up.
 
-    Contexts are counted by 64 hash slots a class, as the bits of two longs: each word is one row of fixed size that
-    adds up before the shuffle. More than some 260 contexts of a class count as that many. The labels grow with the
-    documents, so they are never broadcast: texts and labels meet by shuffling both."""
+    Up to ``broadcast_labels`` labels are broadcast; more meet the texts by shuffling both."""
     fold = labels.where(F.col("toxic").isNotNull() & (crc_of_id(F.col("doc_id")) % 5 != 0)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).distinct()
     words = F.split(F.lower(F.regexp_replace("_text", r"[^\p{L}\p{N}\s]+", " ")), r"\s+")
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(fold.hint("shuffle_hash"), "_id").select("_y", words.alias("w"))
-    slots = F.transform("w", lambda x, i: F.pmod(F.xxhash64(F.coalesce(F.get("w", i - 1), F.lit(""))), F.lit(64)).cast("int"))
-    each = rows.select("_y", F.explode(F.arrays_zip(F.col("w"), slots.alias("s"))).alias("x")).select("_y", F.col("x")["w"].alias("w"), F.expr("shiftleft(1L, x.s)").alias("s"))
-    each = each.where((F.length("w") >= 2) & (F.length("w") <= 64))
-    bits = each.groupBy("w").agg(*[F.coalesce(F.bit_or(F.when(F.col("_y") == y, F.col("s"))), F.lit(0).cast("long")).alias(f"s{y}") for y in (0, 1)])
-    free = lambda c: F.greatest(F.lit(64) - F.bit_count(c), F.lit(1))
-    n0, n1 = (F.round(64 * F.log(F.lit(64.0) / free(F.col(c)))) for c in ("s0", "s1"))
-    return bits.select("w", (n0 + n1).alias("n"), n1.alias("k"))
+    few = fold.limit(broadcast_labels + 1).count() <= broadcast_labels
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(fold) if few else fold.hint("shuffle_hash"), "_id").select("_y", words.alias("w"))
+    marked = (F.col("_y") == 1).cast("long")
+    context = F.transform("w", lambda x, i: F.xxhash64(F.coalesce(F.get("w", i - 1), F.lit(""))).bitwiseAND(F.lit(-2)).bitwiseOR(marked))
+    each = rows.select(F.explode(F.arrays_zip(F.col("w"), context.alias("c"))).alias("x")).select(F.col("x")["w"].alias("w"), F.col("x")["c"].alias("c"))
+    different = each.where((F.length("w") >= 2) & (F.length("w") <= 64)).distinct()
+    return different.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c").bitwiseAND(F.lit(1))).alias("k"))
 
 
 def learn_terms(docs: DataFrame, labels: DataFrame, min_contexts: int = 4, least: float = 0.5, max_terms: int = MAX_TERMS) -> list[str]:
