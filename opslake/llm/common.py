@@ -106,9 +106,11 @@ def sample_texts(rows: DataFrame, max_rows: int, max_bytes: int) -> list[tuple]:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES, rows: int = 30_000) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that the texts of each take at most ``limit`` bytes and rows, or are one row."""
+    """Cuts record batches so that the texts of each take at most ``limit`` bytes and rows, or are one row. ``column`` has the
+    texts, or their sizes."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = batch.column(column)
+        sizes = pc.fill_null(sizes if pa.types.is_integer(sizes.type) else pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
         start = 0
         while start < batch.num_rows:
             ends = np.cumsum(sizes[start : start + rows])

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +42,14 @@ def cover_of(window: int) -> tuple[int, tuple[int, ...]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds _k, a key of the row's content: equal rows share their verdict."""
-    return docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    """Adds _k and _c, two hashes (64 and 32 bits) of the row's content: equal rows share their verdict. Candidates go by _k
+    alone, where a false match costs only work; verdicts go by both."""
+    content = F.col("doc_id").cast("long"), F.col("text")
+    return docs.withColumns({"_k": F.xxhash64(*content), "_c": F.hash(*content)})
 
 
-def _joined(docs: DataFrame, per_key: DataFrame, how: str) -> DataFrame:
-    """docs joined with a table on _k. Texts travel compressed (column _z)."""
+def _joined(docs: DataFrame, per_key: DataFrame, how: str, on: list[str]) -> DataFrame:
+    """docs joined with a table on keys. Texts travel compressed (column _z) with their size (_size)."""
 
     def packed(batches):
         import zstandard
@@ -55,11 +58,11 @@ def _joined(docs: DataFrame, per_key: DataFrame, how: str) -> DataFrame:
         for batch in pieces(batches):
             z = [None if t is None else compressor.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             columns = {n: batch.column(n) for n in batch.schema.names if n != "text"}
-            yield pa.RecordBatch.from_pydict(columns | {"_z": pa.array(z, pa.binary())})
+            yield pa.RecordBatch.from_pydict(columns | {"_z": pa.array(z, pa.binary()), "_size": pc.binary_length(batch.column("text")).cast(pa.int64())})
 
     keyed = _keyed(docs)
-    schema = T.StructType([f for f in keyed.schema if f.name != "text"] + [T.StructField("_z", T.BinaryType())])
-    return keyed.mapInArrow(packed, schema).join(per_key, "_k", how)
+    schema = T.StructType([f for f in keyed.schema if f.name != "text"] + [T.StructField("_z", T.BinaryType()), T.StructField("_size", T.LongType())])
+    return keyed.mapInArrow(packed, schema).join(per_key, on, how)
 
 
 def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
@@ -70,9 +73,10 @@ def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
 
 
 DEALT = "part int, h array<long>, doc array<short>, a array<int>, b array<short>, keys array<long>"
+SURE = DEALT + ", checks array<int>"
 
 
-def _dealt(parts: int, deal: np.ndarray, h: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+def _dealt(parts: int, deal: np.ndarray, h: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray, checks: np.ndarray | None = None) -> pa.RecordBatch:
     """A row for each partition with what a piece of texts has for it, as arrays: four times smaller than a row for each
     hash. doc counts the texts of the row, whose keys come along. Texts must be in order."""
     part = (deal % np.uint64(parts)).astype(np.int32)
@@ -87,23 +91,23 @@ def _dealt(parts: int, deal: np.ndarray, h: np.ndarray, doc: np.ndarray, a: np.n
     a = a.astype(np.int32)
     a[1:] -= np.where(new[1:], 0, a[:-1])  # steps within a text pack better than places
     lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (h.view(np.int64), local.astype(np.int16), a, b.astype(np.int16))]
-    keyed = pa.ListArray.from_arrays(pa.array(np.append(key_first, new.sum()).astype(np.int32)), pa.array(keys[doc[new]]))
-    return pa.record_batch([pa.array(part[first]), *lists, keyed], ["part", "h", "doc", "a", "b", "keys"])
+    keyed = [pa.ListArray.from_arrays(pa.array(np.append(key_first, new.sum()).astype(np.int32)), pa.array(v[doc[new]])) for v in (keys, checks) if v is not None]
+    return pa.record_batch([pa.array(part[first]), *lists, *keyed], ["part", "h", "doc", "a", "b", "keys", "checks"][: 5 + len(keyed)])
 
 
 def _gathered(batches) -> tuple[np.ndarray, ...] | None:
-    """h, a, b and the key of each hash that was dealt to a partition."""
+    """h, a, b and the keys of each hash that was dealt to a partition."""
     out = []
     for batch in batches:
-        flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h", "doc", "a", "b", "keys")]
+        flat = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "part"]
         sizes = np.diff(batch.column("h").offsets.to_numpy(zero_copy_only=False))
         offsets = batch.column("keys").offsets.to_numpy(zero_copy_only=False)
-        h, doc, a, b, keys = flat
+        h, doc, a, b, *keys = flat
         text = doc.astype(np.int64) + np.repeat(offsets[:-1] - offsets[0], sizes)
         new = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
         total = np.cumsum(a, dtype=np.int64)
         a = total - np.repeat(total[new] - a[new], np.diff(np.append(new, len(a))))
-        out.append((h, a.astype(np.int32), b, keys[text]))
+        out.append((h, a.astype(np.int32), b, *(k[text] for k in keys)))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else None
 
 
@@ -180,12 +184,14 @@ def windows(candidates: DataFrame, window: int, parts: int) -> DataFrame:
     period = cover_of(window)[0]
 
     def hashed(batches):
-        for batch in pieces(batches, "_z", limit=1 << 19):
+        for batch in pieces(batches, "_size"):
             words = Words(pa.array([t.decode("utf-8", "surrogatepass") for t in _unpacked(batch)], pa.string()))
             near = batch.column("places")
             flat = near.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(near.offsets.to_numpy(zero_copy_only=False)))
             n = len(words.start)
+            inside = words.first[owner] + flat < words.first[owner + 1]  # else the place is that of another row with the same _k
+            owner, flat = owner[inside], flat[inside]
             anchor = words.first[owner] + flat
             # starts from a period before each anchor up to it, inside the text
             low = np.maximum(anchor - period + 1, words.first[owner])
@@ -199,37 +205,37 @@ def windows(candidates: DataFrame, window: int, parts: int) -> DataFrame:
             known = _known([h, g])
             keys = batch.column("_k").to_numpy(zero_copy_only=False)
             deal = np.where(known == 2, mix(keys[words.doc[at]].view(np.uint64) ^ start.astype(np.uint64)), h)
-            yield _dealt(parts, deal, h, words.doc[at], start * 4 + known, g, keys)
+            yield _dealt(parts, deal, h, words.doc[at], start * 4 + known, g, keys, batch.column("_c").to_numpy(zero_copy_only=False))
 
-    return candidates.select("_k", "_z", "places").mapInArrow(hashed, DEALT).repartitionById(parts, F.col("part"))
+    return candidates.select("_k", "_c", "_z", "_size", "places").mapInArrow(hashed, SURE).repartitionById(parts, F.col("part"))
 
 
 def repeated_starts(dealt: DataFrame) -> DataFrame:
-    """_k, start of windows that occur twice or more."""
+    """_k, _c, start of windows that occur twice or more."""
 
     def kept(batches):
         if table := _gathered(batches):
-            h, a, g, k = table
+            h, a, g, k, c = table
             r = _repeated([h, g], a & 3)
-            yield pa.record_batch([pa.array(k[r]), pa.array(a[r] >> 2)], ["_k", "start"])
+            yield pa.record_batch([pa.array(k[r]), pa.array(c[r]), pa.array(a[r] >> 2)], ["_k", "_c", "start"])
 
-    return dealt.mapInArrow(kept, "_k long, start int")
+    return dealt.mapInArrow(kept, "_k long, _c int, start int")
 
 
 def covered_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_k, starts: the starts of repeated windows per distinct row (_k as in :func:`_keyed`)."""
+    """_k, _c, starts: the starts of repeated windows per distinct row (keys as in :func:`_keyed`)."""
     parts = partitions_for(docs)
     places = repeated_anchors(anchors(docs, window, parts)).groupBy("_k").agg(F.collect_set("pos").alias("places"))
-    candidates = _joined(docs.select("doc_id", "text"), places, "inner")
-    return repeated_starts(windows(candidates, window, parts)).groupBy("_k").agg(F.collect_set("start").alias("starts"))
+    candidates = _joined(docs.select("doc_id", "text"), places, "inner", ["_k"])
+    return repeated_starts(windows(candidates, window, parts)).groupBy("_k", "_c").agg(F.collect_set("start").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) per row of docs."""
-    rows = _joined(docs.select("doc_id", "text"), covered_words(docs, window), "left")
+    rows = _joined(docs.select("doc_id", "text"), covered_words(docs, window), "left", ["_k", "_c"])
 
     def cut(batches):
-        for batch in pieces(batches, "_z", limit=1 << 19):
+        for batch in pieces(batches, "_size"):
             total, removed, kept = [], [], []
             for text, starts in zip(_unpacked(batch), batch.column("starts")):
                 words = text.split()
@@ -257,7 +263,7 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) ->
     names = docs.columns
 
     def cut(batches):
-        for batch in pieces(batches, "_z", limit=1 << 19):
+        for batch in pieces(batches, "_size"):
             texts, stay = [], []
             for raw, null, found in zip(_unpacked(batch), batch.column("_z").is_null().to_pylist(), batch.column("_starts")):
                 if found.is_valid:
@@ -271,12 +277,14 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) ->
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.record_batch(columns, names).filter(pa.array(stay, pa.bool_()))
 
-    out = _joined(docs, starts, "left").mapInArrow(cut, docs.schema)
+    out = _joined(docs, starts, "left", ["_k", "_c"]).mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def uncovered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of n words lie in no window that begins at one of the starts."""
+    """Which of n words lie in no window that begins at one of the starts (a start whose window would end past the text is
+    none of this text's)."""
+    starts = starts[starts + window <= n]
     cover = np.zeros(n + 1, np.int32)
     np.add.at(cover, starts, 1)
     np.subtract.at(cover, starts + window, 1)
