@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, remove_tables, shuffle_partitions, written
+from .common import Words, join_keyed, pieces, remove_tables, shuffle_partitions, written
 
 SHINGLE = 3
 SEED = 42
@@ -304,9 +304,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprint of each row, and the group's root of each distinct fingerprint."""
     prints = written(fingerprints(docs, shingle))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first")))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(nodes, distance))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "first", "n", F.coalesce("root", "fp").alias("root"))
     return prints, placed
 
 
@@ -314,8 +314,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) per row of docs."""
     prints, placed = _grouped(docs, shingle, distance)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = written(placed.join(named, "root").select("fp", "n", "component_id"))
+    return join_keyed(prints, names, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, distance: int = 3) -> DataFrame:
