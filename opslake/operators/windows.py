@@ -61,15 +61,19 @@ def span_ratios(sums: DataFrame) -> DataFrame:
     )
 
 
-def request_windows(requests: DataFrame, width: float, keys: list[str] = ["service", "window"]) -> DataFrame:  # noqa: B006
+def request_aggregates(width: float) -> list[Column]:
     """p95 duration (linear), error fraction, requests per second, most active requests, count."""
-    return requests.groupBy(*keys).agg(
+    return [
         F.percentile("duration", F.lit(0.95)).alias("p95"),
         F.avg(F.coalesce((F.col("status") >= 400).cast("double"), F.lit(0.0))).alias("error_fraction"),
         (F.count(F.lit(1)) / F.lit(width)).alias("rps"),
         F.max("active").alias("max_active"),
         F.count(F.lit(1)).alias("requests"),
-    )
+    ]
+
+
+def request_windows(requests: DataFrame, width: float, keys: list[str] = ["service", "window"]) -> DataFrame:  # noqa: B006
+    return requests.groupBy(*keys).agg(*request_aggregates(width))
 
 
 def spine(keys: DataFrame, first: int, last: int, name: str = "window") -> DataFrame:

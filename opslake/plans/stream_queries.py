@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import sequence as Q
 from ..sources import files
-from ..streaming import jobs
+from ..operators import forest, windows
+from ..streaming import ingest, jobs, processors
 from . import bindings as B
 from . import window_queries as WQ
 from .registry import query
@@ -16,10 +17,12 @@ from .registry import query
 R = "round({}, 6)".format
 
 
-def landed_requests(spark, d, parts=3):
-    r = B.req(spark, d).withColumn("at", F.timestamp_micros((F.col("end_s") * 1e6).cast("long")))
-    step = B.DAYS // parts
-    return jobs.land(r, [(F.col("window") >= i * step) & (F.col("window") < (i + 1) * step if i < parts - 1 else F.lit(True)) for i in range(parts)])
+def timed_requests(spark, d):
+    return B.req(spark, d).withColumn("at", F.timestamp_micros((F.col("end_s") * 1e6).cast("long")))
+
+
+def _thirds():
+    return [F.col("window") < 10, (F.col("window") >= 10) & (F.col("window") < 20), F.col("window") >= 20]
 
 
 # A window of a day is decided when the latest event is an hour past its end: the last day stays open.
@@ -29,14 +32,14 @@ def landed_requests(spark, d, parts=3):
 WHERE 1704067200 + ("window" + 1) * 86400 <= (SELECT max(end_s) FROM req) - 3600 GROUP BY service, "window" """,
 )
 def tumbling_window(spark, d):
-    out = jobs.tumbling(landed_requests(spark, d), "at", "1 day", "1 hour", ["service"], [F.count(F.lit(1)).alias("requests"), F.max("active").alias("max_active"), F.max("duration").alias("longest")])
-    return jobs.run(out)
+    aggregates = [F.count(F.lit(1)).alias("requests"), F.max("active").alias("max_active"), F.max("duration").alias("longest")]
+    return jobs.fed(timed_requests(spark, d), _thirds(), lambda stream: jobs.tumbling(stream, "at", "1 day", "1 hour", ["service"], aggregates))
 
 
 @query("t03_late_accounting", f"WITH {B.REQ}, m AS (SELECT service, end_s, max(end_s) OVER (PARTITION BY service ORDER BY (k, span) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM req) SELECT service, count(*) AS n, count(*) FILTER (end_s < last - 86400) AS late FROM m GROUP BY service")
 def late_accounting(spark, d):
     r = B.req(spark, d).select("service", "end_s", "k", "span")
-    stream = jobs.land(r, [F.col("k") < 40, (F.col("k") >= 40) & (F.col("k") < 80), F.col("k") >= 80])
+    parts = [F.col("k") < 40, (F.col("k") >= 40) & (F.col("k") < 80), F.col("k") >= 80]
 
     def step(row, key, state):
         last, n, late = state or (None, 0, 0)
@@ -44,7 +47,7 @@ def late_accounting(spark, d):
         now = (row["end_s"] if last is None else max(last, row["end_s"]), n + 1, late + int(is_late))
         return [(*key, now[1], now[2])], now
 
-    counted = jobs.run(jobs.stateful(stream, ["service"], ["k", "span"], "service string, n long, late long", "last double, n long, late long", step))
+    counted = jobs.fed(r, parts, lambda stream: jobs.stateful(stream, ["service"], ["k", "span"], "service string, n long, late long", "last double, n long, late long", step))
     return counted.groupBy("service").agg(F.max("n").alias("n"), F.max("late").alias("late"))
 
 
@@ -52,38 +55,32 @@ def late_accounting(spark, d):
 def dedup_ingest(spark, d):
     r = B.req(spark, d).select("span", "service", "window", F.timestamp_micros((F.col("end_s") * 1e6).cast("long")).alias("at"))
     again = r.where("span % 4 = 0")
-    stream = jobs.land(r.unionByName(again), [F.col("window") < 10, (F.col("window") >= 10) & (F.col("window") < 20), F.col("window") >= 20])
-    return jobs.run(jobs.deduplicated(stream, "at", "2 days", ["span"]).select("span", "service"))
+    return jobs.fed(r.unionByName(again), _thirds(), lambda stream: jobs.deduplicated(stream, "at", "2 days", ["span"]).select("span", "service"))
 
 
 def _flags(spark, d):
     return B.busy(spark, d).select("service", "window", "until", "warning")
 
 
-def _thirds():
-    return [F.col("window") < 10, (F.col("window") >= 10) & (F.col("window") < 20), F.col("window") >= 20]
-
-
 @query("t07_incident_stream", f"WITH {WQ._TRANSITIONS} SELECT * FROM transitions")
 def incident_stream(spark, d):
-    stream = jobs.land(_flags(spark, d), _thirds())
-    return jobs.run(jobs.stateful(stream, ["service"], ["window"], "service string, start int, at int, kind string", "active boolean, warnings int, clears int", jobs.incident_step))
+    return jobs.fed(_flags(spark, d), _thirds(), lambda stream: jobs.stateful(stream, ["service"], ["window"], "service string, start int, at int, kind string", "active boolean, warnings int, clears int", jobs.incident_step))
 
 
 @query("t08_contiguous_messages")
 def contiguous_messages(spark, d):
     r = B.req(spark, d).select("service", (F.col("window") * 60).alias("end"), F.col("span").alias("arrival"))
-    stream = jobs.land(r, [F.pmod(F.col("arrival"), F.lit(3)) == i for i in range(3)])
-    return jobs.run(jobs.stateful(stream, ["service"], ["arrival"], "service string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
+    parts = [F.pmod(F.col("arrival"), F.lit(3)) == i for i in range(3)]
+    return jobs.fed(r, parts, lambda stream: jobs.stateful(stream, ["service"], ["arrival"], "service string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
 
 
 @query("t09_parameter_stream", f"WITH {B.SESS} SELECT instance, line, {WQ._MAXES} FROM sess WINDOW o AS (PARTITION BY instance ORDER BY line ROWS UNBOUNDED PRECEDING)")
 def parameter_stream(spark, d):
     s = B.sess(spark, d)
     top = s.agg(F.max("line")).first()[0] or 0
-    stream = jobs.land(s, [F.col("line") <= top // 2, F.col("line") > top // 2])
+    parts = [F.col("line") <= top // 2, F.col("line") > top // 2]
     columns = ", ".join(f"max_{i} double" for i in range(5))
-    return jobs.run(jobs.stateful(stream, ["instance"], ["line"], f"instance long, line long, {columns}", "last long, maxima array<double>", jobs.running_max_step(B.PRIORITIES)))
+    return jobs.fed(s, parts, lambda stream: jobs.stateful(stream, ["instance"], ["line"], f"instance long, line long, {columns}", "last long, maxima array<double>", jobs.running_max_step(B.PRIORITIES)))
 
 
 @query(
@@ -95,8 +92,7 @@ SELECT service, "window", CAST(gap AS INT) AS gap, gap >= 2 AS issue FROM h""",
 )
 def coverage_stream(spark, d):
     guard = WQ.coverage_guard(spark, d).select("service", "window", "seen", "insufficient")
-    stream = jobs.land(guard, _thirds())
-    return jobs.run(jobs.stateful(stream, ["service"], ["window"], "service long, window int, gap int, issue boolean", "gap int", jobs.coverage_step(2)))
+    return jobs.fed(guard, _thirds(), lambda stream: jobs.stateful(stream, ["service"], ["window"], "service long, window int, gap int, issue boolean", "gap int", jobs.coverage_step(2)))
 
 
 @query("t11_replay_equality", f"WITH {WQ._TRANSITIONS} SELECT count(*) AS compared, CAST(sum(\"at\") AS BIGINT) AS total, CAST(0 AS BIGINT) AS mismatches, CAST(0 AS DOUBLE) AS max_difference FROM transitions")
@@ -110,7 +106,7 @@ def stream_replay_equality(spark, d):
 def identity_guard(spark, d):
     """The last third comes from another model: the stream stops before it and keeps what it had."""
     marked = B.req(spark, d).select("service", "window").withColumn("model", F.when(F.col("window") < 20, "m1").otherwise("m2"))
-    kept, refused = jobs.run_until_refused(jobs.guarded(jobs.land(marked, _thirds()), "model", "m1"), "model has changed")
+    kept, refused = jobs.run_until_refused(marked, _thirds(), lambda stream: jobs.guarded(stream, "model", "m1"), "model has changed")
     return kept.groupBy("service").agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
 
 
@@ -133,8 +129,8 @@ def incremental_ingest(spark, d):
     torn = spark.range(1).select(F.lit('{"service": "cli').alias("value"))
     out = None
     for i in range(3):  # each round starts the query anew from its checkpoint
-        lines.where(F.col("third") == i).select("value").unionByName(torn).coalesce(1).write.mode("append").text(folder)
-        stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(folder)
+        lines.where(F.col("third") == i).select("value").unionByName(torn).write.mode("append").text(folder)
+        stream = spark.readStream.schema("value string").text(folder)
         events = stream.select(F.from_json("value", "service string, day int, id long, bad string", {"columnNameOfCorruptRecord": "bad"}).alias("e")).select("e.*").where("bad IS NULL")
         out = jobs.ledger(events, jobs.windowed_ingest(10, ["service", "id"], "day"), "service string, id long, day int, part string", run)
     read = spark.read.text(folder)
@@ -157,9 +153,9 @@ def arrival_grace(spark, d):
     a, b = bounds["a"] or 0.0, bounds["b"] or 0.0
     cuts = [a + (b - a) * i / 3 for i in (1, 2)]
     x = F.col("captured")
-    stream = jobs.land(c, [x <= cuts[0], (x > cuts[0]) & (x <= cuts[1]), x > cuts[1]])
+    parts = [x <= cuts[0], (x > cuts[0]) & (x <= cuts[1]), x > cuts[1]]
     schema = "service string, span long, end_s double, captured double, clock double, part string"
-    out = jobs.ledger(stream, jobs.grace_ingest(86400, 1800, ["service", "span"], "end_s", "captured"), schema, jobs.new_folder(spark, "stream"))
+    out = jobs.fed_ledger(c, parts, lambda stream: stream, jobs.grace_ingest(86400, 1800, ["service", "span"], "end_s", "captured"), schema)
     day = F.floor(F.col("end_s") / 86400).alias("day")
     counted = out.groupBy("service", day).agg(F.count_if(F.col("part") == "current").alias("counted"), F.count_if(F.col("part") == "late").alias("late"))
     return counted.where(((F.col("day") + 1) * 86400 + 1800) <= b)
@@ -173,7 +169,7 @@ SELECT service, count(*) AS inserted, count(*) FILTER (end_s < latest) AS recove
 def resume_overlap(spark, d):
     """A stop after day 20 that lost a tenth of the rows; the source is read again from a day before the latest row."""
     r = B.req(spark, d).select("service", "span", "end_s", "window", "k")
-    stored = jobs.run(jobs.land(r.where("window < 20 AND k >= 10"), [F.col("window") < 10, F.col("window") >= 10]))
+    stored = jobs.fed(r.where("window < 20 AND k >= 10"), [F.col("window") < 10, F.col("window") >= 10], lambda stream: stream)
     again = jobs.resume(stored, r.unionByName(r.where("k % 4 = 0")), "service", ["span"], "end_s", 86400.0)
     latest = stored.groupBy("service").agg(F.max("end_s").alias("latest"))
     return again.join(latest, "service").groupBy("service").agg(F.count(F.lit(1)).alias("inserted"), F.count_if(F.col("end_s") < F.col("latest")).alias("recovered"))
@@ -194,11 +190,7 @@ SELECT CAST(batch AS INT) AS batch, service, CAST(count(*) AS BIGINT) AS n, {R('
 def state_sink(spark, d):
     """State and predictions of a batch in one write; the query is stopped and started again after each third."""
     r = B.req(spark, d).select("service", "window", "duration")
-    landed, run = jobs.new_folder(spark, "landed"), jobs.new_folder(spark, "stream")
-    for third in _thirds():
-        jobs.roll(r.where(third), landed)
-        out = jobs.ledger(jobs.watch(spark, r.schema, landed), longest_so_far, "service string, n long, longest double, part string", run)
-    return out.drop("part")
+    return jobs.fed_ledger(r, _thirds(), lambda stream: stream, longest_so_far, "service string, n long, longest double, part string").drop("part")
 
 
 @query("s05_jsonl_scan", f"WITH {B.REQ} SELECT service, count(*) AS n, CAST(sum(status) AS BIGINT) AS statuses FROM req GROUP BY service")
@@ -250,3 +242,144 @@ def nested_traces(spark, d):
     traces.groupBy(F.col("l_orderkey").alias("traceID")).agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("spans")).select(F.array(F.struct("traceID", "spans")).alias("data")).write.json(folder)
     spans = files.flatten_traces(spark.read.json(folder))
     return spans.groupBy(F.col("traceID").alias("trace")).agg(F.count(F.lit(1)).alias("spans"), F.sum("l_quantity").alias("quantity"))
+
+
+# scoring, ingest and coverage inside the stream ---------------------------------------------------------------------
+
+_ORIGIN_MS = 1_704_067_200_000  # 2024-01-01, the first window
+
+
+def _closed(spark, requests):
+    """Requests with a mark of time three days after the last window, which closes all windows before it."""
+    mark = spark.range(1).select(F.lit(None).cast("string").alias("service"), F.timestamp_millis(F.lit(_ORIGIN_MS + (B.DAYS + 3) * processors.DAY_MS)).alias("at"), F.lit(B.DAYS + 3).alias("window"))
+    return requests.unionByName(mark, allowMissingColumns=True)
+
+
+@query("t07_online_incidents", f"WITH {WQ._TRANSITIONS} SELECT * FROM transitions")
+def online_incidents(spark, d):
+    """Raw requests in, transitions out: windows, the frozen model of the first five days and hysteresis in one stream."""
+    requests = _closed(spark, timed_requests(spark, d).select("service", "at", "window", "duration", "status", "active"))
+    model = B.win(spark, d).where("window < 5").groupBy("service").agg(F.percentile("p95", F.lit(0.5)).alias("base"))
+    aggregates = windows.request_aggregates(86400.0)
+    built = lambda stream: processors.online_incidents(stream, "at", "1 hour", "1 day", aggregates, model, F.col("p95") > F.col("base"), processors.Incidents(processors.DAY_MS, _ORIGIN_MS))
+    return jobs.fed(requests, _thirds(), built, runner=processors.run)
+
+
+@query("t10_coverage_guard_stream", f"""WITH {WQ._SEEN}, c AS (SELECT *, avg(CAST(seen AS INT)) OVER (PARTITION BY "window") AS coverage FROM seen),
+f AS (SELECT *, coverage < 0.9 AS insufficient FROM c), g AS (SELECT *, sum(CAST(seen OR insufficient AS INT)) OVER (PARTITION BY service ORDER BY "window") AS j FROM f),
+h AS (SELECT *, sum(CAST(NOT seen AND NOT insufficient AS INT)) OVER (PARTITION BY service, j ORDER BY "window") AS gap FROM g)
+SELECT CAST(service AS VARCHAR) AS service, "window", seen, {R('coverage')} AS coverage, insufficient, CAST(gap AS BIGINT) AS gap, gap >= 2 AS issue FROM h""")
+def coverage_guard_stream(spark, d):
+    """Raw events in, the guard's rows out: presence, coverage over all services and gaps are all made in the stream."""
+    requests = _closed(spark, timed_requests(spark, d).select(F.col("stream").cast("string").alias("service"), "at", "window"))
+    expected = requests.where("service IS NOT NULL").select("service").distinct()
+    guard = processors.CoverageGuard(2, 0.9, processors.DAY_MS, _ORIGIN_MS)
+    built = lambda stream: processors.coverage_stream(lambda: stream.where("service IS NOT NULL OR window > 30"), "at", "1 hour", "1 day", expected, guard)
+    return jobs.fed(requests, _thirds(), built, runner=processors.run).where(F.col("window").between(0, B.DAYS - 1) & F.col("service").isNotNull())
+
+
+_SENT = f"""{B.REQ}, base AS (SELECT stream AS source, service, span, least(2, "window" // 10) AS capture, CAST(k AS VARCHAR) AS payload, end_s FROM req),
+sent AS (SELECT * FROM base UNION ALL SELECT * REPLACE (capture + 1 AS capture) FROM base WHERE span % 4 = 0 AND capture < 2
+  UNION ALL SELECT * REPLACE (capture + 1 AS capture, payload || '?' AS payload) FROM base WHERE span % 997 = 0 AND capture < 2)"""
+
+
+def _steps():
+    out = ["e_0 AS (SELECT source, span, payload, 0 AS capture FROM sent WHERE false)"]
+    for i in range(3):
+        out.append(f"s_{i} AS (SELECT source, span, payload, max(end_s) AS latest FROM sent WHERE capture = {i} GROUP BY ALL)")
+        out.append(f"bad_{i} AS (SELECT source FROM s_{i} GROUP BY source, span HAVING count(*) > 1 UNION SELECT s.source FROM s_{i} s JOIN e_{i} e ON e.span = s.span AND e.payload <> s.payload)")
+        out.append(f"e_{i + 1} AS (SELECT * FROM e_{i} UNION ALL SELECT source, span, payload, {i} FROM s_{i} WHERE source NOT IN (SELECT source FROM bad_{i}) AND span NOT IN (SELECT span FROM e_{i}))")
+        out.append(f"m_{i} AS (SELECT source, {i} AS capture, source IN (SELECT source FROM bad_{i}) AS refused, max(latest) AS latest FROM s_{i} GROUP BY source)")
+    return ", ".join(out)
+
+
+@query(
+    "t05_conflict_ingest",
+    f"""WITH {_SENT}, {_steps()}, m AS (SELECT * FROM m_0 UNION ALL SELECT * FROM m_1 UNION ALL SELECT * FROM m_2),
+n AS (SELECT source, capture, count(*) AS inserted FROM e_3 GROUP BY source, capture)
+SELECT CAST(capture AS INT) AS capture, CAST(source AS VARCHAR) AS source, refused, CAST(coalesce(inserted, 0) AS BIGINT) AS inserted,
+  {R('max(latest) FILTER (NOT refused) OVER (PARTITION BY source ORDER BY capture)')} AS mark FROM m LEFT JOIN n USING (source, capture)""",
+)
+def conflict_ingest(spark, d):
+    """Captures by source: repeats are dropped, a changed payload refuses its capture and leaves the source's mark."""
+    base = B.req(spark, d).select(F.col("stream").cast("string").alias("source"), "service", "span", F.least(F.lit(2), F.floor(F.col("window") / 10)).cast("int").alias("capture"), F.col("k").cast("string").alias("payload"), F.col("end_s").alias("transport"))
+    later = base.where("capture < 2").withColumn("capture", F.col("capture") + 1)
+    sent = base.unionByName(later.where("span % 4 = 0")).unionByName(later.where("span % 997 = 0").withColumn("payload", F.concat("payload", F.lit("?"))))
+    landed, folder = jobs.new_folder(spark, "landed"), jobs.new_folder(spark, "stream")
+    for i in range(3):  # each round starts the query anew from its checkpoint
+        sent.where(F.col("capture") == i).write.mode("append").parquet(landed)
+        taken = ingest.ConflictIngest(folder, jobs.watch(spark, sent.schema, landed)).run()
+    return taken.outcomes()
+
+
+# Windows of three days: a user who is silent for one leaves a gap. Some messages come twice, some with another profile.
+_STATS = ["count(*)", "count(*) FILTER (status >= 400)", "avg(duration)", "max(duration)", "min(duration)", "sum(duration)", "max(active)", "avg(active)", "min(active)"]
+_MESSAGES = f"""{B.REQ}, cells AS (SELECT CAST(stream AS VARCHAR) AS stream, "window" // 3 AS w, service, {", ".join(f"CAST({x} AS DOUBLE) AS f{i}" for i, x in enumerate(_STATS))},
+  CAST(count(status) AS DOUBLE) AS f10, CAST(count(*) FILTER (k >= 50) AS DOUBLE) AS f15, CAST(count(*) FILTER (status IS NULL) AS DOUBLE) / count(*) AS f17 FROM req GROUP BY ALL),
+sent AS (SELECT stream, w, 1000 * w AS arrival FROM (SELECT DISTINCT stream, w FROM cells) UNION ALL SELECT stream, w, 1000 * w + 1500 FROM (SELECT DISTINCT stream, w FROM cells) WHERE (w + CAST(stream AS INT)) % 7 = 3),
+m AS (SELECT stream, w, 60 * (w + 1) AS "end", arrival, CASE WHEN CAST(stream AS INT) % 11 = 5 AND w >= 7 THEN 'logs' ELSE 'all' END AS profile, row_number() OVER (PARTITION BY stream ORDER BY arrival) AS i FROM sent)"""
+_ACCEPT = f"""{_MESSAGES}, run AS (
+  SELECT stream, i, w, "end", arrival, profile AS kept, "end" AS last, CAST(NULL AS VARCHAR) AS reason FROM m WHERE i = 1
+  UNION ALL
+  SELECT m.stream, m.i, m.w, m."end", m.arrival, kept, CASE WHEN m.profile = kept AND m."end" = last + 60 THEN m."end" ELSE last END,
+    CASE WHEN m.profile <> kept THEN 'profile' WHEN m."end" <= last THEN 'not later' WHEN m."end" <> last + 60 THEN 'gap' END
+  FROM run JOIN m ON m.stream = run.stream AND m.i = run.i + 1)"""
+_FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5", "f6", "f7", "f8", "ln(1 + f0)", "f10", "ln(1 + f5)", "f1 / f0", "f3 - f4", "f6 - f8", "f15", "f15 / f0", "f17"]
+
+
+def feature_messages(spark, d):
+    """stream, end, arrival, profile, services: 18 features of each service in windows of three days."""
+    count_where = lambda c: F.count_if(c).cast("double")
+    status, duration, active = F.col("status"), F.col("duration"), F.col("active").cast("double")
+    stats = [F.count(F.lit(1)).cast("double"), count_where(status >= 400), F.avg(duration), F.max(duration), F.min(duration), F.sum(duration), F.max(active), F.avg(active), F.min(active)]
+    r = B.req(spark, d).withColumns({"stream": F.col("stream").cast("string"), "w": F.floor(F.col("window") / 3)})
+    cells = r.groupBy("stream", "w", "service").agg(*[x.alias(f"f{i}") for i, x in enumerate(stats)], F.count(status).cast("double").alias("f10"), count_where(F.col("k") >= 50).alias("f15"), (count_where(status.isNull()) / F.count(F.lit(1))).alias("f17"))
+    vector = F.array(*[F.expr(x) for x in _FEATURES])
+    whole = cells.groupBy("stream", "w").agg(F.collect_list(F.struct("service", vector.alias("features"))).alias("services"))  # a row's services are bounded by the fleet
+    once = whole.withColumn("arrival", 1000 * F.col("w"))
+    again = whole.where((F.col("w") + F.col("stream").cast("int")) % 7 == 3).withColumn("arrival", 1000 * F.col("w") + 1500)
+    profile = F.when((F.col("stream").cast("int") % 11 == 5) & (F.col("w") >= 7), "logs").otherwise("all")
+    return once.unionByName(again).select("stream", (60 * (F.col("w") + 1)).alias("end"), "arrival", profile.alias("profile"), "services")
+
+
+def _available(current):
+    """A service counts if anything was measured: not all missing, or logs, or traces."""
+    return (current[:, 17] < 1) | (current[:, 10] > 0) | (current[:, 15] > 0)
+
+
+def _mean_of_history(raw):
+    return raw.mean(axis=(1, 2))
+
+
+def _message_thirds():
+    return [F.col("arrival") < 3000, (F.col("arrival") >= 3000) & (F.col("arrival") < 7000), F.col("arrival") >= 7000]
+
+
+@query(
+    "t08_feature_stream",
+    f"""WITH RECURSIVE {_ACCEPT}, ok AS (SELECT stream, w FROM run WHERE reason IS NULL),
+held AS (SELECT c.stream, c.w, service, ({" + ".join(_FEATURES)}) AS total, NOT (f17 >= 1 AND f10 <= 0 AND f15 <= 0) AS valid FROM cells c JOIN ok USING (stream, w)),
+scored AS (SELECT a.stream, a.w, a.service, (SELECT sum(h.total) FROM held h WHERE h.stream = a.stream AND h.service = a.service AND h.w BETWEEN a.w - 4 AND a.w) / 90 AS score FROM held a WHERE valid),
+best AS (SELECT stream, w, max(score) AS score, list(service ORDER BY score DESC, service) AS names FROM scored GROUP BY stream, w),
+seen AS (SELECT a.stream, a.w, count(*) AS n FROM ok a JOIN ok b ON a.stream = b.stream AND b.w BETWEEN a.w - 4 AND a.w GROUP BY ALL)
+SELECT run.stream, run."end", run.arrival, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN names IS NULL THEN 'abstained' ELSE 'scored' END AS status, reason,
+  CASE WHEN reason IS NULL THEN CAST(n AS INT) ELSE 0 END AS windows, CASE WHEN reason IS NULL THEN {R('score')} END AS score,
+  reason IS NULL AND coalesce(score > 9.0, false) AS alert, CASE WHEN reason IS NULL THEN coalesce(names, []) ELSE [] END AS candidates
+FROM run LEFT JOIN best USING (stream, w) LEFT JOIN seen USING (stream, w)""",
+)
+def feature_stream(spark, d):
+    """Messages with repeats, gaps and changes of profile; scores over the last five accepted windows."""
+    processor = processors.FeatureScorer(_mean_of_history, _available, {"all": 9.0, "logs": 9.0}, 18)
+    return jobs.fed(feature_messages(spark, d), _message_thirds(), lambda stream: processors.score_features(stream, processor), runner=processors.run_on_rows)
+
+
+@query("t08_forest_stream")
+def forest_stream(spark, d):
+    """The same stream, scored by an isolation forest over the 90 features of five windows that was fitted on the first
+    windows; its nodes are bounded by trees and sample, and go to the tasks with the processor."""
+    first = feature_messages(spark, d).where("arrival < 3000").select("stream", "end", F.explode("services").alias("s"))
+    rows = first.select(F.concat_ws("/", "stream", "end", "s.service").alias("key"), F.concat(F.array_repeat(F.lit(0.0), 72), F.col("s.features")).alias("x"))
+    nodes = forest.grow(rows, F.col("key"), F.col("x"), trees=25, psi=64).toPandas()  # 25 trees of at most 128 nodes
+    fitted = forest.Forest(nodes) if len(nodes) else None
+    processor = processors.FeatureScorer(lambda raw: fitted.score(raw.reshape(len(raw), -1)), _available, {"all": 0.6, "logs": 0.6}, 18)
+    return jobs.fed(feature_messages(spark, d), _message_thirds(), lambda stream: processors.score_features(stream, processor), runner=processors.run_on_rows)

@@ -11,9 +11,12 @@ import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from .commits import Commits
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. A local session makes one where it is not named; a cluster must name it,
@@ -31,22 +34,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def roll(df: DataFrame, folder: str) -> None:
-    """One step of a producer that rolls files: df as one more file. Its rows are few where a producer's files are."""
-    df.coalesce(1).write.mode("append").parquet(folder)
-
-
 def watch(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
-    """The folder's files as a stream that takes one file a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """The folder's files as a stream: what has landed since the last trigger is one batch."""
+    return spark.readStream.schema(schema).parquet(folder)
 
 
-def land(df: DataFrame, parts: list[Column]) -> DataFrame:
-    """Lands a table as files, one step of the stream after the other, and opens it as a stream."""
-    folder = new_folder(df.sparkSession, "landed")
+def fed(df: DataFrame, parts: list[Column], query: Callable[[DataFrame], DataFrame], mode: str = "append", folder: str | None = None, runner: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Lands a table part by part, each written by as many tasks as it has partitions, and after each part starts the query
+    anew from its checkpoint and runs it to the end of what has landed. Returns the output of all parts."""
+    spark = df.sparkSession
+    landed, folder, out = new_folder(spark, "landed"), folder or new_folder(spark, "stream"), None
     for part in parts:
-        roll(df.where(part), folder)
-    return watch(df.sparkSession, df.schema, folder)
+        df.where(part).write.mode("append").parquet(landed)
+        out = (runner or run)(query(watch(spark, df.schema, landed)), mode=mode, folder=folder)
+    return out
 
 
 def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
@@ -64,17 +65,20 @@ def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> D
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
-def run_until_refused(stream: DataFrame, message: str, folder: str | None = None) -> tuple[DataFrame, bool]:
-    """Output of a stream up to the batch that fails with the message, and whether one did. Any other failure is raised."""
-    spark = stream.sparkSession
-    folder = folder or new_folder(spark, "stream")
-    refused = False
-    try:
-        run(stream, folder=folder)
-    except StreamingQueryException as e:
-        if message not in str(e):
-            raise
-        refused = True
+def run_until_refused(df: DataFrame, parts: list[Column], query: Callable[[DataFrame], DataFrame], message: str) -> tuple[DataFrame, bool]:
+    """Output of a stream up to the part that fails with the message, and whether one did. Any other failure is raised."""
+    spark = df.sparkSession
+    landed, folder, refused = new_folder(spark, "landed"), new_folder(spark, "stream"), False
+    for part in parts:
+        df.where(part).write.mode("append").parquet(landed)
+        stream = query(watch(spark, df.schema, landed))
+        try:
+            run(stream, folder=folder)
+        except StreamingQueryException as e:
+            if message not in str(e):
+                raise
+            refused = True
+            break
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*").select(*stream.columns), refused
 
 
@@ -82,22 +86,32 @@ def ledger(stream: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFr
     """Runs a stream whose state and predictions are one table: ``step(batch, state, number)`` makes rows of the schema, of
     which those with ``part = 'state'`` are the state for the next batch and the others the output.
 
-    Both are written by one job into the batch's folder, so they are there together or not at all. A batch that fails
-    after the write and is replayed starts from the batch before it and replaces what it wrote. State is a distributed
-    table, of any size. ``after_write`` is called before a batch is committed. Returns the output of all batches with
+    A batch is one commit (see :class:`.commits.Commits`): its rows are there whole or not at all, and a reader sees
+    nothing of a batch that died. A batch that fails after the write and is replayed starts from the commit before it and
+    replaces its own. State is a distributed table, of any size; once the next batch is committed, its files are deleted.
+    ``after_write`` is called before the stream's checkpoint knows of the batch. Returns the output of all batches with
     their number."""
     spark = stream.sparkSession
     empty = spark.createDataFrame([], schema)
+    commits = Commits(spark, f"{folder}/ledger")
 
     def sink(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{folder}/ledger/batch={number - 1}").where("part = 'state'") if number else empty
-        step(batch, before, number).select(*empty.columns).write.mode("overwrite").parquet(f"{folder}/ledger/batch={number}")
+        before = commits.read("state", empty.schema, first=number - 1, last=number - 1) if number else empty
+        rows = commits.staged(step(batch, before, number).select(*empty.columns))
+        commits.commit(number, state=rows.where("part = 'state'"), out=rows.where("part <> 'state'").withColumn("batch", F.lit(number)))
+        commits.drop("state", number - 2)
+        commits.unstage(rows)
         if after_write:
             after_write(number)
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema + ", batch int").parquet(f"{folder}/ledger").where("part <> 'state'")
+    return commits.read("out", T.StructType([*empty.schema.fields, T.StructField("batch", T.IntegerType())]))
+
+
+def fed_ledger(df: DataFrame, parts: list[Column], query: Callable[[DataFrame], DataFrame], step: Callable, schema: str) -> DataFrame:
+    """:func:`fed` with a ledger: a stop and a start from the checkpoint between parts."""
+    return fed(df, parts, query, runner=lambda stream, mode, folder: ledger(stream, step, schema, folder))
 
 
 def windowed_ingest(width: int, keys: list[str], at: str) -> Callable[[DataFrame, DataFrame, int], DataFrame]:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from landing import land, roll, watch
 from opslake.operators import contracts as K
 from opslake.plans import contract_queries
 from opslake.sources import files
@@ -134,7 +135,7 @@ def test_windows_close_one_a_batch_and_nothing_is_lost(spark):
     rng = random.Random(1)
     parts = [[(f"k{rng.randrange(3)}", rng.randrange(40)) for _ in range(30)] for _ in range(4)]
     frame = spark.createDataFrame([(i, k, a) for i, p in enumerate(parts) for k, a in p], "part_no int, key string, at int")
-    stream = jobs.land(frame, [F.col("part_no") == i for i in range(4)]).drop("part_no")
+    stream = land(frame, [F.col("part_no") == i for i in range(4)]).drop("part_no")
     out = jobs.ledger(stream, jobs.windowed_ingest(10, ["key"], "at"), "key string, at int, part string", jobs.new_folder(spark, "stream"))
     assert sorted((r.batch, r.key, r.at, r.part) for r in out.collect()) == ingest_by_hand(parts, 10)
 
@@ -156,7 +157,7 @@ def test_a_batch_that_died_after_its_write_is_replayed_once(spark):
     frame = spark.createDataFrame(rows, "third int, service string, v int")
     folder, landed = jobs.new_folder(spark, "stream"), jobs.new_folder(spark, "landed")
     for i in range(4):
-        jobs.roll(frame.where(F.col("third") == i).drop("third"), landed)
+        roll(frame.where(F.col("third") == i).drop("third"), landed)
     schema = "service string, n long, part string"
 
     def counts(batch, state, number):
@@ -167,7 +168,7 @@ def test_a_batch_that_died_after_its_write_is_replayed_once(spark):
         if number == 2:
             raise Killed
 
-    read = lambda: jobs.watch(spark, frame.drop("third").schema, landed)
+    read = lambda: watch(spark, frame.drop("third").schema, landed)
     with pytest.raises(Exception, match="Killed"):
         jobs.ledger(read(), counts, schema, folder, after_write=die)
     out = jobs.ledger(read(), counts, schema, folder)
@@ -178,7 +179,7 @@ def test_a_batch_that_died_after_its_write_is_replayed_once(spark):
 def test_a_batch_that_died_before_its_write_leaves_nothing(spark):
     frame = spark.createDataFrame([(1,), (2,)], "v int")
     folder, landed = jobs.new_folder(spark, "stream"), jobs.new_folder(spark, "landed")
-    jobs.roll(frame, landed)
+    roll(frame, landed)
     fail = [True]
 
     def step(batch, state, number):
@@ -187,15 +188,15 @@ def test_a_batch_that_died_before_its_write_leaves_nothing(spark):
         return batch.withColumn("part", F.lit("out"))
 
     with pytest.raises(Exception, match="Killed"):
-        jobs.ledger(jobs.watch(spark, frame.schema, landed), step, "v int, part string", folder)
+        jobs.ledger(watch(spark, frame.schema, landed), step, "v int, part string", folder)
     fail[0] = False
-    assert jobs.ledger(jobs.watch(spark, frame.schema, landed), step, "v int, part string", folder).count() == 2
+    assert jobs.ledger(watch(spark, frame.schema, landed), step, "v int, part string", folder).count() == 2
 
 
 def test_grace_counts_what_was_captured_in_time(spark):
     rows = [("a", 1, 1.0, 1.5), ("a", 2, 9.0, 12.9), ("a", 3, 9.5, 13.5), ("a", 4, 14.0, 14.5), ("a", 5, 24.0, 30.0)]
     frame = spark.createDataFrame(rows, "service string, span long, at double, captured double")
-    stream = jobs.land(frame, [F.col("span") <= 2, F.col("span") == 3, F.col("span") >= 4])
+    stream = land(frame, [F.col("span") <= 2, F.col("span") == 3, F.col("span") >= 4])
     out = jobs.ledger(stream, jobs.grace_ingest(10, 3, ["service", "span"], "at", "captured"), "service string, span long, at double, captured double, clock double, part string", jobs.new_folder(spark, "stream"))
     assert sorted((r.span, r.part) for r in out.collect()) == [(1, "current"), (2, "current"), (3, "late"), (4, "current")]
 
@@ -208,27 +209,26 @@ def test_resume_reads_the_overlap_again_and_adds_each_row_once(spark):
 
 def test_a_refused_batch_keeps_what_came_before(spark):
     frame = spark.createDataFrame([(i, "m1" if i < 4 else "m2") for i in range(6)], "i int, model string")
-    stream = jobs.guarded(jobs.land(frame, [F.col("i") < 4, F.col("i") >= 4]), "model", "m1")
-    kept, refused = jobs.run_until_refused(stream, "model has changed")
+    kept, refused = jobs.run_until_refused(frame, [F.col("i") < 4, F.col("i") >= 4], lambda stream: jobs.guarded(stream, "model", "m1"), "model has changed")
     assert refused and sorted(r.i for r in kept.collect()) == [0, 1, 2, 3]
-    kept, refused = jobs.run_until_refused(jobs.land(frame, [F.lit(True)]), "model has changed")
+    kept, refused = jobs.run_until_refused(frame, [F.lit(True)], lambda stream: stream, "model has changed")
     assert not refused and kept.count() == 6
 
 
 def test_a_stream_goes_on_from_its_checkpoint(spark):
     frame = spark.createDataFrame([(i,) for i in range(6)], "i int")
     landed, folder = jobs.new_folder(spark, "landed"), jobs.new_folder(spark, "stream")
-    jobs.roll(frame.where("i < 3"), landed)
-    assert jobs.run(jobs.watch(spark, frame.schema, landed), folder=folder).count() == 3
-    jobs.roll(frame.where("i >= 3"), landed)
-    assert sorted(r.i for r in jobs.run(jobs.watch(spark, frame.schema, landed), folder=folder).collect()) == list(range(6))
+    roll(frame.where("i < 3"), landed)
+    assert jobs.run(watch(spark, frame.schema, landed), folder=folder).count() == 3
+    roll(frame.where("i >= 3"), landed)
+    assert sorted(r.i for r in jobs.run(watch(spark, frame.schema, landed), folder=folder).collect()) == list(range(6))
 
 
 def test_messages_of_a_stream_are_judged_like_a_loop(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), 60 * rng.randrange(8), i) for i in range(200)]
     frame = spark.createDataFrame(rows, "s string, end int, arrival int")
-    out = jobs.run(jobs.stateful(jobs.land(frame, [F.col("arrival") < 90, F.col("arrival") >= 90]), ["s"], ["arrival"], "s string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
+    out = jobs.run(jobs.stateful(land(frame, [F.col("arrival") < 90, F.col("arrival") >= 90]), ["s"], ["arrival"], "s string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
     state, true = {}, []
     for s, end, arrival in rows:
         last, kept = state.get(s, (None, 0))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from landing import land
 from opslake.functions import scalar, text
 from opslake.operators import evaluate, forest, novelty, scoring, sequence, windows
 from opslake.sources import files
@@ -231,21 +232,21 @@ def test_templates_are_frozen_in_matching(spark):
 def test_stream_equals_batch(spark):
     rows = random_flags(7)
     frame = spark.createDataFrame(rows, "service string, window int, until int, warning boolean")
-    stream = jobs.land(frame, [F.col("window") < 13, F.col("window").between(13, 26), F.col("window") > 26])
+    stream = land(frame, [F.col("window") < 13, F.col("window").between(13, 26), F.col("window") > 26])
     out = jobs.run(jobs.stateful(stream, ["service"], ["window"], "service string, start int, at int, kind string", "active boolean, warnings int, clears int", jobs.incident_step))
     assert sorted(map(tuple, out.collect())) == incidents(rows)
 
 
 def test_contiguous_messages(spark):
     frame = spark.createDataFrame([("a", e, i) for i, e in enumerate([120, 120, 60, 240, 180])], "s string, end int, arrival int")
-    out = jobs.run(jobs.stateful(jobs.land(frame, [F.lit(True)]), ["s"], ["arrival"], "s string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
+    out = jobs.run(jobs.stateful(land(frame, [F.lit(True)]), ["s"], ["arrival"], "s string, end long, arrival long, status string, history int", "last long, history int", jobs.contiguous_step(60, 5)))
     assert [(r.status, r.history) for r in out.orderBy("arrival").collect()] == [("accepted", 1), ("rejected", 1), ("rejected", 1), ("rejected", 1), ("accepted", 2)]
 
 
 def test_a_changed_model_stops_the_stream(spark):
     frame = spark.createDataFrame([(1, "m2")], "i int, model string")
     with pytest.raises(Exception, match="model has changed"):
-        jobs.run(jobs.guarded(jobs.land(frame, [F.lit(True)]), "model", "m1"))
+        jobs.run(jobs.guarded(land(frame, [F.lit(True)]), "model", "m1"))
 
 
 def test_file_sources(spark, tmp_path):
