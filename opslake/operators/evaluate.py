@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from .ranking import quantiles, running_sums, value_buckets
+from .sequence import tail_ranks
 
 
 def binary_metrics(df: DataFrame, truth: Column, alert: Column, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -152,3 +153,38 @@ def coverage_summary(guard: DataFrame, run: str, window: str = "window") -> Data
     services = guard.where("issue").rollup(run).agg(F.count_distinct("service").alias("warned_services"))
     joined = counts.join(services.withColumnRenamed(run, "_run"), F.col(run).eqNullSafe(F.col("_run")), "left")
     return joined.select(run, "warning_windows", "insufficient_windows", F.coalesce("warned_services", F.lit(0)).cast("long").alias("warned_services"))
+
+
+def first_alert_outcome(df: DataFrame, schedule: DataFrame, strength: Column, tops: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """cases, recall, top1, top3, median_delay, from rows (service, window, until, warning) and a schedule (service, onset,
+    recovery), one row a case: the first warning inside the fault, the faulty service's place by ``strength`` among all
+    services of that window, and the time from onset to the window's end. Cases without a warning count in every share."""
+    places = Window.partitionBy("window").orderBy(strength.desc(), "service")  # a window has a row a service
+    ranked = df.withColumn("place", F.row_number().over(places))
+    case = schedule.withColumn("_case", F.struct(*schedule.columns))
+    hit = ranked.join(F.broadcast(case), "service").where(F.col("warning") & (F.col("window") >= F.col("onset")) & (F.col("window") < F.col("recovery")))
+    first = hit.groupBy("_case").agg(F.min(F.struct("until", "place")).alias("first"))
+    outcome = case.select("_case", "onset").join(first, "_case", "left")
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    within = [share(F.col("first.place") <= k).alias(f"top{k}") for k in tops]
+    return outcome.agg(F.count(F.lit(1)).alias("cases"), share(F.col("first").isNotNull()).alias("recall"), *within, F.percentile(F.col("first.until") - F.col("onset"), F.lit(0.5)).alias("median_delay"))  # a row a case
+
+
+def tail_decision(reference: DataFrame, queries: DataFrame, key: str, values: list[str], alpha: float) -> DataFrame:
+    """key, least, abstained, warning: the least of the upper-tail ranks of a row's values, each among the reference rows that
+    have the value: (1 + how many are as large) / (1 + how many there are). A row decides only with all values, and
+    warns at alpha shared among them."""
+    long = lambda df, *ids: df.select(*ids, F.explode(F.array(*[F.struct(F.lit(v).alias("operation"), F.col(v).alias("value")) for v in values])).alias("_e")).select(*ids, "_e.*").where("value IS NOT NULL")
+    ranks = tail_ranks(long(reference), long(queries, key), "operation", "value")
+    per = ranks.groupBy(key).agg(F.min("p").alias("least"), F.count(F.lit(1)).alias("_n"))
+    out = queries.select(key).join(per, key, "left")
+    whole = F.coalesce(F.col("_n") == len(values), F.lit(False))
+    return out.select(key, "least", (~whole).alias("abstained"), (whole & (F.col("least") <= alpha / len(values))).alias("warning"))
+
+
+def guardrail(healthy: DataFrame, df: DataFrame, score: str, q: float) -> DataFrame:
+    """df with ``cutoff``, the next score at or above the place of the quantile among the healthy rows, and ``flagged``."""
+    counts = healthy.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = running_sums(counts, [], value_buckets(counts, "_v"), [F.col("_v")], {"_upto": "_n"})
+    cutoff = sums.agg(F.min(F.when(F.col("_upto") > F.ceil(F.lit(q) * (F.col("_upto_all") - 1)), F.col("_v"))).alias("cutoff"))
+    return df.join(F.broadcast(cutoff)).withColumn("flagged", F.col(score) > F.col("cutoff"))

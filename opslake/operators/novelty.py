@@ -5,14 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import salted_join
 from .sequence import streaks
 
 ROUTE_LINES = 20_000
+BLOCK_CHARS = 1 << 20
+#: Products of weights, or cosines, that a task holds at once.
+PRODUCTS = 1 << 22
 
 
 def terms(df: DataFrame, ids: list[str], text: str) -> DataFrame:
@@ -44,19 +47,70 @@ def sparse_vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("w").alias("v")))).alias("x"))
 
 
-def nearest(queries: DataFrame, prototypes: DataFrame, query_key: str, prototype_key: str) -> DataFrame:
-    """query_key, novelty: 1 - the largest cosine with a prototype, over the texts that share a term with one. A term that
-    many queries have is spread over all tasks."""
-    met = salted_join(queries, prototypes.withColumnRenamed("w", "_w"), "term", F.col(query_key))
-    pairs = met.groupBy(query_key, prototype_key).agg(F.sum(F.col("w") * F.col("_w")).alias("cosine"))
-    return pairs.groupBy(query_key).agg((1 - F.max("cosine")).alias("novelty"))
+def entry_blocks(texts: DataFrame, text: str) -> int:
+    """Into how many blocks the texts' terms go, at about ``BLOCK_CHARS`` characters of text a block."""
+    return max(1, -(-(texts.agg(F.sum(F.length(text))).first()[0] or 0) // BLOCK_CHARS))
+
+
+def nearest(queries: DataFrame, prototypes: DataFrame, query_key: str, prototype_key: str, query_blocks: int = 1, prototype_blocks: int = 1) -> DataFrame:
+    """query_key, novelty: 1 - the largest cosine with a prototype, over the texts that share a term with one.
+
+    Both sides are cut into blocks of whole texts. A task multiplies a block of queries with a block of prototypes as
+    sparse matrices and keeps each query's largest cosine, so no row ever stands for a query and a prototype, and a term
+    that all texts have is nothing special. The blocks' largest cosines are taken over blocks."""
+    entries = lambda df, key, n, name: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"_{name}")).agg(F.collect_list(F.struct(F.col(key).alias("k"), "term", "w")).alias(f"_{name}s"))
+    asked, known = entries(queries, query_key, query_blocks, "q"), entries(prototypes, prototype_key, prototype_blocks, "p")
+    pairs = asked.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(prototype_blocks - 1)))).join(known, "_p").select("_qs", "_ps")
+    kind = queries.schema[query_key].dataType
+
+    def closest(batches):
+        for batch in batches:
+            for q, p in zip(batch.column("_qs"), batch.column("_ps")):
+                keys, cosine = _largest_cosines(q.values, p.values)
+                yield pa.record_batch([keys, pa.array(cosine)], ["_key", "_c"])
+
+    found = pairs.mapInArrow(closest, T.StructType([T.StructField("_key", kind), T.StructField("_c", T.DoubleType())]))
+    return found.groupBy(F.col("_key").alias(query_key)).agg((1 - F.max("_c")).alias("novelty"))
+
+
+def _largest_cosines(queries: pa.StructArray, prototypes: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """The keys of the queries that share a term with a prototype, and their largest sums of products of weights."""
+    of = [prototypes.field(c) for c in ("k", "term", "w")]
+    vocabulary = of[1].dictionary_encode()
+    term, p = vocabulary.indices.to_numpy(), of[0].dictionary_encode().indices.to_numpy()
+    order = np.argsort(term, kind="stable")
+    p, w = p[order], of[2].to_numpy()[order]
+    first = np.searchsorted(term[order], np.arange(len(vocabulary.dictionary) + 1))
+    there = pc.index_in(queries.field("term"), value_set=vocabulary.dictionary)
+    shared = there.is_valid().to_numpy(zero_copy_only=False)
+    keys = queries.field("k").filter(pa.array(shared)).dictionary_encode()
+    t, q = there.drop_null().to_numpy(), keys.indices.to_numpy()
+    u = queries.field("w").to_numpy()[shared]
+    by = np.argsort(q, kind="stable")
+    t, q, u = t[by], q[by], u[by]
+    n, m = len(keys.dictionary), int(p.max(initial=-1)) + 1
+    out = np.zeros(n)
+    hits = first[t + 1] - first[t]
+    ends, total = np.searchsorted(q, np.arange(n + 1)), np.append(0, np.cumsum(hits))
+    at = 0
+    while at < n:  # as many queries at once as their products and their row of cosines fit
+        upto = max(at + 1, min(n, at + PRODUCTS // max(1, m), int(np.searchsorted(total[ends], total[ends[at]] + PRODUCTS, "right")) - 1))
+        rows = slice(ends[at], ends[upto])
+        size = hits[rows]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[t[rows]], size)
+        cell = np.repeat((q[rows] - at) * m, size) + p[inside]
+        sums = np.bincount(cell, np.repeat(u[rows], size) * w[inside], minlength=(upto - at) * m)
+        out[at:upto] = sums.reshape(upto - at, m).max(axis=1)
+        at = upto
+    return keys.dictionary, out
 
 
 def lexical_novelty(texts: DataFrame, key: str, text: str, prototypes: DataFrame, prototype_key: str, prototype_text: str, limit: int = 30_000) -> DataFrame:
     """key, novelty of every text; one without any known term has novelty 1."""
     seen = terms(prototypes, [prototype_key], prototype_text)
     idf = tfidf_fit(seen, prototype_key, limit)
-    scored = nearest(tfidf_weights(terms(texts, [key], text), idf, key), tfidf_weights(seen, idf, prototype_key), key, prototype_key)
+    blocks = entry_blocks(texts, text), entry_blocks(prototypes, prototype_text)
+    scored = nearest(tfidf_weights(terms(texts, [key], text), idf, key), tfidf_weights(seen, idf, prototype_key), key, prototype_key, *blocks)
     return texts.select(key).join(scored, key, "left").select(key, F.coalesce("novelty", F.lit(1.0)).alias("novelty"))
 
 

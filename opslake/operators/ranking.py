@@ -47,15 +47,70 @@ def hash_places(df: DataFrame, keys: list[str], digest: str) -> DataFrame:
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """One row with the exact quantiles q0, q1, ... of a column over the whole table, interpolated between neighbours; nulls
     are left out. Equal values are counted first and summed in ranges, so no task holds the column."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = running_sums(counts, [], value_buckets(counts, "_v"), [F.col("_v")], {"_upto": "_n"})
+    return grouped_quantiles(df, [], value, shares)
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """:func:`quantiles` of each key. The ranges are those of the whole column, so the rows of a key that has many are dealt
+    over many ranges; each adds up its own, and a key's places are found from one row a key and range. A key without any
+    value has no row."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = running_sums(counts, keys, value_buckets(counts, "_v"), [F.col("_v")], {"_upto": "_n"})
     at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
     out = []
     for i, share in enumerate(shares):
         place = F.lit(float(share)) * (F.col("_upto_all") - 1)
         out += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}"), F.max(place - F.floor(place)).alias(f"_part{i}")]
-    row = sums.agg(*out)
-    return row.select(*[(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(f"q{i}") for i in range(len(shares))])
+    row = sums.groupBy(*keys).agg(*out) if keys else sums.agg(*out)
+    return row.select(*keys, *[(F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(f"q{i}") for i in range(len(shares))])
+
+
+#: Rows of a group whose values a task may hold.
+GROUP_ROWS = 1 << 20
+
+
+def with_quantiles(df: DataFrame, keys: list[str], aggregates: list[Column], value: str, shares: dict[str, float], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The aggregates of each key and exact quantiles of a column by name, null for a key without any value. If every group is
+    small, quantiles are one more aggregate; else they come from :func:`grouped_quantiles`. The result is the same."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= group_rows:
+        return df.groupBy(*keys).agg(*aggregates, *[F.percentile(value, F.lit(q)).alias(name) for name, q in shares.items()])
+    found = grouped_quantiles(df, keys, value, list(shares.values())).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"q{i}").alias(name) for i, name in enumerate(shares)])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.groupBy(*keys).agg(*aggregates).join(found, on, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, how: str = "inner", hot_parts: int | None = None) -> DataFrame:
+    """Rows of points with those intervals of their key that hold them, start <= at < end. Time is cut into buckets of
+    ``width``: an interval has a row for each bucket that it touches and a point is in one, so it is an equality join and
+    overlapping or long intervals need no other care. Buckets that hold over a quarter of a partition's share of the points
+    are cut into parts (all of the shuffle partitions, or ``hot_parts``), for which their intervals are repeated.
+    ``how``: inner, or left for points without an interval too. Intervals must not have a column of points but the keys."""
+    parts = hot_parts or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = lambda c: F.floor(F.col(c) / F.lit(float(width))).cast("long")
+    dealt = points.withColumn("_bucket", bucket(at))
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    limit = counts.agg((F.sum("_n") / (4 * parts)).alias("_limit"))
+    hot = counts.join(F.broadcast(limit)).where("_n > _limit").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_bucket").alias("_h_bucket"))  # at most four a partition
+    spread = intervals.where(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(start), F.ceil(F.col(end) / F.lit(float(width))).cast("long") - 1)))
+
+    def marked(df: DataFrame) -> DataFrame:
+        on = F.col("_bucket") == F.col("_h_bucket")
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"_h_{k}"))
+        return df.join(F.broadcast(hot), on, "left")
+
+    gone = ["_h_bucket", *[f"_h_{k}" for k in keys]]
+    left = marked(dealt).withColumn("_part", F.when(F.col("_h_bucket").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0)).drop(*gone)
+    copies = F.when(F.col("_h_bucket").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(spread).withColumn("_part", F.explode(copies)).drop(*gone)
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_bucket").alias("_r_bucket"), F.col("_part").alias("_r_part"), *[c for c in intervals.columns if c not in keys])
+    on = (F.col("_bucket") == F.col("_r_bucket")) & (F.col("_part") == F.col("_r_part")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(right, on, how).drop("_bucket", "_part", "_r_bucket", "_r_part", *[f"_r_{k}" for k in keys])
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:

@@ -140,9 +140,10 @@ def startup_exclusion(spark, d):
 SELECT service, span, total FROM e WHERE i <= 30""",
 )
 def evidence_rows(spark, d):
-    by = Window.partitionBy("service")
     rows = B.req(spark, d).where((F.col("status") >= 400) | (F.col("duration") > 150))
-    return rows.withColumn("i", F.row_number().over(by.orderBy("span"))).withColumn("total", F.count(F.lit(1)).over(by)).where("i <= 30").select("service", "span", "total")
+    # the limit is taken in each task before rows move, and totals are partial counts: a hot service sends 30 rows a task
+    first = rows.withColumn("i", F.row_number().over(Window.partitionBy("service").orderBy("span"))).where("i <= 30").select("service", "span")
+    return first.join(rows.groupBy("service").agg(F.count(F.lit(1)).alias("total")), "service")
 
 
 @query(
@@ -164,14 +165,14 @@ def labels_join(spark, d):
 
 @query(
     "j02_modality_union",
-    """WITH a AS (SELECT DISTINCT l_suppkey AS service FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT s_suppkey AS service FROM supplier), c AS (SELECT DISTINCT ps AS service FROM (SELECT o_custkey AS ps FROM orders WHERE o_custkey < 50))
+    """WITH a AS (SELECT DISTINCT l_suppkey AS service FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT s_suppkey AS service FROM supplier), c AS (SELECT DISTINCT ps AS service FROM (SELECT o_custkey AS ps FROM orders))
 SELECT service, max(CAST(m = 1 AS INT)) AS metrics_present, max(CAST(m = 2 AS INT)) AS logs_present, max(CAST(m = 3 AS INT)) AS traces_present
 FROM (SELECT service, 1 AS m FROM a UNION ALL SELECT service, 2 FROM b UNION ALL SELECT service, 3 FROM c) GROUP BY service""",
 )
 def modality_union(spark, d):
-    a = B.table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 49").select(F.col("l_suppkey").alias("service")).distinct()
+    a = B.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("service")).distinct()
     b = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("service")).distinct()
-    c = B.table(spark, d, "orders").where("o_custkey < 50").select(F.col("o_custkey").alias("service")).distinct()
+    c = B.table(spark, d, "orders").select(F.col("o_custkey").alias("service")).distinct()
     return W.modality_union({"metrics": a, "logs": b, "traces": c}, ["service"])
 
 
@@ -298,14 +299,16 @@ def replay_equality(spark, d):
 
 @query(
     "j19_citation_resolution",
-    f"""WITH {B.REQ}, c AS (SELECT stream, unnest([span, span + 1, span * 2]) AS cited FROM req WHERE k = 7), r AS (SELECT c.stream, cited, req.stream AS owner FROM c LEFT JOIN req ON req.span = cited)
-SELECT stream, count(*) AS cited, count(*) FILTER (owner IS NULL) AS unknown, count(*) FILTER (owner <> stream) AS unrelated FROM r GROUP BY stream""",
+    f"""WITH {B.REQ}, c AS (SELECT stream, unnest([span, span, span + 1, span * 2]) AS cited FROM req), r AS (SELECT c.stream, cited, req.stream AS owner FROM c LEFT JOIN req ON req.span = cited)
+SELECT stream, count(*) AS cited, count(*) - count(DISTINCT cited) AS duplicates, count(*) FILTER (owner IS NULL) AS unknown, count(*) FILTER (owner <> stream) AS unrelated FROM r GROUP BY stream""",
 )
 def citation_resolution(spark, d):
     r = B.req(spark, d)
-    cited = r.where("k = 7").select("stream", F.explode(F.array(F.col("span"), F.col("span") + 1, F.col("span") * 2)).alias("cited"))
-    j = cited.join(r.select(F.col("span").alias("cited"), F.col("stream").alias("owner")), "cited", "left")
-    return j.groupBy("stream").agg(F.count(F.lit(1)).alias("cited"), F.count_if(F.col("owner").isNull()).alias("unknown"), F.count_if(F.col("owner") != F.col("stream")).alias("unrelated"))
+    cited = r.select("stream", F.explode(F.array(F.col("span"), F.col("span"), F.col("span") + 1, F.col("span") * 2)).alias("cited"))
+    times = cited.groupBy("stream", "cited").agg(F.count(F.lit(1)).alias("n"))  # one row a citation, however often it is made
+    j = times.join(r.select(F.col("span").alias("cited"), F.col("stream").alias("owner")), "cited", "left")
+    made = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return j.groupBy("stream").agg(F.sum("n").alias("cited"), (F.sum("n") - F.count(F.lit(1))).alias("duplicates"), made(F.col("owner").isNull()).alias("unknown"), made(F.col("owner") != F.col("stream")).alias("unrelated"))
 
 
 @query("j21_label_identity", "SELECT count(*) FILTER (l.doc_id IS NULL) AS unlabelled, count(*) FILTER (d.doc_id IS NULL) AS unknown FROM documents d FULL JOIN labels l USING (doc_id)")
@@ -514,3 +517,31 @@ def score_diagnostics(spark, d):
     return E.distribution(B.lab(spark, d), ["system", "truth"], "score", 3000)
 
 
+
+
+_FIRST = f"""{B.BUSY}, {B.SCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY p95 / base DESC, service) AS place FROM busy),
+f AS (SELECT s.service, onset, min(until) AS first_at FROM sched s LEFT JOIN busy b ON b.service = s.service AND b.warning AND b."window" >= onset AND b."window" < recovery GROUP BY ALL)"""
+
+
+@query(
+    "a24_first_alert_ranking",
+    f"""WITH {_FIRST} SELECT count(*) AS cases, {R('count(first_at) / count(*)')} AS recall, {R('count(*) FILTER (place <= 1) / count(*)')} AS top1, {R('count(*) FILTER (place <= 3) / count(*)')} AS top3,
+  {R('quantile_cont(first_at - onset, 0.5)')} AS median_delay FROM f LEFT JOIN r ON r.service = f.service AND r.until = f.first_at""",
+)
+def first_alert_ranking(spark, d):
+    """Cases by their first alert inside the fault: found at all, the place of the faulty service then, and the delay."""
+    return E.first_alert_outcome(B.busy(spark, d), B.schedule(spark), F.col("p95") / F.col("base"))
+
+
+@query(
+    "m20_tail_decision",
+    f"""WITH {B.SESS}, s AS (SELECT instance, {", ".join(f"max(value) FILTER (operation = '{p}') AS v{i}" for i, p in enumerate(B.PRIORITIES[:4]))} FROM sess GROUP BY instance),
+t AS (SELECT instance, {", ".join(f"CASE WHEN v{i} IS NOT NULL THEN (1 + (SELECT count(*) FROM s h WHERE h.instance % 2 = 0 AND h.v{i} >= s.v{i})) / (1.0 + (SELECT count(v{i}) FROM s h WHERE h.instance % 2 = 0)) END AS p{i}" for i in range(4))} FROM s WHERE instance % 2 = 1)
+SELECT instance, {R('least(p0, p1, p2, p3)')} AS least, p0 IS NULL OR p1 IS NULL OR p2 IS NULL OR p3 IS NULL AS abstained,
+  coalesce(p0 IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL AND least(p0, p1, p2, p3) <= 0.05 / 4, false) AS warning FROM t""",
+)
+def tail_decision(spark, d):
+    """Sessions against the upper tails of the calibration sessions (even instances), measurement by measurement: a warning
+    needs all four and a rank at or under alpha, shared among the four; with one missing there is no decision."""
+    s = B.sess(spark, d).groupBy("instance").agg(*[F.max(F.when(F.col("operation") == p, F.col("value"))).alias(f"v{i}") for i, p in enumerate(B.PRIORITIES[:4])])
+    return E.tail_decision(s.where("instance % 2 = 0"), s.where("instance % 2 = 1"), "instance", [f"v{i}" for i in range(4)], 0.05)

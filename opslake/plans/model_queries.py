@@ -139,7 +139,8 @@ def nearest_prototype(spark, d):
     seen = novelty.terms(prototypes(spark, d), ["doc_id"], "text")
     idf = novelty.tfidf_fit(seen, "doc_id")
     queries = novelty.tfidf_weights(novelty.terms(turns(spark, d), ["q"], "text"), idf, "q")
-    return novelty.nearest(queries, novelty.tfidf_weights(seen, idf, "doc_id"), "q", "doc_id")
+    blocks = novelty.entry_blocks(turns(spark, d), "text"), novelty.entry_blocks(prototypes(spark, d), "text")
+    return novelty.nearest(queries, novelty.tfidf_weights(seen, idf, "doc_id"), "q", "doc_id", *blocks)
 
 
 @query(
@@ -293,7 +294,7 @@ def evidence_context(spark, d):
 @query(
     "m23_diagnosis_validation",
     f"""WITH {_CONTEXT}, t AS (SELECT DISTINCT span, service, "window" FROM ev WHERE "window" >= 15),
-dx AS (SELECT span + 0 AS span, service, "window", CASE WHEN k % 5 = 0 THEN 'clear' ELSE 'review' END AS verdict, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN span + 1 ELSE span END AS cited FROM req WHERE "window" >= 15 AND k % 4 = 0)
+dx AS (SELECT span + 0 AS span, service, "window", CASE WHEN k % 5 = 0 THEN 'clear' ELSE 'review' END AS verdict, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 7 = 0 THEN span + 1 ELSE span END AS cited FROM req WHERE "window" >= 15)
 SELECT dx.span, CASE WHEN verdict = 'clear' AND s.alert THEN 'clear against an alert' WHEN verdict = 'review' AND t.span IS NULL THEN 'unknown citation' WHEN verdict = 'review' AND t.service <> dx.service THEN 'unrelated citation' WHEN verdict = 'review' AND NOT s.alert THEN 'review without an alert' ELSE 'accepted' END AS outcome
 FROM dx LEFT JOIN t ON t.span = dx.cited JOIN (SELECT service, "window", slow OR failing AS alert FROM scored) s ON s.service = dx.service AND s."window" = dx."window" """,
 )
@@ -301,7 +302,7 @@ def diagnosis_validation(spark, d):
     p = WQ.with_priority(spark, d)
     known = p.select(F.explode("evidence").alias("e"), F.col("service").alias("owner")).select(F.col("e.span").alias("cited"), "owner")
     k = F.col("k")
-    dx = B.req(spark, d).where("window >= 15 AND k % 4 = 0").select("span", "service", "window", F.when(k % 5 == 0, "clear").otherwise("review").alias("verdict"), F.when(k % 5 == 0, None).when(k % 7 == 0, F.col("span") + 1).otherwise(F.col("span")).alias("cited"))
+    dx = B.req(spark, d).where("window >= 15").select("span", "service", "window", F.when(k % 5 == 0, "clear").otherwise("review").alias("verdict"), F.when(k % 5 == 0, None).when(k % 7 == 0, F.col("span") + 1).otherwise(F.col("span")).alias("cited"))
     j = dx.join(known, "cited", "left").join(p.select("service", "window", "alert"), ["service", "window"])
     review = F.col("verdict") == "review"
     reason = C.reject_reason([(~review & F.col("alert"), "clear against an alert"), (review & F.col("owner").isNull(), "unknown citation"), (review & (F.col("owner") != F.col("service")), "unrelated citation"), (review & ~F.col("alert"), "review without an alert")])

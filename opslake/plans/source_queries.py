@@ -65,12 +65,11 @@ def typed_sink(spark, d):
     return spark.read.parquet(folder)
 
 
-@query("s13_cross_split_duplicates", """WITH h AS (SELECT doc_id % 3 AS split, sha256('{"lang":"' || lang || '","words":[' || array_to_string(list_transform(string_split(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 60), ' '), lambda w: '"' || w || '"'), ',') || ']}') AS h FROM documents) SELECT h, count(*) AS n, count(DISTINCT split) AS splits FROM h GROUP BY h HAVING count(DISTINCT split) > 1""")
+@query("s13_cross_split_duplicates", """WITH h AS (SELECT doc_id % 3 AS split, sha256('{"lang":"' || lang || '","text":"' || sha256(text) || '"}') AS h FROM documents) SELECT h, count(*) AS n, count(DISTINCT split) AS splits FROM h GROUP BY h HAVING count(DISTINCT split) > 1""")
 def cross_split_duplicates(spark, d):
-    """Records that are equal as canonical JSON and lie in several splits."""
-    words = F.split(F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 60), " ")
-    rows = B.table(spark, d, "documents").select((F.col("doc_id") % 3).alias("split"), words.alias("words"), "lang")
-    h = rows.select("split", files.content_hash(["words", "lang"]).alias("h"))
+    """Records that are equal as canonical JSON, the whole text by its digest, and lie in several splits."""
+    rows = B.table(spark, d, "documents").select((F.col("doc_id") % 3).alias("split"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text"), "lang")
+    h = rows.select("split", files.content_hash(["text", "lang"]).alias("h"))
     return h.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits")).where("splits > 1")
 
 

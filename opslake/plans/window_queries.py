@@ -9,6 +9,7 @@ from ..operators import evaluate as E
 from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..operators import windows as W
+from ..operators.ranking import interval_join, with_quantiles
 from . import bindings as B
 from .registry import query
 
@@ -138,13 +139,13 @@ def service_prior(spark, d):
 )
 def session_aggregate(spark, d):
     s = B.sess(spark, d)
-    return s.groupBy("instance").agg(
+    aggregates = [
         F.log1p(F.count(F.lit(1))).alias("volume"),
         F.avg((F.col("operation") == "1-URGENT").cast("double")).alias("error_fraction"),
         (F.count_distinct("operation") / F.count(F.lit(1))).alias("distinct_fraction"),
-        F.percentile("value", F.lit(0.95)).alias("q95"),
         F.avg("value").alias("mean"),
-    )
+    ]
+    return with_quantiles(s, ["instance"], aggregates, "value", {"q95": 0.95})
 
 
 _PIVOT = ", ".join(f"max(value) FILTER (operation = '{p}') AS op{i}" for i, p in enumerate(B.PRIORITIES))
@@ -495,11 +496,19 @@ def incident_evaluation(spark, d):
     return E.incident_outcome(incident_episodes(spark, d), B.schedule(spark), B.DAYS)
 
 
-@query("a29_fault_impact", f"WITH {B.REQ}, {B.SCHED} SELECT service, count(*) FILTER (status >= 400) AS impacted, min(span) FILTER (status >= 400) AS first_impact, {R('quantile_cont(duration, 0.5)')} AS median_duration FROM req JOIN sched USING (service) WHERE \"window\" >= onset AND \"window\" < recovery GROUP BY service")
+@query(
+    "a29_fault_impact",
+    f"""WITH {B.REQ}, {B.SCHED}, f AS (SELECT req.*, "window" >= onset AND "window" < recovery AS hit FROM req JOIN sched USING (service))
+SELECT service, count(*) FILTER (hit AND status >= 400) AS impacted, min(span) FILTER (hit AND status >= 400) AS first_impact, {R('quantile_cont(duration, 0.5) FILTER (hit)')} AS median_duration,
+  {R('quantile_cont(duration, 0.5) FILTER (NOT hit)')} AS normal_median, {R('avg(coalesce(CAST(status >= 400 AS INT), 0)) FILTER (hit)')} AS error_fraction, {R('avg(coalesce(CAST(status >= 400 AS INT), 0)) FILTER (NOT hit)')} AS normal_error_fraction FROM f GROUP BY service""",
+)
 def fault_impact(spark, d):
-    r = B.req(spark, d).join(F.broadcast(B.schedule(spark)), "service").where("window >= onset AND window < recovery")
-    bad = F.col("status") >= 400
-    return r.groupBy("service").agg(F.count_if(bad).alias("impacted"), F.min(F.when(bad, F.col("span"))).alias("first_impact"), F.percentile("duration", F.lit(0.5)).alias("median_duration"))
+    """Each faulty service's requests during its fault against its normal ones."""
+    r = B.req(spark, d).join(F.broadcast(B.schedule(spark)), "service").withColumn("hit", (F.col("window") >= F.col("onset")) & (F.col("window") < F.col("recovery")))
+    bad = F.coalesce(F.col("status") >= 400, F.lit(False))
+    per = with_quantiles(r, ["service", "hit"], [F.count_if(bad).alias("n"), F.min(F.when(bad, F.col("span"))).alias("first"), F.avg(bad.cast("double")).alias("share")], "duration", {"median": 0.5})
+    of = lambda c, hit: F.max(F.when(F.col("hit") == hit, F.col(c)))
+    return per.groupBy("service").agg(F.coalesce(of("n", True), F.lit(0)).alias("impacted"), of("first", True).alias("first_impact"), of("median", True).alias("median_duration"), of("median", False).alias("normal_median"), of("share", True).alias("error_fraction"), of("share", False).alias("normal_error_fraction"))
 
 
 @query("a33_service_timeline", f"""WITH {B.WIN} SELECT "window", {', '.join(f"{R(f'max(p95) FILTER (service = {chr(39)}{s}{chr(39)})')} AS {s}" for s in ('click', 'error', 'purchase', 'signup', 'view'))} FROM win GROUP BY "window" """)
@@ -620,3 +629,32 @@ def coverage_summary(spark, d):
     s = seen(spark, d)
     guard = Q.coverage_guard(s, s.select("service").distinct().withColumn("threshold", F.lit(2)), required=0.87)
     return E.coverage_summary(guard.withColumn("run", F.floor(F.col("window") / 10)), "run")
+
+
+# Faults of any number, overlapping and of any length, from a table: the orders of each month open one for a service.
+_FAULTS = """faults AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][1 + o_custkey % 5] AS service, o_orderkey AS fault, 1704067200 + (o_orderkey * 7919) % 2592000 AS onset, 1704067200 + (o_orderkey * 7919) % 2592000 + 60 * (1 + o_custkey % 97) AS recovery FROM orders)"""
+
+
+@query("j12_interval_join", f"WITH {B.REQ}, {_FAULTS} SELECT fault, service, count(span) AS requests, min(span) AS first FROM faults JOIN req USING (service) WHERE end_s >= onset AND end_s < recovery GROUP BY ALL")
+def interval_join_query(spark, d):
+    """Requests inside many overlapping intervals of their service."""
+    key = F.element_at(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")]), 1 + F.col("o_custkey").cast("int") % 5)
+    onset = 1704067200 + (F.col("o_orderkey") * 7919) % 2592000
+    faults = B.table(spark, d, "orders").select(key.alias("service"), F.col("o_orderkey").alias("fault"), onset.alias("onset"), (onset + 60 * (1 + F.col("o_custkey") % 97)).alias("recovery"))
+    met = interval_join(B.req(spark, d).select("service", "span", "end_s"), faults, ["service"], "end_s", "onset", "recovery", 3600.0)
+    return met.groupBy("fault", "service").agg(F.count("span").alias("requests"), F.min("span").alias("first"))
+
+
+@query(
+    "m19_shift_guardrail",
+    f"""WITH {B.WIN}, b AS (SELECT quantile_cont(p95, 0.05) AS a, quantile_cont(p95, 0.95) AS z, quantile_cont(error_fraction, 0.05) AS ea, quantile_cont(error_fraction, 0.95) AS ez FROM win WHERE "window" < 15),
+s AS (SELECT service, "window", (CAST(p95 < a OR p95 > z AS INT) + CAST(error_fraction < ea OR error_fraction > ez AS INT)) / 2 AS shift FROM win, b), m AS (SELECT "window", max(shift) AS shift FROM s GROUP BY 1),
+c AS (SELECT quantile_disc(shift, 0.9) AS cutoff, (SELECT list(shift ORDER BY shift)[CAST(ceil(0.9 * (count(*) - 1)) AS INT) + 1] FROM m WHERE "window" < 15) AS higher FROM m WHERE "window" < 15)
+SELECT "window", {R('shift')} AS shift, {R('higher')} AS cutoff, shift > higher AS flagged FROM m, c WHERE "window" >= 15""",
+)
+def shift_guardrail(spark, d):
+    """A window's largest share of features outside their range, against the higher quantile of healthy windows' largest."""
+    w, values = B.win(spark, d), ["p95", "error_fraction"]
+    bounds = E.shift_bounds(w.where("window < 15"), values, 0.05, 0.95)
+    most = E.shift_score(w, bounds, values).groupBy("window").agg(F.max("shift").alias("shift"))
+    return E.guardrail(most.where("window < 15"), most.where("window >= 15"), "shift", 0.9)
