@@ -188,3 +188,13 @@ def guardrail(healthy: DataFrame, df: DataFrame, score: str, q: float) -> DataFr
     sums = running_sums(counts, [], value_buckets(counts, "_v"), [F.col("_v")], {"_upto": "_n"})
     cutoff = sums.agg(F.min(F.when(F.col("_upto") > F.ceil(F.lit(q) * (F.col("_upto_all") - 1)), F.col("_v"))).alias("cutoff"))
     return df.join(F.broadcast(cutoff)).withColumn("flagged", F.col(score) > F.col("cutoff"))
+
+
+def trial_match(df: DataFrame, schedule: DataFrame, strength: Column) -> DataFrame:
+    """service, delay, named, matched of each case of a schedule: the first warning of any service inside the fault (of one
+    window's the strongest, then by name), and whether it is the faulty service's."""
+    case = schedule.withColumnsRenamed({"service": "_target"})
+    hits = df.withColumn("_strength", strength).join(F.broadcast(case), F.col("warning") & (F.col("window") >= F.col("onset")) & (F.col("window") < F.col("recovery")))  # a schedule is few rows
+    first = hits.groupBy("_target", "onset", "recovery").agg(F.min(F.struct("until", (-F.col("_strength")).alias("_s"), "service")).alias("f"))
+    out = case.join(F.broadcast(first), ["_target", "onset", "recovery"], "left")
+    return out.select(F.col("_target").alias("service"), (F.col("f.until") - F.col("onset")).alias("delay"), F.col("f.service").alias("named"), F.coalesce(F.col("f.service") == F.col("_target"), F.lit(False)).alias("matched"))

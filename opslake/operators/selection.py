@@ -36,3 +36,20 @@ def select_model(candidates: Iterable[tuple[str, DataFrame]], window: str, servi
         raise ValueError("there is no candidate to choose from")
     chosen = next(t[0] for t in tried if t[4] == best)
     return spark.createDataFrame([(*t, t[0] == chosen) for t in tried], "step int, name string, pr_auc double, top1 double, objective double, best boolean")
+
+
+def class_weights(df: DataFrame, truth: str) -> DataFrame:
+    """df with ``weight``: rows / (classes * rows of the class), so that each class weighs the same."""
+    counts = df.groupBy(F.col(truth).alias("_truth")).agg(F.count(F.lit(1)).alias("_n"))  # a row a class
+    total = counts.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
+    weight = F.col("_total") / (F.col("_classes") * F.col("_n"))
+    return df.join(F.broadcast(counts.join(F.broadcast(total)).select("_truth", weight.alias("weight"))), F.col(truth) == F.col("_truth")).drop("_truth")
+
+
+def dropout_replicas(df: DataFrame, key: list[str], modalities: list[str], replicas: int) -> DataFrame:
+    """Each row as it is (replica 0) and ``replicas`` times with some modalities hidden (``no_<name>``): the mask is one of all
+    but the one that hides everything, by a hash of the row's key and the replica."""
+    number = F.conv(F.substring(F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.col("replica").cast("string")), 256), 1, 6), 16, 10).cast("long")
+    mask = F.when(F.col("replica") == 0, 0).otherwise(F.pmod(number, F.lit(2 ** len(modalities) - 1)))
+    rows = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas)))).withColumn("_mask", mask)
+    return rows.withColumns({f"no_{m}": F.col("_mask").bitwiseAND(F.lit(1 << i)) > 0 for i, m in enumerate(modalities)}).drop("_mask")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import forest, novelty, selection
+from ..operators import diagnosis, forest, novelty, selection
 from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..operators import windows as W
@@ -282,8 +283,6 @@ _CONTEXT = f"""{WQ._REASONS}, {WQ._EVIDENCE}, e AS (SELECT *, row_number() OVER
 FROM e WHERE i <= 2 AND "window" >= 15""",
 )
 def evidence_context(spark, d):
-    from pyspark.sql import Window
-
     ev = WQ.with_priority(spark, d).select("window", "service", F.posexplode(F.slice("evidence", 1, 2)).alias("i", "e"))
     number = F.row_number().over(Window.partitionBy("window").orderBy("service", "i"))
     bad = F.coalesce(F.col("e.status") >= 400, F.lit(False))
@@ -321,3 +320,77 @@ def reference_features(spark, d):
     r = W.healthy_reference(w.where("window < 15 AND service <> 'view'"), ["service"], ["p95"])
     j = w.join(r, "service", "left")
     return j.select("service", "window", clipped_change(F.col("p95"), F.col("p95_center"), F.col("p95_scale")).alias("p95_change"), F.col("p95_center").isNull().cast("int").alias("missing"))
+
+
+# A prediction is a user's day with the five services as candidates; a day without any request has only absent ones.
+_PREDICTIONS = f"""{B.REQ}, calls AS (SELECT stream, "window", service, span, status, duration, CASE WHEN k % 3 = 0 THEN 'view' END AS dependency FROM req),
+grid AS (SELECT stream, "window", service, place FROM (SELECT DISTINCT stream FROM req), (SELECT unnest(range(30)) AS "window"), (VALUES ('click', 1), ('error', 2), ('purchase', 3), ('signup', 4), ('view', 5)) v(service, place)),
+cand AS (SELECT g.stream, g."window", g.service, place, count(span) AS requests, coalesce(bool_or(coalesce(status >= 400, false) OR duration > 150), false) AS warned FROM grid g LEFT JOIN calls c USING (stream, "window", service) GROUP BY ALL),
+pred AS (SELECT stream, "window", bool_or(warned) OR sum(requests) = 0 AS alert, sum(requests) = 0 AS absent, bool_or(requests = 0) AS some_absent FROM cand GROUP BY ALL),
+tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream, "window", service ORDER BY coalesce(status >= 400, false) DESC, duration DESC, span) AS i FROM calls) WHERE i <= 2),
+e AS (SELECT stream, "window", 'E' || row_number() OVER (PARTITION BY stream, "window" ORDER BY place, i) AS id, service, dependency, coalesce(status >= 400, false) AS failed, duration > 100 AS slow FROM tops JOIN cand USING (stream, "window", service)),
+m AS (SELECT stream, "window", 'M' || place AS id, service FROM cand),
+books AS (SELECT stream, "window", any_value(some_absent) AS coverage, coalesce(bool_or(failed AND dependency IS NOT NULL), false) AS dependency, coalesce(bool_or(slow), false) AS latency, coalesce(bool_or(failed AND dependency IS NULL), false) AS local_error, count(id) AS n FROM pred LEFT JOIN e USING (stream, "window") GROUP BY ALL)"""
+
+
+def prediction_contexts(spark, d):
+    calls = WQ.with_dependency(B.req(spark, d)).select("stream", "window", "service", "span", "status", "duration", "dependency")
+    names = ["click", "error", "purchase", "signup", "view"]
+    grid = W.spine(calls.select("stream").distinct(), 0, B.DAYS - 1).withColumn("service", F.explode(F.array(*[F.lit(n) for n in names])))
+    warned = F.coalesce(F.col("status") >= 400, F.lit(False)) | (F.col("duration") > 150)
+    per = calls.groupBy("stream", "window", "service").agg(F.count(F.lit(1)).alias("requests"), F.bool_or(warned).alias("warned"))
+    cells = grid.join(per, ["stream", "window", "service"], "left").fillna(0, ["requests"])
+    idle = F.sum("requests").over(Window.partitionBy("stream", "window")) == 0  # five rows
+    candidates = cells.select("stream", "window", "service", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("service")).alias("place"), "requests", (F.coalesce("warned", F.lit(False)) | idle).alias("alert"))
+    return diagnosis.contexts(candidates, calls, ["stream", "window"])
+
+
+@query(
+    "m22_prediction_context",
+    f"""WITH {_PREDICTIONS} SELECT pred.stream, pred."window", n AS evidence, n + 5 AS citations,
+  array_to_string(list_filter([CASE WHEN coverage THEN 'coverage' END, CASE WHEN dependency THEN 'dependency' END, CASE WHEN latency THEN 'latency' END, CASE WHEN local_error THEN 'local_error' END, 'none'], lambda x: x IS NOT NULL), ',') AS runbooks,
+  alert, absent, (SELECT string_agg(id || ':' || service || ':' || coalesce(dependency, ''), ',' ORDER BY CAST(substr(id, 2) AS INT)) FROM e WHERE e.stream = pred.stream AND e."window" = pred."window") AS cited
+FROM pred JOIN books USING (stream, "window")""",
+)
+def prediction_context(spark, d):
+    """The citations E1.. and M1.., supported runbooks, and flags of each prediction."""
+    c = prediction_contexts(spark, d)
+    own = F.filter("citations", lambda x: x["id"].startswith("E"))
+    text = F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["id"], x["service"], F.coalesce(x["dependency"], F.lit("")))), ",")
+    return c.select("stream", "window", F.size(own).cast("long").alias("evidence"), F.size("citations").cast("long").alias("citations"), F.array_join("runbooks", ",").alias("runbooks"), "alert", "absent", F.when(F.size(own) > 0, text).alias("cited"))
+
+
+#: status, service, citations, runbook of the answer that a prediction gets by its number; the last is no answer at all.
+_ANSWERS = [
+    ("review", None, [], "none"), ("clear", "view", [], "none"), ("review", None, ["E1", "E1"], "none"), ("review", None, ["E99"], "none"), ("review", "ghost", ["M1"], "none"), ("review", None, ["M1"], "dependency"),
+    ("review", "view", ["M1"], "none"), ("clear", None, [], "none"), ("review", "error", ["M2"], "none"), ("abstain", None, [], "none"), ("review", None, ["E1"], "latency"), ("review", "click", ["M1"], "coverage"), None,
+]
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+_ANSWER_ROWS = ", ".join(f"({i}, {_quoted(a[0])}, {_quoted(a[1])}, CAST([{', '.join(map(_quoted, a[2]))}] AS VARCHAR[]), {_quoted(a[3])})" for i, a in enumerate(_ANSWERS) if a)
+
+
+@query(
+    "m23_all_rejections",
+    f"""WITH {_PREDICTIONS}, given AS (SELECT * FROM (VALUES {_ANSWER_ROWS}) v(h, status, named, ids, book)),
+dx AS (SELECT p.*, status, named, ids, book, n, coverage, dependency, latency, local_error FROM pred p LEFT JOIN given ON h = (p.stream * 7 + p."window") % 13 JOIN books USING (stream, "window")),
+cites AS (SELECT stream, "window", named, unnest(ids) AS id FROM dx WHERE named IS NOT NULL),
+rel AS (SELECT c.stream, c."window", bool_or(coalesce(e.service = named, false) OR coalesce(e.dependency = named, false) OR coalesce(m.service = named, false)) AS related FROM cites c
+  LEFT JOIN e ON e.stream = c.stream AND e."window" = c."window" AND e.id = c.id LEFT JOIN m ON m.stream = c.stream AND m."window" = c."window" AND m.id = c.id GROUP BY ALL),
+judged AS (SELECT dx.stream, dx."window", status, CASE WHEN status IS NULL THEN 'malformed' WHEN status = 'review' AND len(ids) = 0 THEN 'review without citation'
+  WHEN status = 'clear' AND (named IS NOT NULL OR book <> 'none') THEN 'clear naming a fault' WHEN len(list_distinct(ids)) < len(ids) THEN 'duplicate citation'
+  WHEN len(list_filter(ids, lambda x: (x[1] = 'E' AND CAST(substr(x, 2) AS INT) > n) OR (x[1] = 'M' AND CAST(substr(x, 2) AS INT) > 5))) > 0 THEN 'unknown citation'
+  WHEN named = 'ghost' THEN 'unknown service' WHEN NOT CASE book WHEN 'none' THEN true WHEN 'coverage' THEN coverage WHEN 'dependency' THEN dependency WHEN 'latency' THEN latency ELSE local_error END THEN 'runbook not available'
+  WHEN named IS NOT NULL AND len(ids) > 0 AND NOT related THEN 'unrelated citation' WHEN status = 'clear' AND alert THEN 'clear against an alert' WHEN status = 'review' AND NOT alert THEN 'review without an alert'
+  WHEN status = 'review' AND absent THEN 'review of absent sources' END AS reason FROM dx LEFT JOIN rel USING (stream, "window"))
+SELECT stream, "window", reason IS NULL AS accepted, CASE WHEN reason IS NULL THEN status ELSE 'abstain' END AS status, reason FROM judged""",
+)
+def all_rejections(spark, d):
+    """A diagnosis for every prediction, in JSON; each of the eleven rejections occurs."""
+    known = prediction_contexts(spark, d)
+    h = (F.col("stream") * 7 + F.col("window")) % 13
+    answer = F.lit('{"status": "review", "evidence')
+    for i, a in enumerate(_ANSWERS):
+        if a:
+            made = F.to_json(F.struct(F.lit(a[0]).alias("status"), F.lit(a[1]).cast("string").alias("suspected_service"), F.array(*[F.lit(x) for x in a[2]]).cast("array<string>").alias("evidence_ids"), F.lit(a[3]).alias("runbook_id"), F.lit("seen").alias("summary")))
+            answer = F.when(h == i, made).otherwise(answer)
+    return diagnosis.validated(known.select("stream", "window", answer.alias("answer")), known, ["stream", "window"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import unusual_status
 from ..operators import evaluate as E
 from ..operators import scoring as C
+from ..operators import selection as S
 from ..operators import sequence as Q
 from ..operators import windows as W
 from ..operators.ranking import interval_join, with_quantiles
@@ -658,3 +659,45 @@ def shift_guardrail(spark, d):
     bounds = E.shift_bounds(w.where("window < 15"), values, 0.05, 0.95)
     most = E.shift_score(w, bounds, values).groupBy("window").agg(F.max("shift").alias("shift"))
     return E.guardrail(most.where("window < 15"), most.where("window >= 15"), "shift", 0.9)
+
+
+_FOUR = ["p95", "error_fraction", "max_active", "requests"]
+_REFERENCE = "ref AS (SELECT service, " + ", ".join(f"quantile_cont({v}, 0.5) AS c{i}, stddev_pop({v}) AS s{i}" for i, v in enumerate(_FOUR)) + ' FROM win WHERE "window" < 5 GROUP BY service)'
+_CHANGES = ", ".join(f"{{'feature': '{v}', 'i': {i}, 'change': least(abs({v} - c{i}) / greatest(s{i}, abs(c{i}) * 0.05, 1e-6), 100)}}" for i, v in enumerate(_FOUR))
+
+
+@query(
+    "a31_top_changes",
+    f"""WITH {B.WIN}, {_REFERENCE}, x AS (SELECT service, "window", unnest([{_CHANGES}]) AS f FROM win JOIN ref USING (service)),
+r AS (SELECT service, "window", f, row_number() OVER (PARTITION BY service, "window" ORDER BY round(f.change, 9) DESC, f.i) AS place FROM x)
+SELECT service, "window", CAST(place AS INT) AS place, f.feature AS feature, {R('f.change')} AS change FROM r WHERE place <= 3""",
+)
+def top_changes(spark, d):
+    """The three most changed features of each candidate, of equal ones the first."""
+    c = W.causal_change(B.win(spark, d), ["service"], "window", _FOUR)
+    pairs = F.array(*[F.struct((-F.round(f"{v}_change", 9)).alias("k"), F.lit(i).alias("i"), F.lit(v).alias("feature"), F.col(f"{v}_change").alias("change")) for i, v in enumerate(_FOUR)])
+    top = c.select("service", "window", F.posexplode(F.slice(F.array_sort(pairs), 1, 3)).alias("place", "f"))
+    return top.select("service", "window", (F.col("place") + 1).alias("place"), "f.feature", "f.change")
+
+
+@query(
+    "m24_trial_match",
+    f"""WITH {B.BUSY}, {B.SCHED}, hits AS (SELECT s.service AS target, onset, until, b.service, p95 / base AS strength FROM sched s JOIN busy b ON b.warning AND b."window" >= onset AND b."window" < recovery),
+f AS (SELECT target, onset, until AS first_at, service AS named FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY until, strength DESC, service) AS i FROM hits) WHERE i = 1)
+SELECT s.service, first_at - f.onset AS delay, named, coalesce(named = s.service, false) AS matched FROM sched s LEFT JOIN f ON f.target = s.service""",
+)
+def trial_match(spark, d):
+    """Each trial's first alert of any service, the strongest of that window, and whether it names the faulty service."""
+    return E.trial_match(B.busy(spark, d), B.schedule(spark), F.col("p95") / F.col("base"))
+
+
+@query(
+    "m30_replicated_masks",
+    f"""WITH {_COHORT}, t AS (SELECT service, "window", CAST(cohort = 'fault' AS INT) AS truth FROM co WHERE cohort IN ('fault', 'healthy')), n AS (SELECT truth, count(*) AS n, sum(count(*)) OVER () AS total FROM t GROUP BY truth),
+r AS (SELECT t.*, replica, CASE WHEN replica = 0 THEN 0 ELSE CAST('0x' || substr(sha256(service || ':' || "window" || ':' || replica), 1, 6) AS BIGINT) % 7 END AS m FROM t, (SELECT unnest([0, 1, 2]) AS replica))
+SELECT service, "window", CAST(replica AS INT) AS replica, truth, (m & 1) > 0 AS no_metrics, (m & 2) > 0 AS no_logs, (m & 4) > 0 AS no_traces, {R('total / (2.0 * n)')} AS weight FROM r JOIN n USING (truth)""",
+)
+def replicated_masks(spark, d):
+    """Training rows as they are and twice with hidden modalities, never all three, weighted so that classes count alike."""
+    rows = cohorts(spark, d).where("cohort IN ('fault', 'healthy')").select("service", "window", (F.col("cohort") == "fault").cast("int").alias("truth"))
+    return S.dropout_replicas(S.class_weights(rows, "truth"), ["service", "window"], ["metrics", "logs", "traces"], 2)
