@@ -196,3 +196,65 @@ def match_templates(df: DataFrame, text: str, templates: DataFrame, leading: int
     alike = lambda t: F.size(F.filter(F.zip_with(t, F.col("_words"), lambda a, b: (a == b) | (a == "<*>")), lambda x: x)) >= similarity * F.size("_words")
     joined = routed.join(lists, routed["_route"] == lists["_r"], "left")
     return joined.withColumn("known", F.coalesce(F.exists("_t", alike), F.lit(False))).drop("_words", "_route", "_r", "_t")
+
+
+#: Words at the front of a line that make its path in the template tree, and literal children of a node.
+TREE_DEPTH, TREE_CHILDREN = 3, 16
+MASK = "<*>"
+
+
+class TemplateTree:
+    """Templates of lines as a prefix tree of fixed depth: the root's children are numbers of words, each level below one more
+    leading word. A node keeps its ``children`` most frequent words (of equal ones the first; words with digits never)
+    and sends all others to one masked child; a leaf's template keeps the words without digits that all its lines share.
+
+    Every step is a count or a least and greatest word, so parts of the lines can be counted anywhere and added up, and the
+    tree does not depend on the order or the partitions of lines. It is at most lengths * (children + 1) ^ depth leaves."""
+
+    def __init__(self, lines: DataFrame, text: str, depth: int = TREE_DEPTH, children: int = TREE_CHILDREN):
+        self.depth, self.levels = depth, []
+        rows = _words(lines.groupBy(F.col(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n")), "_text")
+        for i in range(depth):
+            counts = rows.select("_path", _word(i).alias("_word"), "_n").where(F.col("_word") != MASK).groupBy("_path", "_word").agg(F.sum("_n").alias("_n"))
+            order = Window.partitionBy("_path").orderBy(F.col("_n").desc(), "_word")
+            self.levels.append(counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= children).select("_path", "_word"))
+            rows = _descend(rows, self.levels[i], i)
+        at = rows.select("_path", "_n", F.posexplode("_w").alias("_i", "_word")).groupBy("_path", "_i").agg(F.min("_word").alias("_a"), F.max("_word").alias("_z"), F.sum("_n").alias("_n"))
+        word = F.when((F.col("_a") == F.col("_z")) & ~F.col("_a").rlike("[0-9]"), F.col("_a")).otherwise(MASK)
+        leaf = at.groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_i", word.alias("w")))).alias("_t"), F.max("_n").alias("n"))  # as many as a line has words
+        self.templates = leaf.select(F.col("_path").alias("path"), F.transform("_t", lambda t: t["w"]).alias("words"), "n")
+
+    def match(self, df: DataFrame, text: str) -> DataFrame:
+        """df with ``known``: whether its line's leaf is in the tree and has the line's words where it keeps words. Nothing is
+        added to the tree."""
+        rows = _words(df, text)
+        for i, kept in enumerate(self.levels):
+            rows = _descend(rows, kept, i)
+        leaves = self.templates.select(F.col("path").alias("_leaf"), F.col("words").alias("_template"))
+        same = F.forall(F.zip_with("_template", "_w", lambda t, w: (t == MASK) | (t == w)), lambda x: x)
+        joined = rows.join(leaves, F.col("_path") == F.col("_leaf"), "left")
+        return joined.withColumn("known", F.coalesce(same, F.lit(False))).drop("_w", "_path", "_leaf", "_template")
+
+
+def _words(df: DataFrame, text: str) -> DataFrame:
+    words = F.filter(F.split(F.trim(F.col(text)), r"\s+"), lambda w: w != "")
+    return df.withColumn("_w", F.coalesce(words, F.array().cast("array<string>"))).withColumn("_path", F.size("_w").cast("string"))
+
+
+def _word(i: int) -> Column:
+    w = F.get("_w", F.lit(i))
+    return F.when(w.isNull() | w.rlike("[0-9]"), MASK).otherwise(w)
+
+
+def _descend(rows: DataFrame, kept: DataFrame, i: int) -> DataFrame:
+    names = rows.columns
+    marked = rows.withColumn("_next", _word(i))
+    level = kept.select(F.col("_path").alias("_kp"), F.col("_word").alias("_kw"))
+    joined = marked.join(level, (F.col("_path") == F.col("_kp")) & (F.col("_next") == F.col("_kw")), "left")
+    return joined.withColumn("_path", F.concat_ws(" ", "_path", F.coalesce("_kw", F.lit(MASK)))).select(*names)
+
+
+def unknown_share(df: DataFrame, keys: list[str], limit: float = 0.1) -> DataFrame:
+    """keys, lines, unknown (share of lines without a known template), drifted: whether that is over the limit."""
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), F.avg((~F.col("known")).cast("double")).alias("unknown"))
+    return per.withColumn("drifted", F.col("unknown") > limit)

@@ -79,7 +79,8 @@ def with_quantiles(df: DataFrame, keys: list[str], aggregates: list[Column], val
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.groupBy(*keys).agg(*aggregates).join(found, on, "left").drop(*[f"_k_{k}" for k in keys])
+    groups = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    return groups.join(found, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, how: str = "inner", hot_parts: int | None = None) -> DataFrame:

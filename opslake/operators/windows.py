@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clipped_change, finite, ratio, robust_scale, unusual_status
 from ..functions.text import has_error_word
+from .ranking import GROUP_ROWS, with_quantiles
 
 WARMUP = 5
 
@@ -72,8 +73,12 @@ def request_aggregates(width: float) -> list[Column]:
     ]
 
 
-def request_windows(requests: DataFrame, width: float, keys: list[str] = ["service", "window"]) -> DataFrame:  # noqa: B006
-    return requests.groupBy(*keys).agg(*request_aggregates(width))
+def request_windows(requests: DataFrame, width: float, keys: list[str] = ["service", "window"], group_rows: int | None = None) -> DataFrame:  # noqa: B006
+    """The aggregates of each window. With ``group_rows`` no task holds more values of a window than that."""
+    p95, *rest = request_aggregates(width)
+    if group_rows:
+        return with_quantiles(requests, keys, rest, "duration", {"p95": 0.95}, group_rows)
+    return requests.groupBy(*keys).agg(p95, *rest)
 
 
 def spine(keys: DataFrame, first: int, last: int, name: str = "window") -> DataFrame:

@@ -394,3 +394,37 @@ def all_rejections(spark, d):
             made = F.to_json(F.struct(F.lit(a[0]).alias("status"), F.lit(a[1]).cast("string").alias("suspected_service"), F.array(*[F.lit(x) for x in a[2]]).cast("array<string>").alias("evidence_ids"), F.lit(a[3]).alias("runbook_id"), F.lit("seen").alias("summary")))
             answer = F.when(h == i, made).otherwise(answer)
     return diagnosis.validated(known.select("stream", "window", answer.alias("answer")), known, ["stream", "window"])
+
+
+def _page_lines(spark, d):
+    return B.table(spark, d, "pages").select("page_id", F.coalesce(F.translate("url", "/?&=#.", "      "), F.lit("")).alias("line"))
+
+
+def _tree_sql(children=novelty.TREE_CHILDREN):
+    """The tree of two thirds of the lines, unrolled: l_i has every line with its path to level i, k_i the kept words."""
+    word = lambda i: f"CASE WHEN len(w) > {i} AND NOT regexp_matches(w[{i + 1}], '[0-9]') THEN w[{i + 1}] ELSE '<*>' END"
+    out = ["cut AS (SELECT page_id, page_id % 3 = 0 AS fresh, list_filter(regexp_split_to_array(trim(translate(coalesce(url, ''), '/?&=#.', '      ')), '\\s+'), lambda x: x <> '') AS w FROM pages)", "l_0 AS (SELECT *, CAST(len(w) AS VARCHAR) AS p FROM cut)"]
+    for i in range(novelty.TREE_DEPTH):
+        out.append(f"k_{i} AS (SELECT p, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, x) AS r FROM (SELECT p, {word(i)} AS x FROM l_{i} WHERE NOT fresh) WHERE x <> '<*>' GROUP BY p, x) WHERE r <= {children})")
+        out.append(f"l_{i + 1} AS (SELECT page_id, fresh, w, l.p || ' ' || coalesce(k.x, '<*>') AS p FROM l_{i} l LEFT JOIN k_{i} k ON k.p = l.p AND k.x = {word(i)})")
+    last = f"l_{novelty.TREE_DEPTH}"
+    out.append(f"places AS (SELECT p, i, CASE WHEN min(w[i]) = max(w[i]) AND NOT regexp_matches(min(w[i]), '[0-9]') THEN min(w[i]) ELSE '<*>' END AS word, count(*) AS n FROM (SELECT p, w, unnest(range(1, len(w) + 1)) AS i FROM {last} WHERE NOT fresh) GROUP BY p, i)")
+    out.append("leaves AS (SELECT p, list(word ORDER BY i) AS words, max(n) AS n FROM places GROUP BY p)")
+    out.append(f"matched AS (SELECT page_id, leaves.p IS NOT NULL AND len(list_filter(range(1, len(w) + 1), lambda i: words[i] <> '<*>' AND words[i] <> w[i])) = 0 AS known FROM {last} l LEFT JOIN leaves ON leaves.p = l.p WHERE fresh)")
+    return ", ".join(out)
+
+
+@query("m10_template_tree", f"WITH {_tree_sql()} SELECT p AS path, array_to_string(words, ' ') AS template, n FROM leaves")
+def template_tree(spark, d):
+    """Templates by a prefix tree that is made of counts alone."""
+    tree = novelty.TemplateTree(_page_lines(spark, d).where("page_id % 3 <> 0"), "line")
+    return tree.templates.select("path", F.array_join("words", " ").alias("template"), "n")
+
+
+@query("m10_unknown_share", f"WITH {_tree_sql()} SELECT page_id // 50 AS \"window\", count(*) AS lines, {R('avg(CAST(NOT known AS INT))')} AS unknown, avg(CAST(NOT known AS INT)) > 0.1 AS drifted FROM matched GROUP BY 1")
+def unknown_share(spark, d):
+    """The share of new lines that no frozen template knows, by window."""
+    lines = _page_lines(spark, d)
+    tree = novelty.TemplateTree(lines.where("page_id % 3 <> 0"), "line")
+    matched = tree.match(lines.where("page_id % 3 = 0"), "line").withColumn("window", F.floor(F.col("page_id") / 50))
+    return novelty.unknown_share(matched, ["window"])

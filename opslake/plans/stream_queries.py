@@ -373,13 +373,18 @@ def feature_stream(spark, d):
     return jobs.fed(feature_messages(spark, d), _message_thirds(), lambda stream: processors.score_features(stream, processor), runner=processors.run_on_rows)
 
 
+def history_forest(spark, d):
+    """A forest over histories of the first windows; None without any."""
+    first = feature_messages(spark, d).where("arrival < 3000").select("stream", "end", F.explode("services").alias("s"))
+    rows = first.select(F.concat_ws("/", "stream", "end", "s.service").alias("key"), F.concat(F.array_repeat(F.lit(0.0), 72), F.col("s.features")).alias("x"))
+    nodes = forest.grow(rows, F.col("key"), F.col("x"), trees=25, psi=64).toPandas()  # 25 trees of at most 128 nodes
+    return forest.Forest(nodes) if len(nodes) else None
+
+
 @query("t08_forest_stream")
 def forest_stream(spark, d):
     """The same stream, scored by an isolation forest over the 90 features of five windows that was fitted on the first
     windows; its nodes are bounded by trees and sample, and go to the tasks with the processor."""
-    first = feature_messages(spark, d).where("arrival < 3000").select("stream", "end", F.explode("services").alias("s"))
-    rows = first.select(F.concat_ws("/", "stream", "end", "s.service").alias("key"), F.concat(F.array_repeat(F.lit(0.0), 72), F.col("s.features")).alias("x"))
-    nodes = forest.grow(rows, F.col("key"), F.col("x"), trees=25, psi=64).toPandas()  # 25 trees of at most 128 nodes
-    fitted = forest.Forest(nodes) if len(nodes) else None
+    fitted = history_forest(spark, d)
     processor = processors.FeatureScorer(lambda raw: fitted.score(raw.reshape(len(raw), -1)), _available, {"all": 0.6, "logs": 0.6}, 18)
     return jobs.fed(feature_messages(spark, d), _message_thirds(), lambda stream: processors.score_features(stream, processor), runner=processors.run_on_rows)

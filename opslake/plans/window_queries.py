@@ -57,7 +57,7 @@ def span_ratios(spark, d):
 
 @query("a06_request_window", f"WITH {B.WIN} SELECT service, \"window\", {R('p95')} AS p95, {R('error_fraction')} AS error_fraction, {R('rps')} AS rps, max_active, requests FROM win")
 def request_window(spark, d):
-    return B.win(spark, d)
+    return W.request_windows(B.req(spark, d), 86400.0, group_rows=W.GROUP_ROWS)
 
 
 _GRID = 'grid AS (SELECT service, w AS "window" FROM (SELECT DISTINCT event_type AS service FROM events), (SELECT unnest(range(0, 35)) AS w))'
@@ -98,7 +98,7 @@ def mad_reference(spark, d):
 
 @query("a10_quantile_threshold", f"WITH {B.WIN} SELECT service, {R('quantile_cont(p95, 0.995)')} AS threshold FROM win WHERE \"window\" < 15 GROUP BY service")
 def quantile_threshold(spark, d):
-    return B.win(spark, d).where("window < 15").groupBy("service").agg(F.percentile("p95", F.lit(0.995)).alias("threshold"))
+    return with_quantiles(B.win(spark, d).where("window < 15"), ["service"], [], "p95", {"threshold": 0.995})
 
 
 _LIMITS = """limits AS (SELECT service, greatest(quantile_cont(p95, 0.99), 0) AS latency_limit, greatest(quantile_cont(error_fraction, 0.99), 0) AS error_limit FROM win WHERE "window" < 15 GROUP BY service)"""

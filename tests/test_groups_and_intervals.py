@@ -132,3 +132,45 @@ def test_contexts_and_rejections(spark):
         r = diagnosis.validated(spark.createDataFrame([(p, text)], "p int, answer string"), known, ["p"]).first()
         assert (r.reason, r.accepted) == (reason, reason is None), text
         assert r.status == ("abstain" if reason else json.loads(text)["status"])
+
+
+def tree_by_hand(lines, depth, children):
+    cut = [line.split() for line in lines]
+    word = lambda w, i: w[i] if i < len(w) and not any(c.isdigit() for c in w[i]) else "<*>"
+    paths, kept = [str(len(w)) for w in cut], []
+    for i in range(depth):
+        counts = defaultdict(Counter)
+        for p, w in zip(paths, cut):
+            if word(w, i) != "<*>":
+                counts[p][word(w, i)] += 1
+        kept.append({p: set(sorted(c, key=lambda x: (-c[x], x))[:children]) for p, c in counts.items()})
+        paths = [f"{p} {word(w, i) if word(w, i) in kept[i].get(p, ()) else '<*>'}" for p, w in zip(paths, cut)]
+    leaves = defaultdict(list)
+    for p, w in zip(paths, cut):
+        leaves[p].append(w)
+    found = {p: ([x[0] if len(set(x)) == 1 and not any(c.isdigit() for c in x[0]) else "<*>" for x in zip(*ws)], len(ws)) for p, ws in leaves.items() if ws[0]}
+
+    def known(line):
+        w = line.split()
+        p = str(len(w))
+        for i in range(depth):
+            p += " " + (word(w, i) if word(w, i) in kept[i].get(p, ()) else "<*>")
+        return p in found and all(t in ("<*>", x) for t, x in zip(found[p][0], w))
+
+    return found, known
+
+
+@pytest.mark.parametrize(("depth", "children"), [(3, 2), (1, 16), (4, 3)])
+def test_template_trees_equal_counting_by_hand(spark, depth, children):
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice([rng.choice("abcdefgh"), rng.choice("ab"), f"n{rng.randrange(99)}"]) for _ in range(rng.randrange(0, 6)))
+    old, new = [line() for _ in range(400)] + ["a b c"] * 300, [line() for _ in range(200)] + ["a b zz", ""]
+    frame = spark.createDataFrame([(x,) for x in old], "line string")
+    found, known = tree_by_hand(old, depth, children)
+    for parts in (1, 7):  # the tree does not depend on how lines are dealt
+        tree = novelty.TemplateTree(frame.repartition(parts), "line", depth, children)
+        assert {r.path: (r.words, r.n) for r in tree.templates.collect()} == found
+    got = [(r.line, r.known) for r in tree.match(spark.createDataFrame([(x,) for x in new], "line string"), "line").collect()]
+    assert sorted(got) == sorted((x, known(x)) for x in new) and {k for _, k in got} == {True, False}
+    share = novelty.unknown_share(spark.createDataFrame([("a", True)] * 9 + [("a", False)] + [("b", False)], "k string, known boolean"), ["k"])
+    assert {r.k: (r.lines, round(r.unknown, 6), r.drifted) for r in share.collect()} == {"a": (10, 0.1, False), "b": (1, 1.0, True)}

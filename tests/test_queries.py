@@ -3,6 +3,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,29 @@ def test_messages_are_judged_whole(spark, run):
 def test_template_of_every_page(spark, run):
     got = {r.page_id: r.template for r in run("f01_log_template")}
     assert len(got) == B.table(spark, SF, "pages").count() and not any(any(c.isupper() for c in t) or "  " in t for t in got.values())
+
+
+def test_the_forest_stream_scores_like_a_loop(run, spark):
+    """Accepted messages, histories of five windows with zeros before, and the forest's score of each available service."""
+    from opslake.plans import stream_queries as S
+
+    messages = sorted(S.feature_messages(spark, SF).collect(), key=lambda r: r.arrival)
+    fitted, state, true = S.history_forest(spark, SF), {}, {}
+    for m in messages:
+        profile, last, history = state.get(m.stream, (None, None, {}))
+        if last is not None and (m.profile != profile or m.end != last + 60):
+            true[m.stream, m.arrival] = ("rejected", None, [])
+            continue
+        history = {e: v for e, v in history.items() if e > m.end - 300} | {m.end: {s.service: s.features for s in m.services}}
+        state[m.stream] = (m.profile, m.end, history)
+        scores = {}
+        for s in m.services:
+            if s.features[17] < 1 or s.features[10] > 0 or s.features[15] > 0:
+                raw = [x for e in range(m.end - 240, m.end + 1, 60) for x in history.get(e, {}).get(s.service, [0.0] * 18)]
+                scores[s.service] = float(fitted.score(np.array([raw]))[0])
+        names = sorted(scores, key=lambda n: (-scores[n], n))[:5]
+        true[m.stream, m.arrival] = ("scored" if names else "abstained", max(scores.values(), default=None), names)
+    got = {(r.stream, r.arrival): (r.status, r.score, r.candidates) for r in run("t08_forest_stream")}
+    assert got.keys() == true.keys() and {s for s, *_ in got.values()} >= {"scored", "rejected"}
+    for k, (status, score, names) in true.items():
+        assert got[k][0] == status and got[k][2] == names and (score is None or abs(got[k][1] - score) < 1e-5)
