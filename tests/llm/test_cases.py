@@ -425,3 +425,35 @@ def test_rows_with_one_key_keep_their_own_verdicts(spark, monkeypatch):
     kept = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOC)).collect()}
     assert kept == {1: 0, 2: 50, 3: 50, 4: 0}
     assert substring_dedup.uncovered(3, np.array([0, 90]), 35).tolist() == [True] * 3
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    """Dictionaries are the labelled texts outside the held-out fold, sizes those of zstandard with them, one text at a time,
+    and a score is the curve of the size difference."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(12)
+    word = {1: [f"good{i}" for i in range(40)], 0: [f"BAD!{i}" for i in range(40)]}
+    rows = [(i, " ".join(rng.choice(word[i % 2]) if rng.random() < 0.8 else rng.choice(word[1 - i % 2]) for _ in range(rng.randrange(3, 60))), "en", None, 0) for i in range(160)]
+    rows += [(500, None, "en", None, 0), (501, "", "en", None, 0), (502, "née " * 30, "en", None, 0)]
+    labels = [(i, i % 2, 0) for i in range(0, 160, 2)] + [(i, i % 2, 0) for i in range(1, 100, 2)]
+    docs, marks = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, LABEL)
+    model = quality_classifier.fit(docs, marks)
+    kept = {y: sorted(t for i, t, *_ in rows for j, q, _ in labels if i == j and q == y and zlib.crc32(str(i).encode()) % 5) for y in (0, 1)}
+    assert sorted(model.good.decode().splitlines()) == kept[1] and sorted(model.bad.decode().splitlines()) == kept[0]
+
+    def size(raw, content):
+        plain = zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        return len(plain.compress(raw))
+
+    scores = {r.doc_id: r.score for r in quality_classifier.score(spark, docs, model).collect()}
+    for i, text, *_ in rows:
+        raw, x = (text or "").encode(), [0.0] * 4
+        if raw:
+            g, b = size(raw, model.good), size(raw, model.bad)
+            x = [(b - g) / len(raw), (b - g) / min(b, g), math.log(min(b, g) / len(raw)), math.log(len(raw))]
+        z = sum(a * w for a, w in zip([*x, 1.0], model.weights))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    assert sum(scores[i] for i in range(1, 160, 2)) > 4 * sum(scores[i] for i in range(0, 160, 2))
