@@ -247,11 +247,13 @@ def nested_traces(spark, d):
 # scoring, ingest and coverage inside the stream ---------------------------------------------------------------------
 
 _ORIGIN_MS = 1_704_067_200_000  # 2024-01-01, the first window
+_CLOCK = "~clock"
 
 
 def _closed(spark, requests):
-    """Requests with a mark of time three days after the last window, which closes all windows before it."""
-    mark = spark.range(1).select(F.lit(None).cast("string").alias("service"), F.timestamp_millis(F.lit(_ORIGIN_MS + (B.DAYS + 3) * processors.DAY_MS)).alias("at"), F.lit(B.DAYS + 3).alias("window"))
+    """Requests with a mark of time three days after the last window, which closes all windows before it. It has a service of
+    its own: a null one would be filtered out, for a later join, before the watermark sees it."""
+    mark = spark.range(1).select(F.lit(_CLOCK).alias("service"), F.timestamp_millis(F.lit(_ORIGIN_MS + (B.DAYS + 3) * processors.DAY_MS)).alias("at"), F.lit(B.DAYS + 3).alias("window"))
     return requests.unionByName(mark, allowMissingColumns=True)
 
 
@@ -272,10 +274,10 @@ SELECT CAST(service AS VARCHAR) AS service, "window", seen, {R('coverage')} AS c
 def coverage_guard_stream(spark, d):
     """Raw events in, the guard's rows out: presence, coverage over all services and gaps are all made in the stream."""
     requests = _closed(spark, timed_requests(spark, d).select(F.col("stream").cast("string").alias("service"), "at", "window"))
-    expected = requests.where("service IS NOT NULL").select("service").distinct()
+    expected = requests.where(F.col("service") != _CLOCK).select("service").distinct()
     guard = processors.CoverageGuard(2, 0.9, processors.DAY_MS, _ORIGIN_MS)
-    built = lambda stream: processors.coverage_stream(lambda: stream.where("service IS NOT NULL OR window > 30"), "at", "1 hour", "1 day", expected, guard)
-    return jobs.fed(requests, _thirds(), built, runner=processors.run).where(F.col("window").between(0, B.DAYS - 1) & F.col("service").isNotNull())
+    built = lambda stream: processors.coverage_stream(lambda: stream, "at", "1 hour", "1 day", expected, guard)
+    return jobs.fed(requests, _thirds(), built, runner=processors.run).where(F.col("window").between(0, B.DAYS - 1) & (F.col("service") != _CLOCK))
 
 
 _SENT = f"""{B.REQ}, base AS (SELECT stream AS source, service, span, least(2, "window" // 10) AS capture, CAST(k AS VARCHAR) AS payload, end_s FROM req),
