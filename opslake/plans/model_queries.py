@@ -9,10 +9,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diagnosis, forest, novelty, selection
+from ..operators import diagnosis, features, forest, novelty, selection, temporal
 from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..operators import windows as W
+from ..streaming.jobs import new_folder
 from . import bindings as B
 from . import window_queries as WQ
 from .registry import query
@@ -428,3 +429,53 @@ def unknown_share(spark, d):
     tree = novelty.TemplateTree(lines.where("page_id % 3 <> 0"), "line")
     matched = tree.match(lines.where("page_id % 3 = 0"), "line").withColumn("window", F.floor(F.col("page_id") / 50))
     return novelty.unknown_share(matched, ["window"])
+
+
+# Three sources from the requests: metrics from every fifth, logs from every fourth, spans from those over 60. Nobody knows
+# how signup behaves when healthy, nor how many lines view writes.
+_EXTERNAL = f"""{B.REQ}, m AS (SELECT service, "window", avg(duration) AS r0, avg(active) AS r1 FROM req WHERE k % 5 = 0 GROUP BY ALL),
+l AS (SELECT service, "window", ln(1 + count(*)) AS r8, avg(coalesce(CAST(status >= 400 AS INT), 0)) AS r9 FROM req WHERE k % 4 = 1 GROUP BY ALL),
+t AS (SELECT service, "window", ln(1 + count(*)) AS r10, avg(duration) AS r11, max(duration) AS r12, count(*) FILTER (status <> 200) / nullif(count(status), 0) AS r13, count(status) / count(*) AS known FROM req WHERE k > 60 OR k = 3 GROUP BY ALL),
+raw AS (SELECT service, "window", r0, r1, r8, r9, r10, r11, r12, r13, known FROM (SELECT DISTINCT service FROM req) CROSS JOIN (SELECT unnest(range(30)) AS "window") LEFT JOIN m USING (service, "window") LEFT JOIN l USING (service, "window") LEFT JOIN t USING (service, "window")),
+ref AS (SELECT service, {', '.join(f"quantile_cont(r{i}, 0.5) AS c{i}, greatest(stddev_pop(r{i}), abs(quantile_cont(r{i}, 0.5)) * 0.05, 1e-6) AS s{i}" for i in (0, 1, 8, 9, 10, 11, 12, 13))}
+  FROM (SELECT * REPLACE (CASE WHEN service <> 'view' THEN r8 END AS r8, CASE WHEN service <> 'view' THEN r9 END AS r9) FROM raw WHERE "window" < 8 AND service <> 'signup') GROUP BY service),
+ch AS (SELECT raw.service, "window", coalesce(known, 0) AS known, r8 IS NOT NULL AND c8 IS NOT NULL AND c9 IS NOT NULL AS logs, r10 IS NOT NULL AND c10 IS NOT NULL AND c11 IS NOT NULL AND c12 IS NOT NULL AS spans,
+  (6 + CAST(r0 + c0 IS NULL AS INT) + CAST(r1 + c1 IS NULL AS INT)) / 8 AS missing, {', '.join(f"least(coalesce(abs(r{i} - c{i}) / s{i}, 0), 100) AS d{i}" for i in (0, 1, 8, 9, 10, 11, 12, 13))} FROM raw LEFT JOIN ref USING (service))"""
+_EXTERNAL_COLUMNS = [
+    "d0", "d1", *["0.0"] * 6, "CASE WHEN logs THEN d8 ELSE 0 END", "CASE WHEN logs THEN d9 ELSE 0 END", "CAST(logs AS INT)",
+    *[f"CASE WHEN spans THEN d{i} ELSE 0 END" for i in (10, 11, 12, 13)], "CAST(spans AS INT)", "CASE WHEN spans THEN known ELSE 0 END", "missing",
+]
+
+
+def external_features(spark, d):
+    r, keys, k = B.req(spark, d), ["service", "window"], F.col("k")
+    grid = W.spine(r.select("service").distinct(), 0, B.DAYS - 1)
+    metrics = r.where(k % 5 == 0).select(*keys, F.stack(F.lit(2), F.lit("cpu"), F.col("duration"), F.lit("mem"), F.col("active").cast("double")).alias("kind", "value"))
+    logs = r.where(k % 4 == 1).select(*keys, F.coalesce(F.col("status") >= 400, F.lit(False)).alias("error"))
+    raw = features.raw_dimensions(grid, metrics, logs, r.where((k > 60) | (k == 3)), keys, ["cpu", "mem"])
+    healthy = raw.where("window < 8 AND service <> 'signup'").withColumns({c: F.when(F.col("service") != "view", F.col(c)) for c in ("r8", "r9")})
+    return features.scaled_features(raw, features.reference_dimensions(healthy, ["service"]), keys, ["service"])
+
+
+@query("m21_external_features", f"""WITH {_EXTERNAL} SELECT service, "window", {', '.join(f"round(CAST({c} AS DOUBLE), 6) AS f{i}" for i, c in enumerate(_EXTERNAL_COLUMNS))} FROM ch""")
+def external_feature_columns(spark, d):
+    """All 18 features of every service-day, of which 14 are changes against the healthy reference."""
+    return external_features(spark, d).select("service", "window", *[F.col("features")[i].alias(f"f{i}") for i in range(features.FEATURES)])
+
+
+def temporal_items(spark, d):
+    """A day is an item: five days of features of each service, whether it has a source, and the faulty ones."""
+    h = features.histories(external_features(spark, d), ["service"], "window", temporal.HISTORY)
+    h = h.join(F.broadcast(B.schedule(spark)), "service", "left").withColumn("fault", F.coalesce((F.col("window") >= F.col("onset")) & (F.col("window") < F.col("recovery")), F.lit(False)))
+    return temporal.items(h, ["window"], F.col("fault"), F.col("fault"), features.observed(F.col("features")))
+
+
+@query("m15_temporal_fusion")
+def temporal_fusion(spark, d):
+    """Detection and ranking of each day with all sources, without logs and without traces, fitted on two days in three."""
+    data = temporal_items(spark, d)
+    model = temporal.fit(data, F.col("window") % 3 == 2, F.col("window"), epochs=10, folder=new_folder(spark, "items"))
+    out = temporal.predict(data, model, ["window"]).select("window", "score", F.array_join(F.slice("ranking", 1, 3), ",").alias("top"), (F.size("ranking") == 0).alias("abstained"))
+    for source in ("logs", "traces"):
+        out = out.join(temporal.predict(data, model, ["window"], drop=source).select("window", F.col("score").alias(f"without_{source}")), "window")
+    return out
