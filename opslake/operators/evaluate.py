@@ -134,14 +134,20 @@ def diagnosis_quality(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def snapshot_summary(snapshots: DataFrame, services: list[str]) -> DataFrame:
-    """service, instances, missing, restarts per expected service, from snapshots (one row each with ``pods``, an array of
-    service, uid, restarts): different instances seen, snapshots without one, and most restarts of one."""
-    total = snapshots.agg(F.count(F.lit(1)).alias("_all"))
-    listed = snapshots.select(F.array_distinct(F.transform("pods", lambda p: p["service"])).alias("_there"), "pods")
-    there = listed.select(F.explode("_there").alias("service")).groupBy("service").agg(F.count(F.lit(1)).alias("_present"))
-    pods = listed.select(F.explode("pods").alias("p")).groupBy(F.col("p.service").alias("service")).agg(F.count_distinct("p.uid").alias("instances"), F.max("p.restarts").alias("restarts"))
-    expected = snapshots.sparkSession.createDataFrame([(s,) for s in services], "service string")
-    joined = expected.join(there, "service", "left").join(pods, "service", "left").join(F.broadcast(total))
+    """:func:`instance_summary` of snapshots with one row each and ``pods``, an array of service, uid, restarts."""
+    rows = snapshots.withColumn("_snapshot", F.monotonically_increasing_id()).select("_snapshot", F.explode_outer("pods").alias("p"))
+    return instance_summary(rows.select("_snapshot", "p.service", "p.uid", "p.restarts"), "_snapshot", services)
+
+
+def instance_summary(pods: DataFrame, snapshot: str, services: list[str]) -> DataFrame:
+    """service, instances, missing, restarts per expected service, from a row a snapshot and instance (service, uid, restarts;
+    a snapshot without any has a row with nulls): different instances seen, snapshots without one, and most restarts of
+    one. Snapshots and instances are counted in two steps, so no task holds those of a service or a snapshot."""
+    total = pods.select(snapshot).distinct().agg(F.count(F.lit(1)).alias("_all"))
+    there = pods.select("service", snapshot).distinct().groupBy("service").agg(F.count(F.lit(1)).alias("_present"))
+    seen = pods.groupBy("service", "uid").agg(F.max("restarts").alias("restarts")).groupBy("service").agg(F.count("uid").alias("instances"), F.max("restarts").alias("restarts"))
+    expected = pods.sparkSession.createDataFrame([(s,) for s in services], "service string")
+    joined = expected.join(there, "service", "left").join(seen, "service", "left").join(F.broadcast(total))
     return joined.select("service", F.coalesce("instances", F.lit(0)).cast("long").alias("instances"), (F.col("_all") - F.coalesce("_present", F.lit(0))).alias("missing"), F.coalesce("restarts", F.lit(0)).alias("restarts"))
 
 
@@ -198,3 +204,19 @@ def trial_match(df: DataFrame, schedule: DataFrame, strength: Column) -> DataFra
     first = hits.groupBy("_target", "onset", "recovery").agg(F.min(F.struct("until", (-F.col("_strength")).alias("_s"), "service")).alias("f"))
     out = case.join(F.broadcast(first), ["_target", "onset", "recovery"], "left")
     return out.select(F.col("_target").alias("service"), (F.col("f.until") - F.col("onset")).alias("delay"), F.col("f.service").alias("named"), F.coalesce(F.col("f.service") == F.col("_target"), F.lit(False)).alias("matched"))
+
+
+def source_coverage(cells: DataFrame, sources: dict[str, DataFrame], keys: list[str], window: list[str]) -> DataFrame:
+    """level, service, rows and a count for each source: one row of level ``window`` with the windows in which any service has
+    the source, and one of level ``service`` for each service with its windows and its observations of the source. Keys
+    are the window's and service; the sources' rows are counted by key before they meet."""
+    marked = cells.select(*keys).distinct().select("*", *[F.lit(0).cast("long").alias(n) for n in sources])
+    for name, frame in sources.items():
+        counted = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        marked = marked.unionByName(counted.select(*keys, *[(F.col("_n") if n == name else F.lit(0).cast("long")).alias(n) for n in sources]))
+    per = marked.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sources])
+    windows = per.groupBy(*window).agg(*[F.max(F.col(n) > 0).alias(n) for n in sources])
+    whole = windows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(n).alias(n) for n in sources])
+    services = per.groupBy("service").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in sources])
+    columns = ["level", "service", "rows", *sources]
+    return whole.select(F.lit("window").alias("level"), F.lit(None).cast("string").alias("service"), "rows", *sources).select(columns).unionByName(services.withColumn("level", F.lit("service")).select(columns))

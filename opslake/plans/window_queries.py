@@ -612,9 +612,8 @@ SELECT service, count(DISTINCT uid) AS instances, any_value(n) - count(DISTINCT
 )
 def snapshot_summary(spark, d):
     """Hours as snapshots of the streams that were active; one expected service never is."""
-    pod = F.struct("service", F.col("stream").alias("uid"), (F.col("k") % 6).alias("restarts"))
-    snapshots = B.req(spark, d).groupBy(F.floor(F.col("end_s") / 3600).alias("snapshot")).agg(F.collect_list(pod).alias("pods"))
-    return E.snapshot_summary(snapshots, ["click", "error", "view", "cart"])
+    pods = B.req(spark, d).select(F.floor(F.col("end_s") / 3600).alias("snapshot"), "service", F.col("stream").alias("uid"), (F.col("k") % 6).alias("restarts"))
+    return E.instance_summary(pods, "snapshot", ["click", "error", "view", "cart"])
 
 
 @query(
@@ -701,3 +700,60 @@ def replicated_masks(spark, d):
     """Training rows as they are and twice with hidden modalities, never all three, weighted so that classes count alike."""
     rows = cohorts(spark, d).where("cohort IN ('fault', 'healthy')").select("service", "window", (F.col("cohort") == "fault").cast("int").alias("truth"))
     return S.dropout_replicas(S.class_weights(rows, "truth"), ["service", "window"], ["metrics", "logs", "traces"], 2)
+
+
+# Each user is a system of its own with the five services and a window a day, so many service-windows are idle.
+_SYSTEMS = f"""{B.REQ}, cells AS (SELECT stream, "window", service, quantile_cont(duration, 0.95) AS p95, avg(coalesce(CAST(status >= 400 AS INT), 0)) AS error_fraction, count(*) AS requests FROM req GROUP BY ALL),
+names AS (SELECT DISTINCT service FROM req), lim AS (SELECT service, quantile_cont(p95, 0.5) AS center, quantile_cont(p95, 0.9) AS latency_limit, quantile_cont(error_fraction, 0.9) AS error_limit FROM cells WHERE "window" < 15 GROUP BY service),
+lims AS (SELECT lim.*, greatest(quantile_cont(abs(p95 - center), 0.5), 1.0) AS scale FROM cells JOIN lim USING (service) WHERE "window" < 15 GROUP BY ALL),
+dense AS (SELECT s.stream * 30 + w."window" AS cell, s.stream, w."window", n.service, p95, error_fraction, coalesce(requests, 0) AS requests FROM (SELECT DISTINCT stream FROM req) s CROSS JOIN (SELECT unnest(range(15, 30)) AS "window") w CROSS JOIN names n LEFT JOIN cells c ON c.stream = s.stream AND c."window" = w."window" AND c.service = n.service),
+scored AS (SELECT dense.*, requests = 0 AS idle, coalesce(p95 > latency_limit, false) AS slow, coalesce(error_fraction > error_limit, false) AS failing, CASE WHEN requests > 0 THEN abs(p95 - center) / scale END AS score FROM dense JOIN lims USING (service)),
+ev AS (SELECT stream, "window", service, status, CASE WHEN k % 3 = 0 THEN 'view' END AS dependency FROM (SELECT *, row_number() OVER (PARTITION BY stream, "window", service ORDER BY coalesce(status >= 400, false) DESC, duration DESC, span) AS i FROM req) WHERE i <= 3),
+e AS (SELECT stream, "window", service, bool_or(coalesce(status >= 400, false) AND dependency IS NULL) AS own, list(DISTINCT dependency) FILTER (dependency IS NOT NULL) AS deps FROM ev GROUP BY ALL),
+al AS (SELECT cell, list(service) AS alerting FROM scored WHERE idle OR slow OR failing GROUP BY cell),
+base AS (SELECT s.*, idle OR slow OR failing AS alert, CASE WHEN own THEN 3 WHEN idle THEN 2 WHEN slow OR failing THEN 1 ELSE 0 END AS b, coalesce(list_has_any(deps, alerting), false) AS upstream FROM scored s LEFT JOIN al USING (cell) LEFT JOIN e ON e.stream = s.stream AND e."window" = s."window" AND e.service = s.service),
+ranked AS (SELECT *, CASE WHEN alert AND NOT upstream THEN greatest(b, 3) ELSE b END AS priority FROM base)"""
+
+
+def dense_priorities(spark, d):
+    """Every service of every system and day with its limits' reasons, a score where it has requests, and its priority."""
+    r = B.req(spark, d)
+    at = F.col("stream") * 30 + F.col("window")
+    keys = ["stream", "window", "service"]
+    cells = W.request_windows(r, 86400.0, keys).select(*keys, "p95", "error_fraction", "requests")
+    healthy = cells.where("window < 15")
+    limits = healthy.groupBy("service").agg(F.percentile("p95", F.lit(0.9)).alias("latency_limit"), F.percentile("error_fraction", F.lit(0.9)).alias("error_limit"))
+    limits = limits.join(W.mad_reference(healthy, ["service"], ["p95"], [1.0]), "service")  # a row a service
+    grid = W.spine(r.select("stream").distinct().join(F.broadcast(r.select("service").distinct())), 15, B.DAYS - 1)
+    scored = C.operational_reasons(W.dense(cells, grid, keys, ["requests"]), limits).withColumn("score", F.when(F.col("requests") > 0, F.abs(F.col("p95") - F.col("p95_center")) / F.col("p95_scale")))
+    evidence = C.top_evidence(with_dependency(r.where("window >= 15")), keys)
+    return C.priorities(scored.join(evidence, keys, "left").withColumn("at", at), "at")
+
+
+@query(
+    "m17_dense_ranking",
+    f"""WITH {_SYSTEMS} SELECT stream, "window", service, requests, array_to_string(list_filter([CASE WHEN idle THEN 'no requests' END, CASE WHEN slow THEN 'latency' END, CASE WHEN failing THEN 'errors' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  {R('score')} AS score, priority, CAST(row_number() OVER (PARTITION BY cell ORDER BY priority DESC, p95 DESC NULLS LAST, service) AS INT) AS rank FROM ranked""",
+)
+def dense_ranking(spark, d):
+    """Failures of a service's own come first with idle services, which nothing seen blames on others; then those over a
+    limit that call such a one, and the rest."""
+    ranked = C.ranked_candidates(dense_priorities(spark, d), "at")
+    return ranked.select("stream", "window", "service", "requests", F.array_join("reasons", ",").alias("reasons"), "score", "priority", "rank")
+
+
+# Metrics from every eleventh request, logs from failures, spans from those that know their status.
+_MODALITIES = f"""{B.REQ}, o AS (SELECT stream, "window", service, count(*) FILTER (k % 11 = 0) AS metrics, count(*) FILTER (status >= 400) AS logs, count(status) AS traces FROM req GROUP BY ALL),
+w AS (SELECT stream, "window", bool_or(metrics > 0) AS m, bool_or(logs > 0) AS l, bool_or(traces > 0) AS t FROM o GROUP BY ALL)"""
+
+
+@query(
+    "a17_modality_windows",
+    f"""WITH {_MODALITIES} SELECT 'window' AS level, CAST(NULL AS VARCHAR) AS service, count(*) AS rows, count(*) FILTER (m) AS metrics, count(*) FILTER (l) AS logs, count(*) FILTER (t) AS traces FROM w
+UNION ALL SELECT 'service', service, count(*), CAST(sum(metrics) AS BIGINT), CAST(sum(logs) AS BIGINT), CAST(sum(traces) AS BIGINT) FROM o GROUP BY service""",
+)
+def modality_windows(spark, d):
+    """In how many windows each source is seen at any service, and how many observations each service has of it."""
+    r, keys = B.req(spark, d), ["stream", "window", "service"]
+    sources = {"metrics": r.where("k % 11 = 0"), "logs": r.where("status >= 400"), "traces": r.where("status IS NOT NULL")}
+    return E.source_coverage(r.select(*keys), sources, keys, ["stream", "window"])
