@@ -220,3 +220,16 @@ def source_coverage(cells: DataFrame, sources: dict[str, DataFrame], keys: list[
     services = per.groupBy("service").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in sources])
     columns = ["level", "service", "rows", *sources]
     return whole.select(F.lit("window").alias("level"), F.lit(None).cast("string").alias("service"), "rows", *sources).select(columns).unionByName(services.withColumn("level", F.lit("service")).select(columns))
+
+
+def replay(scored: DataFrame, threshold: DataFrame, window: list[str], features: list[str], candidates: int = 5, changes: int = 3) -> DataFrame:
+    """window, score (the largest), threshold, alert and the first ``candidates`` services by score (of equal ones by name) with
+    their ``changes`` most changed features, of equal ones the first. scored has service, score and ``<feature>_change``;
+    threshold is one row. A row without a score is no candidate."""
+    place = F.row_number().over(Window.partitionBy(*window).orderBy(F.round("score", 9).desc(), "service"))  # a window has a row a service
+    first = scored.where("score IS NOT NULL").withColumn("_r", place).where(F.col("_r") <= candidates)
+    pairs = F.array(*[F.struct((-F.coalesce(F.round(f"{f}_change", 9), F.lit(0.0))).alias("k"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f"{f}_change").alias("value")) for i, f in enumerate(features)])
+    top = F.transform(F.slice(F.array_sort(pairs), 1, changes), lambda x: x.dropFields("k", "i"))
+    each = F.struct("_r", "service", "score", top.alias("changes"))
+    per = first.groupBy(*window).agg(F.max("score").alias("score"), F.transform(F.array_sort(F.collect_list(each)), lambda x: x.dropFields("_r")).alias("candidates"))
+    return per.join(F.broadcast(threshold)).select(*window, "score", "threshold", (F.col("score") > F.col("threshold")).alias("alert"), "candidates")

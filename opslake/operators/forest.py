@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranking import with_quantiles
+
 NODES = "group string, tree int, node int, feature int, split double, left int, right int, size int"
 TREES_A_TASK = 25
 ROWS_A_TASK = 200_000
@@ -171,3 +173,14 @@ def _score_by_one(df: DataFrame, nodes: DataFrame, x: Column, name: str, size: i
 def introspect(nodes: DataFrame) -> DataFrame:
     """How often each feature splits, per group."""
     return nodes.where("feature >= 0").groupBy("group", "feature").agg(F.count(F.lit(1)).alias("splits"), F.min("split").alias("least"), F.max("split").alias("most"))
+
+
+def report(nodes: DataFrame, training: DataFrame, scored: DataFrame, features: list[str], group: Column, share: float = 0.995) -> DataFrame:
+    """group, feature, splits (of the group's trees), least and most (values of its training rows, null if it has none), threshold
+    (the quantile of the group's scores), for every group and feature. The features are columns."""
+    long = training.select(group.cast("string").alias("group"), F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features)])).alias("_e"))
+    ranges = long.groupBy("group", F.col("_e.feature").alias("feature")).agg(F.min("_e.v").alias("least"), F.max("_e.v").alias("most"))
+    splits = nodes.where("feature >= 0").groupBy("group", "feature").agg(F.count(F.lit(1)).alias("splits"))
+    limits = with_quantiles(scored.select(group.cast("string").alias("group"), "score"), ["group"], [], "score", {"threshold": share})
+    out = ranges.join(splits, ["group", "feature"], "left").join(limits, "group", "left")
+    return out.select("group", F.element_at(F.array(*[F.lit(c) for c in features]), F.col("feature") + 1).alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"), "least", "most", "threshold")

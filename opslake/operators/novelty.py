@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import evidence_id
+from .ranking import quantiles
 from .sequence import streaks
 
 ROUTE_LINES = 20_000
@@ -146,7 +148,7 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def drift_findings(events: DataFrame, threshold: float, least_events: int = 20, least_share: float = 0.1, windows: tuple[int, int] | None = None) -> DataFrame:
+def drift_findings(events: DataFrame, threshold: float | Column, least_events: int = 20, least_share: float = 0.1, windows: tuple[int, int] | None = None) -> DataFrame:
     """service, window, events, novel, active, finding from rows (service, window, novelty): a window is active with enough
     events of which more than ``least_share`` are novel; a finding is the second active window in a row or a later one."""
     per = events.groupBy("service", "window").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("novelty") > threshold).alias("novel"))
@@ -157,6 +159,47 @@ def drift_findings(events: DataFrame, threshold: float, least_events: int = 20,
     return streaks(per, ["service"], "window", "active").withColumn("finding", F.col("streak") >= 2).drop("streak")
 
 
+def template_novelty(events: DataFrame, template: str, prototypes: DataFrame, folder: str | None = None) -> DataFrame:
+    """events with ``novelty``: each distinct template is compared once with the distinct templates of ``prototypes``. With a
+    ``folder`` the templates' novelty is written there, so what reads the events more than once compares them once."""
+    known = prototypes.select(F.col(template).alias("_p")).distinct().where("_p IS NOT NULL").select("_p", F.col("_p").alias("_text"))
+    asked = events.select(F.col(template).alias("_t")).distinct().where("_t IS NOT NULL").select("_t", F.col("_t").alias("_text"))
+    scored = lexical_novelty(asked, "_t", "_text", known, "_p", "_text")
+    if folder:
+        scored.write.mode("overwrite").parquet(folder)
+        scored = events.sparkSession.read.parquet(folder)
+    return events.join(scored, F.col(template) == F.col("_t"), "left").drop("_t").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
+
+
+def novelty_threshold(healthy: DataFrame, share: float = 0.995, least: float = 0.05) -> DataFrame:
+    """One row with the threshold: the quantile of the healthy events' novelty, and no less than ``least``."""
+    return quantiles(healthy, "novelty", [share]).select(F.greatest(F.coalesce("q0", F.lit(least)), F.lit(least)).alias("threshold"))
+
+
+def drift_evidence(events: DataFrame, threshold: DataFrame, windows: tuple[int, int], least_events: int = 20, least_share: float = 0.1, k: int = 3) -> DataFrame:
+    """service, window, events, novel, share, evidence of every finding, from rows (service, window, time, message, novelty): its
+    ``k`` most novel events (of equal ones the earliest, then by message) as an array of novelty, time, message (600
+    characters) and an id. Only findings' events are ranked, and a task keeps k of a window before they are shuffled."""
+    marked = events.join(F.broadcast(threshold))
+    found = drift_findings(marked, F.col("threshold"), least_events, least_share, windows).where("finding").select("service", "window", "events", "novel", (F.col("novel") / F.col("events")).alias("share"))
+    novel = marked.where("novelty > threshold").join(found.select("service", "window"), ["service", "window"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("service", "window").orderBy(F.round("novelty", 9).desc(), "time", "message"))
+    top = novel.withColumn("_r", place).where(F.col("_r") <= k)
+    one = F.struct("_r", "novelty", "time", F.substring("message", 1, 600).alias("message"), evidence_id("service", "time", "message").alias("id"))
+    listed = top.groupBy("service", "window").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("_r")).alias("evidence"))
+    return found.join(listed, ["service", "window"])
+
+
+def content_summary(events: DataFrame, excluded: DataFrame, findings: DataFrame, template: str, keys: list[str]) -> DataFrame:
+    """keys, warnings (service-windows with a finding), services (names with one), events, excluded (events left out), templates
+    (distinct ones) of each case."""
+    counts = events.groupBy(*keys, template).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("events"), F.count(template).alias("templates"))
+    out = excluded.groupBy(*keys).agg(F.count(F.lit(1)).alias("excluded"))
+    warned = findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("warnings"), F.array_sort(F.collect_set("service")).alias("services"))
+    joined = counts.join(out, keys, "full").join(warned, keys, "full")
+    return joined.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("warnings", "events", "excluded", "templates")], F.coalesce("services", F.array().cast("array<string>")).alias("services"))
+
+
 def mine_templates(df: DataFrame, text: str, leading: int = 2, similarity: float = 0.6) -> DataFrame:
     """route, template, n: texts of one route (number of words and leading words without digits) are clustered in the order
     of the text; a text joins the most similar template and masks where they differ, or begins a new one. Only distinct
@@ -224,16 +267,19 @@ class TemplateTree:
         leaf = at.groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_i", word.alias("w")))).alias("_t"), F.max("_n").alias("n"))  # as many as a line has words
         self.templates = leaf.select(F.col("_path").alias("path"), F.transform("_t", lambda t: t["w"]).alias("words"), "n")
 
-    def match(self, df: DataFrame, text: str) -> DataFrame:
-        """df with ``known``: whether its line's leaf is in the tree and has the line's words where it keeps words. Nothing is
-        added to the tree."""
+    def match(self, df: DataFrame, text: str, path: str | None = None) -> DataFrame:
+        """df with ``known``: whether its line's leaf is in the tree and has the line's words where it keeps words, and if named
+        with that leaf's ``path`` (null if it is not known). Nothing is added to the tree."""
         rows = _words(df, text)
         for i, kept in enumerate(self.levels):
             rows = _descend(rows, kept, i)
         leaves = self.templates.select(F.col("path").alias("_leaf"), F.col("words").alias("_template"))
         same = F.forall(F.zip_with("_template", "_w", lambda t, w: (t == MASK) | (t == w)), lambda x: x)
         joined = rows.join(leaves, F.col("_path") == F.col("_leaf"), "left")
-        return joined.withColumn("known", F.coalesce(same, F.lit(False))).drop("_w", "_path", "_leaf", "_template")
+        out = joined.withColumn("known", F.coalesce(same, F.lit(False)))
+        if path:
+            out = out.withColumn(path, F.when(F.col("known"), F.col("_leaf")))
+        return out.drop("_w", "_path", "_leaf", "_template")
 
 
 def _words(df: DataFrame, text: str) -> DataFrame:
@@ -258,3 +304,13 @@ def unknown_share(df: DataFrame, keys: list[str], limit: float = 0.1) -> DataFra
     """keys, lines, unknown (share of lines without a known template), drifted: whether that is over the limit."""
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), F.avg((~F.col("known")).cast("double")).alias("unknown"))
     return per.withColumn("drifted", F.col("unknown") > limit)
+
+
+def template_shares(matched: DataFrame, tree: TemplateTree, keys: list[str], path: str = "path") -> DataFrame:
+    """keys, lines, unknown and ``shares``: of each of the tree's templates, in the order of paths, its share of the key's lines
+    (a template is a dimension of the vector, so one that the key lacks is 0). matched has keys and ``path``."""
+    counts = matched.groupBy(*keys, F.col(path).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    per = counts.groupBy(*keys).agg(F.sum("_n").alias("lines"), F.sum(F.when(F.col("_p").isNull(), F.col("_n")).otherwise(0)).alias("_new"), F.map_from_entries(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "_n")))).alias("_of"))
+    paths = tree.templates.agg(F.array_sort(F.collect_list("path")).alias("_paths"))  # bounded by the tree
+    share = lambda p: F.coalesce(F.try_element_at("_of", p), F.lit(0)) / F.col("lines")
+    return per.join(F.broadcast(paths)).select(*keys, "lines", (F.col("_new") / F.col("lines")).alias("unknown"), F.transform("_paths", share).alias("shares"))

@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diagnosis, features, forest, novelty, selection, temporal
+from ..operators import diagnosis, features, forest, novelty, ranking, selection, temporal
+from ..operators import evaluate as E
 from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..operators import windows as W
@@ -47,6 +48,11 @@ def isolation_forest_score(spark, d):
     return forest.score(c, nodes, CHANGES).select("service", "window", "score")
 
 
+def forest_scores(spark, d):
+    c = changed(spark, d)
+    return forest.score(c, forest.grow(c.where("window < 15"), key(), CHANGES, trees=200, psi=64), CHANGES)
+
+
 @query("m03_service_forests")
 def service_forests(spark, d):
     w = B.win(spark, d)
@@ -96,6 +102,28 @@ def historical_replay(spark, d):
     return top.join(F.broadcast(limit)).withColumn("alert", F.col("score") > F.col("threshold"))
 
 
+@query("m26_replay_changes")
+def replay_changes(spark, d):
+    """Each day's score against the healthy threshold, its five first candidates and the three most changed features of each."""
+    scored = forest_scores(spark, d)
+    threshold = ranking.quantiles(scored.where("window < 15"), "score", [0.995]).withColumnRenamed("q0", "threshold")
+    out = E.replay(scored, threshold, ["window"], FEATURES)
+    one = lambda c: F.concat_ws(":", c["service"], F.array_join(F.transform(c["changes"], lambda x: x["feature"]), "+"))
+    return out.select("window", "score", "threshold", "alert", F.array_join(F.transform("candidates", one), ",").alias("candidates"))
+
+
+@query("m29_forest_report")
+def forest_report(spark, d):
+    """Splits, least and greatest value of the training rows by service and feature, and the service's threshold."""
+    c = changed(spark, d)
+    train = c.where("window < 15")
+    nodes = forest.grow(train, key(), CHANGES, F.col("service"), trees=100, psi=64)
+    table = new_folder(spark, "nodes")
+    nodes.write.parquet(table)
+    nodes = spark.read.parquet(table)
+    return forest.report(nodes, train, forest.score(train, nodes, CHANGES, F.col("service")), CHANGES, F.col("service"))
+
+
 @query("p14_modality_drop")
 def modality_drop(spark, d):
     c = changed(spark, d)
@@ -401,17 +429,20 @@ def _page_lines(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.coalesce(F.translate("url", "/?&=#.", "      "), F.lit("")).alias("line"))
 
 
-def _tree_sql(children=novelty.TREE_CHILDREN):
+_PAGE_LINES = "SELECT page_id, page_id % 3 = 0 AS fresh, trim(translate(coalesce(url, ''), '/?&=#.', '      ')) AS line FROM pages"
+
+
+def _tree_sql(children=novelty.TREE_CHILDREN, lines=_PAGE_LINES):
     """The tree of two thirds of the lines, unrolled: l_i has every line with its path to level i, k_i the kept words."""
     word = lambda i: f"CASE WHEN len(w) > {i} AND NOT regexp_matches(w[{i + 1}], '[0-9]') THEN w[{i + 1}] ELSE '<*>' END"
-    out = ["cut AS (SELECT page_id, page_id % 3 = 0 AS fresh, list_filter(regexp_split_to_array(trim(translate(coalesce(url, ''), '/?&=#.', '      ')), '\\s+'), lambda x: x <> '') AS w FROM pages)", "l_0 AS (SELECT *, CAST(len(w) AS VARCHAR) AS p FROM cut)"]
+    out = [f"cut AS (SELECT page_id, fresh, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS w FROM ({lines}))", "l_0 AS (SELECT *, CAST(len(w) AS VARCHAR) AS p FROM cut)"]
     for i in range(novelty.TREE_DEPTH):
         out.append(f"k_{i} AS (SELECT p, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, x) AS r FROM (SELECT p, {word(i)} AS x FROM l_{i} WHERE NOT fresh) WHERE x <> '<*>' GROUP BY p, x) WHERE r <= {children})")
         out.append(f"l_{i + 1} AS (SELECT page_id, fresh, w, l.p || ' ' || coalesce(k.x, '<*>') AS p FROM l_{i} l LEFT JOIN k_{i} k ON k.p = l.p AND k.x = {word(i)})")
     last = f"l_{novelty.TREE_DEPTH}"
     out.append(f"places AS (SELECT p, i, CASE WHEN min(w[i]) = max(w[i]) AND NOT regexp_matches(min(w[i]), '[0-9]') THEN min(w[i]) ELSE '<*>' END AS word, count(*) AS n FROM (SELECT p, w, unnest(range(1, len(w) + 1)) AS i FROM {last} WHERE NOT fresh) GROUP BY p, i)")
     out.append("leaves AS (SELECT p, list(word ORDER BY i) AS words, max(n) AS n FROM places GROUP BY p)")
-    out.append(f"matched AS (SELECT page_id, leaves.p IS NOT NULL AND len(list_filter(range(1, len(w) + 1), lambda i: words[i] <> '<*>' AND words[i] <> w[i])) = 0 AS known FROM {last} l LEFT JOIN leaves ON leaves.p = l.p WHERE fresh)")
+    out.append(f"matched AS (SELECT page_id, leaves.p AS leaf, leaves.p IS NOT NULL AND len(list_filter(range(1, len(w) + 1), lambda i: words[i] <> '<*>' AND words[i] <> w[i])) = 0 AS known FROM {last} l LEFT JOIN leaves ON leaves.p = l.p WHERE fresh)")
     return ", ".join(out)
 
 
@@ -479,3 +510,87 @@ def temporal_fusion(spark, d):
     for source in ("logs", "traces"):
         out = out.join(temporal.predict(data, model, ["window"], drop=source).select("window", F.col("score").alias(f"without_{source}")), "window")
     return out
+
+
+# Log lines of the requests. During a service's fault every third has words that healthy days never had; some are marks of
+# the tool that injects faults, which are left out.
+_LINES = f"""{B.REQ}, {B.SCHED}, lines AS (SELECT service, "window", span, CASE WHEN status IS NULL THEN 'fault injection marker ' || span
+  WHEN "window" >= onset AND "window" < recovery AND k % 3 = 0 THEN 'panic shard lock poisoned in ' || service || ' flush ' || k WHEN status >= 400 THEN 'request ' || service || ' failed with status ' || status || ' after ' || span
+  ELSE 'request ' || service || ' served ' || ['alpha', 'beta', 'gamma', 'delta', 'omega'][1 + k % 5] || ' in ' || span || ' steps' END AS message FROM req LEFT JOIN sched USING (service)),
+ev AS (SELECT *, lower(regexp_replace(message, '[0-9]+', '<num>', 'g')) AS template FROM lines WHERE message NOT LIKE 'fault%')"""
+
+
+def log_lines(spark, d):
+    r = B.req(spark, d).join(F.broadcast(B.schedule(spark)), "service", "left")
+    k, span = F.col("k"), F.col("span").cast("string")
+    word = F.get(F.array(*[F.lit(w) for w in ("alpha", "beta", "gamma", "delta", "omega")]), k % 5)
+    message = (
+        F.when(F.col("status").isNull(), F.concat(F.lit("fault injection marker "), span))
+        .when((F.col("window") >= F.col("onset")) & (F.col("window") < F.col("recovery")) & (k % 3 == 0), F.concat(F.lit("panic shard lock poisoned in "), "service", F.lit(" flush "), k.cast("string")))
+        .when(F.col("status") >= 400, F.concat(F.lit("request "), "service", F.lit(" failed with status "), F.col("status").cast("string"), F.lit(" after "), span))
+        .otherwise(F.concat(F.lit("request "), "service", F.lit(" served "), word, F.lit(" in "), span, F.lit(" steps")))
+    )
+    return r.select("service", "window", "span", message.alias("message")).withColumn("template", T.log_template(F.col("message")))
+
+
+_DRIFT = f"""{_LINES}, {_TERMS % "(SELECT DISTINCT template AS doc_id, template AS text FROM ev WHERE \"window\" < 5)"}, {_IDF}, pw AS (SELECT doc_id AS p, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), pn AS (SELECT p, term, w / sqrt(sum(w * w) OVER (PARTITION BY p)) AS w FROM pw),
+{(_TERMS % '(SELECT DISTINCT template AS doc_id, template AS text FROM ev)').replace('cut ', 'qcut ').replace('FROM cut', 'FROM qcut').replace('grams ', 'qgrams ').replace('FROM grams', 'FROM qgrams').replace('tf AS (SELECT', 'qtf AS (SELECT')},
+qw AS (SELECT doc_id AS q, term, (1 + ln(tf)) * idf AS w FROM qtf JOIN idf USING (term)), qn AS (SELECT q, term, w / sqrt(sum(w * w) OVER (PARTITION BY q)) AS w FROM qw),
+best AS (SELECT q, 1 - max(c) AS novelty FROM (SELECT q, p, sum(qn.w * pn.w) AS c FROM qn JOIN pn USING (term) GROUP BY q, p) GROUP BY q),
+scored AS (SELECT ev.*, coalesce(novelty, 1.0) AS novelty FROM ev LEFT JOIN best ON q = template),
+lim AS (SELECT greatest(quantile_cont(novelty, 0.995), 0.05) AS threshold FROM scored WHERE "window" IN (5, 6, 7)),
+per AS (SELECT s.service, w."window", count(e.span) AS events, count(*) FILTER (e.novelty > threshold) AS novel FROM (SELECT DISTINCT service FROM ev) s CROSS JOIN (SELECT unnest(range(0, 30)) AS "window") w CROSS JOIN lim LEFT JOIN scored e ON e.service = s.service AND e."window" = w."window" GROUP BY ALL),
+act AS (SELECT *, events >= 20 AND novel > 0.1 * events AS active FROM per),
+found AS (SELECT * FROM (SELECT *, active AND coalesce(lag(active) OVER (PARTITION BY service ORDER BY "window"), false) AS finding FROM act) WHERE finding)"""
+
+
+def content_drift(spark, d):
+    lines = log_lines(spark, d)
+    events = lines.where(~T.is_instrumentation(F.col("message")))
+    scored = novelty.template_novelty(events, "template", events.where("window < 5"), new_folder(spark, "templates")).withColumnRenamed("span", "time")
+    found = novelty.drift_evidence(scored, novelty.novelty_threshold(scored.where("window BETWEEN 5 AND 7")), (0, B.DAYS - 1))
+    return lines, events, found
+
+
+@query(
+    "m09_calibrated_drift",
+    f"""WITH {_DRIFT}, r AS (SELECT e.*, row_number() OVER (PARTITION BY e.service, e."window" ORDER BY round(novelty, 9) DESC, span, message) AS i FROM scored e JOIN found USING (service, "window") CROSS JOIN lim WHERE novelty > threshold)
+SELECT service, "window", any_value(events) AS events, any_value(novel) AS novel, {R('any_value(novel / events)')} AS share, string_agg(substr(sha256(service || ':' || span || ':' || message), 1, 20) || ' ' || round(novelty, 6), ',' ORDER BY i) AS evidence
+FROM r JOIN found USING (service, "window") WHERE i <= 3 GROUP BY service, "window" """,
+)
+def calibrated_drift(spark, d):
+    """Days whose messages drift from those of the first five, by a threshold of the next three, with the three most novel."""
+    found = content_drift(spark, d)[2]
+    text = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["id"], F.round(e["novelty"], 6).cast("string"))), ",")
+    return found.select("service", "window", "events", "novel", "share", text.alias("evidence"))
+
+
+@query(
+    "a30_content_summary",
+    f"""WITH {_DRIFT}, c AS (SELECT "window" // 10 AS "case", count(*) AS events, count(DISTINCT template) AS templates FROM ev GROUP BY 1), x AS (SELECT "window" // 10 AS "case", count(*) AS excluded FROM lines WHERE message LIKE 'fault%' GROUP BY 1),
+f AS (SELECT "window" // 10 AS "case", count(*) AS warnings, string_agg(DISTINCT service, ',' ORDER BY service) AS services FROM found GROUP BY 1)
+SELECT "case", coalesce(warnings, 0) AS warnings, events, coalesce(excluded, 0) AS excluded, templates, coalesce(services, '') AS services FROM c LEFT JOIN x USING ("case") LEFT JOIN f USING ("case")""",
+)
+def content_summary(spark, d):
+    """Ten days are a case: its warnings and their services, events with and without marks of the injector, templates."""
+    lines, events, found = (x.withColumn("case", F.floor(F.col("window") / 10)) for x in content_drift(spark, d))
+    out = novelty.content_summary(events, lines.where(T.is_instrumentation(F.col("message"))), found, "template", ["case"])
+    return out.withColumn("services", F.array_join("services", ","))
+
+
+_LINE_TREE = "SELECT span AS page_id, \"window\" >= 8 AS fresh, template AS line FROM ev"
+
+
+@query(
+    "m11_template_shares",
+    f"""WITH {_LINES}, {_tree_sql(lines=_LINE_TREE)}, n AS (SELECT service, "window", count(*) AS lines, avg(CAST(NOT known AS INT)) AS unknown FROM matched JOIN ev ON span = page_id GROUP BY ALL),
+c AS (SELECT service, "window", leaf, count(*) AS n FROM matched JOIN ev ON span = page_id WHERE known GROUP BY ALL)
+SELECT n.service, n."window", any_value(lines) AS lines, {R('any_value(unknown)')} AS unknown, string_agg(CAST(CAST(round(coalesce(c.n, 0) / lines * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY leaves.p) AS shares
+FROM n CROSS JOIN leaves LEFT JOIN c ON c.service = n.service AND c."window" = n."window" AND c.leaf = leaves.p GROUP BY n.service, n."window" """,
+)
+def window_template_shares(spark, d):
+    """The part of a window's vector that counts templates: shares, in millionths, of those of the first eight days."""
+    events = log_lines(spark, d).where(~T.is_instrumentation(F.col("message")))
+    tree = novelty.TemplateTree(events.where("window < 8"), "template")
+    out = novelty.template_shares(tree.match(events.where("window >= 8"), "template", "path"), tree, ["service", "window"])
+    return out.withColumn("shares", F.array_join(F.transform("shares", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ","))
