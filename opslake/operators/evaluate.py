@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
-from .ranking import quantiles, running_sums, value_buckets
+from .ranking import GROUP_ROWS, quantiles, running_sums, value_buckets, with_quantiles
 from .sequence import tail_ranks
 
 
@@ -71,8 +71,10 @@ def incident_outcome(opened: DataFrame, schedule: DataFrame, observed: int) -> D
     return joined.groupBy("service").agg(F.count_if(inside).alias("for_fault"), F.count_if(F.col("opened_at").isNotNull() & ~inside).alias("false_openings"), (F.lit(observed) - F.first(F.col("recovery") - F.col("onset"))).cast("int").alias("exposure"))
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("largest"), F.count_if(F.col(value) > threshold).alias("over"))
+def distribution(df: DataFrame, keys: list[str], value: str, threshold: float, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """keys, p50, p95 (exact; no task holds a large group's values), largest, over (values above the threshold)."""
+    out = with_quantiles(df, keys, [F.max(value).alias("largest"), F.count_if(F.col(value) > threshold).alias("over")], value, {"p50": 0.5, "p95": 0.95}, group_rows)
+    return out.select(*keys, "p50", "p95", "largest", "over")
 
 
 def replay_equality(stored: DataFrame, replayed: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -110,7 +112,7 @@ def higher_quantile(values: Column, q: float) -> Column:
     return F.element_at(ordered, F.ceil(F.lit(q) * (F.size(values) - 1)).cast("int") + 1)
 
 
-def diagnosis_quality(df: DataFrame, keys: list[str]) -> DataFrame:
+def diagnosis_quality(df: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rates of diagnoses per key, from rows with start, end, onset, recovery (null without a fault), target, valid, accepted,
     verdict, suspect, latency_ms, input_tokens and output_tokens. Windows that overlap the fault's begin or end count
     neither as healthy nor as faulty; a rate over no window is null."""
@@ -119,7 +121,7 @@ def diagnosis_quality(df: DataFrame, keys: list[str]) -> DataFrame:
     faulty = F.coalesce((c("start") >= c("onset")) & (c("end") <= c("recovery")), F.lit(False))
     share = lambda what, of=F.lit(True): F.avg(F.when(of, F.coalesce(what, F.lit(False)).cast("double")))
     review = c("verdict") == "review"
-    return df.groupBy(*keys).agg(
+    rates = [
         F.count(F.lit(1)).alias("windows"),
         share(c("valid")).alias("valid"),
         share(c("accepted")).alias("accepted"),
@@ -127,10 +129,10 @@ def diagnosis_quality(df: DataFrame, keys: list[str]) -> DataFrame:
         share(review, healthy).alias("healthy_review"),
         share(review, faulty).alias("fault_review"),
         share(review & (c("suspect") == c("target")), faulty).alias("right_suspect"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("latency_p95"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-    )
+    ]
+    return with_quantiles(df, keys, rates, "latency_ms", {"latency_p95": 0.95}, group_rows)
 
 
 def snapshot_summary(snapshots: DataFrame, services: list[str]) -> DataFrame:

@@ -75,12 +75,31 @@ def with_quantiles(df: DataFrame, keys: list[str], aggregates: list[Column], val
     largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= group_rows:
         return df.groupBy(*keys).agg(*aggregates, *[F.percentile(value, F.lit(q)).alias(name) for name, q in shares.items()])
-    found = grouped_quantiles(df, keys, value, list(shares.values())).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"q{i}").alias(name) for i, name in enumerate(shares)])
+    found = grouped_quantiles(df, keys, value, list(shares.values())).select(*keys, *[F.col(f"q{i}").alias(name) for i, name in enumerate(shares)])
+    groups = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    return key_join(groups, found, keys)
+
+
+def quantile_columns(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], group_rows: int | None = GROUP_ROWS) -> DataFrame:
+    """keys and the exact quantile (column, share) of each name, null for a key without any value of it. With ``group_rows`` no
+    task holds more values of a key: where a key has more rows, the columns' values become rows with their name and all are
+    found by :func:`grouped_quantiles` at once. Without it, every key is taken to be small."""
+    if group_rows is None or (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= group_rows:
+        return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()])
+    shares = sorted({q for _, q in wanted.values()})
+    each = F.array(*[F.struct(F.lit(name).alias("_name"), c.cast("double").alias("_value")) for name, (c, _) in wanted.items()])
+    long = df.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*")
+    found = grouped_quantiles(long, [*keys, "_name"], "_value", shares)
+    picked = [F.max(F.when(F.col("_name") == name, F.col(f"q{shares.index(q)}"))).alias(name) for name, (_, q) in wanted.items()]
+    return key_join(df.select(*keys).distinct(), found.groupBy(*keys).agg(*picked), keys)
+
+
+def key_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null."""
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    groups = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
-    return groups.join(found, on, "left").drop(*[f"_k_{k}" for k in keys])
+    return left.join(right.withColumnsRenamed({k: f"_k_{k}" for k in keys}), on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, how: str = "inner", hot_parts: int | None = None) -> DataFrame:

@@ -64,3 +64,22 @@ def reject_reason(rules: list[tuple[Column, str]]) -> Column:
 def contract(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """Adds ``violations``, the names of the rules that a row breaks; an unknown (null) outcome counts as broken."""
     return df.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])))
+
+
+def window_status(services: DataFrame, scores: DataFrame, threshold: DataFrame, expected: list[str], rules: list[tuple[str, Column, str]], novel_share: float = 0.1, window: str = "window") -> DataFrame:
+    """window, status, ml_anomaly, novel, missing (expected services without events, by name) and suspect of every window of
+    ``scores`` (window, score). services has one row a window and service with events, errors, p95 and unknown (the share of
+    its lines without a known template); threshold is one row.
+
+    With a missing service telemetry is insufficient and nothing is diagnosed; else a score over the threshold or a service
+    with too many unknown lines is an anomaly, and the first rule (service, condition on its row, suspect) that holds names
+    the suspect."""
+    there = services.where(F.col("events") > 0)
+    facts = [F.coalesce(F.bool_or((F.col("service") == s) & F.coalesce(c, F.lit(False))), F.lit(False)).alias(f"_rule{i}") for i, (s, c, _) in enumerate(rules)]
+    per = there.groupBy(window).agg(F.collect_set("service").alias("_there"), F.bool_or(F.col("unknown") > novel_share).alias("novel"), *facts)
+    joined = scores.join(per, window, "left").join(F.broadcast(threshold))
+    missing = F.array_except(F.array(*[F.lit(s) for s in sorted(expected)]), F.coalesce("_there", F.array().cast("array<string>")))
+    out = joined.select("*", missing.alias("missing"), F.coalesce(F.col("score") > F.col("threshold"), F.lit(False)).alias("ml_anomaly")).withColumn("novel", F.coalesce("novel", F.lit(False)))
+    status = F.when(F.size("missing") > 0, "insufficient_telemetry").when(F.col("ml_anomaly") | F.col("novel"), "anomaly").otherwise("normal")
+    suspect = F.coalesce(*[F.when(F.col(f"_rule{i}"), F.lit(name)) for i, (_, _, name) in enumerate(rules)], F.lit(None).cast("string"))
+    return out.withColumn("status", status).select(window, "status", "ml_anomaly", "novel", "missing", F.when(F.col("status") == "anomaly", suspect).alias("suspect"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clipped_change, finite, ratio, robust_scale, unusual_status
 from ..functions.text import has_error_word
-from .ranking import GROUP_ROWS, with_quantiles
+from .ranking import GROUP_ROWS, key_join, quantile_columns, with_quantiles
 
 WARMUP = 5
 
@@ -110,30 +110,28 @@ def causal_change(frame: DataFrame, keys: list[str], window: str, values: list[s
     return out.select(*keys, window, *changes, missing.alias("columns_missing"))
 
 
-def healthy_reference(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Median, scale and number of finite values per key: the small table that later windows are compared with."""
-    aggregates: list[Column] = []
-    for v in values:
-        x = finite(F.col(v).cast("double"))
-        center = F.percentile(x, F.lit(0.5))
-        aggregates += [center.alias(f"{v}_center"), robust_scale(center, F.stddev_pop(x)).alias(f"{v}_scale"), F.count(x).alias(f"{v}_n")]
-    return frame.groupBy(*keys).agg(*aggregates)
+def healthy_reference(frame: DataFrame, keys: list[str], values: list[str], group_rows: int | None = None) -> DataFrame:
+    """Median, scale and number of finite values per key: the small table that later windows are compared with. With
+    ``group_rows`` no task holds more values of a key than that (also in the two functions below)."""
+    x = {v: finite(F.col(v).cast("double")) for v in values}
+    centers = quantile_columns(frame, keys, {f"{v}_center": (x[v], 0.5) for v in values}, group_rows)
+    sums = frame.groupBy(*keys).agg(*[a for v in values for a in (F.stddev_pop(x[v]).alias(f"_{v}_spread"), F.count(x[v]).alias(f"{v}_n"))])
+    joined = key_join(sums, centers, keys)
+    return joined.select(*keys, *[a for v in values for a in (f"{v}_center", robust_scale(F.col(f"{v}_center"), F.col(f"_{v}_spread")).alias(f"{v}_scale"), f"{v}_n")])
 
 
-def mad_reference(frame: DataFrame, keys: list[str], values: list[str], floors: list[float]) -> DataFrame:
+def mad_reference(frame: DataFrame, keys: list[str], values: list[str], floors: list[float], group_rows: int | None = None) -> DataFrame:
     """Median and floored median absolute deviation per key, in two passes over the frame."""
-    medians = frame.groupBy(*keys).agg(*[F.percentile(v, F.lit(0.5)).alias(f"{v}_center") for v in values])
+    medians = quantile_columns(frame, keys, {f"{v}_center": (F.col(v), 0.5) for v in values}, group_rows)
     near = frame.join(medians, keys)
-    scales = near.groupBy(*keys).agg(*[F.greatest(F.percentile(F.abs(F.col(v) - F.col(f"{v}_center")), F.lit(0.5)), F.lit(f)).alias(f"{v}_scale") for v, f in zip(values, floors)])
-    return medians.join(scales, keys)
+    spread = quantile_columns(near, keys, {f"{v}_scale": (F.abs(F.col(v) - F.col(f"{v}_center")), 0.5) for v in values}, group_rows)
+    return medians.join(spread.select(*keys, *[F.greatest(f"{v}_scale", F.lit(f)).alias(f"{v}_scale") for v, f in zip(values, floors)]), keys)
 
 
-def envelopes(frame: DataFrame, latency_factor: float = 2.0, latency_floor: float = 50.0, error_margin: float = 0.05) -> DataFrame:
+def envelopes(frame: DataFrame, latency_factor: float = 2.0, latency_floor: float = 50.0, error_margin: float = 0.05, group_rows: int | None = None) -> DataFrame:
     """Operating limits per service from healthy windows."""
-    return frame.groupBy("service").agg(
-        F.greatest(F.percentile("p95", F.lit(0.99)) * latency_factor, F.lit(latency_floor)).alias("latency_limit"),
-        F.greatest(F.percentile("error_fraction", F.lit(0.99)) + error_margin, F.lit(error_margin)).alias("error_limit"),
-    )
+    high = quantile_columns(frame, ["service"], {"_p95": (F.col("p95"), 0.99), "_errors": (F.col("error_fraction"), 0.99)}, group_rows)
+    return high.select("service", F.greatest(F.col("_p95") * latency_factor, F.lit(latency_floor)).alias("latency_limit"), F.greatest(F.col("_errors") + error_margin, F.lit(error_margin)).alias("error_limit"))
 
 
 def counter_rates(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

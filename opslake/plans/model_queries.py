@@ -514,7 +514,7 @@ def temporal_fusion(spark, d):
 
 # Log lines of the requests. During a service's fault every third has words that healthy days never had; some are marks of
 # the tool that injects faults, which are left out.
-_LINES = f"""{B.REQ}, {B.SCHED}, lines AS (SELECT service, "window", span, CASE WHEN status IS NULL THEN 'fault injection marker ' || span
+_LINES = f"""{B.REQ}, {B.SCHED}, lines AS (SELECT service, "window", span, end_s, duration, status, CASE WHEN status IS NULL THEN 'fault injection marker ' || span
   WHEN "window" >= onset AND "window" < recovery AND k % 3 = 0 THEN 'panic shard lock poisoned in ' || service || ' flush ' || k WHEN status >= 400 THEN 'request ' || service || ' failed with status ' || status || ' after ' || span
   ELSE 'request ' || service || ' served ' || ['alpha', 'beta', 'gamma', 'delta', 'omega'][1 + k % 5] || ' in ' || span || ' steps' END AS message FROM req LEFT JOIN sched USING (service)),
 ev AS (SELECT *, lower(regexp_replace(message, '[0-9]+', '<num>', 'g')) AS template FROM lines WHERE message NOT LIKE 'fault%')"""
@@ -530,7 +530,7 @@ def log_lines(spark, d):
         .when(F.col("status") >= 400, F.concat(F.lit("request "), "service", F.lit(" failed with status "), F.col("status").cast("string"), F.lit(" after "), span))
         .otherwise(F.concat(F.lit("request "), "service", F.lit(" served "), word, F.lit(" in "), span, F.lit(" steps")))
     )
-    return r.select("service", "window", "span", message.alias("message")).withColumn("template", T.log_template(F.col("message")))
+    return r.select("service", "window", "span", "end_s", "duration", "status", message.alias("message")).withColumn("template", T.log_template(F.col("message")))
 
 
 _DRIFT = f"""{_LINES}, {_TERMS % "(SELECT DISTINCT template AS doc_id, template AS text FROM ev WHERE \"window\" < 5)"}, {_IDF}, pw AS (SELECT doc_id AS p, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), pn AS (SELECT p, term, w / sqrt(sum(w * w) OVER (PARTITION BY p)) AS w FROM pw),
@@ -594,3 +594,27 @@ def window_template_shares(spark, d):
     tree = novelty.TemplateTree(events.where("window < 8"), "template")
     out = novelty.template_shares(tree.match(events.where("window >= 8"), "template", "path"), tree, ["service", "window"])
     return out.withColumn("shares", F.array_join(F.transform("shares", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ","))
+
+
+@query(
+    "m18_window_status",
+    f"""WITH {_LINES}, known AS (SELECT DISTINCT template FROM ev WHERE "window" < 5),
+c AS (SELECT CAST(floor(end_s / 3600) AS BIGINT) AS slot, service, count(*) AS events, count(*) FILTER (status >= 500) AS errors, quantile_cont(duration, 0.95) AS p95, avg(CAST(known.template IS NULL AS INT)) AS unknown FROM ev LEFT JOIN known USING (template) GROUP BY ALL),
+sc AS (SELECT slot, max(p95) AS score FROM c GROUP BY slot), lim AS (SELECT quantile_cont(score, 0.95) AS threshold FROM sc WHERE slot < 473352 + 192),
+w AS (SELECT slot, list(service) AS there, bool_or(unknown > 0.1) AS novel, coalesce(bool_or(service = 'purchase' AND errors > 0), false) AS r1, coalesce(bool_or(service = 'view' AND errors > 0), false) AS r2, coalesce(bool_or(service = 'purchase' AND p95 > 150), false) AS r3 FROM c GROUP BY slot),
+o AS (SELECT slot, score > threshold AS ml_anomaly, novel, r1, r2, r3, list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(there, x)) AS missing FROM sc JOIN w USING (slot) CROSS JOIN lim),
+s AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'insufficient_telemetry' WHEN ml_anomaly OR novel THEN 'anomaly' ELSE 'normal' END AS status FROM o)
+SELECT slot, status, ml_anomaly, novel, array_to_string(missing, ',') AS missing, CASE WHEN status = 'anomaly' THEN CASE WHEN r1 THEN 'purchase' WHEN r2 THEN 'view' WHEN r3 THEN 'purchase' END END AS suspect FROM s""",
+)
+def window_status(spark, d):
+    """Hours by their logs: levels, latency and unknown templates by service; purchase is the store that others wait for."""
+    lines = log_lines(spark, d)
+    events = lines.where(~T.is_instrumentation(F.col("message"))).withColumn("slot", F.floor(F.col("end_s") / 3600))
+    known = events.where("window < 5").select(F.col("template").alias("_known")).distinct()
+    marked = events.join(known, F.col("template") == F.col("_known"), "left")
+    per = marked.groupBy("slot", "service").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("status") >= 500).alias("errors"), F.percentile("duration", F.lit(0.95)).alias("p95"), F.avg(F.col("_known").isNull().cast("double")).alias("unknown"))
+    scores = per.groupBy("slot").agg(F.max("p95").alias("score"))
+    threshold = ranking.quantiles(scores.where("slot < 473352 + 192"), "score", [0.95]).withColumnRenamed("q0", "threshold")
+    rules = [("purchase", F.col("errors") > 0, "purchase"), ("view", F.col("errors") > 0, "view"), ("purchase", F.col("p95") > 150, "purchase")]
+    out = C.window_status(per, scores, threshold, ["click", "error", "purchase", "signup", "view"], rules, window="slot")
+    return out.withColumn("missing", F.array_join("missing", ","))

@@ -83,7 +83,7 @@ def zero_fill(spark, d):
 FROM win WHERE "window" < 15 GROUP BY service""",
 )
 def healthy_reference(spark, d):
-    return W.healthy_reference(B.win(spark, d).where("window < 15"), ["service"], ["p95", "error_fraction"])
+    return W.healthy_reference(B.win(spark, d).where("window < 15"), ["service"], ["p95", "error_fraction"], W.GROUP_ROWS)
 
 
 @query(
@@ -93,7 +93,7 @@ SELECT service, {R('any_value(a)')} AS p95_center, {R('any_value(b)')} AS error_
   {R('greatest(quantile_cont(abs(error_fraction - b), 0.5), 0.01)')} AS error_fraction_scale FROM h JOIN m USING (service) GROUP BY service""",
 )
 def mad_reference(spark, d):
-    return W.mad_reference(B.win(spark, d).where("window < 15"), ["service"], ["p95", "error_fraction"], [1.0, 0.01])
+    return W.mad_reference(B.win(spark, d).where("window < 15"), ["service"], ["p95", "error_fraction"], [1.0, 0.01], W.GROUP_ROWS)
 
 
 @query("a10_quantile_threshold", f"WITH {B.WIN} SELECT service, {R('quantile_cont(p95, 0.995)')} AS threshold FROM win WHERE \"window\" < 15 GROUP BY service")
@@ -119,7 +119,7 @@ def operating_envelopes(spark, d):
 )
 def default_envelopes(spark, d):
     """Factor, floor and margin as they are set for users."""
-    return W.envelopes(B.win(spark, d).where("window < 15"))
+    return W.envelopes(B.win(spark, d).where("window < 15"), group_rows=W.GROUP_ROWS)
 
 
 @query("a12_window_score", f"WITH {B.WIN} SELECT \"window\", {R('max(p95)')} AS score, arg_max(service, {{'p': p95, 's': service}}) AS service FROM win GROUP BY \"window\"")

@@ -3,13 +3,14 @@
 import json
 import math
 import random
+import statistics
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opslake.operators import diagnosis, evaluate, novelty, ranking, selection
+from opslake.operators import diagnosis, evaluate, novelty, ranking, scoring, selection, windows
 
 
 def quantile(values, q):
@@ -174,3 +175,42 @@ def test_template_trees_equal_counting_by_hand(spark, depth, children):
     assert sorted(got) == sorted((x, known(x)) for x in new) and {k for _, k in got} == {True, False}
     share = novelty.unknown_share(spark.createDataFrame([("a", True)] * 9 + [("a", False)] + [("b", False)], "k string, known boolean"), ["k"])
     assert {r.k: (r.lines, round(r.unknown, 6), r.drifted) for r in share.collect()} == {"a": (10, 0.1, False), "b": (1, 1.0, True)}
+
+
+@pytest.mark.parametrize("group_rows", [None, 1, 10_000])
+def test_references_of_hot_and_small_groups_are_the_same(spark, group_rows):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b"]), rng.choice([None, float("nan"), *map(float, range(9))]), rng.choice([0.5, 2.5, 7.0])) for _ in range(300)] + [("c", None, 1.0)]
+    frame = spark.createDataFrame(rows, "service string, p95 double, error_fraction double").repartition(4)
+    got = {r.service: r for r in windows.healthy_reference(frame, ["service"], ["p95", "error_fraction"], group_rows).collect()}
+    for s in "ab":
+        x = [r[1] for r in rows if r[0] == s and r[1] is not None and r[1] == r[1]]
+        assert got[s].p95_center == pytest.approx(statistics.median(x)) and got[s].p95_n == len(x)
+        assert got[s].p95_scale == pytest.approx(max(statistics.pstdev(x), abs(statistics.median(x)) * 0.05, 1e-6))
+    assert got["c"].p95_center is None and got["c"].p95_n == 0 and got["c"].error_fraction_center == 1.0
+    clean = frame.where("NOT isnan(p95)")
+    mad = {r.service: r for r in windows.mad_reference(clean, ["service"], ["p95", "error_fraction"], [0.1, 3.0], group_rows).collect()}
+    limits = {r.service: r for r in windows.envelopes(clean, group_rows=group_rows).collect()}
+    for s in "ab":
+        x = [r[1] for r in rows if r[0] == s and r[1] is not None and r[1] == r[1]]
+        assert mad[s].p95_scale == pytest.approx(max(statistics.median(abs(v - statistics.median(x)) for v in x), 0.1)) and mad[s].error_fraction_scale == 3.0
+        assert limits[s].latency_limit == max(50.0, 2 * float(np.quantile(x, 0.99)))
+    spread = {r.service: r for r in evaluate.distribution(clean, ["service"], "p95", 4.0, group_rows or 1 << 20).collect()}
+    assert all(spread[s].p95 == pytest.approx(np.quantile([r[1] for r in rows if r[0] == s and r[1] is not None and r[1] == r[1]], 0.95)) for s in "ab")
+
+
+def test_window_status_needs_every_service(spark):
+    rows = [(1, "a", 5, 0, 10.0, 0.0), (1, "b", 5, 2, 10.0, 0.0), (2, "a", 5, 0, 200.0, 0.2), (2, "b", 5, 0, 10.0, 0.0), (3, "a", 5, 9, 10.0, 0.9), (4, "a", 1, 0, 1.0, 0.1), (4, "b", 1, 0, 1.0, None), (6, "a", 1, 0, 1.0, 0.5), (6, "b", 1, 0, 1.0, 0.0)]
+    services = spark.createDataFrame(rows, "window int, service string, events int, errors int, p95 double, unknown double")
+    scores = spark.createDataFrame([(1, 0.9), (2, 0.1), (3, 0.9), (4, 0.5), (5, None), (6, None)], "window int, score double")
+    limit = spark.createDataFrame([(0.5,)], "threshold double")
+    rules = [("b", F.col("errors") > 0, "b"), ("a", F.col("errors") > 0, "a"), ("a", F.col("p95") > 150, "a")]
+    got = {r.window: tuple(r)[1:] for r in scoring.window_status(services, scores, limit, ["b", "a"], rules).collect()}
+    assert got == {
+        1: ("anomaly", True, False, [], "b"),
+        2: ("anomaly", False, True, [], "a"),
+        3: ("insufficient_telemetry", True, True, ["b"], None),
+        4: ("normal", False, False, [], None),
+        5: ("insufficient_telemetry", False, False, ["a", "b"], None),
+        6: ("anomaly", False, True, [], None),
+    }
