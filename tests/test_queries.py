@@ -104,6 +104,31 @@ def test_supervised_queries(spark, run):
     assert {(r.service, r.window) for r in run("m15_temporal_detector")} == set(truth)
 
 
+def test_fusion_replay_and_report_queries(spark, run):
+    days = {r.window: r for r in run("m15_temporal_fusion")}
+    assert sorted(days) == list(range(B.DAYS))
+    seen = defaultdict(set)
+    for r in M.external_features(spark, SF).collect():
+        if r.features[17] < 1 or r.features[10] > 0 or r.features[15] > 0:
+            seen[r.window].add(r.service)
+    for w, r in days.items():
+        assert r.abstained == (r.score is None) == (not seen[w]) and (r.abstained or 0 <= r.score <= 1)
+        assert set(filter(None, r.top.split(","))) <= seen[w] and "signup" not in r.top
+    scores = defaultdict(list)
+    for r in run("m02_isolation_forest_score"):
+        scores[r.window].append(r.score)
+    healthy = [x for w, v in scores.items() if w < 15 for x in v]
+    for r in run("m26_replay_changes"):
+        assert r.score == pytest.approx(max(scores[r.window]), abs=1e-5) and r.threshold == pytest.approx(np.quantile(healthy, 0.995), abs=1e-5)
+        assert len(r.candidates.split(",")) == min(5, len(scores[r.window])) and all(c.count("+") == 2 for c in r.candidates.split(","))
+    rows = M.changed(spark, SF).where("window < 15").collect()
+    report = run("m29_forest_report")
+    assert {(r.group, r.feature) for r in report} == {(x.service, c) for x in rows for c in M.CHANGES}
+    for r in report:
+        values = [x[r.feature] for x in rows if x.service == r.group]
+        assert (r.least, r.most) == (pytest.approx(min(values), abs=1e-5), pytest.approx(max(values), abs=1e-5))
+
+
 def test_selection_scores_its_candidates_like_the_curves_do(spark, run):
     rows = run("m16_model_selection")
     best = [r for r in rows if r.best]
