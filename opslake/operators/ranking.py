@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def value_buckets(df: DataFrame, value: str) -> Column:
@@ -108,6 +111,16 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     overlapping or long intervals need no other care. Buckets that hold over a quarter of a partition's share of the points
     are cut into parts (all of the shuffle partitions, or ``hot_parts``), for which their intervals are repeated.
     ``how``: inner, or left for points without an interval too. Intervals must not have a column of points but the keys."""
+    left, right = _bucketed(points, intervals, keys, at, start, end, width, hot_parts)
+    on = (F.col("_bucket") == F.col("_r_bucket")) & (F.col("_part") == F.col("_r_part")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(right, on, how).drop("_bucket", "_part", "_r_bucket", "_r_part", *[f"_r_{k}" for k in keys])
+
+
+def _bucketed(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, hot_parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """Points with ``_bucket`` and ``_part``, and a row of each interval for each bucket and part that it meets, whose keys,
+    bucket and part are named ``_r_...``."""
     parts = hot_parts or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = lambda c: F.floor(F.col(c) / F.lit(float(width))).cast("long")
     dealt = points.withColumn("_bucket", bucket(at))
@@ -126,11 +139,43 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     left = marked(dealt).withColumn("_part", F.when(F.col("_h_bucket").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0)).drop(*gone)
     copies = F.when(F.col("_h_bucket").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     right = marked(spread).withColumn("_part", F.explode(copies)).drop(*gone)
-    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_bucket").alias("_r_bucket"), F.col("_part").alias("_r_part"), *[c for c in intervals.columns if c not in keys])
-    on = (F.col("_bucket") == F.col("_r_bucket")) & (F.col("_part") == F.col("_r_part")) & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(right, on, how).drop("_bucket", "_part", "_r_bucket", "_r_part", *[f"_r_{k}" for k in keys])
+    return left, right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_bucket").alias("_r_bucket"), F.col("_part").alias("_r_part"), *[c for c in intervals.columns if c not in keys])
+
+
+def interval_counts(points: DataFrame, intervals: DataFrame, keys: list[str], ids: list[str], at: str, start: str, end: str, width: float, value: str, hot_parts: int | None = None) -> DataFrame:
+    """ids, keys, n and least of each interval that holds a point of its key, start <= at < end: how many it holds (of a
+    non-null ``value``) and their least value, a long.
+
+    No row stands for a point and an interval: pairs grow with the product of both. In a bucket (see :func:`interval_join`)
+    points are sorted once, an interval's are those between two places, and their least value is that of two runs of a
+    power of two; what an interval has in its buckets is added up."""
+    where = ["_bucket", "_part", *keys]
+    left, right = _bucketed(points, intervals, keys, at, start, end, width, hot_parts)
+    left = left.where(F.col(value).isNotNull()).select(*where, F.col(at).cast("double").alias("_at"), F.col(value).cast("long").alias("_v"))
+    right = right.select(*[F.col(f"_r{c}" if c.startswith("_") else f"_r_{c}").alias(c) for c in where], *ids, F.col(start).cast("double").alias("_start"), F.col(end).cast("double").alias("_end"))
+    schema = T.StructType([*[right.schema[c] for c in [*ids, *keys]], T.StructField("n", T.LongType()), T.StructField("least", T.LongType())])
+
+    def held(these: pa.Table, asked: pa.Table) -> pa.Table:
+        time, values = these["_at"].to_numpy(), these["_v"].to_numpy()
+        order = np.argsort(time)
+        time, values = time[order], values[order]
+        first, last = np.searchsorted(time, asked["_start"].to_numpy()), np.searchsorted(time, asked["_end"].to_numpy())
+        n = last - first
+        some = np.flatnonzero(n > 0)
+        first, last, n = first[some], last[some], n[some]
+        least = np.empty(len(some), np.int64)
+        level = np.frexp(n)[1] - 1
+        runs = values  # the least of 2^k values from each place
+        for k in range(int(level.max(initial=-1)) + 1):
+            if k:
+                half = 1 << (k - 1)
+                runs = np.minimum(runs[:-half], runs[half:])
+            now = level == k
+            least[now] = np.minimum(runs[first[now]], runs[last[now] - (1 << k)])
+        return asked.take(pa.array(some)).select([*ids, *keys]).append_column("n", pa.array(n.astype(np.int64))).append_column("least", pa.array(least))
+
+    found = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(held, schema)
+    return found.groupBy(*ids, *keys).agg(F.sum("n").alias("n"), F.min("least").alias("least"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column) -> DataFrame:

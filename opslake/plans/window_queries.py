@@ -10,7 +10,7 @@ from ..operators import scoring as C
 from ..operators import selection as S
 from ..operators import sequence as Q
 from ..operators import windows as W
-from ..operators.ranking import interval_join, with_quantiles
+from ..operators.ranking import interval_counts, with_quantiles
 from . import bindings as B
 from .registry import query
 
@@ -641,8 +641,8 @@ def interval_join_query(spark, d):
     key = F.element_at(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")]), 1 + F.col("o_custkey").cast("int") % 5)
     onset = 1704067200 + (F.col("o_orderkey") * 7919) % 2592000
     faults = B.table(spark, d, "orders").select(key.alias("service"), F.col("o_orderkey").alias("fault"), onset.alias("onset"), (onset + 60 * (1 + F.col("o_custkey") % 97)).alias("recovery"))
-    met = interval_join(B.req(spark, d).select("service", "span", "end_s"), faults, ["service"], "end_s", "onset", "recovery", 3600.0)
-    return met.groupBy("fault", "service").agg(F.count("span").alias("requests"), F.min("span").alias("first"))
+    met = interval_counts(B.req(spark, d).select("service", "span", "end_s"), faults, ["service"], ["fault"], "end_s", "onset", "recovery", 3600.0, "span")
+    return met.select("fault", "service", F.col("n").alias("requests"), F.col("least").alias("first"))
 
 
 @query(
