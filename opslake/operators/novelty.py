@@ -62,7 +62,7 @@ def nearest(queries: DataFrame, prototypes: DataFrame, query_key: str, prototype
     that all texts have is nothing special. The blocks' largest cosines are taken over blocks."""
     entries = lambda df, key, n, name: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(f"_{name}")).agg(F.collect_list(F.struct(F.col(key).alias("k"), "term", "w")).alias(f"_{name}s"))
     asked, known = entries(queries, query_key, query_blocks, "q"), entries(prototypes, prototype_key, prototype_blocks, "p")
-    pairs = asked.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(prototype_blocks - 1)))).join(known, "_p").select("_qs", "_ps")
+    pairs = block_pairs(asked, known, "_q", "_p", query_blocks, prototype_blocks).select("_qs", "_ps")
     kind = queries.schema[query_key].dataType
 
     def closest(batches):
@@ -75,6 +75,14 @@ def nearest(queries: DataFrame, prototypes: DataFrame, query_key: str, prototype
     return found.groupBy(F.col("_key").alias(query_key)).agg((1 - F.max("_c")).alias("novelty"))
 
 
+def block_pairs(asked: DataFrame, known: DataFrame, q: str, p: str, query_blocks: int, prototype_blocks: int) -> DataFrame:
+    """Every block of queries with every block of prototypes. Few prototypes are few blocks, and a join by their number alone
+    would bring all queries into as few tasks: each is repeated for as many parts of the queries as there are tasks."""
+    parts = min(query_blocks, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = asked.withColumns({p: F.explode(F.sequence(F.lit(0), F.lit(prototype_blocks - 1))), "_part": F.pmod(F.col(q), F.lit(parts)).cast("int")})
+    return left.join(known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [p, "_part"])
+
+
 def _largest_cosines(queries: pa.StructArray, prototypes: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
     """The keys of the queries that share a term with a prototype, and their largest sums of products of weights."""
     of = [prototypes.field(c) for c in ("k", "term", "w")]
@@ -128,7 +136,7 @@ def vector_novelty(df: DataFrame, key: str, vector: str, is_reference: Column, b
     n_references, n_queries = blocks(references), blocks(queries)
     packed = references.groupBy(F.pmod(F.xxhash64("v"), F.lit(n_references)).cast("int").alias("_b")).agg(F.collect_list("v").alias("_r"))
     asked = queries.withColumn("_q", F.pmod(F.monotonically_increasing_id(), F.lit(n_queries))).groupBy("_q").agg(F.collect_list(F.struct("_key", "v")).alias("_rows"))
-    pairs = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_references - 1)))).join(packed, "_b").select("_rows", "_r")
+    pairs = block_pairs(asked, packed, "_q", "_b", n_queries, n_references).select("_rows", "_r")
     kind = queries.schema["_key"].dataType
 
     def closest(batches):

@@ -24,3 +24,18 @@ def test_interval_counts_equal_all_pairs(spark):
     for parts in (1, 3):
         out = ranking.interval_counts(*args, ["k"], ["f"], "t", "s", "e", 10.0, "v", hot_parts=parts)
         assert {(r.f, r.k): (r.n, r.least) for r in out.collect()} == true
+
+
+def test_queries_are_spread_where_prototypes_are_one_block(spark):
+    asked = spark.range(16).select(F.col("id").cast("int").alias("_q"))
+    known = spark.createDataFrame([(0, "p")], "_p int, _ps string")
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        pairs = novelty.block_pairs(asked, known, "_q", "_p", 16, 1)
+        assert sorted(r._q for r in pairs.collect()) == list(range(16))
+        assert pairs.withColumn("_at", F.spark_partition_id()).select("_at").distinct().count() > 1
+    finally:
+        for name in plain:
+            spark.conf.unset(name)
