@@ -7,10 +7,12 @@ Features are a list of numeric columns, or one array column (``array<double>``,
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ NODES = "group string, tree int, node int, feature int, split double, left int,
 TREES_A_TASK = 25
 ROWS_A_TASK = 200_000
 PATHS_AT_ONCE = 1 << 20
+CELLS_AT_ONCE = 1 << 21
 
 
 def average_depth(n: np.ndarray | float) -> np.ndarray:
@@ -47,6 +50,17 @@ def matrix(values, size: int | None) -> np.ndarray:
     return out
 
 
+def column_matrix(values: pa.ListArray, size: int | None) -> np.ndarray:
+    """:func:`matrix` of an Arrow column, without an object for a value."""
+    flat = values.flatten()
+    if size is None:
+        return flat.to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    out = np.zeros((len(values), size))
+    row = np.repeat(np.arange(len(values)), pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+    out[row, pc.struct_field(flat, "i").to_numpy(zero_copy_only=False)] = pc.struct_field(flat, "v").to_numpy(zero_copy_only=False)
+    return out
+
+
 def sample_rows(df: DataFrame, key: Column, group: Column, features: list[str] | Column, trees: int, psi: int) -> DataFrame:
     """group, tree, x: psi rows for each tree without replacement, those with the smallest hash of (row, tree). A row is
     only repeated for the trees in whose reach its hash is, so the work is trees * psi and not trees * rows."""
@@ -54,7 +68,7 @@ def sample_rows(df: DataFrame, key: Column, group: Column, features: list[str] |
     sizes = rows.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     reach = F.least(F.lit(1.0), (F.lit(1.3 * psi) + 40) / F.col("_n")) * 1_000_000
     place = lambda t: F.pmod(F.xxhash64("_key", t), F.lit(1_000_000))
-    drawn = rows.join(sizes, F.col("group").eqNullSafe(F.col("_g"))).withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < reach)))
+    drawn = rows.join(sizes, F.col("group").eqNullSafe(F.col("_g"))).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(place(F.col("tree")) < reach)
     return drawn.select("group", "tree", "x", F.xxhash64("_key", "tree").alias("_h"))
 
 
@@ -110,13 +124,14 @@ class Forest:
         here = np.arange(len(nodes))
         self.feature = np.where(leaf, 0, nodes["feature"].to_numpy())
         self.split = nodes["split"].to_numpy()
-        self.left = np.where(leaf, here, base + nodes["left"].to_numpy())
-        self.right = np.where(leaf, here, base + nodes["right"].to_numpy())
+        left = np.where(leaf, here, base + nodes["left"].to_numpy())
+        right = np.where(leaf, here, base + nodes["right"].to_numpy())
+        self.next = np.column_stack([right, left]).ravel()
         size = nodes["size"].to_numpy()
         depth, level, self.steps = np.zeros(len(nodes)), self.roots, 0
         while len(level := level[~leaf[level]]):
             self.steps += 1
-            level = np.concatenate([self.left[level], self.right[level]])
+            level = np.concatenate([left[level], right[level]])
             depth[level] = self.steps
         self.path = depth + average_depth(size)
         self.expected = max(float(average_depth(size[self.roots].max())), 1e-9)
@@ -126,14 +141,23 @@ class Forest:
         out = np.empty(len(x))
         at_once = max(1, PATHS_AT_ONCE // len(self.roots))
         for i in range(0, len(x), at_once):
-            part = x[i : i + at_once]
-            node = np.broadcast_to(self.roots, (len(part), len(self.roots)))
-            row = np.arange(len(part))[:, None]
-            for _ in range(self.steps):
-                node = np.where(part[row, self.feature[node]] < self.split[node], self.left[node], self.right[node])
-            out[i : i + at_once] = 2.0 ** (-self.path[node].mean(axis=1) / self.expected)
+            part = np.ascontiguousarray(x[i : i + at_once])
+            flat, begin = part.ravel(), np.arange(len(part)) * part.shape[1]
+            paths = np.empty((len(part), len(self.roots)))
+            for t, root in enumerate(self.roots):  # a tree's nodes stay in the cache
+                node = np.full(len(part), root)
+                for _ in range(self.steps):
+                    node = self.next[2 * node + (flat[begin + self.feature[node]] < self.split[node])]
+                paths[:, t] = self.path[node]
+            out[i : i + at_once] = 2.0 ** (-paths.mean(axis=1) / self.expected)
         return out
 
+    def score_column(self, values: pa.ListArray, size: int | None) -> np.ndarray:
+        """Scores of an Arrow column of vectors; at most ``CELLS_AT_ONCE`` values are dense at once."""
+        at_once = max(1, CELLS_AT_ONCE // (size or 64))
+        parts = [self.score(column_matrix(values.slice(i, at_once), size)) for i in range(0, len(values), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 def score(df: DataFrame, nodes: DataFrame, features: list[str] | Column, group: Column | None = None, name: str = "score", size: int | None = None) -> DataFrame:
     """df with the forest's score of each row; rows of a group without a forest get none.
@@ -149,7 +173,7 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str] | Column, group:
     columns = df.columns
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        values = np.zeros(left.num_rows) if not right.num_rows else Forest(right.to_pandas()).score(matrix(left["_x"].to_pylist(), size))
+        values = np.zeros(left.num_rows) if not right.num_rows else np.concatenate([np.zeros(0), *map(partial(Forest(right.to_pandas()).score_column, size=size), left["_x"].chunks)])
         none = np.full(left.num_rows, not right.num_rows)
         return left.select(columns).append_column(name, pa.array(values, pa.float64(), mask=none))
 
@@ -161,13 +185,16 @@ def _score_by_one(df: DataFrame, nodes: DataFrame, x: Column, name: str, size: i
     table = nodes.toPandas()
     shared = df.sparkSession.sparkContext.broadcast(Forest(table) if len(table) else None)
 
-    @F.pandas_udf("double")
-    def depth_score(values: pd.Series) -> pd.Series:
-        if shared.value is None:
-            return pd.Series([None] * len(values), dtype=float)
-        return pd.Series(shared.value.score(matrix(values.tolist(), size)))
+    columns = [c for c in df.columns if c != name]
+    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(name, T.DoubleType())])
+
+    def scored(batches):
+        forest = shared.value
+        for batch in batches:
+            values = pa.nulls(batch.num_rows, pa.float64()) if forest is None else pa.array(forest.score_column(batch.column("_x"), size))
+            yield pa.record_batch([*[batch.column(c) for c in columns], values], schema.names)
 
-    return df.withColumn(name, depth_score(x))
+    return df.select(*columns, x.alias("_x")).mapInArrow(scored, schema)
 
 
 def introspect(nodes: DataFrame) -> DataFrame:

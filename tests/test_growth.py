@@ -39,3 +39,24 @@ def test_queries_are_spread_where_prototypes_are_one_block(spark):
     finally:
         for name in plain:
             spark.conf.unset(name)
+
+
+def test_vectors_are_dense_a_part_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((300, 40)) < 0.2, rng.random((300, 40)), 0.0)
+    nodes = pd.concat([pd.DataFrame(forest.grow_tree(x[rng.permutation(300)[:64]], t), columns=["node", "feature", "split", "left", "right", "size"]).assign(tree=t) for t in range(9)])
+    grown, widest = forest.Forest(nodes), []
+    monkeypatch.setattr(forest, "CELLS_AT_ONCE", 40 * 50)
+    made = forest.column_matrix
+    monkeypatch.setattr(forest, "column_matrix", lambda v, size: widest.append(len(v)) or made(v, size))
+    sparse = pa.array([[{"i": int(i), "v": row[i]} for i in np.flatnonzero(row)] for row in x], pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())])))
+    assert np.array_equal(grown.score_column(sparse.slice(20), 40), grown.score(x[20:])) and max(widest) == 50
+    trees = {t: n.set_index("node") for t, n in nodes.groupby("tree")}
+    for row, score in zip(x[:20], grown.score(x[:20])):
+        paths = []
+        for n in trees.values():
+            at, depth = 0, 0
+            while n.feature[at] >= 0:
+                at, depth = n.left[at] if row[n.feature[at]] < n.split[at] else n.right[at], depth + 1
+            paths.append(depth + float(forest.average_depth(n["size"][at])))
+        assert abs(score - 2.0 ** (-np.mean(paths) / grown.expected)) < 1e-12
