@@ -164,22 +164,37 @@ def deduplicated(stream: DataFrame, time: str, delay: str, keys: list[str]) -> D
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stateful(stream: DataFrame, keys: list[str], order: list[str], output: str, state: str, step: Callable[[dict, tuple, tuple | None], tuple[list[tuple], tuple]]) -> DataFrame:
+#: Groups of keys whose state is read and written together: a call costs the same for one key or for some.
+KEY_GROUPS = 1 << 11
+
+
+def stateful(stream: DataFrame, keys: list[str], order: list[str], output: str, state: str, step: Callable[[dict, tuple, tuple | None], tuple[list[tuple], tuple]], groups: int = KEY_GROUPS) -> DataFrame:
     """A keyed state machine: rows of a key go through ``step(row, key, state) -> (output rows, state)`` in order within
-    each batch; the state survives restarts in the checkpoint."""
+    each batch; the state survives restarts in the checkpoint.
+
+    Keys are dealt over ``groups`` groups by their hash (those with a null into one of their own), and a group's call takes
+    the rows of its keys and holds their states as arrays, so the number of calls a batch is bounded while keys may grow.
+    With fewer keys than groups nearly every key has a call of its own."""
     names = [c.strip().split()[0] for c in output.split(",")]
+    fields = [*[T.StructField(f"key_{i}", stream.schema[k].dataType) for i, k in enumerate(keys)], *T.StructType.fromDDL(state).fields]
+    held = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields])
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order)
-        now = tuple(group.get) if group.exists else None
+    def advance(_: tuple, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).drop(columns="_group").sort_values(order, kind="stable")
+        now = {tuple(x[: len(keys)]): tuple(x[len(keys) :]) for x in zip(*group.get)} if group.exists else {}
         out: list[tuple] = []
         for row in rows.to_dict("records"):
-            made, now = step(row, key, now)
+            key = tuple(None if row[k] != row[k] else row[k] for k in keys)
+            made, now[key] = step(row, key, now.get(key))
             out += made
-        group.update(now)
+        group.update(tuple(map(list, zip(*[(*k, *s) for k, s in now.items()]))))
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(*keys).applyInPandasWithState(advance, output, state, "append", GroupStateTimeout.NoTimeout)
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    dealt = stream.withColumn("_group", F.when(missing, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(groups))))
+    return dealt.groupBy("_group").applyInPandasWithState(advance, output, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def incident_step(row: dict, key: tuple, state: tuple | None) -> tuple[list[tuple], tuple]:

@@ -26,6 +26,24 @@ def test_interval_counts_equal_all_pairs(spark):
         assert {(r.f, r.k): (r.n, r.least) for r in out.collect()} == true
 
 
+def test_groups_of_keys_do_not_change_a_state_machine(spark):
+    """Calls are as many as groups; each key still has its own state over batches, a null key too."""
+    rows = [(None if i % 11 == 0 else i % 11, i, i % 7) for i in range(220)]
+    frame = spark.createDataFrame(rows, "s long, i long, v long")
+
+    def step(row, key, state):
+        total = (state[0] if state else 0) + row["v"]
+        return [(*key, int(row["i"]), total)], (total,)
+
+    sums, true = {}, []
+    for s, i, v in rows:
+        sums[s] = sums.get(s, 0) + v
+        true.append((s, i, sums[s]))
+    for groups in (1, 3, 1000):
+        out = jobs.run(jobs.stateful(land(frame, [F.col("i") < 90, F.col("i") >= 90]), ["s"], ["i"], "s long, i long, total long", "total long", step, groups=groups))
+        assert sorted((tuple(r) for r in out.collect()), key=lambda r: r[1]) == true
+
+
 def test_queries_are_spread_where_prototypes_are_one_block(spark):
     asked = spark.range(16).select(F.col("id").cast("int").alias("_q"))
     known = spark.createDataFrame([(0, "p")], "_p int, _ps string")
