@@ -49,6 +49,10 @@ def run_on_rows(stream: DataFrame, mode: str = "append", folder: str | None = No
         return jobs.run(stream, mode, folder)
 
 
+#: Groups of keys whose state is read and written together: a call costs much the same for one key or for some.
+KEY_GROUPS = 1 << 11
+
+
 # feature windows ---------------------------------------------------------------------------------------------------
 
 SCORED = "stream string, end long, arrival long, status string, reason string, windows int, score double, alert boolean, candidates array<string>"
@@ -190,7 +194,8 @@ class CoverageGuard(StatefulProcessor):
     Rows are the service's presence in a window (``coverage`` null) and the coverage of each window that had any event.
     A presence waits in state for its window's coverage. A window in which no service sent anything has no row at all: a
     timer finds that it is over and answers for it with coverage 0. Gaps count absent windows and start anew after a
-    presence or an insufficient window."""
+    presence or an insufficient window. Services are dealt over groups by :func:`coverage_stream`; a group's states are
+    read and written in one call and it has one timer."""
 
     def __init__(self, threshold: int, required: float, width_ms: int, origin_ms: int = 0, slack_windows: int = 1):
         self.threshold, self.required = threshold, required
@@ -198,58 +203,79 @@ class CoverageGuard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "window int", "seen boolean")
-        self.state = handle.getValueState("gap", "next int, gap long")
+        held = "services array<string>, nexts array<int>, gaps array<long>, waiting array<array<int>>, timer long"
+        self.state = handle.getValueState("services", held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows), ignore_index=True)
-        for w in frame.loc[frame["coverage"].isna(), "window"].astype(int):
-            self.waiting.updateValue((int(w),), (True,))
-        covered = frame[frame["coverage"].notna()].sort_values("window")
+        self._load()
+        covered = []
+        for frame in rows:
+            for service, w, coverage in zip(frame["service"].tolist(), frame["window"].tolist(), frame["coverage"].tolist()):
+                self.places.setdefault(service, [0, 0, set()])
+                if coverage is None or coverage != coverage:
+                    self.places[service][2].add(int(w))
+                else:
+                    covered.append((int(w), service, float(coverage)))
         out: list[tuple] = []
-        for w, coverage in zip(covered["window"].astype(int), covered["coverage"].astype(float)):
-            self._advance(key, int(w), out)
-            self._answer(key, int(w), coverage, out)
-        self._wait()
+        for w, service, coverage in sorted(covered, key=lambda c: c[0]):
+            self._advance(service, w, out)
+            self._answer(service, w, coverage, out)
+        self._save()
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._load()
+        fired, self.timer, now = self.timer, None, timerValues.getCurrentWatermarkInMs()
         out: list[tuple] = []
-        self._advance(key, self._next() + 1, out)
-        self._wait()
+        for service, place in self.places.items():
+            if self._over(place) <= fired or self._over(place) < now:
+                self._advance(service, place[0] + 1, out)
+        self._save()
         yield self._frame(out)
 
-    def _next(self) -> int:
-        return int(self.state.get()[0]) if self.state.exists() else 0
+    def _load(self) -> None:
+        """Next window, gap and waiting presences of each service of the group, in one call; :meth:`_save` writes them in one."""
+        held = self.state.get()
+        *places, self.timer = held if held else ([], [], [], [], None)
+        self.places = {s: [n, g, set(w)] for s, n, g, w in zip(*places)}
+
+    def _over(self, place: list) -> int:
+        """When the window after the last answered one is over, and the slack with it."""
+        return self.origin + (place[0] + 1 + self.slack) * self.width
 
-    def _advance(self, key, upto: int, out: list[tuple]) -> None:
+    def _advance(self, service, upto: int, out: list[tuple]) -> None:
         """Windows before ``upto`` that no coverage has come for: nobody sent anything."""
-        while self._next() < upto:
-            self._answer(key, self._next(), 0.0, out)
+        while self.places[service][0] < upto:
+            self._answer(service, self.places[service][0], 0.0, out)
 
-    def _answer(self, key, window: int, coverage: float, out: list[tuple]) -> None:
-        seen = self.waiting.containsKey((window,))
-        if seen:
-            self.waiting.removeKey((window,))
+    def _answer(self, service, window: int, coverage: float, out: list[tuple]) -> None:
+        place = self.places[service]
+        seen = window in place[2]
+        place[2].discard(window)
         insufficient = coverage < self.required
-        gap = 0 if seen or insufficient else (int(self.state.get()[1]) if self.state.exists() else 0) + 1
-        self.state.update((window + 1, gap))
-        out.append((key[0], window, seen, coverage, insufficient, gap, gap >= self.threshold))
-
-    def _wait(self) -> None:
-        """One timer: when the window after the last answered one is over, and the slack with it."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(self.origin + (self._next() + 1 + self.slack) * self.width)
+        gap = 0 if seen or insufficient else place[1] + 1
+        place[:2] = window + 1, gap
+        out.append((service, window, seen, coverage, insufficient, gap, gap >= self.threshold))
+
+    def _save(self) -> None:
+        """The state, and one timer: for the service whose window is over first."""
+        timer = min(map(self._over, self.places.values()))
+        if timer != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.handle.registerTimer(timer)
+        held = zip(*[(s, n, g, sorted(w)) for s, (n, g, w) in self.places.items()])
+        self.state.update((*map(list, held), timer))
 
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COVERAGE.split(", ")]).astype({"window": "int32", "gap": "int64", "coverage": "float64", "seen": "bool", "insufficient": "bool", "issue": "bool"})
+        kinds = {"service": object, "window": "int32", "seen": "bool", "coverage": "float64", "insufficient": "bool", "gap": "int64", "issue": "bool"}
+        return pd.DataFrame({c: np.array(v, kind) for (c, kind), v in zip(kinds.items(), list(zip(*out)) or [()] * len(kinds))})
 
     def close(self) -> None:
         pass
 
 
-def coverage_stream(events: Callable[[], DataFrame], time: str, delay: str, width: str, expected: DataFrame, processor: CoverageGuard) -> DataFrame:
+def coverage_stream(events: Callable[[], DataFrame], time: str, delay: str, width: str, expected: DataFrame, processor: CoverageGuard, groups: int = KEY_GROUPS) -> DataFrame:
     """Raw events (service, time) in, the coverage guard's rows out.
 
     ``events`` opens the stream; it is opened twice, for the services' presences and for the windows' coverage, which is
@@ -262,4 +288,5 @@ def coverage_stream(events: Callable[[], DataFrame], time: str, delay: str, widt
     counted = seen().withColumn("_t", F.window_time("_w")).groupBy(F.window("_t", width).alias("_v")).agg(F.count(F.lit(1)).alias("_present"))
     counted = counted.withColumns({"_at": F.window_time("_v"), "window": number("_v")})
     cover = counted.join(F.broadcast(total)).join(expected.select("service")).select("service", "_at", "window", (F.col("_present") / F.col("_total")).alias("coverage"))
-    return present.unionByName(cover).groupBy("service").transformWithStateInPandas(processor, COVERAGE, "append", "EventTime")
+    rows = present.unionByName(cover)
+    return rows.withColumn("_group", F.pmod(F.xxhash64("service"), F.lit(groups))).groupBy("_group").transformWithStateInPandas(processor, COVERAGE, "append", "EventTime")

@@ -9,7 +9,7 @@ from landing import land
 from pyspark.sql import functions as F
 
 from opslake.operators import forest, novelty, ranking
-from opslake.streaming import jobs
+from opslake.streaming import jobs, processors
 
 
 def test_interval_counts_equal_all_pairs(spark):
@@ -78,3 +78,15 @@ def test_vectors_are_dense_a_part_at_a_time(spark, monkeypatch):
                 at, depth = n.left[at] if row[n.feature[at]] < n.split[at] else n.right[at], depth + 1
             paths.append(depth + float(forest.average_depth(n["size"][at])))
         assert abs(score - 2.0 ** (-np.mean(paths) / grown.expected)) < 1e-12
+
+
+def test_groups_of_services_do_not_change_coverage(spark):
+    """One group holds all services, whose windows end at different times, and one timer."""
+    day = processors.DAY_MS
+    rows = [(s, float(w)) for s in "abc" for w in range(7) if (ord(s) + w) % 3 and w not in (3, 4)] + [("clock", 15.0)]
+    frame = spark.createDataFrame(rows, "service string, day double").withColumn("at", F.timestamp_millis((F.col("day") * day + 5000).cast("long")))
+    expected, guard = spark.createDataFrame([(s,) for s in "abc"], "service string"), processors.CoverageGuard(2, 0.5, day)
+    built = lambda s: processors.coverage_stream(lambda: s, "at", "1 hour", "1 day", expected, guard, groups=1)
+    out = jobs.fed(frame, [F.lit(True)], built, runner=processors.run).where("service <> 'clock' AND window < 7")
+    got = {(r.service, r.window): r.seen for r in out.collect()}
+    assert got == {(s, w): (s, float(w)) in rows for s in "abc" for w in range(7)}
