@@ -58,13 +58,17 @@ KEY_GROUPS = 1 << 11
 SCORED = "stream string, end long, arrival long, status string, reason string, windows int, score double, alert boolean, candidates array<string>"
 
 
+_KINDS = {"end": "int64", "arrival": "int64", "windows": "int32", "score": "float64", "alert": "bool"}
+
+
 class FeatureScorer(StatefulProcessor):
     """Scores messages (one stream's feature vectors by service for the window that ends at ``end``), in arrival order.
 
     A message is accepted if it is the stream's first, or has its profile and ends one step after the last accepted one;
     others come out as ``rejected`` with a reason (profile, not later, gap) and leave the state as it was. State is the
     last accepted place and the feature vectors of the last ``kept`` windows, and expires ``ttl_ms`` after its last
-    change. ``scorer`` takes histories [services, kept, features], with zeros before a service's first window, and
+    change. Streams are dealt over groups by :func:`score_features`; a group's states are read, and all its messages scored,
+    in one call. ``scorer`` takes histories [services, kept, features], with zeros before a service's first window, and
     returns a score each. Services without any available signal are no candidates; without candidates the answer is
     ``abstained``. The score is the best candidate's; an alert is a score over the profile's threshold.
     """
@@ -74,16 +78,18 @@ class FeatureScorer(StatefulProcessor):
         self.step, self.kept, self.top, self.ttl = step, kept, top, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "profile string, end long, windows int", self.ttl)
-        self.history = handle.getListState("history", "end long, service string, features array<double>", self.ttl)
+        held = "streams array<string>, profiles array<string>, lasts array<long>, windows array<int>, changed array<long>, ends array<array<long>>, services array<array<string>>, features array<array<double>>"
+        self.state = handle.getValueState("streams", held, self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        messages = pd.concat(list(rows), ignore_index=True).sort_values("arrival", kind="stable")
-        place = tuple(self.place.get()) if self.place.exists() else None
-        history = [(int(e), s, np.asarray(f, float)) for e, s, f in self.history.get()] if self.history.exists() else []
+        columns = ["stream", "end", "arrival", "profile", "names", "flat"]
+        messages = sorted((m for frame in rows for m in zip(*[frame[c] for c in columns])), key=lambda m: m[2])
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        streams = self._load(now)
         out, asked, changed = [], [], False
-        for end, arrival, profile, services in zip(messages["end"], messages["arrival"], messages["profile"], messages["services"]):
+        for stream, end, arrival, profile, services, flat in messages:
             end = int(end)
+            place, history = streams.get(stream, (None, []))
             reason = None
             if place and profile != place[0]:
                 reason = "profile"
@@ -92,33 +98,47 @@ class FeatureScorer(StatefulProcessor):
             elif place and end != place[1] + self.step:
                 reason = "gap"
             if reason:
-                out.append([key[0], end, int(arrival), "rejected", reason, 0, None, False, []])
+                out.append([stream, end, int(arrival), "rejected", reason, 0, None, False, []])
                 continue
-            place, changed = (profile, end, min(self.kept, place[2] + 1) if place else 1), True  # accepted windows have no gaps
-            current = {x["service"]: np.asarray(x["features"], float) for x in services}
+            place, changed = (profile, end, min(self.kept, place[2] + 1) if place else 1, now), True  # accepted windows have no gaps
+            current = dict(zip(services, np.asarray(flat, float).reshape(-1, self.features)))
             history = [h for h in history if h[0] > end - self.kept * self.step] + [(end, s, f) for s, f in current.items()]
+            streams[stream] = (place, history)
             names = sorted(current)
+            number = {s: i for i, s in enumerate(names)}
             raw = np.zeros((len(names), self.kept, self.features))
             for e, s, f in history:
-                if s in current:
-                    raw[names.index(s), self.kept - 1 - (end - e) // self.step] = f
+                if s in number:
+                    raw[number[s], self.kept - 1 - (end - e) // self.step] = f
             valid = self.available(raw[:, -1])
-            asked.append((len(out), [n for n, v in zip(names, valid) if v], raw[valid]))
-            out.append([key[0], end, int(arrival), "abstained", None, place[2], None, False, []])
-        for (at, names, _), scores in zip(asked, self._scores([raw for *_, raw in asked])):
+            asked.append((len(out), profile, [n for n, v in zip(names, valid) if v], raw[valid]))
+            out.append([stream, end, int(arrival), "abstained", None, place[2], None, False, []])
+        for (at, profile, names, _), scores in zip(asked, self._scores([raw for *_, raw in asked])):
             if names:
                 order = sorted(range(len(names)), key=lambda i: (-scores[i], names[i]))[: self.top]
                 best = float(scores[order[0]])
-                profile = messages["profile"].iloc[at]
                 out[at][3], out[at][6], out[at][7], out[at][8] = "scored", best, best > self.thresholds[profile], [names[i] for i in order]
         if changed:
-            self.place.update(place)
-            self.history.put([(e, s, f.tolist()) for e, s, f in history])
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
-        yield frame.astype({"windows": "int32", "score": "float64", "alert": "bool"})
+            self._save(streams)
+        columns = dict(zip([c.split()[0] for c in SCORED.split(", ")], zip(*out)))
+        yield pd.DataFrame({c: np.array(v, _KINDS[c]) if c in _KINDS else list(v) for c, v in columns.items()})
+
+    def _load(self, now: int) -> dict[str, tuple]:
+        """Of each stream of the group its place (profile, end, windows, time of the last change) and history, in one call that
+        reads all; streams whose time is over are left out."""
+        held = self.state.get()
+        streams = {}
+        for stream, profile, end, windows, changed, ends, services, features in zip(*held) if held else ():
+            if not self.ttl or now < changed + self.ttl:
+                streams[stream] = (profile, end, windows, changed), list(zip(ends, services, np.array(features, float).reshape(-1, self.features)))
+        return streams
+
+    def _save(self, streams: dict[str, tuple]) -> None:
+        held = [(s, *place, [e for e, *_ in h], [n for _, n, _ in h], np.concatenate([f for *_, f in h]).tolist() if h else []) for s, (place, h) in streams.items()]
+        self.state.update(tuple(map(list, zip(*held))))
 
     def _scores(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """All histories of the key's messages in one call."""
+        """All histories of the group's messages in one call."""
         if not parts or not sum(map(len, parts)):
             return [np.zeros(0)] * len(parts)
         return np.split(self.scorer(np.concatenate(parts)), np.cumsum([len(p) for p in parts])[:-1])
@@ -127,9 +147,11 @@ class FeatureScorer(StatefulProcessor):
         pass
 
 
-def score_features(messages: DataFrame, processor: FeatureScorer) -> DataFrame:
+def score_features(messages: DataFrame, processor: FeatureScorer, groups: int = KEY_GROUPS) -> DataFrame:
     """messages: stream string, end, arrival, profile, services array<struct<service, features>>."""
-    return messages.groupBy("stream").transformWithStateInPandas(processor, SCORED, "append", "ProcessingTime" if processor.ttl else "None")
+    flat = F.flatten(F.transform("services", lambda s: s["features"]))
+    plain = messages.select("stream", "end", "arrival", "profile", F.transform("services", lambda s: s["service"]).alias("names"), flat.alias("flat"))
+    return plain.withColumn("_group", F.pmod(F.xxhash64("stream"), F.lit(groups))).groupBy("_group").transformWithStateInPandas(processor, SCORED, "append", "ProcessingTime" if processor.ttl else "None")
 
 
 # incidents ---------------------------------------------------------------------------------------------------------
