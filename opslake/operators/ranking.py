@@ -47,17 +47,18 @@ def hash_places(df: DataFrame, keys: list[str], digest: str) -> DataFrame:
     return out.withColumn("place", F.col("_at") - 1).withColumnRenamed("_at_all", "rows").drop("_at", "_one")
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: list[float], n: str | None = None) -> DataFrame:
     """One row with the exact quantiles q0, q1, ... of a column over the whole table, interpolated between neighbours; nulls
-    are left out. Equal values are counted first and summed in ranges, so no task holds the column."""
-    return grouped_quantiles(df, [], value, shares)
+    are left out. Equal values are counted first and summed in ranges, so no task holds the column. ``n``: the column with
+    the number of rows that a row stands for."""
+    return grouped_quantiles(df, [], value, shares, n)
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], n: str | None = None) -> DataFrame:
     """:func:`quantiles` of each key. The ranges are those of the whole column, so the rows of a key that has many are dealt
     over many ranges; each adds up its own, and a key's places are found from one row a key and range. A key without any
     value has no row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.sum(n or F.lit(1)).alias("_n"))
     sums = running_sums(counts, keys, value_buckets(counts, "_v"), [F.col("_v")], {"_upto": "_n"})
     at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
     out = []

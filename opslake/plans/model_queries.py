@@ -545,11 +545,13 @@ found AS (SELECT * FROM (SELECT *, active AND coalesce(lag(active) OVER (PARTITI
 
 
 def content_drift(spark, d):
-    lines = log_lines(spark, d)
-    events = lines.where(~T.is_instrumentation(F.col("message")))
-    scored = novelty.template_novelty(events, "template", events.where("window < 5"), new_folder(spark, "templates")).withColumnRenamed("span", "time")
-    found = novelty.drift_evidence(scored, novelty.novelty_threshold(scored.where("window BETWEEN 5 AND 7")), (0, B.DAYS - 1))
-    return lines, events, found
+    """Log lines; how many there are by service, day, template and whether a mark of the injector excludes them; those of the
+    events with their template's novelty; the threshold. The lines are read once."""
+    lines = log_lines(spark, d).withColumn("excluded", T.is_instrumentation(F.col("message")))
+    counts = novelty.template_counts(lines, ["service", "window", "excluded"], "template", new_folder(spark, "counts"))
+    events = counts.where(~F.col("excluded"))
+    scored = novelty.template_novelty(events, "template", events.where("window < 5"), new_folder(spark, "templates"))
+    return lines, counts, scored, novelty.novelty_threshold(scored.where("window BETWEEN 5 AND 7"), n="n")
 
 
 @query(
@@ -560,7 +562,9 @@ FROM r JOIN found USING (service, "window") WHERE i <= 3 GROUP BY service, "wind
 )
 def calibrated_drift(spark, d):
     """Days whose messages drift from those of the first five, by a threshold of the next three, with the three most novel."""
-    found = content_drift(spark, d)[2]
+    lines, _, scored, threshold = content_drift(spark, d)
+    events = lines.where(~F.col("excluded")).withColumnRenamed("span", "time")
+    found = novelty.template_evidence(events, "template", scored, threshold, (0, B.DAYS - 1), new_folder(spark, "findings"))
     text = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["id"], F.round(e["novelty"], 6).cast("string"))), ",")
     return found.select("service", "window", "events", "novel", "share", text.alias("evidence"))
 
@@ -573,8 +577,10 @@ SELECT "case", coalesce(warnings, 0) AS warnings, events, coalesce(excluded, 0)
 )
 def content_summary(spark, d):
     """Ten days are a case: its warnings and their services, events with and without marks of the injector, templates."""
-    lines, events, found = (x.withColumn("case", F.floor(F.col("window") / 10)) for x in content_drift(spark, d))
-    out = novelty.content_summary(events, lines.where(T.is_instrumentation(F.col("message"))), found, "template", ["case"])
+    lines, _, scored, threshold = content_drift(spark, d)
+    found = novelty.drift_windows(scored, threshold, (0, B.DAYS - 1), n="n")
+    lines, found = (x.withColumn("case", F.floor(F.col("window") / 10)) for x in (lines, found))
+    out = novelty.content_summary(lines.where(~F.col("excluded")), lines.where("excluded"), found, "template", ["case"])
     return out.withColumn("services", F.array_join("services", ","))
 
 

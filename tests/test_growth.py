@@ -5,12 +5,17 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from landing import land
 from pyspark.sql import functions as F
 
 from opslake.operators import forest, novelty, ranking
+from opslake.plans import model_queries as models
+from opslake.plans import registry
 from opslake.streaming import jobs, processors
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_interval_counts_equal_all_pairs(spark):
     rng = random.Random(5)
@@ -90,3 +95,50 @@ def test_groups_of_services_do_not_change_coverage(spark):
     out = jobs.fed(frame, [F.lit(True)], built, runner=processors.run).where("service <> 'clock' AND window < 7")
     got = {(r.service, r.window): r.seen for r in out.collect()}
     assert got == {(s, w): (s, float(w)) in rows for s in "abc" for w in range(7)}
+
+
+@pytest.fixture
+def lines_read(spark, monkeypatch):
+    """How often the queries of message drift read each log line, as a function of a query's name."""
+    read, made = spark.sparkContext.accumulator(0), models.log_lines
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(models, "log_lines", lambda spark, d: (df := made(spark, d)).mapInArrow(counted, df.schema))
+    rows = made(spark, SF).count()
+
+    def times(name):
+        before = read.value
+        assert registry.QUERIES[name](spark, SF).collect()
+        return (read.value - before) / rows
+
+    return times
+
+
+def test_drift_reads_lines_for_counts_and_for_evidence(lines_read):
+    assert lines_read("m09_calibrated_drift") == 2
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_evidence_from_counts_of_templates_equals_that_from_events(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    of = {"plain": 0.0, "rare": 0.7, "new": 0.9, None: 1.0}
+    rows = []
+    for i in range(900):
+        t = rng.choices(list(of), [1, 1, 1, 1] if rng.random() < 0.3 else [60, 1, 1, 1])[0]
+        rows.append((rng.choice(["a", "b", "c", None]), rng.randrange(7), rng.randrange(50), f"message {i % 40}", t))
+    events = spark.createDataFrame(rows, "service string, window int, time long, message string, template string")
+    known = spark.createDataFrame(list(of.items()), "_t string, novelty double")
+    limit = spark.createDataFrame([(0.05,)], "threshold double")
+    scored = lambda df: df.join(known, F.col("template").eqNullSafe(F.col("_t"))).drop("_t")
+    counts = scored(novelty.template_counts(events, ["service", "window"], "template", str(tmp_path / "counts")))
+    got = novelty.template_evidence(events, "template", counts, limit, (0, 7), str(tmp_path / "findings"))
+    expected = novelty.drift_evidence(scored(events), limit, (0, 7))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.count() >= 2
+    quantile = novelty.novelty_threshold(counts, n="n").first().threshold
+    assert quantile == pytest.approx(np.quantile([of[r[4]] for r in rows], 0.995))
+    none = novelty.template_evidence(events.limit(0), "template", counts.limit(0), limit, (0, 7), str(tmp_path / "none"))
+    assert none.count() == 0
