@@ -577,10 +577,10 @@ SELECT "case", coalesce(warnings, 0) AS warnings, events, coalesce(excluded, 0)
 )
 def content_summary(spark, d):
     """Ten days are a case: its warnings and their services, events with and without marks of the injector, templates."""
-    lines, _, scored, threshold = content_drift(spark, d)
+    _, counts, scored, threshold = content_drift(spark, d)
     found = novelty.drift_windows(scored, threshold, (0, B.DAYS - 1), n="n")
-    lines, found = (x.withColumn("case", F.floor(F.col("window") / 10)) for x in (lines, found))
-    out = novelty.content_summary(lines.where(~F.col("excluded")), lines.where("excluded"), found, "template", ["case"])
+    counts, found = (x.withColumn("case", F.floor(F.col("window") / 10)) for x in (counts, found))
+    out = novelty.content_summary(counts.where(~F.col("excluded")), counts.where("excluded"), found, "template", ["case"], "n")
     return out.withColumn("services", F.array_join("services", ","))
 
 

@@ -122,6 +122,10 @@ def test_drift_reads_lines_for_counts_and_for_evidence(lines_read):
     assert lines_read("m09_calibrated_drift") == 2
 
 
+def test_content_summary_reads_lines_once(lines_read):
+    assert lines_read("a30_content_summary") == 1
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_evidence_from_counts_of_templates_equals_that_from_events(spark, tmp_path, seed):
     rng = random.Random(seed)
