@@ -302,13 +302,17 @@ def coverage_stream(events: Callable[[], DataFrame], time: str, delay: str, widt
 
     ``events`` opens the stream; it is opened twice, for the services' presences and for the windows' coverage, which is
     their number over that of the expected services. Each window's coverage goes to every expected service: that is the
-    dense grid which the guard answers with, no more. No window's services are gathered in one row."""
+    dense grid which the guard answers with, no more. No window's services are gathered in one row. Coverage meets the
+    services by their group: a join without a key would be a product once they are too many to broadcast, and that runs a
+    partition's windows, and so their state, anew for each partition of services, which the state store refuses."""
     number = lambda w: F.floor((F.unix_millis(F.col(w)["start"]) - F.lit(processor.origin)) / F.lit(processor.width)).cast("int")
     seen = lambda: events().withWatermark(time, delay).groupBy(F.window(time, width).alias("_w"), "service").agg(F.count(F.lit(1)).alias("_n"))
     present = seen().withColumns({"_at": F.window_time("_w"), "window": number("_w")}).select("service", "_at", "window", F.lit(None).cast("double").alias("coverage"))
     total = expected.agg(F.count(F.lit(1)).alias("_total"))
     counted = seen().withColumn("_t", F.window_time("_w")).groupBy(F.window("_t", width).alias("_v")).agg(F.count(F.lit(1)).alias("_present"))
     counted = counted.withColumns({"_at": F.window_time("_v"), "window": number("_v")})
-    cover = counted.join(F.broadcast(total)).join(expected.select("service")).select("service", "_at", "window", (F.col("_present") / F.col("_total")).alias("coverage"))
+    group = F.pmod(F.xxhash64("service"), F.lit(groups))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    cover = counted.join(F.broadcast(total)).withColumn("_group", every).join(expected.select("service", group.alias("_group")), "_group").select("service", "_at", "window", (F.col("_present") / F.col("_total")).alias("coverage"))
     rows = present.unionByName(cover)
-    return rows.withColumn("_group", F.pmod(F.xxhash64("service"), F.lit(groups))).groupBy("_group").transformWithStateInPandas(processor, COVERAGE, "append", "EventTime")
+    return rows.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(processor, COVERAGE, "append", "EventTime")

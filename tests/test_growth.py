@@ -97,6 +97,30 @@ def test_groups_of_services_do_not_change_coverage(spark):
     assert got == {(s, w): (s, float(w)) in rows for s in "abc" for w in range(7)}
 
 
+def test_coverage_meets_many_services_without_a_product(spark):
+    """Services that are too many to broadcast: a product would run a partition's state anew for each of their partitions."""
+    day, plans = processors.DAY_MS, []
+    rows = [(s, float(w)) for s in "abcdefgh" for w in range(5) if (ord(s) + w) % 3] + [("clock", 15.0)]
+    frame = spark.createDataFrame(rows, "service string, day double").withColumn("at", F.timestamp_millis((F.col("day") * day + 5000).cast("long")))
+    expected, guard = spark.createDataFrame([(s,) for s in "abcdefgh"], "service string"), processors.CoverageGuard(2, 0.5, day)
+
+    def run(stream, mode, folder):
+        out = processors.coverage_stream(lambda: stream, "at", "1 hour", "1 day", expected, guard)
+        with processors.settings(spark, **{processors.STORE: processors.ROCKSDB}):
+            query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        plans.append(query._jsq.explainInternal(False))
+        return spark.read.parquet(f"{folder}/out")
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jobs.fed(frame, [F.col("day") < 3, F.col("day") >= 3], lambda s: s, runner=run).where("service <> 'clock' AND window < 5").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.service, r.window): r.seen for r in out} == {(s, w): (s, float(w)) in rows for s in "abcdefgh" for w in range(5)} and len(out) == 40
+    assert all("TransformWithState" in p and "CartesianProduct" not in p for p in plans)
+
+
 @pytest.fixture
 def lines_read(spark, monkeypatch):
     """How often the queries of message drift read each log line, as a function of a query's name."""
