@@ -61,14 +61,16 @@ def column_matrix(values: pa.ListArray, size: int | None) -> np.ndarray:
     return out
 
 
-def sample_rows(df: DataFrame, key: Column, group: Column, features: list[str] | Column, trees: int, psi: int) -> DataFrame:
+def sample_rows(df: DataFrame, key: Column, group: Column | None, features: list[str] | Column, trees: int, psi: int) -> DataFrame:
     """group, tree, x: psi rows for each tree without replacement, those with the smallest hash of (row, tree). A row is
-    only repeated for the trees in whose reach its hash is, so the work is trees * psi and not trees * rows."""
-    rows = df.select(group.cast("string").alias("group"), key.alias("_key"), vector(features).alias("x"))
-    sizes = rows.groupBy(F.col("group").alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    only repeated for the trees in whose reach its hash is, so the work is trees * psi and not trees * rows. Without a group
+    all rows are of ``all``, whose size is one row for every task: a join on a constant may be a product."""
+    rows = df.select((F.lit("all") if group is None else group.cast("string")).alias("group"), key.alias("_key"), vector(features).alias("x"))
+    count = F.count(F.lit(1)).alias("_n")
+    sized = rows.join(F.broadcast(rows.agg(count))) if group is None else rows.join(rows.groupBy(F.col("group").alias("_g")).agg(count), F.col("group").eqNullSafe(F.col("_g")))
     reach = F.least(F.lit(1.0), (F.lit(1.3 * psi) + 40) / F.col("_n")) * 1_000_000
     place = lambda t: F.pmod(F.xxhash64("_key", t), F.lit(1_000_000))
-    drawn = rows.join(sizes, F.col("group").eqNullSafe(F.col("_g"))).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(place(F.col("tree")) < reach)
+    drawn = sized.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(place(F.col("tree")) < reach)
     return drawn.select("group", "tree", "x", F.xxhash64("_key", "tree").alias("_h"))
 
 
@@ -107,7 +109,7 @@ def grow(df: DataFrame, key: Column, features: list[str] | Column, group: Column
             out.append(pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "size"]).assign(group=pdf["group"].iloc[0], tree=int(tree)))
         return pd.concat(out)[["group", "tree", "node", "feature", "split", "left", "right", "size"]]
 
-    sampled = sample_rows(df, key, group if group is not None else F.lit("all"), features, trees, psi)
+    sampled = sample_rows(df, key, group, features, trees, psi)
     return sampled.groupBy("group", F.floor(F.col("tree") / TREES_A_TASK)).applyInPandas(some, NODES)
 
 

@@ -85,9 +85,10 @@ def with_quantiles(df: DataFrame, keys: list[str], aggregates: list[Column], val
 
 
 def quantile_columns(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], group_rows: int | None = GROUP_ROWS) -> DataFrame:
-    """keys and the exact quantile (column, share) of each name, null for a key without any value of it. With ``group_rows`` no
-    task holds more values of a key: where a key has more rows, the columns' values become rows with their name and all are
-    found by :func:`grouped_quantiles` at once. Without it, every key is taken to be small."""
+    """keys and the exact quantile (column, share) of each name, null for a key without any value of it; without keys, one row
+    for the whole table. With ``group_rows`` no task holds more values of a key: where a key has more rows, the columns'
+    values become rows with their name and all are found by :func:`grouped_quantiles` at once. Without it, every key is taken
+    to be small."""
     if group_rows is None or (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= group_rows:
         return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(name) for name, (c, q) in wanted.items()])
     shares = sorted({q for _, q in wanted.values()})
@@ -95,7 +96,8 @@ def quantile_columns(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Col
     long = df.select(*keys, F.explode(each).alias("_e")).select(*keys, "_e.*")
     found = grouped_quantiles(long, [*keys, "_name"], "_value", shares)
     picked = [F.max(F.when(F.col("_name") == name, F.col(f"q{shares.index(q)}"))).alias(name) for name, (_, q) in wanted.items()]
-    return key_join(df.select(*keys).distinct(), found.groupBy(*keys).agg(*picked), keys)
+    out = found.groupBy(*keys).agg(*picked)
+    return key_join(df.select(*keys).distinct(), out, keys) if keys else out
 
 
 def key_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

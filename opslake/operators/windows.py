@@ -121,8 +121,14 @@ def healthy_reference(frame: DataFrame, keys: list[str], values: list[str], grou
 
 
 def mad_reference(frame: DataFrame, keys: list[str], values: list[str], floors: list[float], group_rows: int | None = None) -> DataFrame:
-    """Median and floored median absolute deviation per key, in two passes over the frame."""
+    """Median and floored median absolute deviation per key, in two passes over the frame. Without keys they are those of the
+    whole frame, in one row; its medians are plain numbers in the second pass, as a join without a key may be a product."""
     medians = quantile_columns(frame, keys, {f"{v}_center": (F.col(v), 0.5) for v in values}, group_rows)
+    if not keys:
+        row = medians.first()
+        center = {v: F.lit(row[f"{v}_center"]).cast("double") for v in values}
+        spread = quantile_columns(frame, [], {f"{v}_scale": (F.abs(F.col(v) - center[v]), 0.5) for v in values}, group_rows)
+        return spread.select(*[c.alias(f"{v}_center") for v, c in center.items()], *[F.greatest(f"{v}_scale", F.lit(f)).alias(f"{v}_scale") for v, f in zip(values, floors)])
     near = frame.join(medians, keys)
     spread = quantile_columns(near, keys, {f"{v}_scale": (F.abs(F.col(v) - F.col(f"{v}_center")), 0.5) for v in values}, group_rows)
     return medians.join(spread.select(*keys, *[F.greatest(f"{v}_scale", F.lit(f)).alias(f"{v}_scale") for v, f in zip(values, floors)]), keys)

@@ -12,6 +12,7 @@ from ..operators import scoring as C
 from ..operators import sequence as Q
 from ..operators import windows as W
 from ..sources import files
+from ..streaming.jobs import new_folder
 from . import bindings as B
 from .registry import query
 
@@ -479,8 +480,11 @@ SELECT instance, {R('greatest(abs(a - ca) / sa, abs(b - cb) / sb)')} AS residual
 )
 def residual_and_tail(spark, d):
     s = B.sess(spark, d).groupBy("instance").agg(*[F.max(F.when(F.col("operation") == p, F.col("value"))).alias(c) for c, p in (("a", "1-URGENT"), ("b", "2-HIGH"))])
-    ref = W.mad_reference(s.withColumn("_all", F.lit(1)), ["_all"], ["a", "b"], [0.01, 0.01])
-    j = s.join(F.broadcast(ref.drop("_all")))
+    table = new_folder(spark, "sessions")
+    s.write.parquet(table)
+    s = spark.read.parquet(table)
+    ref = W.mad_reference(s, [], ["a", "b"], [0.01, 0.01], W.GROUP_ROWS)
+    j = s.join(F.broadcast(ref))
     residual = S.max_residual([F.col("a"), F.col("b")], [F.col("a_center"), F.col("b_center")], [F.col("a_scale"), F.col("b_scale")])
     return j.select("instance", residual.alias("residual"), F.coalesce(residual > 2.5, F.lit(False)).alias("warning"), (F.col("a").isNull() & F.col("b").isNull()).alias("abstained"))
 

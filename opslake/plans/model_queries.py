@@ -65,9 +65,11 @@ def service_forests(spark, d):
 
 @query("m04_session_forest")
 def session_forest(spark, d):
-    s = WQ.session_pivot(spark, d)
+    table = new_folder(spark, "sessions")
+    WQ.session_pivot(spark, d).write.parquet(table)
+    s = spark.read.parquet(table)  # one pivot of the orders; medians, sample and scores read it
     ops = [f"op{i}" for i in range(5)]
-    ref = W.mad_reference(s.withColumn("_all", F.lit(1)), ["_all"], ops, [0.01] * 5).drop("_all")
+    ref = W.mad_reference(s, [], ops, [0.01] * 5, W.GROUP_ROWS)
     x = s.join(F.broadcast(ref)).select("instance", *[F.coalesce((F.col(c) - F.col(f"{c}_center")) / F.col(f"{c}_scale"), F.lit(0.0)).alias(c) for c in ops], *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in ops])
     features = [*ops, *[f"{c}_missing" for c in ops]]
     return forest.score(x, forest.grow(x, F.col("instance"), features, trees=200, psi=256), features).select("instance", "score")

@@ -9,7 +9,8 @@ import pytest
 from landing import land
 from pyspark.sql import functions as F
 
-from opslake.operators import forest, novelty, ranking
+import __spark_entry__ as entry
+from opslake.operators import forest, novelty, ranking, windows
 from opslake.plans import model_queries as models
 from opslake.plans import registry
 from opslake.streaming import jobs, processors
@@ -121,6 +122,38 @@ def test_coverage_meets_many_services_without_a_product(spark):
     assert all("TransformWithState" in p and "CartesianProduct" not in p for p in plans)
 
 
+@pytest.mark.parametrize("name", ["m04_session_forest", "m20_residual_and_tail"])
+def test_no_task_holds_the_values_of_all_sessions(spark, monkeypatch, name):
+    """Medians of the whole table come from ranges where it is large, with the same result."""
+    query, ranged, made = entry.queries()[name], [], ranking.grouped_quantiles
+    small = query(spark, SF).collect()
+    monkeypatch.setattr(windows, "GROUP_ROWS", 10)
+    monkeypatch.setattr(ranking, "grouped_quantiles", lambda *a: ranged.append(1) or made(*a))
+    large = query(spark, SF).collect()
+    assert len(ranged) == 2 and len(small) > 1000 and sorted(large, key=str) == sorted(small, key=str)
+
+
+def test_the_whole_table_meets_its_medians_and_size_without_a_product(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, rng.uniform(0, 9)]), rng.uniform(0, 5)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "i long, a double, b double").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for group_rows in (None, 10):
+            out = windows.mad_reference(frame, [], ["a", "b"], [0.01, 2.0], group_rows)
+            got = out.first()
+            for c, values, floor in (("a", [r[1] for r in rows if r[1] is not None], 0.01), ("b", [r[2] for r in rows], 2.0)):
+                middle = np.median(values)
+                assert got[f"{c}_center"] == pytest.approx(middle) and got[f"{c}_scale"] == pytest.approx(max(floor, np.median(np.abs(values - middle))))
+            assert out.count() == 1
+        drawn = forest.sample_rows(frame, F.col("i"), None, ["a", "b"], 3, 16)
+        for df in (out, drawn):
+            assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+        assert drawn.select("group").distinct().collect() == [("all",)] and {r["count"] >= 16 for r in drawn.groupBy("tree").count().collect()} == {True}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture
 def lines_read(spark, monkeypatch):
     """How often the queries of message drift read each log line, as a function of a query's name."""
