@@ -375,18 +375,32 @@ def feature_stream(spark, d):
     return jobs.fed(feature_messages(spark, d), _message_thirds(), lambda stream: processors.score_features(stream, processor), runner=processors.run_on_rows)
 
 
+def feature_histories(messages):
+    """stream, end, service, x: the 90 features of five windows that the stream scores, for each available service of the messages
+    it accepts: of each stream, in order of arrival, those without a gap after the first. Zeros stand for windows before."""
+    arrived = Window.partitionBy("stream").orderBy("arrival")
+    once = messages.withColumn("_n", F.row_number().over(Window.partitionBy("stream", "end").orderBy("arrival"))).where("_n = 1")
+    placed = once.withColumns({"_n": F.row_number().over(arrived), "_end": F.first("end").over(arrived), "_profile": F.first("profile").over(arrived)})
+    accepted = placed.where("end = _end + 60 * (_n - 1) AND profile = _profile").select("stream", "end", F.explode("services").alias("s"))
+    last = Window.partitionBy("stream", "s.service").orderBy("end").rangeBetween(-240, 0)  # at most five rows
+    held = accepted.withColumn("_held", F.map_from_entries(F.collect_list(F.struct("end", "s.features")).over(last)))
+    ends = F.sequence(F.col("end") - 240, F.col("end"), F.lit(60))
+    x = F.flatten(F.transform(ends, lambda e: F.coalesce(F.element_at("_held", e), F.array_repeat(F.lit(0.0), 18))))
+    f = F.col("s.features")
+    return held.where((f[17] < 1) | (f[10] > 0) | (f[15] > 0)).select("stream", "end", F.col("s.service").alias("service"), x.alias("x"))
+
+
 def history_forest(spark, d):
-    """A forest over histories of the first windows; None without any."""
-    first = feature_messages(spark, d).where("arrival < 3000").select("stream", "end", F.explode("services").alias("s"))
-    rows = first.select(F.concat_ws("/", "stream", "end", "s.service").alias("key"), F.concat(F.array_repeat(F.lit(0.0), 72), F.col("s.features")).alias("x"))
-    nodes = forest.grow(rows, F.col("key"), F.col("x"), trees=25, psi=64).toPandas()  # 25 trees of at most 128 nodes
+    """A forest over histories of the first five windows, of which the last has whole ones; None without any."""
+    rows = feature_histories(feature_messages(spark, d).where("arrival < 5000"))
+    nodes = forest.grow(rows, F.concat_ws("/", "stream", "end", "service"), F.col("x"), trees=25, psi=64).toPandas()  # 25 trees of at most 128 nodes
     return forest.Forest(nodes) if len(nodes) else None
 
 
 @query("t08_forest_stream")
 def forest_stream(spark, d):
-    """The same stream, scored by an isolation forest over the 90 features of five windows that was fitted on the first
-    windows; its nodes are bounded by trees and sample, and go to the tasks with the processor."""
+    """The same stream, scored by an isolation forest over the 90 features of five windows that was fitted on the histories of
+    the first five; its nodes are bounded by trees and sample, and go to the tasks with the processor."""
     fitted = history_forest(spark, d)
     processor = processors.FeatureScorer(lambda raw: fitted.score(raw.reshape(len(raw), -1)), _available, {"all": 0.6, "logs": 0.6}, 18)
     return jobs.fed(feature_messages(spark, d), _message_thirds(), lambda stream: processors.score_features(stream, processor), runner=processors.run_on_rows)

@@ -182,3 +182,32 @@ def test_the_forest_stream_scores_like_a_loop(run, spark):
     assert got.keys() == true.keys() and {s for s, *_ in got.values()} >= {"scored", "rejected"}
     for k, (status, score, names) in true.items():
         assert got[k][0] == status and got[k][2] == names and (score is None or abs(got[k][1] - score) < 1e-5)
+
+
+def test_the_forest_stream_is_fitted_on_the_histories_it_scores(spark):
+    """All five windows split, and the histories are those of a loop over accepted messages; one stream has a gap."""
+    from opslake.plans import stream_queries as S
+
+    messages = S.feature_messages(spark, SF).where("arrival < 5000 AND NOT (stream = '3' AND end = 180)")
+    state, true = {}, {}
+    for m in sorted(messages.collect(), key=lambda r: r.arrival):
+        profile, last, history = state.get(m.stream, (None, None, {}))
+        if last is not None and (m.profile != profile or m.end != last + 60):
+            continue
+        history = {e: v for e, v in history.items() if e > m.end - 300} | {m.end: {s.service: s.features for s in m.services}}
+        state[m.stream] = (m.profile, m.end, history)
+        for s in m.services:
+            if s.features[17] < 1 or s.features[10] > 0 or s.features[15] > 0:
+                true[m.stream, m.end, s.service] = [x for e in range(m.end - 240, m.end + 1, 60) for x in history.get(e, {}).get(s.service, [0.0] * 18)]
+    rows = S.feature_histories(messages).collect()
+    got = {(r.stream, r.end, r.service): r.x for r in rows}
+    assert len(got) == len(rows) and got.keys() == true.keys() and {e for s, e, _ in got if s == "3"} == {60, 120}
+    assert all(got[k] == pytest.approx(x) for k, x in true.items())
+    fitted = S.history_forest(spark, SF)
+    split = np.setdiff1d(np.arange(len(fitted.feature)), np.flatnonzero(fitted.next[::2] == np.arange(len(fitted.feature))))
+    assert {f // 18 for f in fitted.feature[split]} == {0, 1, 2, 3, 4}
+    old = np.array(list(got.values()))
+    for window in range(5):
+        new = old.copy()
+        new[:, 18 * window : 18 * window + 18] = 0.0
+        assert (fitted.score(new) != fitted.score(old)).any()
